@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate",)
+MODULES = ("decontaminate", "bpe", "token_files")
 
 
 def _gathered(name: str) -> dict:
