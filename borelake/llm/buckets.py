@@ -38,7 +38,7 @@ def compare(rows: DataFrame, keys: list[str], by: str, kernel: Callable[[dict[st
         dealt = sized.withColumn("_own", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         split = dealt.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other"), "_side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_n", "_blocks", "_own", "_other")
     names = [*keys, "_low", "_high"]
-    wanted = [c for c in split.columns if c not in names and c != "_side"]
+    wanted = [c for c in split.columns if not c.startswith("_")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
