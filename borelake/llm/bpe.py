@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 #: Pattern by which byte-level tokenizers split texts (a fixed value of the format).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks and arcs that a worker remembers; beyond it starts again with none, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -115,7 +115,7 @@ class MergeAutomaton:
                     arc = state << 32 | t
                     has = table.get(arc)
                     if has is None:
-                        if len(table) > 4 * REMEMBERED:
+                        if len(table) > REMEMBERED:
                             table.clear()
                         has = table[arc] = self._has(state, t)
                     if has:
@@ -186,7 +186,6 @@ class Bpe:
             raise ValueError("added tokens with options")
         self.piece = regex.compile(PIECE)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.labels = {t: label for t, label in enumerate(self.automaton.labels)} | {i: a.encode() for a, i in self.added.items()}
         self.chunks = ChunkedEncoder(self._ids, list(self.added))
 
     def _ids(self, text: str) -> bytes:
@@ -202,20 +201,28 @@ class Bpe:
     def encode(self, text: str | None) -> bytes:
         return self.chunks.encode(text) if text else b""
 
+
+class Labels:
+    """The arc labels of a tokenizer file: decodes ids."""
+
+    def __init__(self, source: str):
+        said, letters = json.loads(source), byte_letters()
+        self.labels = {t: bytes(letters[c] for c in name) for name, t in said["model"]["vocab"].items()}
+        self.labels |= {a["id"]: a["content"].encode() for a in said.get("added_tokens", [])}
+
     def decode(self, ids: bytes | None) -> str:
-        labels = self.labels
-        return b"".join([labels[t] for t in np.frombuffer(ids or b"", "<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join(map(self.labels.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
 
 
-_made: dict[str, Bpe] = {}
+_made: dict[tuple[type, str], Bpe | Labels] = {}
 
 
-def loaded(source: str) -> Bpe:
-    """The tokenizer of this file's contents; a worker makes it once."""
-    if source not in _made:
+def loaded(kind: type, source: str) -> Bpe | Labels:
+    """``kind`` made of a tokenizer file's contents, once in a worker."""
+    if (kind, source) not in _made:
         _made.clear()
-        _made[source] = Bpe(source)
-    return _made[source]
+        _made[kind, source] = kind(source)
+    return _made[kind, source]
 
 
 def tokenizer_source(path: str) -> str:
@@ -224,28 +231,28 @@ def tokenizer_source(path: str) -> str:
         return f.read()
 
 
-def _appended(df: DataFrame, column: str, kind: T.DataType, f, source: str) -> DataFrame:
-    """``df`` with ``column`` = f(tokenizer, batch), in place of any column so named."""
+def _appended(df: DataFrame, column: str, kind: T.DataType, made_of: type, f, source: str) -> DataFrame:
+    """``df`` with ``column`` = f(made_of(source), batch), in place of any column so named."""
     df = df.drop(column)
     sent = df.sparkSession.sparkContext.broadcast(source)
     arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(sent.value)
+        maker = loaded(made_of, sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f(bpe, batch), arrow)], [*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f(maker, batch), arrow)], [*batch.schema.names, column])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, kind)]))
 
 
 def encode(df: DataFrame, source: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with its texts' ids in ``ids``: little-endian unsigned 32-bit integers."""
-    return _appended(df, ids, T.BinaryType(), lambda bpe, b: [bpe.encode(x.as_py()) for x in b.column(text)], source)
+    return _appended(df, ids, T.BinaryType(), Bpe, lambda bpe, b: [bpe.encode(x.as_py()) for x in b.column(text)], source)
 
 
 def decode(df: DataFrame, source: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the texts that ``ids`` spell in ``text``."""
-    return _appended(df, text, T.StringType(), lambda bpe, b: [bpe.decode(x.as_py()) for x in b.column(ids)], source)
+    return _appended(df, text, T.StringType(), Labels, lambda made, b: [made.decode(x.as_py()) for x in b.column(ids)], source)
 
 
 def tokens_and_digests(docs: DataFrame, source: str) -> DataFrame:

@@ -15,7 +15,10 @@ ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "x\n\ny", "don't can'T
 
 @pytest.fixture(scope="module")
 def both():
-    return bpe.loaded(bpe.tokenizer_source(PATH)), Tokenizer.from_file(PATH)
+    source = bpe.tokenizer_source(PATH)
+    own = bpe.Bpe(source)
+    own.decode = bpe.Labels(source).decode
+    return own, Tokenizer.from_file(PATH)
 
 
 def texts(n, seed=1):
