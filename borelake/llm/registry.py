@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "bpe", "token_files", "simhash", "vectors")
+MODULES = ("decontaminate", "bpe", "token_files", "simhash", "vectors", "urls")
 
 
 def _gathered(name: str) -> dict:
