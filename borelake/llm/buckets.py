@@ -37,24 +37,34 @@ def compare(rows: DataFrame, keys: list[str], by: str, kernel: Callable[[dict[st
         sized = rows.join(hot, keys, "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int"))
         dealt = sized.withColumn("_own", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         split = dealt.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other"), "_side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_n", "_blocks", "_own", "_other")
-    names = [*keys, "_low", "_high"]
-    wanted = [c for c in split.columns if not c.startswith("_")]
+    return per_group(split, [*keys, "_low", "_high"], lambda columns: kernel(columns, columns["_side"]), out)
+
+
+def per_group(rows: DataFrame, names: list[str], kernel: Callable[[dict[str, np.ndarray]], list[pa.Array] | None], out: T.StructType) -> DataFrame:
+    """Rows that ``kernel`` makes of each group of at least two rows that agree in ``names``; a task holds one group and one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        schema = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None and held.num_rows:
-                table = pa.concat_tables([held, table]).combine_chunks()
-            edges = _edges(table, names)
-            held = table.slice(edges[-1])
-            schema = schema or batch.schema
-            yield from _made(table, edges[:-1], edges[1:], wanted, kernel, out)
-        if held is not None and held.num_rows:
-            yield from _made(held, [0], [held.num_rows], wanted, kernel, out)
+        for table, edges in whole_groups(batches, names):
+            yield from _made(table, edges[:-1], edges[1:], kernel, out)
+
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, out)
 
-    return split.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, out)
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Sorted batches as tables of whole groups, and where groups begin and end in them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        if held is not None and held.num_rows:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        edges = _edges(table, names)
+        held = table.slice(edges[-1])
+        if len(edges) > 1:
+            yield table, edges
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
 
 
 def _edges(table: pa.Table, names: list[str]) -> list[int]:
@@ -75,16 +85,14 @@ def array_of(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy()
 
 
-def _made(table: pa.Table, begins: list[int], ends: list[int], wanted: list[str], kernel, out: T.StructType) -> Iterator[pa.RecordBatch]:
+def _made(table: pa.Table, begins: list[int], ends: list[int], kernel, out: T.StructType) -> Iterator[pa.RecordBatch]:
     if not any(e - b > 1 for b, e in zip(begins, ends, strict=True)):
         return
-    sides = table.column("_side").to_numpy()
-    plain = {c: table.column(c).to_numpy() for c in wanted if not pa.types.is_list(table.column(c).type)}
-    lists = [c for c in wanted if c not in plain]
+    plain = {c: table.column(c).to_numpy() for c in table.column_names if not pa.types.is_list(table.column(c).type)}
+    lists = [c for c in table.column_names if c not in plain]
     for b, e in zip(begins, ends, strict=True):
         if e - b > 1:
-            own = {c: v[b:e] for c, v in plain.items()} | {c: array_of(table.column(c).slice(b, e - b)) for c in lists}
-            made = kernel(own, sides[b:e])
+            made = kernel({c: v[b:e] for c, v in plain.items()} | {c: array_of(table.column(c).slice(b, e - b)) for c in lists})
             if made is not None:
                 yield pa.RecordBatch.from_arrays(made, names=out.names)
 
