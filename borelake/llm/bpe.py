@@ -140,36 +140,57 @@ class Irregular(Exception):
 
 
 class Chunks(dict):
-    """Ids of chunks, as bytes; ``ids`` computes those of one. A chunk is what follows one space."""
+    """Ids of chunks, as bytes; ``ids`` computes those of one. A chunk is what follows one space.
 
-    def __init__(self, ids, lead: str):
-        self.ids, self.lead = ids, lead
+    When it is full it becomes the older half, from which what is used again is taken over.
+    """
+
+    def __init__(self, ids, lead: str, size: int):
+        self.ids, self.lead, self.size, self.older = ids, lead, size, {}
 
     def __missing__(self, chunk: str) -> bytes:
         if self.lead and (not chunk or chunk[0].isspace()):
             raise Irregular
-        if len(self) >= REMEMBERED:
+        found = self.older.get(chunk)
+        return self.keep(chunk, self.ids(self.lead + chunk) if found is None else found)
+
+    def keep(self, chunk: str, found: bytes) -> bytes:
+        if len(self) >= self.size:
+            self.older = dict(self)
             self.clear()
-        found = self[chunk] = self.ids(self.lead + chunk)
+        self[chunk] = found
         return found
 
 
 class ChunkedEncoder:
-    """Encodes texts chunk by chunk. ``ids``: a text's ids as little-endian unsigned 32-bit integers."""
+    """Encodes texts chunk by chunk. ``ids``: a text's ids as little-endian unsigned 32-bit integers; ``many``: those of a list of texts."""
 
-    def __init__(self, ids, added: list[str]):
-        self.ids, self.added = ids, added
-        self.first, self.next = Chunks(ids, ""), Chunks(ids, " ")
+    def __init__(self, ids, added: list[str], many=None, size: int = REMEMBERED):
+        self.ids, self.added, self.many = ids, added, many
+        self.first, self.next = Chunks(ids, "", size), Chunks(ids, " ", size)
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, parts: list[str] | None = None) -> bytes:
         if any(a in text for a in self.added):
             return self.ids(text)
-        head, *rest = text.split(" ")
+        head, *rest = parts or text.split(" ")
         try:
             return b"".join([self.first[head] if head else b"", *map(self.next.__getitem__, rest)])
         except Irregular:
             return self.ids(text)
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; chunks that are new are encoded together."""
+        for at in range(0, len(texts), 500):
+            own = [(text, text.split(" ")) for text in texts[at : at + 500]]
+            if self.many:
+                chunks = set().union(*(parts for _, parts in own))
+                new = chunks.difference(self.next).difference(self.next.older)
+                new = [c for c in new if c and not c[0].isspace() and not any(a in c for a in self.added)]
+                for chunk, found in zip(new, self.many([" " + c for c in new]), strict=True):
+                    self.next.keep(chunk, found)
+            for text, parts in own:
+                yield self.encode(text, parts)
+
 
 class Bpe:
     """A tokenizer file, as automaton: encodes texts to ids, and decodes ids."""

@@ -24,6 +24,8 @@ BLOCK ids makes a longer block.
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +43,23 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 ESCAPE = 14
 GROUP = 256
 BLOCK = 1 << 18
+#: Chunks of text whose ids a worker remembers.
+REMEMBERED = 400_000
 _WIDE = np.uint64(1) << np.uint64(60)
 _BITS = 60 // COUNTS
 
 
+def _most(ids: np.ndarray) -> np.ndarray:
+    """How many ids as wide as each a word can hold."""
+    most = np.ones(len(ids), np.int8)
+    for count, bits in zip(COUNTS[::-1], _BITS[::-1], strict=True):
+        most[ids < (np.uint64(1) << np.uint64(bits))] = count
+    return most
+
+
+_MOST = _most(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of ``ids``, and for each group the number of its first word."""
     ids = np.asarray(ids, np.uint64)
@@ -57,10 +72,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     body[: len(ids)] = ids
     grid[:, :GROUP] = body.reshape(rows, GROUP)
     flat = grid.ravel()
-    # how many ids a word can hold if all are as wide as this one
-    most = np.ones(len(flat), np.int8)
-    for count, bits in zip(COUNTS[::-1], _BITS[::-1], strict=True):
-        most[flat < (np.uint64(1) << np.uint64(bits))] = count
+    if int(ids.max()) < len(_MOST):
+        most = _MOST[flat.astype(np.uint16)]
+    else:
+        most = _most(flat)
     best = np.ones(len(flat), np.int8)
     for count in COUNTS[-2::-1]:
         fits = most >= count
@@ -72,7 +87,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             longer = np.zeros_like(fits)
             np.logical_and(fits[:-step], fits[step:], out=longer[:-step])
             fits, have = longer, have + step
-        best[fits] = count
+        np.maximum(best, fits.view(np.int8) * np.int8(count), out=best)
     ends = np.minimum(GROUP, len(ids) - GROUP * np.arange(rows))
     base, at, begins = np.arange(rows) * stride, np.zeros(rows, np.int64), np.zeros(len(flat), bool)
     while len(base):
@@ -140,6 +155,7 @@ def library_encoder(source: str) -> ChunkedEncoder:
     if source not in _encoders:
         import json
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(source)
@@ -147,7 +163,11 @@ def library_encoder(source: str) -> ChunkedEncoder:
         tokenizer.no_padding()
         added = [a["content"] for a in json.loads(source).get("added_tokens", [])]
         _encoders.clear()
-        _encoders[source] = ChunkedEncoder(lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), added)
+
+        def many(texts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        _encoders[source] = ChunkedEncoder(lambda text: many([text])[0], added, many, REMEMBERED)
     return _encoders[source]
 
 
@@ -185,9 +205,10 @@ def write(docs: DataFrame, path: str, source: str, end_id: int | None = 2, block
 
         held = 0
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts), strict=True):
                 names.append(name)
-                parts.append(encoder.encode(text.as_py() or "") + tail)
+                parts.append(ids + tail)
                 held += len(parts[-1]) // 4
                 if held >= block:
                     yield closed()
