@@ -62,7 +62,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
         edges = _edges(table, names)
         held = table.slice(edges[-1])
         if len(edges) > 1:
-            yield table, edges
+            yield table.slice(0, edges[-1]), edges
     if held is not None and held.num_rows:
         yield held, [0, held.num_rows]
 
