@@ -130,10 +130,10 @@ def tag_of(raw: bytes) -> int:
     return zlib.crc32(raw) - (1 << 31)
 
 
-#: What readers send: of a part of the grams, packed anchors; or, for one document, spans and undecided anchors.
-SENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("anchors", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("spans", T.BinaryType()), T.StructField("asks", T.BinaryType())])
-FOUND = T.StructType(SENT.fields[2:])
-_ASK = np.dtype([("at", "<u4"), ("key", "<i8")])
+#: A span (start, end) of a document that is decided, or an undecided anchor (start, key).
+FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("key", T.LongType())])
+#: What readers send to a part of the grams or documents: packed anchors, or a row of FOUND.
+SENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("anchors", T.BinaryType()), *FOUND.fields])
 
 
 def pack(key: np.ndarray, context: np.ndarray, hot: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> bytes:
@@ -160,50 +160,41 @@ def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     return *pair, hot.astype(bool), np.repeat(np.cumsum(doc), counts), np.repeat(tag, counts), at
 
 
-def _by_document(doc: np.ndarray, tag: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    order = np.lexsort((tag, doc))
-    doc, tag, values = doc[order], tag[order], values[order]
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))))
-    for b, e in zip(new.tolist(), np.append(new[1:], len(doc)).tolist(), strict=True):
-        yield int(doc[b]), int(tag[b]), values[b:e]
-
+def united(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of documents as disjoint ones that don't touch, in order."""
+    if not len(doc):
+        return doc, tag, start, end
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, end = doc[order], tag[order], start[order], end[order]
+    other = np.concatenate(([0], np.cumsum((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))) << 40
+    reach = np.maximum.accumulate(end + other)
+    new = np.flatnonzero(np.concatenate(([True], (start + other)[1:] > reach[:-1])))
+    last = np.append(new[1:], len(doc)) - 1
+    return doc[new], tag[new], start[new], (reach - other)[last]
 
-def united(spans: np.ndarray) -> np.ndarray:
-    """Rows (start, end) as disjoint rows that don't touch, in order."""
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    new = np.flatnonzero(np.concatenate(([True], spans[1:, 0] > reach[:-1])))
-    return np.column_stack((spans[new, 0], reach[np.append(new[1:], len(spans)) - 1]))
 
+def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    doc, tag, start, end = united(doc, tag, start.astype(np.int64), end.astype(np.int64))
+    return [pa.array(doc), pa.array(tag), pa.array(start), pa.array(end), pa.nulls(len(doc), pa.int64())]
 
-def context_spans(at: np.ndarray) -> np.ndarray:
-    return np.column_stack((np.maximum(at.astype(np.int64) - REACH, 0), at.astype(np.int64) + LENGTH)).astype("<i8")
 
+def _whole(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Spans of whole contexts; their ends can lie past the text's."""
+    at = at.astype(np.int64)
+    return _spans(doc, tag, np.maximum(at - REACH, 0), at + LENGTH)
 
-def _documents(doc, tag, spans=None, asks=None) -> Iterator[tuple]:
-    if spans is not None and len(doc):
-        for d, t, s in _by_document(doc, tag, spans):
-            yield d, t, united(s).astype("<i8").tobytes(), None
-    if asks is not None and len(doc):
-        for d, t, a in _by_document(doc, tag, asks):
-            yield d, t, None, a.tobytes()
 
+def _asked(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, key: np.ndarray) -> list[pa.Array]:
+    return [pa.array(doc), pa.array(tag), pa.array(at.astype(np.int64)), pa.nulls(len(doc), pa.int64()), pa.array(key.view(np.int64))]
 
-def _batches(rows: Iterator[tuple], schema: T.StructType, arrow: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), arrow, strict=True)], schema.names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), arrow, strict=True)], schema.names)
 
+def _sent(found: list[pa.Array], parts: int) -> pa.RecordBatch:
+    doc = found[0].to_numpy()
+    part = (doc.view(np.uint64) * _MIX[0] >> np.uint64(32)) % np.uint64(parts)
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.nulls(len(doc), pa.binary()), *found], SENT.names)
 
-_ARROW = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
-
-def _combined(texts: list[bytes], ids: list[int], parts: int, many: int) -> Iterator[tuple]:
+def _combined(texts: list[bytes], ids: list[int], parts: int, many: int) -> Iterator[pa.RecordBatch]:
     """What a reader sends of some texts."""
     docs, tags = np.array(ids, np.int64), np.array([tag_of(t) for t in texts], np.int32)
     found, begin, held = [], 0, 0
@@ -222,21 +213,20 @@ def _combined(texts: list[bytes], ids: list[int], parts: int, many: int) -> Iter
     new = new_key | np.concatenate(([True], context[1:] != context[:-1]))
     first = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(doc))))
     later = doc > first
-    yield from ((None, None, *row) for row in _documents(doc[later], tag[later], spans=context_spans(at[later])))
+    yield _sent(_whole(doc[later], tag[later], at[later]), parts)
     contexts = np.add.reduceat(new, np.flatnonzero(new_key))
     hot = np.repeat(contexts > many, np.diff(np.append(np.flatnonzero(new_key), len(key))))
     on = hot & ~later
-    asks = np.empty(int(on.sum()), _ASK)
-    asks["at"], asks["key"] = at[on], key[on].view(np.int64)
-    yield from ((None, None, *row) for row in _documents(doc[on], tag[on], asks=asks))
+    yield _sent(_asked(doc[on], tag[on], at[on], key[on]), parts)
     sent = np.flatnonzero(~later & (~hot | new_key))
     part = (key[sent] >> np.uint64(48)).astype(np.int64)
     order = np.lexsort((at[sent], tag[sent], doc[sent], part))
     sent, part = sent[order], part[order]
     edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    for b, e in zip(edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True):
-        s = sent[b:e]
-        yield int(part[b]), pack(key[s], context[s], hot[s], doc[s], tag[s], at[s]), None, None, None, None
+    each = np.split(sent, edges[1:])
+    packed = [pack(key[s], context[s], hot[s], doc[s], tag[s], at[s]) for s in each] if len(sent) else []
+    n = len(packed)
+    yield pa.RecordBatch.from_arrays([pa.array(part[edges[:n]].astype(np.int32)), pa.array(packed, pa.binary()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], SENT.names)
 
 
 def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK) -> DataFrame:
@@ -246,56 +236,45 @@ def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK) -> Data
     parts = min(4 * tasks, 1 << 15)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            texts, ids, held = [], [], 0
-            for batch in batches:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    raw = text.as_py().encode("utf-8", "surrogatepass")
-                    if len(raw) >= LENGTH:
-                        texts.append(raw)
-                        ids.append(doc)
-                        held += len(raw)
-                    if held >= chunk:
-                        yield from _combined(texts, ids, parts, many)
-                        texts, ids, held = [], [], 0
-            if texts:
-                yield from _combined(texts, ids, parts, many)
-
-        yield from _batches(rows(), SENT, _ARROW)
+        texts, ids, held = [], [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                if len(raw) >= LENGTH:
+                    texts.append(raw)
+                    ids.append(doc)
+                    held += len(raw)
+                if held >= chunk:
+                    yield from _combined(texts, ids, parts, many)
+                    texts, ids, held = [], [], 0
+        if texts:
+            yield from _combined(texts, ids, parts, many)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            packed = []
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if row[1] is None:
-                        yield row[2:]
-                    else:
-                        packed.append((row[0], row[1]))
-            if not packed:
-                return
-            own = [unpack(raw) for _, raw in packed]
-            part = np.repeat([p for p, _ in packed], [len(x[0]) for x in own])
-            key, context, hot, doc, tag, at = (np.concatenate(x) for x in zip(*own, strict=True))
-            del packed, own
-            order = np.lexsort((doc, context, key, part))
-            part, key, context, hot, doc, tag, at = (x[order] for x in (part, key, context, hot, doc, tag, at))
-            new_key = np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
-            new = new_key | np.concatenate(([True], context[1:] != context[:-1]))
-            at_class, at_key = np.flatnonzero(new), np.flatnonzero(new_key)
-            first = np.repeat(doc[at_class], np.diff(np.append(at_class, len(doc))))
-            later = doc > first
-            yield from _documents(doc[later], tag[later], spans=context_spans(at[later]))
-            # buckets of several contexts and documents, or known to be common
-            on = (np.add.reduceat(new, at_key) > 1) & (np.maximum.reduceat(doc, at_key) > np.minimum.reduceat(doc, at_key)) | np.logical_or.reduceat(hot, at_key)
-            # a marked anchor itself has gone on already
-            undecided = np.repeat(on, np.diff(np.append(at_key, len(key)))) & ~later & ~hot
-            asks = np.empty(int(undecided.sum()), _ASK)
-            asks["at"] = at[undecided]
-            asks["key"] = _bucket(part[undecided].astype(np.uint64), key[undecided]).view(np.int64)
-            yield from _documents(doc[undecided], tag[undecided], asks=asks)
-
-        yield from _batches(rows(), FOUND, _ARROW[2:])
+        packed = []
+        for batch in batches:
+            anchors_ = batch.column("anchors")
+            packed += [(p, raw) for p, raw in zip(batch.column("part").to_pylist(), anchors_.to_pylist(), strict=True) if raw is not None]
+            yield batch.select(FOUND.names).filter(anchors_.is_null())
+        if not packed:
+            return
+        own = [unpack(raw) for _, raw in packed]
+        part = np.repeat([p for p, _ in packed], [len(x[0]) for x in own])
+        key, context, hot, doc, tag, at = (np.concatenate(x) for x in zip(*own, strict=True))
+        del packed, own
+        order = np.lexsort((doc, context, key, part))
+        part, key, context, hot, doc, tag, at = (x[order] for x in (part, key, context, hot, doc, tag, at))
+        new_key = np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+        new = new_key | np.concatenate(([True], context[1:] != context[:-1]))
+        at_class, at_key = np.flatnonzero(new), np.flatnonzero(new_key)
+        first = np.repeat(doc[at_class], np.diff(np.append(at_class, len(doc))))
+        later = doc > first
+        yield pa.RecordBatch.from_arrays(_whole(doc[later], tag[later], at[later]), FOUND.names)
+        # buckets of several contexts and documents, or known to be common
+        on = (np.add.reduceat(new, at_key) > 1) & (np.maximum.reduceat(doc, at_key) > np.minimum.reduceat(doc, at_key)) | np.logical_or.reduceat(hot, at_key)
+        # a marked anchor itself has gone on already
+        u = np.repeat(on, np.diff(np.append(at_key, len(key)))) & ~later & ~hot
+        yield pa.RecordBatch.from_arrays(_asked(doc[u], tag[u], at[u], _bucket(part[u].astype(np.uint64), key[u])), FOUND.names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     return rows.mapInArrow(read, SENT).repartition(tasks, "part").mapInArrow(bucket, FOUND)
@@ -322,7 +301,7 @@ _WIDTH = LENGTH + REACH
 
 def contexts(docs: DataFrame, asks: DataFrame) -> DataFrame:
     """Undecided anchors with the bytes of their contexts: windows over one can begin ``low`` to ``high`` bytes into them."""
-    asked = asks.groupBy("doc_id", "tag").agg(F.collect_list("asks").alias("asks"))
+    asked = asks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "key")).alias("asks"))
     texts = packed_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")).withColumnRenamed("_tag", "tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,11 +309,11 @@ def contexts(docs: DataFrame, asks: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, tag, packed, asked_ in zip(*(batch.column(k) for k in ("doc_id", "tag", "_packed", "asks")), strict=True):
                 raw = _PAD[:REACH] + press.decompress(packed.as_py()) + _PAD[:LENGTH]
-                own = np.frombuffer(b"".join(asked_.as_py()), _ASK)
-                n = len(own)
-                bytes_ = np.frombuffer(raw, np.uint8)[own["at"].astype(np.int64)[:, None] + np.arange(_WIDTH)]
+                at, key = (x.to_numpy() for x in asked_.values.flatten())
+                n = len(at)
+                bytes_ = np.frombuffer(raw, np.uint8)[at[:, None] + np.arange(_WIDTH)]
                 flat = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * _WIDTH, _WIDTH, dtype=np.int32)), pa.py_buffer(bytes_.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, REACH, np.int32)), pa.array(own["key"].astype(np.int64)), pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, tag.as_py(), np.int32)), pa.array(own["at"].astype(np.int32)), flat], CONTEXT.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, REACH, np.int32)), pa.array(key), pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, tag.as_py(), np.int32)), pa.array(at.astype(np.int32)), flat], CONTEXT.names)
 
     return texts.join(asked, ["doc_id", "tag"]).mapInArrow(_rebatched(run), CONTEXT)
 
@@ -399,22 +378,19 @@ def window_spans(rows: DataFrame) -> DataFrame:
     names = ["low", "high", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple]:
-            for table, edges in whole_groups(batches, names):
-                edges = np.array(edges)
-                size = np.diff(edges)
-                group = np.repeat(np.arange(len(size)), size)
-                keep = np.flatnonzero(size[group] > 1)
-                for k in np.split(keep, np.searchsorted(keep, edges[np.unique(np.searchsorted(edges, np.arange(0, edges[-1], 20_000)))])):
-                    if len(k):
-                        yield from _windows(table.take(pa.array(k)), group[k])
-
-        yield from _batches(made(), FOUND, _ARROW[2:])
+        for table, edges in whole_groups(batches, names):
+            edges = np.array(edges)
+            size = np.diff(edges)
+            group = np.repeat(np.arange(len(size)), size)
+            keep = np.flatnonzero(size[group] > 1)
+            for k in np.split(keep, np.searchsorted(keep, edges[np.unique(np.searchsorted(edges, np.arange(0, edges[-1], 20_000)))])):
+                if len(k):
+                    yield pa.RecordBatch.from_arrays(_windows(table.take(pa.array(k)), group[k]), FOUND.names)
 
     return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, FOUND)
 
 
-def _windows(table: pa.Table, group: np.ndarray) -> Iterator[tuple]:
+def _windows(table: pa.Table, group: np.ndarray) -> list[pa.Array]:
     low, high, doc, tag, at = (table.column(k).to_numpy() for k in ("low", "high", "doc_id", "tag", "at"))
     context = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, _WIDTH)
     begin = np.arange(REACH + 1)
@@ -430,9 +406,8 @@ def _windows(table: pa.Table, group: np.ndarray) -> Iterator[tuple]:
     first = np.repeat(doc[row[new]], np.diff(np.append(new, len(row))))
     later = doc[row] > first
     row, column = row[later], column[later]
-    if len(row):
-        start = at[row].astype(np.int64) - REACH + column
-        yield from _documents(doc[row], tag[row], spans=np.column_stack((start, start + LENGTH)).astype("<i8"))
+    start = at[row].astype(np.int64) - REACH + column
+    return _spans(doc[row], tag[row], start, start + LENGTH)
 
 
 def single_spans(rows: DataFrame) -> DataFrame:
@@ -441,27 +416,19 @@ def single_spans(rows: DataFrame) -> DataFrame:
     least = settle(keyed.groupBy("low", "bucket", "window").agg(F.min("doc_id").alias("_first")))
     own = keyed.join(least, ["low", "bucket", "window"]).filter(F.col("doc_id") > F.col("_first"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple]:
-            for batch in batches:
-                doc, tag, at, low = (batch.column(k).to_numpy() for k in ("doc_id", "tag", "at", "low"))
-                start = at.astype(np.int64) - REACH + low
-                yield from _documents(doc, tag, spans=np.column_stack((start, start + LENGTH)).astype("<i8"))
-
-        yield from _batches(made(), FOUND, _ARROW[2:])
-
-    return own.select("doc_id", "tag", "at", "low").mapInArrow(run, FOUND)
+    start = F.col("at").cast("long") - REACH + F.col("low")
+    return own.select("doc_id", "tag", start.alias("start"), (start + LENGTH).alias("end"), F.lit(None).cast("long").alias("key"))
 
 
 def spans(docs: DataFrame, many: int = MANY, large: int = LARGE, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, tag (of the text) and a list of packed spans of the bytes to remove; not for documents that lose none."""
+    """doc_id, tag (of the text) and a list of spans of the bytes to remove; not for documents that lose none."""
     found = stored(first_buckets(docs, many, chunk), "buckets")
-    rows = stored(contexts(docs, found.filter("asks is not null").select("doc_id", "tag", "asks")), "contexts")
+    rows = stored(contexts(docs, found.filter("key is not null")), "contexts")
     rows, single = split_large(rows, large)
-    every = found.filter("spans is not null").select("doc_id", "tag", "spans")
+    every = found.filter("key is null")
     for part in (window_spans(rows), *map(single_spans, single)):
-        every = every.union(part.select("doc_id", "tag", "spans"))
-    return every.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("_spans"))
+        every = every.union(part)
+    return every.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
 
 
 def cut(docs: DataFrame, **how) -> DataFrame:
@@ -479,18 +446,19 @@ def cut(docs: DataFrame, **how) -> DataFrame:
             kept, sizes, removed, runs = [], [], [], []
             for packed, own in zip(batch.column("_packed"), batch.column("_spans"), strict=True):
                 raw = press.decompress(packed.as_py()) if packed.is_valid else b""
-                gone = np.empty((0, 2), np.int64)
+                start = end = np.empty(0, np.int64)
                 if own.is_valid:
-                    gone = united(np.frombuffer(b"".join(own.as_py()), "<i8").reshape(-1, 2))
-                    gone = np.minimum(gone, len(raw))
+                    start, end = (x.to_numpy() for x in own.values.flatten())
+                    none = np.zeros(len(start), np.int64)
+                    start, end = united(none, none, start, np.minimum(end, len(raw)))[2:]
                 at, parts = 0, []
-                for b, e in gone.tolist():
+                for b, e in zip(start.tolist(), end.tolist(), strict=True):
                     parts.append(raw[at:b])
                     at = e
                 kept.append(b"".join([*parts, raw[at:]]))
                 sizes.append(len(raw))
                 removed.append(len(raw) - len(kept[-1]))
-                runs.append(len(gone))
+                runs.append(len(start))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs))], out.names)
 
     return joined.mapInArrow(run, out)
