@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from importlib import import_module
+
+MODULES = ("series",)
+
+
+def _gathered(name: str) -> dict:
+    return {k: v for m in MODULES for k, v in getattr(import_module(f"{__package__}.{m}"), name).items()}
+
+
+QUERIES = _gathered("QUERIES")
+SQL = _gathered("SQL")
