@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ LENGTH = 50
 GRAM = 20
 REACH = LENGTH - GRAM
 #: Bytes of text that a reader combines at a time, and that are hashed at a time.
-CHUNK, PIECE = 32 << 20, 2 << 20
+CHUNK, PIECE = 12 << 20, 1 << 19
 #: Contexts of one gram at one reader beyond which its anchors go on undecided, and anchors of a bucket beyond which it is split.
 MANY, LARGE = 256, 50_000
 _PAD = b"\xff" * (LENGTH + GRAM)  # never part of UTF-8
@@ -256,15 +257,15 @@ def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK) -> Data
             anchors_ = batch.column("anchors")
             packed += [(p, raw) for p, raw in zip(batch.column("part").to_pylist(), anchors_.to_pylist(), strict=True) if raw is not None]
             yield batch.select(FOUND.names).filter(anchors_.is_null())
-        if not packed:
-            return
-        own = [unpack(raw) for _, raw in packed]
-        part = np.repeat([p for p, _ in packed], [len(x[0]) for x in own])
-        key, context, hot, doc, tag, at = (np.concatenate(x) for x in zip(*own, strict=True))
-        del packed, own
-        order = np.lexsort((doc, context, key, part))
-        part, key, context, hot, doc, tag, at = (x[order] for x in (part, key, context, hot, doc, tag, at))
-        new_key = np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+        packed.sort(key=lambda x: x[0])
+        for part, own in groupby(packed, key=lambda x: x[0]):
+            yield from decided(part, [raw for _, raw in own])
+
+    def decided(part: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        key, context, hot, doc, tag, at = (np.concatenate(x) for x in zip(*map(unpack, packed), strict=True))
+        order = np.lexsort((doc, context, key))
+        key, context, hot, doc, tag, at = (x[order] for x in (key, context, hot, doc, tag, at))
+        new_key = np.concatenate(([True], key[1:] != key[:-1]))
         new = new_key | np.concatenate(([True], context[1:] != context[:-1]))
         at_class, at_key = np.flatnonzero(new), np.flatnonzero(new_key)
         first = np.repeat(doc[at_class], np.diff(np.append(at_class, len(doc))))
@@ -274,7 +275,7 @@ def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK) -> Data
         on = (np.add.reduceat(new, at_key) > 1) & (np.maximum.reduceat(doc, at_key) > np.minimum.reduceat(doc, at_key)) | np.logical_or.reduceat(hot, at_key)
         # a marked anchor itself has gone on already
         u = np.repeat(on, np.diff(np.append(at_key, len(key)))) & ~later & ~hot
-        yield pa.RecordBatch.from_arrays(_asked(doc[u], tag[u], at[u], _bucket(part[u].astype(np.uint64), key[u])), FOUND.names)
+        yield pa.RecordBatch.from_arrays(_asked(doc[u], tag[u], at[u], _bucket(np.uint64(part), key[u])), FOUND.names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     return rows.mapInArrow(read, SENT).repartition(tasks, "part").mapInArrow(bucket, FOUND)
@@ -383,7 +384,7 @@ def window_spans(rows: DataFrame) -> DataFrame:
             size = np.diff(edges)
             group = np.repeat(np.arange(len(size)), size)
             keep = np.flatnonzero(size[group] > 1)
-            for k in np.split(keep, np.searchsorted(keep, edges[np.unique(np.searchsorted(edges, np.arange(0, edges[-1], 20_000)))])):
+            for k in np.split(keep, np.searchsorted(keep, edges[np.unique(np.searchsorted(edges, np.arange(0, edges[-1], 8_000)))])):
                 if len(k):
                     yield pa.RecordBatch.from_arrays(_windows(table.take(pa.array(k)), group[k]), FOUND.names)
 
