@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("series", "labels")
+MODULES = ("series", "labels", "review")
 
 
 def _gathered(name: str) -> dict:
