@@ -111,13 +111,13 @@ def audit(series: DataFrame, keys: list[str]) -> DataFrame:
         F.percentile(size, F.lit(0.5)).alias("step_median"), F.min(size).alias("step_min"), F.max(size).alias("step_max"),
     )
     total = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))
-    n, up, down, equal = (F.col(c) for c in ("n", "n_up", "n_down", "n_equal"))
+    n, up, down, equal = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_up", "n_down", "n_equal"))
     allowed = F.when(n - 1 < 100, 0).otherwise(F.greatest(F.lit(25), F.floor((n - 1) * 0.005)))
     direction = (
         F.when(n < 2, "undetermined").when((down == 0) & (equal == 0), "increasing").when((up == 0) & (equal == 0), "decreasing").when((down == 0) & (up > 0), "nondecreasing").when((up == 0) & (down > 0), "nonincreasing")
         .when((up > down) & (down <= allowed), "mostly_increasing").when((down > up) & (up <= allowed), "mostly_decreasing").otherwise("non_monotonic")
     )
-    return total.join(known, keys, "left").withColumns({"direction": F.coalesce(direction, F.lit("undetermined")), "n_missing": F.col("n_total") - F.coalesce(n, F.lit(0))}).withColumn("monotonic", F.col("direction").isin("increasing", "decreasing", "nondecreasing", "nonincreasing"))
+    return total.join(known, keys, "left").withColumns({"direction": direction, "n_missing": F.col("n_total") - n}).withColumn("monotonic", F.col("direction").isin("increasing", "decreasing", "nondecreasing", "nonincreasing"))
 
 
 def overlap(axes: DataFrame, by: list[str]) -> DataFrame:
