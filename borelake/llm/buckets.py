@@ -77,6 +77,13 @@ def _edges(table: pa.Table, names: list[str]) -> list[int]:
     return np.flatnonzero(new).tolist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows, so that what is made of texts is sent on before the next are read."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def array_of(column: pa.ChunkedArray) -> np.ndarray:
     if pa.types.is_list(column.type):
         flat = column.combine_chunks()

@@ -22,7 +22,6 @@ hits are united, so results don't depend on the size.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from borelake.llm.buckets import sliced
+
 WINDOW = 13
 BLOCK_CHARS = 64_000_000
 #: Each byte lower-cased, or a space where it is not part of a word. Bytes of 0x80 and above belong to characters that are.
@@ -121,7 +122,7 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, block_chars: int =
         only = blocks[0]
 
         def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 yield _judged(batch, only.value)
 
         return rows.mapInArrow(once, out)
@@ -130,7 +131,7 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, block_chars: int =
     for block in blocks:
 
         def more(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 hits, names = [], []
                 for text, had, ids in zip(*(batch.column(k).to_pylist() for k in ("text", "hits", "item_ids")), strict=True):
                     mask, found = block.value.find(words_of(text))
@@ -144,7 +145,7 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, block_chars: int =
         rows = rows.mapInArrow(more, rows.schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes = [len(words_of(t)) for t in batch.column("text").to_pylist()]
             hit = [sum(r["last"] - r["first"] + 1 for r in h) for h in batch.column("hits").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array(sizes, pa.int64()), "n_hit": pa.array(hit, pa.int64()), "item_ids": batch.column("item_ids"), "hits": batch.column("hits")})
@@ -197,7 +198,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
     blocks = blocks_of(items, n, block_chars)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep, texts = [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
@@ -215,10 +216,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
     return docs.mapInArrow(kept, docs.schema)
 
 
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
-
-
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, as the operator's counts and a digest of the item ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from borelake.llm.buckets import sliced
 from borelake.shared import stored
 
 SAME = 8
@@ -287,7 +288,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             hosts.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 hosts.setdefault(host, Host()).add(Page(html.as_py()))
                 if len(hosts) > HOSTS:
@@ -318,7 +319,7 @@ def extract(pages: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, dict[int, str]] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             hosts = batch.column("host").to_pylist()
             raws = map(sent.value.get, hosts) if sent else batch.column("template").to_pylist()
             texts = []

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from borelake.llm.buckets import sliced
 from borelake.shared import stored
 
 FEATURES = ("symbols", "capitals", "stutter", "repeats", "stops", "word_length")
@@ -71,7 +72,7 @@ def described(docs: DataFrame) -> DataFrame:
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(f, T.DoubleType()) for f in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([statistics(t.as_py()) for t in batch.column("text")], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], out.names)
 
@@ -145,7 +146,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([statistics(t.as_py()) for t in batch.column("text")], np.float64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(sent.value.scores(x) >= threshold))
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.buckets import compare, forest
+from borelake.llm.buckets import compare, forest, sliced
 from borelake.operators.components import components
 from borelake.shared import settle, stored
 
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [fingerprint(x.as_py(), shingle) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
 

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.buckets import whole_groups
+from borelake.llm.buckets import sliced, whole_groups
 from borelake.shared import settle, stored
 
 LENGTH = 50
@@ -238,7 +238,7 @@ def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK) -> Data
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ids, held = [], [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 if len(raw) >= LENGTH:
@@ -288,7 +288,7 @@ def packed_texts(docs: DataFrame, name: str = "_packed") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else None for t in batch.column("text")]
             columns = [batch.column(f.name) for f in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([None if r is None else tag_of(r) for r in raw], pa.int32()), pa.array([None if r is None else press.compress(r) for r in raw], pa.binary())], out.names)
@@ -307,7 +307,7 @@ def contexts(docs: DataFrame, asks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, tag, packed, asked_ in zip(*(batch.column(k) for k in ("doc_id", "tag", "_packed", "asks")), strict=True):
                 raw = _PAD[:REACH] + press.decompress(packed.as_py()) + _PAD[:LENGTH]
                 at, key = (x.to_numpy() for x in asked_.values.flatten())
@@ -443,7 +443,7 @@ def cut(docs: DataFrame, **how) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             kept, sizes, removed, runs = [], [], [], []
             for packed, own in zip(batch.column("_packed"), batch.column("_spans"), strict=True):
                 raw = press.decompress(packed.as_py()) if packed.is_valid else b""
@@ -473,7 +473,7 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
     done = cut(docs.withColumnsRenamed(names).withColumn("_null", F.col("text").isNull()), **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kept = zip(batch.column("kept").to_pylist(), batch.column("_null").to_pylist(), strict=True)
             texts = pa.array([None if null else k.decode("utf-8", "ignore") for k, null in kept], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(names.get(c, c)) for c in columns], columns)
