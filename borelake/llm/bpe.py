@@ -38,10 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from borelake.llm.buckets import sliced
+
 #: Pattern by which byte-level tokenizers split texts (a fixed value of the format).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks and arcs that a worker remembers; beyond it starts again with none, which changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -135,6 +137,15 @@ class MergeAutomaton:
         return path
 
 
+_MARKS = ".,;:!?"
+
+
+def _lines(chunk: str) -> list[str] | None:
+    """What stands before and after the chunk's one line end, if neither has white space there; the line end is then a piece of its own."""
+    lines = chunk.split("\n")
+    return lines if len(lines) == 2 and all(lines) and not lines[0][-1].isspace() and not lines[1][0].isspace() else None
+
+
 class Irregular(Exception):
     """A chunk that can't be encoded apart from the others."""
 
@@ -183,15 +194,30 @@ class ChunkedEncoder:
         for at in range(0, len(texts), 500):
             own = [(text, text.split(" ")) for text in texts[at : at + 500]]
             if self.many:
-                chunks = set().union(*(parts for _, parts in own))
-                new = chunks.difference(self.next).difference(self.next.older)
-                new = [c for c in new if c and not c[0].isspace() and not any(a in c for a in self.added)]
-                for chunk, found in zip(new, self.many([" " + c for c in new]), strict=True):
-                    self.next.keep(chunk, found)
+                self._learn(set().union(*(parts for _, parts in own)))
             for text, parts in own:
                 yield self.encode(text, parts)
 
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode what is new together. A chunk is put together from its lines, and those of letters and a mark from these two."""
+        new = [c for c in chunks.difference(self.next).difference(self.next.older) if c and not c[0].isspace() and not any(a in c for a in self.added)]
+        lined = {c: lines for c in new if "\n" in c and (lines := _lines(c))}
+        heads = {lines[1] for lines in lined.values()}.difference(self.first)
+        for chunk, found in zip(heads, self.many(list(heads)), strict=True):
+            self.first.keep(chunk, found)
+        whole = set(new).difference(lined).union(lines[0] for lines in lined.values())
+        joined = [c for c in whole if c[-1] in _MARKS and c[:-1].isalpha()]
+        stems = whole.difference(joined).union(c[:-1] for c in joined)
+        stems = list(stems.difference(self.next).difference(self.next.older))
+        for chunk, found in zip(stems, self.many([" " + c for c in stems]), strict=True):
+            self.next.keep(chunk, found)
+        for chunk in joined:
+            self.next.keep(chunk, self.next[chunk[:-1]] + self.first[chunk[-1]])
+        for chunk, lines in lined.items():
+            self.next.keep(chunk, self.next[lines[0]] + self.first["\n"] + self.first[lines[1]])
+
+
 class Bpe:
     """A tokenizer file, as automaton: encodes texts to ids, and decodes ids."""
 
@@ -260,7 +286,7 @@ def _appended(df: DataFrame, column: str, kind: T.DataType, made_of: type, f, so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = loaded(made_of, sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f(maker, batch), arrow)], [*batch.schema.names, column])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, kind)]))

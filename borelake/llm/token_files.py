@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.bpe import ChunkedEncoder, tokenizer_source
+from borelake.llm.bpe import ChunkedEncoder, byte_letters, tokenizer_source
 from borelake.shared import new_folder
 
 #: Ids in a word, by selector (fixed values of the format).
@@ -44,7 +44,7 @@ ESCAPE = 14
 GROUP = 256
 BLOCK = 1 << 18
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _WIDE = np.uint64(1) << np.uint64(60)
 _BITS = 60 // COUNTS
 
@@ -164,8 +164,17 @@ def library_encoder(source: str) -> ChunkedEncoder:
         added = [a["content"] for a in json.loads(source).get("added_tokens", [])]
         _encoders.clear()
 
+        letters = {b: c for c, b in byte_letters().items()}
+        model = tokenizer.model.tokenize
+
         def many(texts: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            """Letters after a space or alone are one piece, so the library's model takes them as they are; it splits the rest."""
+            rest = [t for t in texts if not t.removeprefix(" ").isalpha()]
+            found = {t: array("I", e.ids).tobytes() for t, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+            for t in texts:
+                if t not in found:
+                    found[t] = array("I", [x.id for x in model(t.encode().decode("latin-1").translate(letters))]).tobytes()
+            return [found[t] for t in texts]
 
         _encoders[source] = ChunkedEncoder(lambda text: many([text])[0], added, many, REMEMBERED)
     return _encoders[source]

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from borelake.llm import bpe, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "x\n\ny", "don't can'T 'll", "aaaaaaaaaaa", "<|endoftext|>", "a <|endoftext|> b  <|endoftext|>", "é ü 日本語 👍🏽", "\u00a0 \u2003x", "\x1c\x1d y\x85z", "-" * 500, "ab" * 3000, "123456 1a2b", "\t\tif x:\n\t\t\treturn", "\u180e\u200b\ufeff q", "İ ǆ ² ½ ٣"]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "x\n\ny", "word. word, Word; é. éa! 1. a1. a.. ", "don't can'T 'll", "aaaaaaaaaaa", "<|endoftext|>", "a <|endoftext|> b  <|endoftext|>", "é ü 日本語 👍🏽", "\u00a0 \u2003x", "\x1c\x1d y\x85z", "-" * 500, "ab" * 3000, "123456 1a2b", "\t\tif x:\n\t\t\treturn", "\u180e\u200b\ufeff q", "İ ǆ ² ½ ٣"]
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,17 @@ def test_same_as_library(both):
     assert own.encode(None) == b"" and own.decode(None) == ""
 
 
+def test_encoding_together(both, monkeypatch):
+    """Small caches, and chunks encoded together, give the same ids."""
+    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    token_files._encoders.clear()
+    encoder = token_files.library_encoder(bpe.tokenizer_source(PATH))
+    token_files._encoders.clear()
+    given = [*ODD, *texts(1200, 7), "word. word, Word; é. éa! 1. a1. a.. o'. x'! <|endoftext|>."]
+    for text, ids in zip(given, encoder.encode_all(given), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == both[1].encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_decode_of_any_ids(both):
     own, library = both
     rng = random.Random(3)
