@@ -1,13 +1,13 @@
-"""Main text of HTML pages by union-free wrappers of their hosts.
+"""Main text of HTML pages by their marks and by tag paths of their hosts; union-free wrappers of hosts.
 
 A page's tags and texts form a tree of blocks; inline tags belong to their block.
 Neighbours that repeat are folded into one repeated group.  The trees of a host's
 pages are aligned one after the other: where they agree a node stays, what only
 one has becomes optional, what repeats becomes a repeated group, and differing
 texts become slots.  The result is the host's wrapper, a regular expression
-without unions; ``wrappers`` gives it for each host.
+without unions; ``wrappers`` gives it for each host.  The text does not depend on it.
 
-Slots then tell content from template.  A slot is template if it is in a region
+Content is told from template by tag paths, without alignment.  A path is template if it is in a region
 that is no article (navigation, page header, footer, side bar, notice, advert,
 form, script, style, comments, by tag, role, class or id), if its text is the
 same on all of at least ``SAME`` pages of the host though other texts differ, or,
