@@ -10,9 +10,10 @@ without unions; ``wrappers`` gives it for each host.  The text does not depend o
 Content is told from template by tag paths, without alignment.  A path is template if it is in a region
 that is no article (navigation, page header, footer, side bar, notice, advert,
 form, script, style, comments, by tag, role, class or id), if its text is the
-same on all of at least ``SAME`` pages of the host though other texts differ, or,
-outside of an article, if most of it is links.  If a page has an article or main
-region, only what is inside counts.
+same on all pages that have it, at least ``SHARE`` of the host's pages with text
+and ``SAME`` of them, though other texts differ, or, outside of an article, if most
+of it is links.  If a page has an article or main region, only what is inside
+counts, and no text is removed there for being the same.
 
 Readers fold and align what they have read, so a host sends one partial wrapper
 for each reader, and these are merged in one group: a host with very many pages
@@ -30,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -44,8 +46,10 @@ from borelake.llm.buckets import sliced
 from borelake.shared import stored
 
 SAME = 8
+#: Share of a host's pages with text that must have a path whose text is template.
+SHARE = 0.9
 SENT_BYTES = 64_000_000
-#: Blocks nested deeper are read as if they were at this depth.
+#: Blocks nested deeper have the path and node of this depth, and marks of their own.
 DEPTH = 60
 #: Hosts that a reader holds before it sends what it has.
 HOSTS = 2_000
@@ -135,6 +139,7 @@ class Page:
     def __init__(self, html: str | None):
         self.root, self.blocks = Node("page"), []
         self.stack: list[tuple] = [("page", self.root, 0, False, False)]
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.links = self.link = 0
         at = 0
@@ -184,9 +189,9 @@ class Page:
             return
         self._flush()
         if name in _CLOSE_P and self.stack[-1][0] == "p":
-            self.stack.pop()
+            self._pop()
         while self.stack[-1][0] in _SELF.get(name, ()):
-            self.stack.pop()
+            self._pop()
         own = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
         named = f"{own.get('class', '')} {own.get('id', '')}".strip()
         _, parent, path, main, template = self.stack[-1]
@@ -194,19 +199,27 @@ class Page:
         template = template or name in _TEMPLATE or own.get("role") in _ROLES or bool(named and _WORDS.search(named)) or not main and (name == "header" or bool(named and _HEADER.search(named))) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
         if name in _VOID:
             return
+        self.open[name] += 1
+        if len(self.stack) >= DEPTH:
+            self.stack.append((name, parent, path, main, template))
+            return
         key = name + ("." + ".".join(sorted(own.get("class", "").lower().split())) if own.get("class") else "")
         node = Node(key)
-        if len(self.stack) < DEPTH:
-            parent.kids.append(node)
-            self.stack.append((name, node, xxhash.xxh64_intdigest(f"{path} {key}") >> 1, main, template))
+        parent.kids.append(node)
+        self.stack.append((name, node, xxhash.xxh64_intdigest(f"{path} {key}") >> 1, main, template))
+
+    def _pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.open[name] -= 1
+        return name
 
     def _close(self, name: str) -> None:
         if name in _INLINE:
             self.link = max(0, self.link - (name == "a"))
             return
         self._flush()
-        if any(x[0] == name for x in self.stack[1:]):
-            while self.stack.pop()[0] != name:
+        if self.open[name]:
+            while self._pop() != name:
                 pass
             self.link = 0
 
@@ -221,11 +234,12 @@ class Host:
     """What is known of a host: its wrapper, and of each path how many pages have it, whether all say the same, and how much of it is links."""
 
     def __init__(self):
-        self.root, self.seen, self.pages = None, set(), 0
+        self.root, self.seen, self.pages, self.spoken = None, set(), 0, 0
         self.paths: dict[int, list] = {}
 
     def add(self, page: Page) -> None:
         self.pages += 1
+        self.spoken += bool(page.blocks)
         form = json.dumps(page.root.dump())
         if form not in self.seen:
             self.seen.add(form)
@@ -245,29 +259,30 @@ class Host:
 
     def merge(self, other: Host) -> None:
         self.pages += other.pages
+        self.spoken += other.spoken
         self.root = other.root if self.root is None else merged(self.root, other.root)
         self._join(other.paths)
 
     def dump(self) -> str:
-        return json.dumps([self.pages, self.root.dump(), [[p, *x] for p, x in sorted(self.paths.items())]])
+        return json.dumps([self.pages, self.spoken, self.root.dump(), [[p, *x] for p, x in sorted(self.paths.items())]])
 
     @staticmethod
     def load(raw: str) -> Host:
         host = Host()
-        pages, root, paths = json.loads(raw)
-        host.pages, host.root, host.paths = pages, Node.load(root), {p: x for p, *x in paths}
+        pages, spoken, root, paths = json.loads(raw)
+        host.pages, host.spoken, host.root, host.paths = pages, spoken, Node.load(root), {p: x for p, *x in paths}
         return host
 
     def template(self, same: int = SAME) -> dict[int, str]:
-        """Paths of template slots: ``same`` text on all pages, or mostly ``links``."""
+        """Paths of template slots: one text on all pages that have it, ``same`` at least and ``SHARE`` of those with text, or mostly ``links``."""
         varies = any(x[1] == -1 for x in self.paths.values())
         found = {p: "links" for p, x in self.paths.items() if x[2] and 2 * x[3] > x[2]}
-        return found | {p: "same" for p, x in self.paths.items() if varies and x[1] != -1 and x[0] == self.pages >= same}
+        return found | {p: "same" for p, x in self.paths.items() if varies and x[1] != -1 and self.spoken >= same and x[0] >= SHARE * self.spoken}
 
 
 def main_text(page: Page, template: dict[int, str]) -> str:
     """Blocks of the article, or of the page if it has none, that are no template."""
-    own = [b for b in page.blocks if not b[2] and template.get(b[0]) != "same"]
+    own = [b for b in page.blocks if not b[2] and (b[1] or template.get(b[0]) != "same")]
     article = [b for b in own if b[1]]
     return "\n".join(b[3] for b in article or [b for b in own if b[0] not in template])
 

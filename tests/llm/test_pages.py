@@ -64,3 +64,30 @@ def test_template_text_without_an_article(split):
     few = Host()
     few.add(Page(sources[0]))
     assert main_text(Page(sources[0]), few.template()) == "Same words\nOwn 0"
+
+
+def test_text_of_an_article_is_never_the_same():
+    """Copies of an article that differ in an advert keep its text."""
+    sources = [f"<body><p>Offer {k}</p><article><p>The story</p></article></body>" for k in range(12)]
+    host = Host()
+    for s in sources:
+        host.add(Page(s))
+    assert {main_text(Page(s), host.template()) for s in sources} == {"The story"}
+
+
+def test_pages_without_text_or_path_keep_the_template():
+    sources = [f"<body><div class=top>Same words</div><div class=x>Own {k}</div></body>" for k in range(20)]
+    host = Host()
+    for s in [*sources, None, "", "<p>broken"]:
+        host.add(Page(s))
+    host = Host.load(host.dump())
+    assert [main_text(Page(s), host.template()) for s in sources] == [f"Own {k}" for k in range(20)]
+
+
+def test_marks_and_ends_of_deep_blocks():
+    deep = pages.DEPTH + 5
+    assert main_text(Page("<div>" * deep + "<nav>menu</nav><article><p>Story</p></article>x" + "</div>" * deep), {}) == "Story"
+    assert main_text(Page("<article>" + "<div>" * deep + "a" + "</div>" * deep + "<p>b</p></article>c"), {}) == "a\nb"
+    nested = "<article><div>" + "<section>" * deep + "<div>in</div>" * 3 + "</section>" * deep + "</div>after</article>out"
+    assert main_text(Page(nested), {}) == "in\nin\nin\nafter"
+    assert main_text(Page("<aside>" + "<div>" * deep + "<aside>x</aside>y" + "</div>" * deep + "z</aside>told"), {}) == "told"
