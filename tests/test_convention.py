@@ -1,0 +1,9 @@
+from borelake.operators import convention as R
+
+
+def test_not_excluded(spark):
+    """Only overlap in the same unit excludes; touching ends don't."""
+    rows = spark.createDataFrame([(1, 100.0, 104.0, "ft"), (2, 104.0, 106.0, "ft"), (3, 107.0, 110.0, "ft"), (4, 108.0, 110.0, "ft"), (5, 104.0, 108.0, "m")], "k int, low double, high double, unit string")
+    gone = spark.createDataFrame([(104.0, 108.0, "ft")], "start double, stop double, unit string")
+    left = R.not_excluded(rows, gone)
+    assert left.columns == rows.columns and sorted(r["k"] for r in left.collect()) == [1, 4, 5]
