@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from borelake.functions.angles import orientation_confidence, orientation_uncertain, rotated
 from borelake.operators.components import components
-from borelake.operators.series import gap_filled
+from borelake.operators.series import BLOCK, gap_filled
 
 ALPHA, LIMIT, OUTLIER = 0.35, 2.5, 0.95
 MODERATE, SEVERE = 0.45, 0.60
 LEAST_FINITE = 0.70
 #: Evidence bits (fixed values of the label format).
 ABS_THRESHOLD, RELATIVE_DROP, FUSED_RULE, UNCERTAIN = 1, 2, 16, 32
-BLOCK = 4096
 
 
 def baseline(cells: DataFrame, half: int = 10, quantile: float = 0.9, block: int = BLOCK) -> DataFrame:
@@ -23,14 +22,14 @@ def baseline(cells: DataFrame, half: int = 10, quantile: float = 0.9, block: int
 
     The base is an order statistic of the gap-filled column in a window of
     2 * half + 1 depths whose edges repeat the first and last row.  Columns are cut
-    into blocks of depths, each with a copy of the ``half`` rows on either side, so
-    no task holds a whole well.
+    into blocks of depths, each with a copy of the ``half`` rows on either side; gaps
+    are filled in blocks too, so no task holds a whole well.
     """
     if not 0 < quantile < 1 or not 0 < half <= block:
         raise ValueError("quantile must be in (0, 1) and half in 1..block")
-    filled = cells.withColumn("_zf", gap_filled(cells, ["well_id", "az_idx"], "zc"))
+    filled = gap_filled(cells, ["well_id", "az_idx"], "zc", "_zf", block=block)
     last = cells.groupBy("well_id").agg(F.max("depth_idx").alias("_last"))
-    at = filled.join(F.broadcast(last), "well_id")
+    at = filled.join(last, "well_id")
     before, after = F.sequence(F.lit(-half).cast("long"), F.lit(0).cast("long")), F.sequence(F.lit(0).cast("long"), F.lit(half).cast("long"))
     shifts = F.when((F.col("depth_idx") == 0) & (F.col("_last") == 0), F.array_union(before, after)).when(F.col("depth_idx") == 0, before).when(F.col("depth_idx") == F.col("_last"), after).otherwise(F.array(F.lit(0).cast("long")))
     padded = at.withColumn("_shift", F.explode(shifts)).withColumn("_pos", F.col("depth_idx") + F.col("_shift"))

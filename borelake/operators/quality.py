@@ -13,7 +13,7 @@ def numeric(rows: DataFrame, keys: list[str], value: Column, most: float = 0.1)
     """
     own = rows.select(*keys, value.alias("v"))
     top = own.groupBy(*keys).agg(F.max(F.abs("v")).alias("top"))
-    joined = own.join(F.broadcast(top), keys) if keys else own.crossJoin(top)
+    joined = own.join(top, keys) if keys else own.crossJoin(top)
     done = joined.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count("v").alias("n_finite"), F.avg((F.col("v") == 0).cast("int")).alias("zero_share"), F.min("v").alias("v_min"), F.max("v").alias("v_max"),
         F.avg("v").alias("v_mean"), F.stddev_pop("v").alias("v_std"), F.avg((F.abs("v") >= F.col("top")).cast("int")).alias("clip_share"),

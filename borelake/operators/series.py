@@ -1,10 +1,11 @@
 """Depth axes: audit, grids, interpolation, matching, windows.
 
 A series is rows of keys, ``sample_idx`` (file order), ``depth`` and values.
-Missing numbers are null; ``finite`` makes them so.  Interpolation and matching
-are one pass: sources and targets are united and each target takes the source
-before and after it from a window by series, so there is one shuffle and one
-sort, and no range join.
+Missing numbers are null; ``finite`` makes them so.  Interpolation, matching and
+gap filling need the known rows around each row.  ``carried`` finds them in
+blocks of depths: one row a block says what it knows first and last, two rows a
+block bring in what the blocks above and below know, and running windows do the
+rest.  So no series is one task, frames only grow, and there is no range join.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from borelake.functions.angles import delta, wrap
 
+#: Depth of a block of work, and rows of one, where rows are numbered: some thousands of rows. They change no result.
+SPAN, BLOCK = 2048.0, 4096
+
 
 def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
@@ -26,18 +30,44 @@ def prepared(source: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "depth").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in (*keys, "depth")]), "sample_idx").alias("_row")).select(*keys, "depth", "_row.*")
 
 
-def bracketed(source: DataFrame, targets: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """``targets`` (keys, depth, more) with before and after: structs of depth and values of the sources around each, equal depth included, and their number n_source."""
+def carried(rows: DataFrame, keys: list[str], known: Column, order: str, block: Column) -> DataFrame:
+    """``rows`` with before and after: the ``known`` (null where a row has none) of the last row up to each row's ``order`` and of the first from there on; and n_known of the series.
+
+    ``block`` rises with ``order``. Rows of equal order see each other; at most one of them is known.
+    """
+    at = rows.withColumns({"_known": known, "_block": block})
+    place = F.when(F.col("_known").isNotNull(), F.col(order))
+    edges = at.groupBy(*keys, "_block").agg(F.min_by("_known", place).alias("_first"), F.max_by("_known", place).alias("_last"), F.count("_known").alias("_n"))
+    series = W.partitionBy(*keys)
+    above, below = (w.rowsBetween(W.unboundedPreceding, -1) for w in (series.orderBy("_block"), series.orderBy(F.desc("_block"))))
+    ends = F.array(
+        F.struct(F.lit(-1).alias("_edge"), F.last("_last", ignorenulls=True).over(above).alias("_known")),
+        F.struct(F.lit(1).alias("_edge"), F.last("_first", ignorenulls=True).over(below).alias("_known")),
+    )
+    brought = edges.select(*keys, "_block", F.sum("_n").over(series).alias("_n"), ends.alias("_ends"))
+    marks = brought.select(*keys, "_block", "_n", F.explode("_ends").alias("_end")).select(*keys, "_block", "_n", "_end.*")
+    both = at.withColumn("_edge", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    own = W.partitionBy(*keys, "_block")
+    down, up = (w.rangeBetween(W.unboundedPreceding, 0) for w in (own.orderBy("_edge", order), own.orderBy(F.desc("_edge"), F.desc(order))))
+    found = both.select(
+        *rows.columns, "_edge", F.last("_known", ignorenulls=True).over(down).alias("before"),
+        F.last("_known", ignorenulls=True).over(up).alias("after"), F.max("_n").over(own).alias("n_known"),
+    )
+    return found.filter("_edge = 0").drop("_edge")
+
+
+def bracketed(source: DataFrame, targets: DataFrame, keys: list[str], values: list[str], span: float = SPAN) -> DataFrame:
+    """``targets`` (keys, depth, more) with before and after: structs of depth and values of the sources around each, equal depth included, and their number n_source.
+
+    ``source`` has each depth once (see ``prepared``); ``span`` is the depth of a block.
+    """
     struct = F.struct("depth", *values)
     kinds = source.select(struct.alias("s")).schema["s"].dataType.simpleString()
-    own = source.select(*keys, "depth", struct.alias("_source"), F.lit(None).cast(targets.select(F.struct("*").alias("t")).schema["t"].dataType).alias("_target"))
+    wanted = targets.select(F.struct("*").alias("t")).schema["t"].dataType
+    own = source.select(*keys, "depth", struct.alias("_source"), F.lit(None).cast(wanted).alias("_target"))
     asked = targets.select(*keys, "depth", F.lit(None).cast(kinds).alias("_source"), F.struct("*").alias("_target"))
-    by = W.partitionBy(*keys).orderBy("depth")
-    before = F.last("_source", ignorenulls=True).over(by.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first("_source", ignorenulls=True).over(by.rangeBetween(0, W.unboundedFollowing))
-    count = F.count("_source").over(W.partitionBy(*keys))
-    both = own.unionByName(asked).select("_target", before.alias("before"), after.alias("after"), count.alias("n_source"))
-    return both.filter(F.col("_target").isNotNull()).select("_target.*", "before", "after", "n_source")
+    found = carried(own.unionByName(asked), keys, F.col("_source"), "depth", F.floor(F.col("depth") / span))
+    return found.filter(F.col("_target").isNotNull()).select("_target.*", "before", "after", F.col("n_known").alias("n_source"))
 
 
 def fraction() -> Column:
@@ -165,20 +195,19 @@ def receiver_consistency(series: DataFrame, expected: int) -> DataFrame:
 def window_slices(series: DataFrame, windows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Per window (keys, window, low, high): samples inside, and the ``most`` contiguous ones around the sample nearest the centre."""
     centre = (F.col("low") + F.col("high")) / 2
-    inside = series.join(F.broadcast(windows), keys).filter("depth between low and high")
+    inside = series.join(windows, keys).filter("depth between low and high")
     found = inside.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n_matched"), F.min("sample_idx").alias("first"), F.max("sample_idx").alias("last"), F.min_by("sample_idx", F.struct(F.abs(F.col("depth") - centre), "sample_idx")).alias("centre_idx"), F.min("depth").alias("seen_low"), F.max("depth").alias("seen_high"))
     begin = F.greatest("first", F.least(F.col("centre_idx") - most // 2, F.col("last") - most + 1))
     return windows.join(found, [*keys, "window"], "left").withColumns({"n_matched": F.coalesce("n_matched", F.lit(0)), "begin": F.when(F.col("n_matched") > most, begin).otherwise(F.col("first"))}).withColumn("stop", F.when(F.col("n_matched") > most, F.col("begin") + most - 1).otherwise(F.col("last")))
 
 
-def gap_filled(rows: DataFrame, keys: list[str], value: str, order: str = "depth_idx") -> Column:
-    """Down depth: linear between known neighbours, held at the ends, 0 where nothing is known."""
-    by = W.partitionBy(*keys).orderBy(order)
+def gap_filled(rows: DataFrame, keys: list[str], value: str, name: str, order: str = "depth_idx", block: int = BLOCK) -> DataFrame:
+    """``rows`` with ``name``: ``value``, down depth linear between known neighbours, held at the ends, 0 where nothing is known."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("depth").alias("d"), F.col(value).alias("z")))
-    p = F.last(known, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
-    n = F.first(known, ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing))
+    p, n = F.col("before"), F.col("after")
     between = p["z"] + (n["z"] - p["z"]) * (F.col("depth") - p["d"]) / F.when(n["d"] != p["d"], n["d"] - p["d"])
-    return F.coalesce(F.when(p["d"] == n["d"], p["z"]), between, p["z"], n["z"], F.lit(0.0))
+    filled = F.coalesce(F.when(p["d"] == n["d"], p["z"]), between, p["z"], n["z"], F.lit(0.0))
+    return carried(rows, keys, known, order, F.floor(F.col(order) / block)).withColumn(name, filled).drop("before", "after", "n_known")
 
 
 def median_step(rows: DataFrame, keys: list[str]) -> DataFrame:

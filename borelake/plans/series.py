@@ -12,6 +12,8 @@ from borelake.plans.views import over
 from borelake.sources import adapter as D
 
 QUERIES, SQL = {}, {}
+#: Depths of event series are seconds; a block of work is a day.
+DAY = 86_400.0
 
 
 def query(name: str, sql: str | None, *views: str):
@@ -141,7 +143,7 @@ def _view_to_click(spark, sf):
     events = D.event_series(spark, sf)
     source = S.prepared(events.filter("series_id = 'view'"), ["well_id"]).withColumns({"idx": F.col("sample_idx").cast("double"), "high": (F.col("value") > 50).cast("double")})
     targets = events.filter("series_id = 'click'").select("well_id", "sample_idx", "depth")
-    return S.bracketed(source.withColumnRenamed("sample_idx", "source_idx"), targets, ["well_id"], ["value", "idx", "high", "source_idx"])
+    return S.bracketed(source.withColumnRenamed("sample_idx", "source_idx"), targets, ["well_id"], ["value", "idx", "high", "source_idx"], span=DAY)
 
 
 @query("interpolated", BRACKET_SQL + """SELECT well_id, sample_idx, round(CASE WHEN pd IS NOT NULL AND nd IS NOT NULL AND n_source >= 2 THEN pv + (nv - pv) * f END, 5) AS inside, round(coalesce(CASE WHEN pd IS NOT NULL AND nd IS NOT NULL THEN pv + (nv - pv) * f END, -1), 5) AS filled, round(coalesce(CASE WHEN pd IS NOT NULL AND nd IS NOT NULL THEN pv + (nv - pv) * f END, pv, nv), 5) AS clamped,
@@ -207,7 +209,7 @@ def preview_depths(spark, sf):
 @query("gap_filled", "SELECT well_id, az_idx, depth_idx, round(zf, 6) + 0.0 AS zc FROM filled", "filled")
 def gap_filled(spark, sf):
     cells = D.full_image(spark, sf)
-    return cells.select("well_id", "az_idx", "depth_idx", six(S.gap_filled(cells, ["well_id", "az_idx"], "zc")).alias("zc"))
+    return S.gap_filled(cells, ["well_id", "az_idx"], "zc", "zf").select("well_id", "az_idx", "depth_idx", six(F.col("zf")).alias("zc"))
 
 
 @query("depth_steps", "SELECT well_id, round(quantile_cont(d, 0.5), 6) AS step, CASE WHEN greatest(round_even(10.5 / quantile_cont(d, 0.5), 0), 3)::INT % 2 = 0 THEN greatest(round_even(10.5 / quantile_cont(d, 0.5), 0), 3)::INT + 1 ELSE greatest(round_even(10.5 / quantile_cont(d, 0.5), 0), 3)::INT END AS n_window FROM (SELECT well_id, depth - lag(depth) OVER (PARTITION BY well_id ORDER BY depth) AS d FROM pose) WHERE d > 0 GROUP BY well_id", "pose")
