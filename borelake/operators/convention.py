@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from borelake.functions.angles import delta, distance, orientation_confidence, wrap
+from borelake.operators.series import bracketed, lerp, prepared
 
 
 def hypotheses(spark) -> DataFrame:
@@ -17,25 +18,120 @@ def hypotheses(spark) -> DataFrame:
     return rows.select("hyp", F.when(sign == 0, 1).otherwise(-1).alias("sign"), F.when(order == 0, 1).otherwise(-1).alias("side_order"), F.when(direction == 0, 1).otherwise(-1).alias("direction"), ((h % 8) * 45.0).alias("side_offset"))
 
 
-def windows(pose: DataFrame, size: float) -> DataFrame:
-    """Depth windows of ``size`` over each well's pose, edges included on both sides; counts, mean inclination, greatest jump, reasons against, quality."""
-    span = pose.groupBy("well_id").agg(F.min("depth").alias("a"), F.max("depth").alias("b"))
-    jump = F.abs(delta(F.col("rb_deg"), F.lag("rb_deg").over(W.partitionBy("well_id").orderBy("depth"))))
-    rows = pose.withColumn("jump", jump).join(F.broadcast(span), "well_id")
-    at = (F.col("depth") - F.col("a")) / size
+def step_of_bearing(keys: list[str], order: str) -> Column:
+    """How far rb_deg turns from the row before in the group; null for the first."""
+    return F.abs(delta(F.col("rb_deg"), F.lag("rb_deg").over(W.partitionBy(*keys).orderBy(order))))
+
+
+def spans(pose: DataFrame, image: DataFrame) -> DataFrame:
+    """Per well: the depths that pose and image share, if any."""
+    ends = lambda rows, k: rows.groupBy("well_id").agg(F.min("depth").alias(f"_low{k}"), F.max("depth").alias(f"_high{k}"))
+    both = ends(pose, 0).join(ends(image, 1), "well_id")
+    return both.select("well_id", F.greatest("_low0", "_low1").alias("start"), F.least("_high0", "_high1").alias("stop")).filter("start < stop")
+
+
+def windows(pose: DataFrame, spans: DataFrame, size: float, intervals: DataFrame | None = None, unit: str = "unknown", least_inc: float = 5.0, most_jump: float = 45.0) -> DataFrame:
+    """Depth windows of ``size`` over each well's span, edges included on both sides, the last one shorter.
+
+    Counts, mean inclination and orientation, greatest jump of the bearing inside
+    the window, reasons against, and quality. ``intervals``: depths to leave out
+    (start, stop, unit, reason); see ``excluding``.
+    """
+    every = spans.select("well_id", "start", "stop", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("stop") - F.col("start")) / size) - 1)).alias("window"))
+    every = every.select("well_id", "window", (F.col("start") + F.col("window") * size).alias("low"), F.least(F.col("start") + (F.col("window") + 1) * size, "stop").alias("high"))
+    at = F.floor((F.col("depth") - F.col("start")) / size)
     # a sample on an edge is in both windows
-    own = F.floor(at).cast("int")
-    rows = rows.withColumn("window", F.explode(F.array_distinct(F.when((at == own) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own)))))
-    done = rows.groupBy("well_id", "window").agg(F.count(F.lit(1)).alias("n"), F.avg("inc_deg").alias("inc_mean"), F.avg(orientation_confidence(F.col("inc_deg"))).alias("orientation"), F.max("jump").alias("jump_max"), F.first("a").alias("a"))
-    reasons = F.array_compact(F.array(F.when(F.col("n") < 2, "few_samples"), F.when(F.col("orientation") < 0.5, "low_orientation"), F.when(F.col("jump_max") > 90, "bearing_jump")))
-    done = done.withColumns({"low": F.col("a") + F.col("window") * size, "high": F.col("a") + (F.col("window") + 1) * size, "reasons": reasons, "quality": F.col("orientation") + F.col("inc_mean") / 90})
-    return done.drop("a")
+    rows = pose.filter("depth is not null and inc_deg is not null and rb_deg is not null").join(spans, "well_id")
+    rows = rows.withColumn("window", F.explode(F.array(at - 1, at, at + 1))).join(every, ["well_id", "window"]).filter("depth between low and high")
+    jump = step_of_bearing(["well_id", "window"], "depth")
+    found = rows.withColumn("jump", jump).groupBy("well_id", "window").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("inc_deg").alias("inc_mean"), F.avg(orientation_confidence(F.col("inc_deg"))).alias("orientation"), F.coalesce(F.max("jump"), F.lit(0.0)).alias("jump_max"),
+    )
+    done = every.join(found, ["well_id", "window"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    left_out = F.array().cast("array<string>")
+    if intervals is not None:
+        done = done.join(excluded(every, intervals, unit), ["well_id", "window"], "left")
+        left_out = F.coalesce("left_out", left_out)
+    reasons = F.array_compact(F.array(
+        F.when(F.col("n") < 2, "few_samples"), F.when(~F.coalesce(F.col("orientation") >= 0.5, F.lit(False)), "low_orientation"),
+        F.when(~F.coalesce(F.col("inc_mean") >= least_inc, F.lit(False)), "low_inclination"), F.when(~F.coalesce(F.col("jump_max") <= most_jump, F.lit(False)), "bearing_jump"),
+    ))
+    quality = F.coalesce("orientation", F.lit(0.0)) + F.coalesce("inc_mean", F.lit(0.0)) / 90
+    return done.withColumns({"reasons": F.concat(left_out, reasons), "quality": quality}).drop("left_out")
+
+
+def best_windows(rows: DataFrame, most: int = 8) -> DataFrame:
+    """Per well, the ``most`` windows of greatest quality that nothing speaks against; a report of the top."""
+    place = F.row_number().over(W.partitionBy("well_id").orderBy(F.desc("quality"), "window"))
+    return rows.filter(F.size("reasons") == 0).withColumn("place", place).filter(F.col("place") <= most)
+
+
+def _same_unit(interval: Column, unit: str) -> Column:
+    unknown = ("unknown", "unknown_to_verify", "")
+    return F.lower(interval).isin(*unknown) if unit.lower() in unknown else F.lower(interval) == unit.lower()
+
+
+def _meets(low: Column, high: Column) -> Column:
+    return F.greatest(low, F.least("start", "stop")) < F.least(high, F.greatest("start", "stop"))
+
+
+def excluded(rows: DataFrame, intervals: DataFrame, unit: str) -> DataFrame:
+    """Per window (well_id, window, low, high) that an interval (start, stop, unit, reason) in ``unit`` overlaps: the reasons, left_out. Touching ends don't overlap; other units are not converted."""
+    own = intervals.filter(_same_unit(F.col("unit"), unit)).select("start", "stop", "reason")
+    met = rows.join(own, _meets(F.col("low"), F.col("high")))
+    return met.groupBy("well_id", "window").agg(F.array_sort(F.collect_set(F.concat(F.lit("interval:"), "reason"))).alias("left_out"))
 
 
 def not_excluded(rows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Windows that no exclude interval (start, stop, unit) of the same unit overlaps; the list is short and broadcast."""
+    """Windows that no exclude interval (start, stop, unit) of the same unit overlaps."""
     cond = (F.greatest(rows["low"], F.col("start")) < F.least(rows["high"], F.col("stop"))) & (rows["unit"] == F.col("x_unit"))
-    return rows.join(F.broadcast(intervals.withColumnRenamed("unit", "x_unit")), cond, "left_anti")
+    return rows.join(intervals.withColumnRenamed("unit", "x_unit"), cond, "left_anti")
+
+
+def energy_at(energy: DataFrame, axis: DataFrame, depths: DataFrame, sides: int) -> DataFrame:
+    """``depths`` (well_id, depth_idx, depth) x sides with energy: linear between the sonic depths (``axis``: well_id, xsi_idx, depth), held at the ends."""
+    source = prepared(energy.join(axis, ["well_id", "xsi_idx"]).withColumnRenamed("xsi_idx", "sample_idx"), ["well_id", "side"])
+    wells = source.select("well_id").distinct()
+    targets = depths.join(wells, "well_id", "left_semi").withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    return bracketed(source, targets, ["well_id", "side"], ["energy"]).select("well_id", "depth_idx", "side", lerp("energy", "clamp").alias("energy"))
+
+
+def evidence(depths: DataFrame, image: DataFrame, energy: DataFrame) -> DataFrame:
+    """Per image depth with bearing and inclination (``depths``): ranges of impedance over sectors and of energy over sides."""
+    ring = lambda rows, v, name: rows.groupBy("well_id", "depth_idx").agg((F.max(v) - F.min(v)).alias(name))
+    known = depths.withColumn("orientation", orientation_confidence(F.col("inc_deg")))
+    return known.join(ring(image, "zc", "image_range"), ["well_id", "depth_idx"]).join(ring(energy, "energy", "side_range"), ["well_id", "depth_idx"])
+
+
+def _judged(rows: DataFrame, keys: list[str], most_jump: float, least: float, counted: bool) -> DataFrame:
+    """Evidence grouped by window: orientation, jump and contrasts, and reasons against."""
+    known = rows.withColumn("jump", step_of_bearing(keys, "depth_idx"))
+    done = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("depth_idx").alias("first"), F.max("depth_idx").alias("last"), F.avg("orientation").alias("orientation"),
+        F.when(F.count("rb_deg") > 0, F.coalesce(F.max("jump"), F.lit(0.0))).alias("jump_max"),
+        F.percentile("image_range", F.lit(0.5)).alias("image_contrast"), F.percentile("side_range", F.lit(0.5)).alias("side_contrast"),
+    )
+    low = lambda c: ~F.coalesce(F.col(c) > 0, F.lit(False))
+    marks = [F.when(F.col("n") < 2, "too_short")] if counted else [F.when(~F.coalesce(F.col("orientation") >= least, F.lit(False)), "low_orientation"), F.when(F.col("jump_max") > most_jump, "bearing_jump")]
+    marks += [F.when(low("image_contrast"), "low_image_contrast"), F.when(low("side_contrast"), "low_side_contrast")]
+    return done.withColumns({"reasons": F.array_compact(F.array(*marks)), "quality": F.coalesce("image_contrast", F.lit(0.0)) + F.coalesce("side_contrast", F.lit(0.0))})
+
+
+def sliding_windows(rows: DataFrame, size: int, stride: int, least: float = 0.5, most_jump: float = 45.0) -> DataFrame:
+    """Windows of ``size`` evidence rows each ``stride`` rows, the last one at the end; a row says in which windows it is."""
+    last = rows.groupBy("well_id").agg(F.max("depth_idx").alias("_last"), F.min("depth_idx").alias("_first"))
+    at = rows.join(last, "well_id").withColumns({"_r": F.col("depth_idx") - F.col("_first"), "_top": F.greatest(F.col("_last") - F.col("_first") + 1 - size, F.lit(0))})
+    low = F.greatest(F.ceil((F.col("_r") - size + 1) / stride), F.lit(0))
+    regular = F.transform(F.filter(F.sequence(low, F.greatest(F.floor(F.col("_r") / stride), low)), lambda k: (k * stride <= F.col("_r")) & (k * stride <= F.col("_top"))), lambda k: k * stride)
+    starts = F.array_distinct(F.concat(regular, F.when(F.col("_r") >= F.col("_top"), F.array(F.col("_top").cast("long"))).otherwise(F.array().cast("array<bigint>"))))
+    dealt = at.withColumn("window", F.explode(starts)).drop("_first", "_last", "_r", "_top")
+    return _judged(dealt, ["well_id", "window"], most_jump, least, False)
+
+
+def window_evidence(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Evidence rows of ``accepted`` depth windows (well_id, window, low, high), judged by window; windows without rows have none."""
+    dealt = rows.join(accepted.select("well_id", "window", "low", "high"), "well_id").filter("depth between low and high")
+    return _judged(dealt, ["well_id", "window"], 360.0, 0.0, True)
 
 
 def side_energy(waveforms: DataFrame) -> DataFrame:
@@ -80,12 +176,22 @@ def hypothesis_totals(scores: DataFrame) -> DataFrame:
     return done.withColumn("support", F.col("votes") / F.col("n_windows"))
 
 
-def attribute_votes(totals: DataFrame) -> DataFrame:
-    """Votes of each value of each attribute, with its share and whether it is enough to recommend."""
+def attribute_votes(totals: DataFrame, least: int = 5, share: float = 0.70) -> DataFrame:
+    """Votes of each value of each attribute, with its share and whether it is enough to recommend; the sign also needs ``recommendations``."""
     names = ["sign", "side_order", "direction", "side_offset"]
     long = totals.select("well_id", "votes", "n_windows", *(F.col(n).cast("double").alias(n) for n in names)).unpivot(["well_id", "votes", "n_windows"], names, "attribute", "choice")
     done = long.groupBy("well_id", "attribute", "choice").agg(F.sum("votes").alias("votes"), F.max("n_windows").alias("n_windows"))
-    return done.withColumn("support", F.col("votes") / F.col("n_windows")).withColumn("enough", (F.col("n_windows") >= 5) & (F.col("support") >= 0.70))
+    return done.withColumn("support", F.col("votes") / F.col("n_windows")).withColumn("enough", (F.col("n_windows") >= least) & (F.col("support") >= share))
+
+
+def recommendations(totals: DataFrame, least: int = 5, share: float = 0.70, gap: float = 0.05) -> DataFrame:
+    """Per well: the best hypothesis (the first of equal totals), its support and lead over the second, and the recommended sign, which stays unresolved without enough of all three."""
+    place = F.row_number().over(W.partitionBy("well_id").orderBy(F.round("total", 9).desc(), "hyp"))
+    two = totals.withColumn("place", place).filter("place <= 2")
+    first = lambda c: F.max(F.when(F.col("place") == 1, F.col(c)))
+    done = two.groupBy("well_id").agg(first("hyp").alias("hyp"), first("sign").alias("sign"), first("support").alias("support"), first("n_windows").alias("n_windows"), (first("total") - F.max(F.when(F.col("place") == 2, F.col("total")))).alias("gap"))
+    enough = F.coalesce((F.col("n_windows") >= least) & (F.col("support") >= share) & (F.col("gap") >= gap), F.lit(False))
+    return done.withColumns({"enough": enough, "recommendation": F.when(~enough, "unresolved").when(F.col("sign") == 1, "plus").otherwise("minus")})
 
 
 def candidate_ranges(pose: DataFrame, az: Column, seed: int = 20260520) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over catalog, bearing convention, review tables and gates, and their SQL."""
+"""Queries over catalog, review tables and gates, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from borelake.functions.angles import six
 from borelake.operators import catalog as C
-from borelake.operators import convention as R
 from borelake.operators import labels as L
 from borelake.operators import review as V
 from borelake.operators import series as S
@@ -60,59 +59,6 @@ def label_code_errors(spark, sf):
     return C.code_errors(P.labels(spark, sf))
 
 
-WINDOWS = """j AS (SELECT *, abs(delta(rb_deg, lag(rb_deg) OVER (PARTITION BY well_id ORDER BY depth))) AS jump, min(depth) OVER (PARTITION BY well_id) AS a FROM pose),
-  w AS (SELECT well_id, win, count(*) AS n, avg(inc_deg) AS inc_mean, avg(greatest(0, least(1, (inc_deg - 1) / 4.0))) AS orientation, max(jump) AS jump_max FROM (SELECT *, unnest(CASE WHEN (depth - a) / 6.0 = floor((depth - a) / 6.0) AND depth > a THEN [floor((depth - a) / 6.0)::INT - 1, floor((depth - a) / 6.0)::INT] ELSE [floor((depth - a) / 6.0)::INT] END) AS win FROM j) GROUP BY ALL)"""
-
-
-@query("bearing_windows", f"+ {WINDOWS} SELECT well_id, win AS window_id, n, round(inc_mean, 6) AS inc_mean, round(orientation, 6) AS orientation, round(jump_max, 6) AS jump_max, array_to_string(list_filter([CASE WHEN n < 2 THEN 'few_samples' END, CASE WHEN orientation < 0.5 THEN 'low_orientation' END, CASE WHEN jump_max > 90 THEN 'bearing_jump' END], lambda x: x IS NOT NULL), ',') AS reasons, round(orientation + inc_mean / 90, 6) AS quality FROM w", "pose")
-def bearing_windows(spark, sf):
-    rows = R.windows(D.pose(spark, sf), 6.0)
-    return rows.select("well_id", F.col("window").alias("window_id"), "n", *(six(F.col(c)).alias(c) for c in ("inc_mean", "orientation", "jump_max", "quality")), F.concat_ws(",", "reasons").alias("reasons"))
-
-
-@query("azimuth_contrast", "SELECT 'image' AS kind, well_id, round(quantile_cont(r, 0.5), 6) AS contrast FROM (SELECT well_id, depth_idx, max(zc) - min(zc) AS r FROM cells GROUP BY ALL) GROUP BY well_id UNION ALL SELECT 'sides', well_id, round(quantile_cont(r, 0.5), 6) FROM (SELECT well_id, xsi_idx, max(e) - min(e) AS r FROM (SELECT well_id, xsi_idx, side, sqrt(sum(list_sum(list_transform(samples, lambda x: x * x))) / sum(len(samples))) AS e FROM waveforms GROUP BY ALL) GROUP BY ALL) GROUP BY well_id", "cells", "waveforms")
-def azimuth_contrast(spark, sf):
-    image = R.contrast(D.full_image(spark, sf), ["well_id"], "depth_idx", "zc").select(F.lit("image").alias("kind"), "well_id", six(F.col("contrast")).alias("contrast"))
-    sides = R.contrast(R.side_energy(D.waveforms(spark, sf)), ["well_id"], "xsi_idx", "energy").select(F.lit("sides").alias("kind"), "well_id", six(F.col("contrast")).alias("contrast"))
-    return image.union(sides)
-
-
-@query("bearing_candidates", "SELECT well_id, candidate, count(*) AS n, round(min(az), 6) AS az_min, round(max(az), 6) AS az_max, true AS legal FROM (SELECT well_id, candidate, wrap(45 + CASE candidate WHEN 'plus' THEN rb_deg WHEN 'minus' THEN -rb_deg ELSE 0 END) AS az FROM pose, (VALUES ('plus'), ('minus'), ('none')) t(candidate)) GROUP BY ALL", "pose")
-def bearing_candidates(spark, sf):
-    rows = R.candidate_ranges(D.pose(spark, sf), F.lit(45.0)).filter("candidate <> 'random'")
-    return rows.select("well_id", "candidate", "n", six(F.col("az_min")).alias("az_min"), six(F.col("az_max")).alias("az_max"), "legal")
-
-
-def tracks(spark, sf):
-    """Both tracks on image depths, in windows of 16 depths; side energy by the image depth nearest to its own."""
-    energy = R.side_energy(D.waveforms(spark, sf)).withColumn("depth_idx", F.col("xsi_idx") * 16).drop("xsi_idx")
-    bearings = posed_depths(spark, sf).filter("rb_deg is not null").select("well_id", "depth_idx", "rb_deg")
-    return R.tracks(D.full_image(spark, sf), energy, bearings).withColumn("window", F.floor(F.col("depth_idx") / 64).cast("int"))
-
-
-TRACKS = """t AS (SELECT a.well_id, a.depth_idx, a.az_low, s.side_top, p.rb_deg, (a.depth_idx // 64)::INT AS win FROM (SELECT well_id, depth_idx, arg_min(az_idx, zc * 1000 + az_idx) AS az_low FROM cells WHERE zc IS NOT NULL GROUP BY ALL) a JOIN (SELECT well_id, xsi_idx * 16 AS depth_idx, arg_max(side, e) AS side_top FROM (SELECT well_id, xsi_idx, side, sqrt(sum(list_sum(list_transform(samples, lambda x: x * x))) / sum(len(samples))) AS e FROM waveforms GROUP BY ALL) GROUP BY ALL) s USING (well_id, depth_idx) JOIN posed p USING (well_id, depth_idx) WHERE rb_deg IS NOT NULL),
-  h AS (SELECT i::INT AS hyp, CASE WHEN i // 32 = 0 THEN 1 ELSE -1 END AS sign, CASE WHEN (i // 16) % 2 = 0 THEN 1 ELSE -1 END AS side_order, CASE WHEN (i // 8) % 2 = 0 THEN 1 ELSE -1 END AS direction, (i % 8) * 45.0::DOUBLE AS side_offset FROM range(64) r(i)),
-  x AS (SELECT *, apart(c, lag(c) OVER w) AS cs, apart(s, lag(s) OVER w) AS xs, apart(c, s) AS d FROM (SELECT t.*, h.*, wrap(direction * az_low * 30.0 + sign * rb_deg) AS c, wrap(side_offset + side_order * side_top * 45.0 + sign * rb_deg) AS s FROM t, h) WINDOW w AS (PARTITION BY well_id, win, hyp ORDER BY depth_idx)),
-  z AS (SELECT well_id, win, hyp, sign, side_order, direction, side_offset, 0.25 * coalesce(greatest(0, least(1, 1 - avg(cs) / 180)), 1) + 0.25 * coalesce(greatest(0, least(1, 1 - avg(xs) / 180)), 1) + 0.5 * greatest(0, least(1, 1 - quantile_cont(d, 0.5) / 180)) + max(CASE WHEN side_order = 1 THEN 0.01 ELSE 0 END + CASE WHEN direction = 1 THEN 0.01 ELSE 0 END + CASE WHEN side_offset = 0 THEN 0.01 ELSE 0 END) AS score FROM x GROUP BY well_id, win, hyp, sign, side_order, direction, side_offset)"""
-
-
-@query("hypothesis_totals", f"+ {TRACKS} SELECT well_id, hyp, round(sum(score), 5) AS total, round(avg(score), 5) AS mean, count(*) AS n_windows FROM z GROUP BY well_id, hyp", "cells", "waveforms", "posed")
-def hypothesis_totals(spark, sf):
-    done = R.hypothesis_totals(R.window_scores(tracks(spark, sf), D.SECTORS, D.SIDES))
-    return done.select("well_id", "hyp", F.round("total", 5).alias("total"), F.round("mean", 5).alias("mean"), "n_windows")
-
-
-@query("hypothesis_top", f"+ {TRACKS} SELECT well_id, hyp, round(sum(score), 5) AS total FROM z GROUP BY well_id, hyp ORDER BY round(sum(score), 5) DESC, hyp LIMIT 12", "cells", "waveforms", "posed")
-def hypothesis_top(spark, sf):
-    return hypothesis_totals(spark, sf).select("well_id", "hyp", "total").orderBy(F.desc("total"), "hyp").limit(12)
-
-
-@query("attribute_votes", f"+ {TRACKS}, b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY well_id, win ORDER BY round(score, 9) DESC, hyp) = 1), n AS (SELECT well_id, count(*) AS n_windows FROM b GROUP BY well_id) SELECT well_id, attribute, choice, count(b.hyp) AS votes, count(b.hyp) / any_value(n_windows) >= 0.7 AND any_value(n_windows) >= 5 AS enough FROM (SELECT well_id, n_windows, attribute, choice::DOUBLE AS choice FROM n, (VALUES ('sign', 1), ('sign', -1), ('side_order', 1), ('side_order', -1), ('direction', 1), ('direction', -1), ('side_offset', 0), ('side_offset', 45), ('side_offset', 90), ('side_offset', 135), ('side_offset', 180), ('side_offset', 225), ('side_offset', 270), ('side_offset', 315)) a(attribute, choice)) c LEFT JOIN b USING (well_id) WHERE 1 = 1 AND (CASE attribute WHEN 'sign' THEN sign WHEN 'side_order' THEN side_order WHEN 'direction' THEN direction ELSE side_offset END = choice OR b.hyp IS NULL) GROUP BY well_id, attribute, choice", "cells", "waveforms", "posed")
-def attribute_votes(spark, sf):
-    done = R.attribute_votes(R.hypothesis_totals(R.window_scores(tracks(spark, sf), D.SECTORS, D.SIDES)))
-    return done.filter("votes > 0").select("well_id", "attribute", "choice", "votes", "enough")
-
-
 @query("colour_limits", "SELECT well_id, round(quantile_cont(zc, 0.01), 6) AS low, round(CASE WHEN quantile_cont(zc, 0.99) > quantile_cont(zc, 0.01) THEN quantile_cont(zc, 0.99) ELSE quantile_cont(zc, 0.01) + 1 END, 6) AS high FROM cells GROUP BY well_id", "cells")
 def colour_limits(spark, sf):
     return V.limits(D.full_image(spark, sf), ["well_id"], "zc").select("well_id", six(F.col("low")).alias("low"), six(F.col("high")).alias("high"))

@@ -177,12 +177,13 @@ def bearing_unwrapped(spark, sf):
     return known.select("well_id", "depth_idx", F.round(S.lerp_angle("rb_deg"), 5).alias("rb_deg"))
 
 
-@query("waveforms_resampled", """+ t AS (SELECT receiver, side, unnest(range(1, 6)) * 13.0::DOUBLE AS depth FROM (SELECT DISTINCT receiver, side FROM waveforms))
+@query("waveforms_resampled", """+ t AS (SELECT receiver, side, unnest(range(ceil(min(depth) / 13)::BIGINT, floor(max(depth) / 13)::BIGINT + 1)) * 13.0::DOUBLE AS depth FROM waveforms GROUP BY receiver, side)
   SELECT t.receiver, t.side, t.depth, round(CASE WHEN b.depth IS NOT NULL AND a.depth IS NOT NULL THEN list_sum(list_transform(range(1, 65), lambda i: a.samples[i] + (CASE WHEN b.depth = a.depth THEN 0 ELSE (t.depth - a.depth) / (b.depth - a.depth) END) * (b.samples[i] - a.samples[i]))) END, 4) AS total
   FROM t ASOF LEFT JOIN waveforms a ON t.receiver = a.receiver AND t.side = a.side AND t.depth >= a.depth ASOF LEFT JOIN waveforms b ON t.receiver = b.receiver AND t.side = b.side AND t.depth <= b.depth""", "waveforms")
 def waveforms_resampled(spark, sf):
     rows = D.waveforms(spark, sf)
-    targets = rows.select("receiver", "side").distinct().select("*", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: k * F.lit(13.0))).alias("depth"))
+    ends = rows.groupBy("receiver", "side").agg(F.ceil(F.min("depth") / 13).alias("a"), F.floor(F.max("depth") / 13).alias("b")).filter("a <= b")
+    targets = ends.select("receiver", "side", F.explode(F.sequence("a", "b")).alias("k")).select("receiver", "side", (F.col("k") * 13.0).alias("depth"))
     known = S.bracketed(rows, targets, ["receiver", "side"], ["samples"])
     return known.select("receiver", "side", "depth", F.round(F.aggregate(S.lerp_array("samples"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 

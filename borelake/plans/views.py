@@ -5,7 +5,7 @@ from __future__ import annotations
 VIEWS = {
     "image_cells": "SELECT l_partkey % 4 AS well_id, l_partkey // 4 AS depth_idx, (l_partkey // 4) * 0.5::DOUBLE AS depth, CAST(l_orderkey % 12 AS INT) AS az_idx, MAX(l_quantity) / 5 AS zc FROM lineitem GROUP BY 1, 2, 3, 4",
     "cells": "SELECT s.well_id, s.depth_idx, s.depth_idx * 0.5::DOUBLE AS depth, s.az_idx, zc FROM (SELECT well_id, depth_idx, unnest(range(12))::INT AS az_idx FROM (SELECT well_id, unnest(range(max(depth_idx) + 1)) AS depth_idx FROM image_cells GROUP BY well_id)) s LEFT JOIN image_cells c USING (well_id, depth_idx, az_idx)",
-    "pose": "SELECT p_partkey % 4 AS well_id, p_partkey // 12 AS sample_idx, (p_partkey // 4) * 0.5::DOUBLE + 0.2::DOUBLE AS depth, p_size / 5.0::DOUBLE AS inc_deg, CAST((p_partkey * 7) % 360 AS DOUBLE) AS rb_deg FROM part WHERE (p_partkey // 4) % 3 = 0",
+    "pose": "SELECT p_partkey % 4 AS well_id, p_partkey // 4 AS sample_idx, (p_partkey // 4) * 0.5::DOUBLE + 0.2::DOUBLE AS depth, p_size / 5.0::DOUBLE AS inc_deg, CAST((p_partkey * 7 + p_size) % 360 AS DOUBLE) AS rb_deg FROM part",
     "waveforms": "SELECT 0::BIGINT AS well_id, vec_id // 16 AS xsi_idx, CAST((vec_id // 8) % 2 AS INT) + 1 AS receiver, CAST(vec_id % 8 AS INT) AS side, (vec_id // 16) * 8.0::DOUBLE + 0.1::DOUBLE * ((vec_id // 8) % 2) AS depth, embedding::DOUBLE[] AS samples FROM embeddings",
     "event_series": "SELECT user_id AS well_id, event_type AS series_id, event_id AS sample_idx, epoch_us(ts) / 1e6::DOUBLE AS depth, value FROM events",
     # gap-filled cells, padded edges, rolling baseline and the candidate rule

@@ -41,8 +41,10 @@ def on_spine(cells: DataFrame, sectors: int) -> DataFrame:
 
 def pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """well_id, sample_idx, depth, inc_deg, rb_deg."""
-    rows = table(spark, sf_dir, "part").filter("(p_partkey div 4) % 3 = 0")
-    return rows.selectExpr("p_partkey % 4 as well_id", "p_partkey div 12 as sample_idx", "(p_partkey div 4) * 0.5D + 0.2D as depth", "p_size / 5.0D as inc_deg", "cast((p_partkey * 7) % 360 as double) as rb_deg")
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey % 4 as well_id", "p_partkey div 4 as sample_idx", "(p_partkey div 4) * 0.5D + 0.2D as depth",
+        "p_size / 5.0D as inc_deg", "cast((p_partkey * 7 + p_size) % 360 as double) as rb_deg",
+    )
 
 
 def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
