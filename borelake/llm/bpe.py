@@ -4,46 +4,56 @@
 first there is one state for the start and for each byte, and every byte can
 follow every state.  The gadget of the merge ``u v -> w``
 
+* lets ``w`` lead to a copy of the state after ``v`` as it is at this time;
 * closes the arc ``v`` out of the state after ``u``: from here on ``u v`` is
   always read as ``w``;
-* opens an arc ``w`` out of each state that still has an arc ``u``;
-* lets ``w`` lead to a copy of the state after ``v`` as it is at this time.
+* opens an arc ``w`` out of each state that still has an arc ``u``.
 
 What one gadget closes, later copies inherit.  The result accepts exactly one
-token path for each byte string, and that path is its BPE encoding.  Written out
-in full it has a state for each token and up to V*V arcs (2.5e9 here), so arcs
-are kept as their gadgets (two parts and a time of birth for each token) and
-each arc that is asked for is resolved once and remembered in a table.  A word
-is encoded by walking arcs, longest label first; decoding emits arc labels.
+token path for each byte string, and that path is its BPE encoding.  It has a
+state for each token.  Tokens are numbered so that what a gadget closes, ``v`` and
+the later tokens that begin with it, is one interval of numbers; a state's row of
+the transition table is the list of its closed intervals, and every other arc is
+open by default.  All rows are compiled at once (under a million intervals for
+50,257 tokens) and sent to the workers.
+
+A word is read byte by byte through a second table: the trie of all labels, with
+the default arc of a node leading to its longest suffix.  After each byte, exactly
+one of the tokens that end there has an open arc from the state reached before it;
+it is the state reached now.  Nothing is tried twice and nothing is taken back, so
+the time grows with the word's length.  Decoding emits arc labels.
 
 Texts are split as byte-level tokenizers do.  A space that stands before a
 character that is no white space always begins a piece, so texts are cut there
-first, and the ids of each distinct chunk are remembered.
+first, and the ids of distinct chunks are computed once for many texts.
 
 Defined results: a null text counts as empty and has no ids; null ids decode to
 the empty text; rows with equal ids or texts are independent of each other;
-columns other than those named are ignored; very long words are walked in time
-proportional to their length.  Strings of added tokens become their ids.
+columns other than those named are ignored; a very long word is one walk.
+Strings of added tokens become their ids.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.buckets import sliced
+from borelake.llm.buckets import parted
 
 #: Pattern by which byte-level tokenizers split texts (a fixed value of the format).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks and arcs that a worker remembers; beyond it starts again with none, which changes no result.
-REMEMBERED = 150_000
+#: Chunks that a worker remembers; beyond it forgets those that were not used since, which changes no result.
+REMEMBERED = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,166 +70,291 @@ class MergeAutomaton:
         letters = byte_letters()
         size = max(vocab.values()) + 1
         self.labels: list[bytes] = [b""] * size
-        self.left, self.right, self.birth = [-1] * size, [-1] * size, [-1] * size
-        self.open = [False] * size  # whether the start has the arc
-        self.merged: dict[int, int] = {}  # time at which a gadget closed an arc, by state and arc
-        self.table: dict[int, bool] = {}
         for name, t in vocab.items():
             self.labels[t] = bytes(letters[c] for c in name)
-            self.open[t] = len(self.labels[t]) == 1
-        for time, (u, v) in enumerate(merges):
-            self._gadget(vocab[u], vocab[v], vocab[u + v], time)
-        self.token = {label: t for t, label in enumerate(self.labels) if label and self.open[t]}
-        self.longest: dict[bytes, int] = {}
-        for label in self.token:
-            self.longest[label[:2]] = max(self.longest.get(label[:2], 0), len(label))
-
-    def _gadget(self, u: int, v: int, w: int, time: int) -> None:
-        if self.birth[w] >= 0:
-            raise ValueError(f"token {w} is made by two merges")
-        live = self.open[u] and self.open[v] and self._has(u, v)
-        self.merged[u << 32 | v] = time
-        self.left[w], self.right[w], self.birth[w], self.open[w] = u, v, time, live
-
-    def _has(self, state: int, arc: int) -> bool:
-        """Whether ``arc`` leaves the state after token ``state``, with the gadgets so far."""
-        until = len(self.birth) + 1
-        birth, closed = self.birth, self.merged
-        while True:
-            time = closed.get(state << 32 | arc)
-            if time is not None and time < until:
-                return False
-            if birth[state] > birth[arc]:  # a copy of the state after its right part, made at its birth
-                until = birth[state]
-                state = self.right[state]
-            elif birth[arc] < 0:
-                return True
-            else:  # opened where its left part was open at its birth
-                until = birth[arc] + 1
-                arc = self.left[arc]
+        self._gadgets([(vocab[u], vocab[v], vocab[u + v]) for u, v in merges])
+        if len({x for x in self.token if len(x) == 1}) < 256:
+            raise ValueError("a byte has no token")
+        self._trie()
+
+    def _gadgets(self, merges: list[tuple[int, int, int]]) -> None:
+        """Add the gadgets in order, and write the rows of the transition table."""
+        size = len(self.labels)
+        birth, begun = [-1] * size, [[] for _ in range(size)]
+        for time, (u, _, w) in enumerate(merges):
+            if birth[w] >= 0:
+                raise ValueError(f"token {w} is made by two merges")
+            birth[w] = time
+            begun[u].append(w)
+        first, place = self._places(birth, begun)
+        live = [bool(x) and b < 0 for x, b in zip(self.labels, birth, strict=True)]
+        rows: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        for time, (u, v, w) in enumerate(merges):
+            live[w] = live[u] and live[v] and not any(a <= place[v] < b for a, b in rows[u])
+            rows[w] = list(rows[v])
+            # v, and of what begins with v, what this gadget or a later one makes
+            rows[u].append((next((first[x] for x in begun[v] if birth[x] >= time), place[v]), place[v] + 1))
+        self.place, self.size = place, [len(x) for x in self.labels]
+        self.token = {x: t for t, x in enumerate(self.labels) if live[t]}
+        #: Rows as ascending ends of closed intervals; row t is ends[row[t]:row[t + 1]].
+        self.ends, self.row = array("i"), array("i", [0])
+        for row in rows:
+            reach = -1
+            for a, b in sorted(row):
+                if a > reach:
+                    self.ends.extend((a, b))
+                elif b > reach:
+                    self.ends[-1] = b
+                reach = max(reach, b)
+            self.row.append(len(self.ends))
+
+    @staticmethod
+    def _places(birth: list[int], begun: list[list[int]]) -> tuple[list[int], list[int]]:
+        """Numbers such that a token follows all that begin with it, those in order of birth; and the first number below each token."""
+        first, place, n = [0] * len(birth), [0] * len(birth), 0
+        for root in (t for t, b in enumerate(birth) if b < 0):
+            stack = [(root, False)]
+            while stack:
+                t, done = stack.pop()
+                if done:
+                    place[t] = n
+                    n += 1
+                else:
+                    first[t] = n
+                    stack.append((t, True))
+                    stack += [(x, False) for x in reversed(begun[t])]
+        return first, place
+
+    def _trie(self) -> None:
+        """Nodes of all beginnings of labels; of each its arcs, its longest suffix, and the longest token that ends in it."""
+        self.arc: dict[int, int] = {}
+        self.suffix, self.here, self.length = array("i", [0]), array("i", [-1]), array("i", [0])
+        level = [(x, t, 0) for x, t in self.token.items()]
+        depth = 0
+        while level:  # all labels advance by one byte
+            depth += 1
+            more = []
+            for label, t, node in level:
+                key = node << 8 | label[depth - 1]
+                to = self.arc.get(key)
+                if to is None:
+                    to = self.arc[key] = len(self.suffix)
+                    self.suffix.append(0 if depth == 1 else self._next(self.suffix[node], label[depth - 1]))
+                    self.here.append(-1)
+                    self.length.append(0)
+                if len(label) == depth:
+                    self.here[to], self.length[to] = t, depth
+                else:
+                    more.append((label, t, to))
+            level = more
+        # nodes are in order of depth, so a suffix is known before what ends in it
+        self.token_node, self.shorter = array("i", [0]), array("i", [0])
+        for node in range(1, len(self.suffix)):
+            self.token_node.append(node if self.here[node] >= 0 else self.token_node[self.suffix[node]])
+            self.shorter.append(self.token_node[self.suffix[node]])
+
+    def _next(self, node: int, byte: int) -> int:
+        to = self.arc.get(node << 8 | byte)
+        while to is None:
+            node = self.suffix[node]
+            to = self.arc.get(node << 8 | byte)
+        return to
 
     def walk(self, word: bytes) -> list[int]:
         """The tokens of a word: the one path from the start whose labels spell it."""
         whole = self.token.get(word)
         if whole is not None:
             return [whole]
-        token, table, longest, size = self.token, self.table, self.longest, len(word)
-        path: list[int] = []
-        dead: set[int] = set()
-        at, length = 0, min(size, longest.get(word[:2], 1))
-        while at < size:
-            state = path[-1] if path else -1
-            while length:
-                t = token.get(word[at : at + length])
-                if t is not None and at + length not in dead:
-                    if state < 0:
-                        break
-                    arc = state << 32 | t
-                    has = table.get(arc)
-                    if has is None:
-                        if len(table) > REMEMBERED:
-                            table.clear()
-                        has = table[arc] = self._has(state, t)
-                    if has:
-                        break
-                length -= 1
-            if length:
-                path.append(t)
-                at += length
-                length = min(size - at, max(1, longest.get(word[at : at + 2], 1)))
-            else:  # no path goes on from here; only one path leads here
-                if not path:
-                    raise ValueError("a byte has no token")
-                dead.add(at)
-                length = len(self.labels[path.pop()])
-                at -= length
-                length -= 1
-        return path
-
-
-_MARKS = ".,;:!?"
-
-
-def _lines(chunk: str) -> list[str] | None:
-    """What stands before and after the chunk's one line end, if neither has white space there; the line end is then a piece of its own."""
-    lines = chunk.split("\n")
-    return lines if len(lines) == 2 and all(lines) and not lines[0][-1].isspace() and not lines[1][0].isspace() else None
-
-
-class Irregular(Exception):
-    """A chunk that can't be encoded apart from the others."""
-
-
-class Chunks(dict):
-    """Ids of chunks, as bytes; ``ids`` computes those of one. A chunk is what follows one space.
-
-    When it is full it becomes the older half, from which what is used again is taken over.
-    """
-
-    def __init__(self, ids, lead: str, size: int):
-        self.ids, self.lead, self.size, self.older = ids, lead, size, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        if self.lead and (not chunk or chunk[0].isspace()):
-            raise Irregular
-        found = self.older.get(chunk)
-        return self.keep(chunk, self.ids(self.lead + chunk) if found is None else found)
-
-    def keep(self, chunk: str, found: bytes) -> bytes:
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = found
-        return found
+        states, nodes = [-1], [0]
+        self._read(word, states, nodes)
+        return self._path(states)
+
+    def walks(self, words: list[bytes], most: int = 24) -> Iterator[tuple[bytes, bytes]]:
+        """Each word and its tokens' ids as little-endian unsigned 32-bit integers. Words are read in order, so that what two neighbours begin with is read once."""
+        token, states, nodes, before = self.token, [-1], [0], b""
+        rest = []
+        for word in words:
+            whole = token.get(word)
+            if whole is None:
+                rest.append(word)
+            else:
+                yield word, whole.to_bytes(4, "little")
+        if not rest:
+            return
+        rest.sort()
+        heads = np.array([w[:most].ljust(most, b"\xff") for w in rest], f"S{most}").view(np.uint8).reshape(-1, most)
+        same = np.logical_and.accumulate(heads[1:] == heads[:-1], axis=1).sum(axis=1).tolist()
+        for word, k in zip(rest, [0, *same], strict=True):
+            k = min(k, len(word), len(before))
+            del states[k + 1 :], nodes[k + 1 :]
+            self._read(word, states, nodes)
+            before = word
+            yield word, array("I", self._path(states)).tobytes()
+
+    def _read(self, word: bytes, states: list[int], nodes: list[int]) -> None:
+        """Read on from what ``states`` (the token that ends after each byte) and ``nodes`` know of the word."""
+        arc, suffix, here, length, place, ends, row = self.arc.get, self.suffix, self.here, self.length, self.place, self.ends, self.row
+        token_node, shorter = self.token_node, self.shorter
+        at = len(states) - 1
+        node = nodes[at]
+        for byte in word[at:] if at else word:
+            at += 1
+            to = arc(node << 8 | byte)
+            while to is None:
+                node = suffix[node]
+                to = arc(node << 8 | byte)
+            node = to
+            k = token_node[node]
+            while True:
+                t = here[k]
+                state = states[at - length[k]]
+                if state < 0:
+                    break
+                low = row[state]
+                if not bisect_right(ends, place[t], low, row[state + 1]) - low & 1:
+                    break
+                k = shorter[k]
+            states.append(t)
+            nodes.append(node)
+
+    def _path(self, states: list[int]) -> list[int]:
+        path, size, at = [], self.size, len(states) - 1
+        while at:
+            t = states[at]
+            path.append(t)
+            at -= size[t]
+        return path[::-1]
+
+
+#: Marks that are a piece of their own after letters (fixed values: ASCII marks without the apostrophe).
+_MARKS = ".,;:!?#*&%$@+-=_/|()[]{}<>\"~^`\\"
+
+
+def _pieces(chunk: str) -> list[str] | None:
+    """What a chunk can be put together from: letters, marks after them, and the same after one line end. None if it is no such chunk."""
+    stem = chunk.rstrip(_MARKS)
+    if stem.isalpha():
+        return [stem, chunk[len(stem) :]] if len(stem) < len(chunk) else [stem]
+    parts = chunk.split("\n")
+    if len(parts) != 2 or not all(parts):
+        return None
+    out = []
+    for part in parts:
+        stem = part.rstrip(_MARKS)
+        if not stem.isalpha():
+            return None
+        out += [stem, part[len(stem) :]] if len(stem) < len(part) else [stem]
+        out.append("\n")
+    return out[:-1]
 
 
 class ChunkedEncoder:
-    """Encodes texts chunk by chunk. ``ids``: a text's ids as little-endian unsigned 32-bit integers; ``many``: those of a list of texts."""
-
-    def __init__(self, ids, added: list[str], many=None, size: int = REMEMBERED):
-        self.ids, self.added, self.many = ids, added, many
-        self.first, self.next = Chunks(ids, "", size), Chunks(ids, " ", size)
-
-    def encode(self, text: str, parts: list[str] | None = None) -> bytes:
-        if any(a in text for a in self.added):
-            return self.ids(text)
-        head, *rest = parts or text.split(" ")
-        try:
-            return b"".join([self.first[head] if head else b"", *map(self.next.__getitem__, rest)])
-        except Irregular:
-            return self.ids(text)
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; chunks that are new are encoded together."""
-        for at in range(0, len(texts), 500):
-            own = [(text, text.split(" ")) for text in texts[at : at + 500]]
-            if self.many:
-                self._learn(set().union(*(parts for _, parts in own)))
-            for text, parts in own:
-                yield self.encode(text, parts)
-
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode what is new together. A chunk is put together from its lines, and those of letters and a mark from these two."""
-        new = [c for c in chunks.difference(self.next).difference(self.next.older) if c and not c[0].isspace() and not any(a in c for a in self.added)]
-        lined = {c: lines for c in new if "\n" in c and (lines := _lines(c))}
-        heads = {lines[1] for lines in lined.values()}.difference(self.first)
-        for chunk, found in zip(heads, self.many(list(heads)), strict=True):
-            self.first.keep(chunk, found)
-        whole = set(new).difference(lined).union(lines[0] for lines in lined.values())
-        joined = [c for c in whole if c[-1] in _MARKS and c[:-1].isalpha()]
-        stems = whole.difference(joined).union(c[:-1] for c in joined)
-        stems = list(stems.difference(self.next).difference(self.next.older))
-        for chunk, found in zip(stems, self.many([" " + c for c in stems]), strict=True):
-            self.next.keep(chunk, found)
-        for chunk in joined:
-            self.next.keep(chunk, self.next[chunk[:-1]] + self.first[chunk[-1]])
-        for chunk, lines in lined.items():
-            self.next.keep(chunk, self.next[lines[0]] + self.first["\n"] + self.first[lines[1]])
+    """Encodes texts chunk by chunk; a chunk is what follows one space, or stands at the beginning.
+
+    ``many``: the ids of each text of a list, as little-endian unsigned 32-bit
+    integers; ``words``: the same of words of letters alone, with a space before
+    each; ``added``: strings that no chunk may be cut in.  Chunks that a part
+    of the texts has are found by dictionary encoding, and those that are new are
+    learned together.  When ``size`` chunks are known they become the older half,
+    from which what is used again is taken over.
+    """
+
+    def __init__(self, many: Callable[[list[str]], list[bytes]], words: Callable[[list[str]], list[bytes]], added: list[str], size: int = REMEMBERED):
+        self.many, self.words, self.added, self.size = many, words, added, size
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where those of each text end. A null text has none."""
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(texts, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        found, odd = self._followers(words)
+        first, place = np.unique(codes[at[:-1]], return_inverse=True)
+        codes[at[:-1]] = len(words) + place
+        found += self._heads([words[k] for k in first.tolist()])
+        # texts that can't be cut at their spaces are encoded whole
+        whole = np.zeros(len(texts), bool)
+        if odd:
+            whole[np.searchsorted(at, np.flatnonzero(np.isin(codes, odd)), side="right") - 1] = True
+        for mark in self.added:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        alone = np.flatnonzero(whole)
+        codes[at[:-1][alone]] = len(found) + np.arange(len(alone))
+        found += self.many([texts[k].as_py() for k in alone.tolist()])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        counts = sizes[codes]
+        if len(alone):
+            rest = np.repeat(whole, np.diff(at))
+            rest[at[:-1]] = False
+            counts[rest] = 0
+        ends = np.cumsum(counts)
+        starts = np.cumsum(sizes) - sizes
+        source = np.repeat(starts[codes] - (ends - counts), counts)
+        source += np.arange(len(source))
+        return np.frombuffer(b"".join(found), "<u4")[source], ends[at[1:] - 1]
+
+    def _heads(self, words: list[str]) -> list[bytes]:
+        new = [w for w in words if w not in self.heads]
+        if new:
+            if len(self.heads) > self.size:
+                self.heads = {}
+                new = words
+            self.heads.update(zip(new, self.many(new), strict=True))
+        return [self.heads[w] for w in words]
+
+    def _followers(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of chunks with the space before them, and the places of those that can't be encoded by themselves."""
+        if len(self.known) > self.size:
+            self.known, self.older = {}, self.known
+        get = self.known.get
+        found = [get(w) for w in words]
+        missing = [k for k, x in enumerate(found) if x is None]
+        older, new, odd = self.older.get, [], []
+        for k in missing:
+            word = words[k]
+            x = older(word)
+            if x is not None:
+                found[k] = self.known[word] = x
+            elif not word or word[0].isspace() or self.added and any(a in word for a in self.added):
+                found[k] = b""
+                odd.append(k)
+            else:
+                new.append(k)
+        for k, x in zip(new, self._learned([words[k] for k in new]), strict=True):
+            found[k] = self.known[words[k]] = x
+        return found, odd
+
+    def _learned(self, words: list[str]) -> list[bytes]:
+        """Ids of new chunks: letters by themselves, others put together from what is known or learned now, the rest as texts."""
+        known, older, heads = self.known, self.older, self.heads
+        if len(heads) > self.size:
+            heads.clear()
+        plain = {w for w in words if w.isalpha()}
+        made = {w: _pieces(w) for w in words if w not in plain}
+        composed = [p for p in made.values() if p]
+        plain.update(s for p in composed if (s := p[0]) not in known and s not in older)
+        stems = list(plain)
+        new = dict(zip(stems, self.words(stems), strict=True))
+        parts = list({x for p in composed for x in p[1:] if x not in heads})
+        heads.update(zip(parts, self.many(parts), strict=True))
+        odd = [w for w, p in made.items() if not p]
+        new.update(zip(odd, self.many([" " + w for w in odd]), strict=True))
+        known.update(new)
+        for w, p in made.items():
+            if p:
+                stem = p[0]
+                new[w] = (known[stem] if stem in known else older[stem]) + b"".join([heads[x] for x in p[1:]])
+        return [new[w] for w in words]
 
 
 class Bpe:
-    """A tokenizer file, as automaton: encodes texts to ids, and decodes ids."""
+    """A tokenizer file, as automaton: encodes texts to ids."""
 
     def __init__(self, source: str):
         said = json.loads(source)
@@ -233,7 +368,14 @@ class Bpe:
             raise ValueError("added tokens with options")
         self.piece = regex.compile(PIECE)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.chunks = ChunkedEncoder(self._ids, list(self.added))
+        self.chunks = ChunkedEncoder(self._many, self._words, list(self.added))
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        return [self._ids(t) for t in texts]
+
+    def _words(self, stems: list[str]) -> list[bytes]:
+        found = dict(self.automaton.walks([b" " + s.encode() for s in stems]))
+        return [found[b" " + s.encode()] for s in stems]
 
     def _ids(self, text: str) -> bytes:
         found: list[int] = []
@@ -243,10 +385,10 @@ class Bpe:
             else:
                 for piece in self.piece.findall(part):
                     found += self.automaton.walk(piece.encode("utf-8"))
-        return np.array(found, "<u4").tobytes()
+        return array("I", found).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        return self.chunks.encode(text) if text else b""
+        return self.chunks.encode(pa.array([text], pa.string()))[0].tobytes()
 
 
 class Labels:
@@ -254,52 +396,45 @@ class Labels:
 
     def __init__(self, source: str):
         said, letters = json.loads(source), byte_letters()
-        self.labels = {t: bytes(letters[c] for c in name) for name, t in said["model"]["vocab"].items()}
-        self.labels |= {a["id"]: a["content"].encode() for a in said.get("added_tokens", [])}
+        labels = {t: bytes(letters[c] for c in name) for name, t in said["model"]["vocab"].items()}
+        labels |= {a["id"]: a["content"].encode() for a in said.get("added_tokens", [])}
+        self.labels = [labels.get(t, b"") for t in range(max(labels) + 1)]
 
     def decode(self, ids: bytes | None) -> str:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
 
 
-_made: dict[tuple[type, str], Bpe | Labels] = {}
-
-
-def loaded(kind: type, source: str) -> Bpe | Labels:
-    """``kind`` made of a tokenizer file's contents, once in a worker."""
-    if (kind, source) not in _made:
-        _made.clear()
-        _made[kind, source] = kind(source)
-    return _made[kind, source]
-
-
 def tokenizer_source(path: str) -> str:
     """Contents of a tokenizer file (a vocabulary, so bounded), to be broadcast."""
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
-def _appended(df: DataFrame, column: str, kind: T.DataType, made_of: type, f, source: str) -> DataFrame:
-    """``df`` with ``column`` = f(made_of(source), batch), in place of any column so named."""
+def lists_of(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids of each text as binary."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(4 * np.concatenate(([0], ends))), pa.py_buffer(ids)]).cast(pa.binary())
+
+
+def _appended(df: DataFrame, column: str, kind: T.DataType, maker: Bpe | Labels, of: str, f) -> DataFrame:
+    """``df`` with ``column`` = f(maker, column ``of`` of a part of the rows), in place of any column so named."""
     df = df.drop(column)
-    sent = df.sparkSession.sparkContext.broadcast(source)
-    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
+    sent = df.sparkSession.sparkContext.broadcast(maker)  # a worker opens it once, and so keeps what its encoder has learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = loaded(made_of, sent.value)
-        for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f(maker, batch), arrow)], [*batch.schema.names, column])
+        for batch in parted(batches, of):
+            yield pa.RecordBatch.from_arrays([*batch.columns, f(sent.value, batch.column(of))], [*batch.schema.names, column])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, kind)]))
 
 
 def encode(df: DataFrame, source: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with its texts' ids in ``ids``: little-endian unsigned 32-bit integers."""
-    return _appended(df, ids, T.BinaryType(), Bpe, lambda bpe, b: [bpe.encode(x.as_py()) for x in b.column(text)], source)
+    return _appended(df, ids, T.BinaryType(), Bpe(source), text, lambda bpe, texts: lists_of(*bpe.chunks.encode(texts)))
 
 
 def decode(df: DataFrame, source: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the texts that ``ids`` spell in ``text``."""
-    return _appended(df, text, T.StringType(), Labels, lambda made, b: [made.decode(x.as_py()) for x in b.column(ids)], source)
+    return _appended(df, text, T.StringType(), Labels(source), ids, lambda made, own: pa.array([made.decode(x.as_py()) for x in own], pa.string()))
 
 
 def tokens_and_digests(docs: DataFrame, source: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +85,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
+def parted(batches: Iterator[pa.RecordBatch], text: str, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about ``size`` bytes of the column ``text``, a row at least."""
+    for batch in batches:
+        bytes_ = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = (np.cumsum(bytes_) - bytes_) // size
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def array_of(column: pa.ChunkedArray) -> np.ndarray:
     if pa.types.is_list(column.type):
         flat = column.combine_chunks()

@@ -24,6 +24,7 @@ BLOCK ids makes a longer block.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borelake.llm.bpe import ChunkedEncoder, byte_letters, tokenizer_source
+from borelake.llm.buckets import parted
 from borelake.shared import new_folder
 
 #: Ids in a word, by selector (fixed values of the format).
@@ -153,8 +155,6 @@ _encoders: dict[str, ChunkedEncoder] = {}
 def library_encoder(source: str) -> ChunkedEncoder:
     """Encodes with the tokenizers library; a worker makes it once."""
     if source not in _encoders:
-        import json
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         from tokenizers import Tokenizer
 
@@ -162,21 +162,21 @@ def library_encoder(source: str) -> ChunkedEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         added = [a["content"] for a in json.loads(source).get("added_tokens", [])]
-        _encoders.clear()
-
         letters = {b: c for c, b in byte_letters().items()}
         model = tokenizer.model.tokenize
 
         def many(texts: list[str]) -> list[bytes]:
-            """Letters after a space or alone are one piece, so the library's model takes them as they are; it splits the rest."""
-            rest = [t for t in texts if not t.removeprefix(" ").isalpha()]
-            found = {t: array("I", e.ids).tobytes() for t, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
-            for t in texts:
-                if t not in found:
-                    found[t] = array("I", [x.id for x in model(t.encode().decode("latin-1").translate(letters))]).tobytes()
-            return [found[t] for t in texts]
-
-        _encoders[source] = ChunkedEncoder(lambda text: many([text])[0], added, many, REMEMBERED)
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def words(stems: list[str]) -> list[bytes]:
+            """Letters after a space are one piece, so the library's model takes them as they are, in the letters that stand for bytes."""
+            if not stems:
+                return []
+            spelled = (" " + "\n ".join(stems)).encode().decode("latin-1").translate(letters).split(letters[10])
+            return [array("I", [x.id for x in model(w)]).tobytes() for w in spelled]
+
+        _encoders.clear()
+        _encoders[source] = ChunkedEncoder(many, words, added, REMEMBERED)
     return _encoders[source]
 
 
@@ -198,30 +198,39 @@ def write(docs: DataFrame, path: str, source: str, end_id: int | None = 2, block
     block, so a task holds one block.
     """
     sent = docs.sparkSession.sparkContext.broadcast(source)
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = library_encoder(sent.value), TaskContext.get().partitionId()
-        number, first, names, parts = 0, 0, [], []
+        number, first, held = 0, 0, 0
+        names: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
 
         def closed() -> pa.RecordBatch:
-            nonlocal number, first, names, parts
-            sizes = [len(p) // 4 for p in parts]
-            words, groups = pack(np.frombuffer(b"".join(parts), "<u4"))
-            row = [[shard], [number], [first], [sum(sizes)], [names], [sizes], [groups], [words.astype("<u8").tobytes()]]
-            number, first, names, parts = number + 1, first + sum(sizes), [], []
+            nonlocal number, first, held
+            words, groups = pack(np.concatenate(parts))
+            row = [[shard], [number], [first], [held], [pa.concat_arrays(names)], [np.concatenate(sizes)], [groups], [words.astype("<u8").tobytes()]]
+            number, first, held = number + 1, first + held, 0
+            for x in (names, sizes, parts):
+                x.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
-        held = 0
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts), strict=True):
-                names.append(name)
-                parts.append(ids + tail)
-                held += len(parts[-1]) // 4
+        for batch in parted(batches, "text"):
+            ids, ends = encoder.encode(batch.column("text"))
+            if end_id is not None:
+                ids = np.insert(ids, ends, end_id)
+                ends = ends + np.arange(1, len(ends) + 1)
+            begin = 0
+            while begin < len(ends):  # up to the document with which the block is full
+                before = int(ends[begin - 1]) if begin else 0
+                stop = min(int(np.searchsorted(ends, before + block - held)), len(ends) - 1) + 1
+                names.append(batch.column("doc_id").slice(begin, stop - begin))
+                sizes.append(np.diff(ends[begin:stop], prepend=before))
+                parts.append(ids[before : int(ends[stop - 1])])
+                held += int(ends[stop - 1]) - before
+                begin = stop
                 if held >= block:
                     yield closed()
-                    held = 0
         if names:
             yield closed()
 
