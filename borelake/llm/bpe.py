@@ -53,7 +53,9 @@ from borelake.llm.buckets import parted
 #: Pattern by which byte-level tokenizers split texts (a fixed value of the format).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that a worker remembers; beyond it forgets those that were not used since, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Bytes of texts or ids in a part, beside another worker on the same core.
+PART = 4 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -421,7 +423,7 @@ def _appended(df: DataFrame, column: str, kind: T.DataType, maker: Bpe | Labels,
     sent = df.sparkSession.sparkContext.broadcast(maker)  # a worker opens it once, and so keeps what its encoder has learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parted(batches, of):
+        for batch in parted(batches, of, PART):
             yield pa.RecordBatch.from_arrays([*batch.columns, f(sent.value, batch.column(of))], [*batch.schema.names, column])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, kind)]))

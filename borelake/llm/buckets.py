@@ -85,7 +85,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
-def parted(batches: Iterator[pa.RecordBatch], text: str, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def parted(batches: Iterator[pa.RecordBatch], text: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches in parts of about ``size`` bytes of the column ``text``, a row at least."""
     for batch in batches:
         bytes_ = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
