@@ -5,7 +5,7 @@ import re
 import pytest
 
 from borelake.llm import pages
-from borelake.llm.pages import Host, Page, main_text
+from borelake.llm.pages import Host, Page, Wrapper
 
 
 def plain(source):
@@ -41,10 +41,23 @@ def test_articles(spark):
     assert {r["host"]: r["pages"] for r in pages.wrappers(df).collect()} == {"h0.org": 32, "h1.org": 30, "h2.org": 30, "": 2, "z.org": 2, "deep.org": 1, "long.org": 1}
 
 
+def host_of(sources, split=1):
+    hosts = [Host() for _ in range(split)]
+    for k, s in enumerate(sources):
+        hosts[k % split].add(Page(s))
+    whole = Host()
+    for h in hosts:
+        whole.merge(Host.load(h.dump()))
+    return Host.load(whole.dump())
+
+
+def read(sources, split=1):
+    wrapper = Wrapper(host_of(sources, split))
+    return [wrapper.text(s) for s in sources]
+
+
 def test_wrapper_has_optional_and_repeated_parts():
-    host = Host()
-    for source in ("<div><h1>A</h1><p>1</p><p>2</p></div>", "<div><h1>B</h1><p>1</p><hr><section>s</section></div>", "<div><h1>C</h1><p>1</p><p>9</p><p>3</p></div>"):
-        host.add(Page(source))
+    host = host_of(["<div><h1>A</h1><p>1</p><p>2</p></div>", "<div><h1>B</h1><p>1</p><hr><section>s</section></div>", "<div><h1>C</h1><p>1</p><p>9</p><p>3</p></div>"])
     assert host.root.expression() == "<page><div><h1>TEXT</> (<p>TEXT</>)+ (<section>TEXT</>)?</></>"
     grouped = Page("<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>").root
     assert grouped.expression() == "<page><dl>(<dt>TEXT</> <dd>TEXT</>)+</></>"
@@ -53,41 +66,60 @@ def test_wrapper_has_optional_and_repeated_parts():
 @pytest.mark.parametrize("split", [1, 4])
 def test_template_text_without_an_article(split):
     """What all pages of a host say is template; order and division of pages don't matter."""
-    sources = [f"<body><div class=top>Same words</div><div class=x>Own {k}</div><ul class=l><li><a href=1>link {k}</a></li></ul></body>" for k in range(10)]
-    hosts = [Host() for _ in range(split)]
-    for k, s in enumerate(sources):
-        hosts[k % split].add(Page(s))
-    whole = Host()
-    for h in hosts:
-        whole.merge(Host.load(h.dump()))
-    assert [main_text(Page(s), whole.template()) for s in sources] == [f"Own {k}" for k in range(10)]
-    few = Host()
-    few.add(Page(sources[0]))
-    assert main_text(Page(sources[0]), few.template()) == "Same words\nOwn 0"
+    sources = [f"<body><div class=top>Same words</div><div class=x>Own {k} and more words than the top has</div><ul class=l><li><a href=1>link {k}</a></li></ul></body>" for k in range(10)]
+    assert read(sources, split) == [f"Own {k} and more words than the top has" for k in range(10)]
+    assert read(sources[:1]) == ["Same words\nOwn 0 and more words than the top has"]
+
+
+def test_slots_come_from_the_alignment(monkeypatch):
+    """Blocks of equal tag path are told apart by their place in the wrapper, with optional blocks between; without alignment the template stays."""
+    story = "a story of its own with quite a few words"
+    extra = ("<h3>Now</h3>", "<pre>code</pre>", "<blockquote>So</blockquote>", "<h4>Then</h4>")
+    rest = ["".join(x for j, x in enumerate(extra) if k >> j & 1) for k in range(16)]  # no two pages have one form
+    sources = [f"<body><div>Same words</div>{rest[k]}<h2>Title {k}</h2><div>{story} {k}</div><table><tr><td>z</table><div>Read on</div></body>" for k in range(16)]
+    got = read(sources, 3)
+    assert not any("Same words" in g or "Read on" in g for g in got)
+    assert all(g.endswith(f"Title {k}\n{story} {k}") for k, g in enumerate(got))
+    monkeypatch.setattr(pages, "aligned", lambda a, b: a)
+    assert all(g.startswith("Same words") for g in read(sources))
+
+
+def test_names_of_containers_decide_nothing():
+    for name in ("has-sidebar", "nav-open", "no-sidebar", "with-comments", "sidebar"):
+        assert read([f'<body class="{name}"><div class="menu"><a href=1>menu</a></div><article><h1>T</h1><p>text</p></article></body>']) == ["T\ntext"]
+    assert read(['<div class="comments-wrapper"><p>all the text there is</p></div>']) == ["all the text there is"]
+    inside = '<article><h1>T</h1><p class="notice">a notice that is prose</p><div class="share"><p>Shared</p></div><div class="ad">Buy</div><p>text of the article, long enough</p><section id="comments"><p>First!</p></section></article>'
+    assert read([inside]) == ["T\na notice that is prose\nShared\ntext of the article, long enough"]
+    assert read(['<div class="ad">Buy it</div><div><p>a page without an article but with text</p></div><div class="site-footer">Us</div>']) == ["a page without an article but with text"]
 
 
 def test_text_of_an_article_is_never_the_same():
-    """Copies of an article that differ in an advert keep its text."""
-    sources = [f"<body><p>Offer {k}</p><article><p>The story</p></article></body>" for k in range(12)]
-    host = Host()
-    for s in sources:
-        host.add(Page(s))
-    assert {main_text(Page(s), host.template()) for s in sources} == {"The story"}
+    """Copies of an article that differ in an advert keep its text, in an article or not."""
+    assert set(read([f"<body><p>Offer {k}</p><article><p>The story</p></article></body>" for k in range(12)])) == {"The story"}
+    assert set(read([f"<body><section>Offer {k}</section><p>The story that is told</p></body>" for k in range(8)])) == {f"Offer {k}\nThe story that is told" for k in range(8)}
+    assert read(["<body><div>One page</div><h2>a</h2></body>"] * 20) == ["One page\na"] * 20
 
 
 def test_pages_without_text_or_path_keep_the_template():
-    sources = [f"<body><div class=top>Same words</div><div class=x>Own {k}</div></body>" for k in range(20)]
-    host = Host()
-    for s in [*sources, None, "", "<p>broken"]:
-        host.add(Page(s))
-    host = Host.load(host.dump())
-    assert [main_text(Page(s), host.template()) for s in sources] == [f"Own {k}" for k in range(20)]
-
-
-def test_marks_and_ends_of_deep_blocks():
-    deep = pages.DEPTH + 5
-    assert main_text(Page("<div>" * deep + "<nav>menu</nav><article><p>Story</p></article>x" + "</div>" * deep), {}) == "Story"
-    assert main_text(Page("<article>" + "<div>" * deep + "a" + "</div>" * deep + "<p>b</p></article>c"), {}) == "a\nb"
-    nested = "<article><div>" + "<section>" * deep + "<div>in</div>" * 3 + "</section>" * deep + "</div>after</article>out"
-    assert main_text(Page(nested), {}) == "in\nin\nin\nafter"
-    assert main_text(Page("<aside>" + "<div>" * deep + "<aside>x</aside>y" + "</div>" * deep + "z</aside>told"), {}) == "told"
+    sources = [f"<body><div class=top>Same words</div><div class=x>Own {k} with some more words</div></body>" for k in range(20)]
+    assert read([*sources, None, "", "<p>broken"]) == [*(f"Own {k} with some more words" for k in range(20)), "", "", "broken"]
+
+
+@pytest.mark.parametrize("deep", [70, pages.LEVELS + 5, 5000])
+def test_marks_and_ends_of_deep_blocks(deep):
+    assert read(["<div>" * deep + "<nav>menu</nav><p>text</p>" + "</div>" * deep]) == ["text"]
+    assert read(["<div>" * deep + "<nav>menu</nav><article><p>Story</p></article>x" + "</div>" * deep]) == ["Story"]
+    assert read(["<article>" + "<div>" * deep + "a" + "</div>" * deep + "<p>b</p></article>c"]) == ["a\nb"]
+    nested = "<article><div>" + "<section><div>" * deep + "<div>in</div>" * 3 + "</div></section>" * deep + "</div>after</article>out"
+    assert read([nested] * 2) == ["in\nin\nin\nafter"] * 2
+    assert read(["<aside>" + "<div>" * deep + "<aside>x</aside>y" + "</div>" * deep + "z</aside>told"]) == ["told"]
+
+
+def test_common_host(spark):
+    """A host of most pages, in many partitions, has one wrapper; all its pages are read with it."""
+    rows = [(k, "http://big.org/" if k % 9 else f"http://h{k}.org/", f"<body><div>Same words</div><h2>T{k}</h2><div>Own {k} and some more words</div></body>") for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(30)
+    got = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    assert got == {k: f"{'' if k % 9 else 'Same words' + chr(10)}T{k}\nOwn {k} and some more words" for k in range(400)}
+    found = {r["host"]: r for r in pages.wrappers(df).collect()}
+    assert found["big.org"]["pages"] == 355 and found["big.org"]["n_template"] == 1
