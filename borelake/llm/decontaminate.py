@@ -1,8 +1,11 @@
 """Benchmark decontamination.
 
 The windows of ``n`` consecutive words of all benchmark items form a hash set
-that is broadcast; document words are scanned once, in the partitions in which
-they are read, and every window found is an exact match of all its words.
+that is broadcast: a sorted array of 64-bit hashes, one for each different window,
+with the place of its words and the items that have it.  Document words are
+scanned once, in the partitions in which they are read; hashes of all their windows
+are sums over the words, a table of bits leaves out nearly all, and what the set
+has is compared word by word, so every hit is exact.
 
 Words: A-Z are lower-cased, then each run of characters outside
 ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` is a word.  An item of fewer than ``n``
@@ -15,9 +18,12 @@ Defined results
     repeated rows, repeated ids   each row is judged alone, ids count once
     empty documents or items      no rows, or rows without hits
     further columns               ignored by ``scan``; kept by ``decontaminate``
-The broadcast holds at most ``block_chars`` characters of items.  A larger
-benchmark is split into blocks by hash; each block scans all documents, and the
-hits are united, so results don't depend on the size.
+
+Memory: a set of b bytes of items takes at most about ``SET_BYTES_PER_BYTE`` * b, by
+its arrays' sizes.  One set has at most ``block_bytes`` of items (a longer item is a
+set of its own).  A larger benchmark is split into blocks by hash; then each block
+is a pass of its own over the documents, whose hits are written before the next
+block is built, so no process holds two, and the results don't depend on the size.
 """
 
 from __future__ import annotations
@@ -27,17 +33,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.buckets import sliced
+from borelake.llm.buckets import parted
+from borelake.shared import stored
 
 WINDOW = 13
-BLOCK_CHARS = 64_000_000
+BLOCK_BYTES = 16 << 20
+#: At one-letter words, a window for each two bytes: its hash, place and items, the table of bits, and the words themselves.
+SET_BYTES_PER_BYTE = 32
+#: Bytes of documents that are hashed at a time.
+PART = 1 << 20
 #: Each byte lower-cased, or a space where it is not part of a word. Bytes of 0x80 and above belong to characters that are.
 WORD_BYTES = bytes(c if chr(c).isdigit() or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
+_LETTER = np.frombuffer(WORD_BYTES, np.uint8)
+_BYTE_BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -45,128 +60,257 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
-class NgramSet:
-    """The windows of some items: by length, from word numbers to the items that have them."""
+class _Powers:
+    """Powers of an odd number modulo 2**64, and their inverses, as far as they have been asked for."""
+
+    def __init__(self, base: np.uint64):
+        self.base, self.up = base, np.ones(1, np.uint64)
+        self.down = self.up
+
+    def until(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            more = np.full(max(n, 2 * len(self.up)), self.base, np.uint64)
+            more[0] = 1
+            self.up = np.cumprod(more)
+            more[1:] = np.uint64(pow(int(self.base), -1, 1 << 64))
+            self.down = np.cumprod(more)
+        return self.up[:n], self.down[:n]
+
+
+_of_bytes, _of_words = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+    """A hash of values[starts:ends] for each pair; equal values have equal hashes wherever they stand."""
+    up, down = powers.until(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return _mixed((total[ends] - total[starts]) * down[starts])
+
+
+class Words:
+    """The words of some texts: their bytes with one space after each, where each begins and ends in these, their hashes, and where those of each text end."""
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        letters = _LETTER[raw]
+        word = np.zeros(len(letters) + 2, bool)
+        word[1:-1] = letters != 32
+        border = np.zeros(len(letters) + 1, bool)
+        border[at] = True
+        first = word[1:-1] & (~word[:-2] | border[:-1])
+        last = word[1:-1] & (~word[2:] | border[1:])
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sizes = ends - starts
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        self.ends = self.starts + sizes
+        self.bytes = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+        kept = np.ones(len(self.bytes), bool)
+        kept[self.ends] = False
+        self.bytes[kept] = letters[word[1:-1]]
+        self.hashes = _sums(self.bytes.astype(np.uint64), self.starts, self.ends, _of_bytes)
+        self.bounds = np.searchsorted(starts, at[1:])
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.bounds, prepend=0))
+
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of ``size`` words from each place."""
+        first = np.arange(len(self.starts) - size + 1)
+        return _sums(self.hashes, first, first + size, _of_words)
+
+
+class WindowSet:
+    """The windows of some items: sorted hashes of different windows by length, and for each its first word and its items."""
 
     def __init__(self, items: list[tuple[object, str | None]], n: int = WINDOW):
-        self.word: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            words = words_of(text)
-            if not words:
+        self.names = [None if item is None else str(item) for item, _ in items]
+        self.words = Words(pa.array([text for _, text in items], pa.string()))
+        counts = np.diff(self.words.bounds, prepend=0)
+        own = np.minimum(counts, n)[self.words.text]
+        left = self.words.bounds[self.words.text] - np.arange(len(self.words.text))
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(own).tolist():
+            place = np.flatnonzero((own == size) & (left >= size))
+            hashes = self.words.windows(size)[place]
+            order = np.lexsort((place, hashes))
+            hashes, place = hashes[order], place[order]
+            # of equal hashes, windows of other words stay apart (compared with the one before)
+            same = np.zeros(len(place), bool)
+            equal = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+            same[equal] = _agree(self.words, place[equal], self.words, place[equal - 1], size)
+            new = np.flatnonzero(~same)
+            bits = np.zeros(1 << max(16, int(8 * len(new)).bit_length()), bool)
+            bits[hashes[new] & np.uint64(len(bits) - 1)] = True
+            self.sizes[size] = hashes[new], place[new], np.append(new, len(place)), self.words.text[place], bits
+
+    def size(self) -> int:
+        """Bytes of the arrays."""
+        words = self.words
+        return sum(x.nbytes for x in (words.bytes, words.starts, words.ends, words.hashes, words.text)) + sum(x.nbytes for table in self.sizes.values() for x in table)
+
+    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words lie in an occurrence of a window; and pairs of text and item that share one."""
+        hit = np.zeros(len(words.starts), bool)
+        pairs = []
+        for size, (hashes, place, item_at, items, bits) in self.sizes.items():
+            if len(words.starts) < size:
                 continue
-            numbers = np.array([self.word.setdefault(w, len(self.word)) for w in words], np.int32)
-            size = min(n, len(words))
-            table = self.windows.setdefault(size, {})
-            for at in range(len(words) - size + 1):
-                table.setdefault(numbers[at : at + size].tobytes(), set()).update([] if item is None else [str(item)])
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words lie in an occurrence of a window, and the items of those windows."""
-        hit = np.zeros(len(words), bool)
-        found: set[str] = set()
-        if not words or not self.word:
-            return hit, found
-        get = self.word.get
-        numbers = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        # the place after the last word, up to each place, that no item has
-        last = np.maximum.accumulate(np.where(numbers < 0, np.arange(1, len(words) + 1), 0))
-        for size, table in self.windows.items():
-            ends = np.arange(size, len(words) + 1)
-            starts = ends[last[size - 1 :] <= ends - size] - size
-            raw = numbers.tobytes()
-            for at in starts.tolist():
-                items = table.get(raw[4 * at : 4 * (at + size)])
-                if items is not None:
-                    hit[at : at + size] = True
-                    found |= items
-        return hit, found
-
-
-def blocks_of(items: DataFrame, n: int, block_chars: int) -> list:
-    """Broadcast sets of all items, each of at most about ``block_chars`` characters."""
+            asked = words.windows(size)
+            at = np.flatnonzero(bits[asked & np.uint64(len(bits) - 1)])
+            at = at[words.text[at] == words.text[at + size - 1]]
+            low, high = (np.searchsorted(hashes, asked[at], side=side) for side in ("left", "right"))
+            count = high - low
+            at, low = np.repeat(at, count), np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            good = _agree(words, at, self.words, place[low], size)
+            at, low = at[good], low[good]
+            edge = np.zeros(len(hit) + 1, np.int64)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + size, -1)
+            hit |= np.cumsum(edge)[:-1] > 0
+            # each window once for each text, then its items
+            both = np.unique(np.stack([words.text[at], low], axis=1), axis=0)
+            count = item_at[both[:, 1] + 1] - item_at[both[:, 1]]
+            source = np.repeat(item_at[both[:, 1]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            pairs.append(np.stack([np.repeat(both[:, 0], count), items[source]], axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+        return hit, found[:, 0], found[:, 1]
+
+    def judged(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None], list[list[str]]]:
+        """Of each text: how many words it has, which of them are hit (None: none), and the sorted names of the items."""
+        words = Words(texts)
+        hit, text, item = self.find(words)
+        sizes = np.diff(words.bounds, prepend=0)
+        masks: list[np.ndarray | None] = [None] * len(texts)
+        for k in np.unique(words.text[hit]).tolist():
+            masks[k] = hit[words.bounds[k] - sizes[k] : words.bounds[k]]
+        names: list[list[str]] = [[] for _ in range(len(texts))]
+        for k, j in zip(text.tolist(), item.tolist(), strict=True):
+            if self.names[j] is not None:
+                names[k].append(self.names[j])
+        return sizes, masks, [sorted(set(x)) for x in names]
+
+
+def _agree(a: Words, at: np.ndarray, b: Words, other: np.ndarray, size: int, step: int = 4096) -> np.ndarray:
+    """Whether the ``size`` words from each place are the same, byte by byte. Neighbours on both sides are compared once."""
+    if not len(at):
+        return np.empty(0, bool)
+    order = np.lexsort((at, other - at))
+    x, y = at[order], other[order]
+    new = np.concatenate(([True], (x[1:] != x[:-1] + 1) | (y[1:] - x[1:] != y[:-1] - x[:-1])))
+    run = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    words = np.diff(np.append(first, len(x))) - 1 + size
+    same_words = np.empty(int(words.sum()), bool)
+    done = 0
+    for k in range(0, len(first), step):
+        count = words[k : k + step]
+        base = np.cumsum(count) - count
+        inner = np.arange(count.sum()) - np.repeat(base, count)
+        p, q = np.repeat(x[first[k : k + step]], count) + inner, np.repeat(y[first[k : k + step]], count) + inner
+        n = a.ends[p] - a.starts[p]
+        equal = n == b.ends[q] - b.starts[q]
+        n = np.where(equal, n, 0)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = a.bytes[np.repeat(a.starts[p], n) + inside] != b.bytes[np.repeat(b.starts[q], n) + inside]
+        wrong = np.zeros(len(n), bool)
+        wrong[np.repeat(np.arange(len(n)), n)[differ]] = True
+        same_words[done : done + len(n)] = equal & ~wrong
+        done += len(n)
+    # a window agrees if none of its words differs
+    differs = np.concatenate(([0], np.cumsum(~same_words)))
+    start = (np.cumsum(words) - words)[run] + (np.arange(len(x)) - first[run])
+    out = np.empty(len(at), bool)
+    out[order] = differs[start + size] == differs[start]
+    return out
+
+
+def blocks_of(items: DataFrame, n: int, block_bytes: int) -> Iterator:
+    """Broadcast sets of all items, each of about ``block_bytes`` of text, made one by one; the first yield says how many there are."""
     spark = items.sparkSession
     items = items.select("item_id", "text").filter(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = -(-total // block_chars) or 1
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = -(-total // block_bytes) or 1
+    yield count
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    return [
-        spark.sparkContext.broadcast(NgramSet([(r[0], r[1]) for r in items.filter(part == k).collect()], n))
-        for k in range(count)
-    ]
+    for k in range(count):
+        made = WindowSet([(r[0], r[1]) for r in items.filter(part == k).collect()], n)
+        sent = spark.sparkContext.broadcast(made)
+        del made
+        yield sent
+        sent.unpersist()
 
 
-FOUND = T.StructType([
-    T.StructField("hits", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))),
-    T.StructField("items", T.ArrayType(T.StringType())),
-])
+_RUN = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+_NAMES = T.ArrayType(T.StringType())
+_ARROW_RUN, _ARROW_NAMES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.string())
 
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+def _runs(mask: np.ndarray | None) -> list[dict]:
+    if mask is None:
+        return []
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
+    return [{"first": a, "last": b} for a, b in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True)]
 
 
-def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted strings) and hits (runs of hit words, by word number)."""
-    out = T.StructType([
-        T.StructField("doc_id", docs.schema["doc_id"].dataType),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("item_ids", FOUND["items"].dataType),
-        T.StructField("hits", FOUND["hits"].dataType),
-    ])
-    blocks = blocks_of(items, n, block_chars)
-    rows = docs.select("doc_id", "text")
-    if len(blocks) == 1:
-        only = blocks[0]
+def judged(docs: DataFrame, items: DataFrame, use, out: T.StructType, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows ``use(batch, n_words, masks, names)`` of all rows of ``docs``, which have a text."""
+    blocks = blocks_of(items, n, block_bytes)
+    if next(blocks) == 1:
+        sent = next(blocks)
 
         def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                yield _judged(batch, only.value)
-
-        return rows.mapInArrow(once, out)
-    # one pass of the documents for each block; hits gather in two more columns
-    rows = rows.withColumns({"hits": F.lit(None).cast(FOUND["hits"].dataType), "item_ids": F.lit(None).cast(FOUND["items"].dataType)})
-    for block in blocks:
-
-        def more(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                hits, names = [], []
-                for text, had, ids in zip(*(batch.column(k).to_pylist() for k in ("text", "hits", "item_ids")), strict=True):
-                    mask, found = block.value.find(words_of(text))
-                    for run in had or []:
-                        mask[run["first"] : run["last"] + 1] = True
-                    hits.append([{"first": a, "last": b} for a, b in _runs(mask)])
-                    names.append(sorted(found | set(ids or [])))
-                kept = {k: batch.column(k) for k in ("doc_id", "text")}
-                yield pa.RecordBatch.from_pydict(kept | {"hits": pa.array(hits, batch.schema.field("hits").type), "item_ids": pa.array(names, batch.schema.field("item_ids").type)})
-
-        rows = rows.mapInArrow(more, rows.schema)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            sizes = [len(words_of(t)) for t in batch.column("text").to_pylist()]
-            hit = [sum(r["last"] - r["first"] + 1 for r in h) for h in batch.column("hits").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array(sizes, pa.int64()), "n_hit": pa.array(hit, pa.int64()), "item_ids": batch.column("item_ids"), "hits": batch.column("hits")})
-
-    return rows.mapInArrow(counted, out)
-
-
-def _judged(batch: pa.RecordBatch, grams: NgramSet) -> pa.RecordBatch:
-    n_words, n_hit, names, hits = [], [], [], []
-    for text in batch.column("text"):
-        words = words_of(text.as_py())
-        mask, found = grams.find(words)
-        n_words.append(len(words))
-        n_hit.append(int(mask.sum()))
-        names.append(sorted(found))
-        hits.append([{"first": a, "last": b} for a, b in _runs(mask)] if n_hit[-1] else [])
-    run = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    return pa.RecordBatch.from_pydict({
-        "doc_id": batch.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
-        "item_ids": pa.array(names, pa.list_(pa.string())), "hits": pa.array(hits, run),
-    })
+            for batch in parted(batches, "text", PART):
+                yield use(batch, *sent.value.judged(batch.column("text")))
+
+        return docs.mapInArrow(once, out)
+    columns = docs.columns
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    hit = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_hits", _RUN), T.StructField("_names", _NAMES)])
+    found = None
+    for sent in blocks:
+
+        def scanned(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in parted(batches, "text", PART):
+                _, masks, names = sent.value.judged(batch.column("text"))
+                some = [k for k, m in enumerate(masks) if m is not None]
+                yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(some, pa.int64())), pa.array([_runs(masks[k]) for k in some], _ARROW_RUN), pa.array([names[k] for k in some], _ARROW_NAMES)], hit.names)
+
+        part = stored(rows.select("_row", "text").mapInArrow(scanned, hit), "decontaminate-hits")
+        found = part if found is None else found.union(part)
+    # a row has at most one row of hits for each block
+    found = found.groupBy("_row").agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.flatten(F.collect_list("_names")).alias("_names"))
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parted(batches, "text", PART):
+            words = Words(batch.column("text"))
+            sizes, masks, names = np.diff(words.bounds, prepend=0), [], []
+            for size, runs, ids in zip(sizes.tolist(), *(batch.column(c).to_pylist() for c in ("_hits", "_names")), strict=True):
+                mask = np.zeros(size, bool) if runs else None
+                for run in runs or []:
+                    mask[run["first"] : run["last"] + 1] = True
+                masks.append(mask)
+                names.append(sorted(set(ids or [])))
+            yield use(batch.select(columns), sizes, masks, names)
+
+    return rows.join(found, "_row", "left").select(*columns, "_hits", "_names").mapInArrow(united, out)
+
+
+def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted strings) and hits (runs of hit words, by word number)."""
+    out = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", _NAMES), T.StructField("hits", _RUN)])
+
+    def shown(batch: pa.RecordBatch, sizes: np.ndarray, masks: list, names: list) -> pa.RecordBatch:
+        n_hit = [0 if m is None else int(m.sum()) for m in masks]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, _ARROW_NAMES), pa.array(list(map(_runs, masks)), _ARROW_RUN)], out.names)
+
+    return judged(docs.select("doc_id", "text"), items, shown, out, n, block_bytes)
 
 
 def contaminated(n_hit, n_words, share: int):
@@ -179,41 +323,30 @@ def without_words(text: str, mask: np.ndarray) -> str:
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw.translate(WORD_BYTES))]
     kept, start = [], 0
-    for a, b in _runs(mask):
-        kept.append(raw[start : at[a][0]])
-        start = at[b][1]
+    for run in _runs(mask):
+        kept.append(raw[start : at[run["first"]][0]])
+        start = at[run["last"]][1]
     return b"".join([*kept, raw[start:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int = WINDOW, share: int = 20, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with all their columns, without benchmark content.
 
     ``mode="documents"`` drops documents of which at least 1/``share`` of the
     words, and at least one, are hit; ``mode="spans"`` keeps all documents and
-    cuts the hit words out of their texts.  Each block of items is one pass in
-    the same partitions; no rows are shuffled.
+    cuts the hit words out of their texts.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode: {mode}")
-    blocks = blocks_of(items, n, block_chars)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            keep, texts = [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                mask = np.zeros(len(words), bool)
-                for block in blocks:
-                    mask |= block.value.find(words)[0]
-                n_hit = int(mask.sum())
-                keep.append(mode == "spans" or not contaminated(n_hit, len(words), share) if n_hit else True)
-                texts.append(without_words(text, mask) if n_hit and mode == "spans" else text)
-            if mode == "spans":
-                k = batch.schema.get_field_index("text")
-                batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(kept, docs.schema)
+
+    def kept(batch: pa.RecordBatch, sizes: np.ndarray, masks: list, names: list) -> pa.RecordBatch:
+        if mode == "spans":
+            k = batch.schema.get_field_index("text")
+            texts = batch.column(k).to_pylist()
+            return batch.set_column(k, batch.schema.field(k), pa.array([t if m is None else without_words(t, m) for t, m in zip(texts, masks, strict=True)], batch.schema.field(k).type))
+        return batch.filter(pa.array([m is None or not contaminated(int(m.sum()), size, share) for m, size in zip(masks, sizes.tolist(), strict=True)], pa.bool_()))
+
+    return judged(docs, items, kept, docs.schema, n, block_bytes)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -45,12 +45,30 @@ def test_scan_and_removal(spark):
     bench = spark.createDataFrame([(*r, 2) for r in items], "item_id long, text string, n int")
     want = brute(rows, items)
     for size in (10**6, 100):
-        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["item_ids"])) for r in d.scan(docs, bench, block_chars=size).collect()), key=str)
+        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["item_ids"])) for r in d.scan(docs, bench, block_bytes=size).collect()), key=str)
         assert got == want
-        kept = d.decontaminate(docs, bench, block_chars=size)
+        kept = d.decontaminate(docs, bench, block_bytes=size)
         assert kept.schema == docs.schema
         assert kept.count() == sum(not (h > 0 and 20 * h >= n) for _, n, h, _ in want)
-        cut = d.decontaminate(docs, bench, mode="spans", block_chars=size).collect()
+        cut = d.decontaminate(docs, bench, mode="spans", block_bytes=size).collect()
         assert len(cut) == len(rows) and sum(len(words(r["text"])) for r in cut) == sum(n - h for _, n, h, _ in want)
     assert d.scan(docs.limit(0), bench).count() == 0 and d.decontaminate(docs.limit(0), bench).count() == 0
     assert {r["n_hit"] for r in d.scan(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_bytes_of_a_set():
+    """What a set takes, against the documented bound: words of one letter, and of many."""
+    for word in ("a {} ", "letters{} "):
+        text = "".join(word.format(k) for k in range(20_000))
+        made = d.WindowSet([(k, text[k * 100 :]) for k in range(5)])
+        assert made.size() < 2 * d.SET_BYTES_PER_BYTE * 5 * len(text)
+
+
+def test_windows_of_equal_hash_are_compared(monkeypatch):
+    """With hashes of two values, only windows of equal words hit."""
+    monkeypatch.setattr(d, "_mixed", lambda h: h & d.np.uint64(1))
+    made = d.WindowSet([(1, "a b c"), (2, "d e f"), (3, "a b c"), (4, "g h")])
+    sizes, masks, names = made.judged(d.pa.array(["x a b c y", "d e", "d e f g h", None, "a b c a b c"]))
+    assert sizes.tolist() == [5, 2, 5, 0, 6]
+    assert [None if m is None else m.tolist() for m in masks] == [[False, True, True, True, False], None, [True] * 5, None, [True] * 6]
+    assert names == [["1", "3"], [], ["2", "4"], [], ["1", "3"]]
