@@ -12,7 +12,10 @@ only where a shared string must have one of its anchors:
 2. Initial buckets. Anchors are dealt to tasks by gram. Each reader first
    combines what it has read, so that of equal contexts only those of the smallest
    doc_id travel. In a bucket, an anchor whose whole context an earlier document
-   has is decided: all of it is removed. Buckets of one document, or of one
+   has is decided: all of it is removed. Here equality is that of two hashes, of
+   48 bits of the gram and more for its part, and 48 bits of the context (a false
+   match among n anchors has a chance under n * n / 2**100; the bytes of copies are
+   not sent to be compared). Buckets of one document, or of one
    context, are finished. A gram with very many contexts at one reader is not
    sent to one task: a mark is sent, and its anchors go on undecided.
 3. Refinement. Undecided anchors fetch the bytes of their contexts. Buckets that
@@ -39,7 +42,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,8 @@ GRAM = 20
 REACH = LENGTH - GRAM
 #: Bytes of text that a reader combines at a time, and that are hashed at a time.
 CHUNK, PIECE = 12 << 20, 1 << 19
+#: Bytes of text whose anchors are a part, bytes of packed anchors that a task holds of a part, and bytes of text for each task.
+PART_BYTES, HELD_BYTES, TASK_BYTES = 4 << 20, 32 << 20, 1 << 29
 #: Contexts of one gram at one reader beyond which its anchors go on undecided, and anchors of a bucket beyond which it is split.
 MANY, LARGE = 256, 50_000
 _PAD = b"\xff" * (LENGTH + GRAM)  # never part of UTF-8
@@ -111,9 +115,14 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return key ^ (key >> np.uint64(30)), context, text, at - starts[text]
 
 
-def _bucket(part: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The bucket of a gram: its part of at most 16 bits, then 48 bits of its hash."""
-    return part << np.uint64(48) | key & _LOW48
+def _part(key: np.ndarray, bits: int) -> np.ndarray:
+    """The part of the grams, out of 2**bits, that a gram belongs to: the upper bits of its hash."""
+    return key >> np.uint64(64 - bits)
+
+
+def _bucket(part: np.ndarray | np.uint64, key: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of a gram: its part, and 48 bits of its hash."""
+    return part << np.uint64(64 - bits) | key & _LOW48
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -189,13 +198,13 @@ def _asked(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, key: np.ndarray) ->
     return [pa.array(doc), pa.array(tag), pa.array(at.astype(np.int64)), pa.nulls(len(doc), pa.int64()), pa.array(key.view(np.int64))]
 
 
-def _sent(found: list[pa.Array], parts: int) -> pa.RecordBatch:
+def _sent(found: list[pa.Array], bits: int) -> pa.RecordBatch:
     doc = found[0].to_numpy()
-    part = (doc.view(np.uint64) * _MIX[0] >> np.uint64(32)) % np.uint64(parts)
+    part = doc.view(np.uint64) * _MIX[0] >> np.uint64(64 - bits)
     return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.nulls(len(doc), pa.binary()), *found], SENT.names)
 
 
-def _combined(texts: list[bytes], ids: list[int], parts: int, many: int) -> Iterator[pa.RecordBatch]:
+def _combined(texts: list[bytes], ids: list[int], bits: int, many: int) -> Iterator[pa.RecordBatch]:
     """What a reader sends of some texts."""
     docs, tags = np.array(ids, np.int64), np.array([tag_of(t) for t in texts], np.int32)
     found, begin, held = [], 0, 0
@@ -206,7 +215,7 @@ def _combined(texts: list[bytes], ids: list[int], parts: int, many: int) -> Iter
             found.append((key, context, text + begin, at))
             begin, held = k + 1, 0
     key, context, text, at = (np.concatenate(x) for x in zip(*found, strict=True))
-    key = _bucket((key >> np.uint64(48)) % np.uint64(parts), key)
+    key = _bucket(_part(key, bits), key, bits)
     doc, tag = docs[text], tags[text]
     order = np.lexsort((at, doc, context, key))
     key, context, doc, tag, at = key[order], context[order], doc[order], tag[order], at[order]
@@ -214,13 +223,13 @@ def _combined(texts: list[bytes], ids: list[int], parts: int, many: int) -> Iter
     new = new_key | np.concatenate(([True], context[1:] != context[:-1]))
     first = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(doc))))
     later = doc > first
-    yield _sent(_whole(doc[later], tag[later], at[later]), parts)
+    yield _sent(_whole(doc[later], tag[later], at[later]), bits)
     contexts = np.add.reduceat(new, np.flatnonzero(new_key))
     hot = np.repeat(contexts > many, np.diff(np.append(np.flatnonzero(new_key), len(key))))
     on = hot & ~later
-    yield _sent(_asked(doc[on], tag[on], at[on], key[on]), parts)
+    yield _sent(_asked(doc[on], tag[on], at[on], key[on]), bits)
     sent = np.flatnonzero(~later & (~hot | new_key))
-    part = (key[sent] >> np.uint64(48)).astype(np.int64)
+    part = _part(key[sent], bits).astype(np.int64)
     order = np.lexsort((at[sent], tag[sent], doc[sent], part))
     sent, part = sent[order], part[order]
     edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -230,11 +239,19 @@ def _combined(texts: list[bytes], ids: list[int], parts: int, many: int) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(part[edges[:n]].astype(np.int32)), pa.array(packed, pa.binary()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], SENT.names)
 
 
-def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK) -> DataFrame:
-    """Rows of FOUND: spans decided by whole contexts, and anchors that are undecided."""
+def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK, part_bytes: int = PART_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """Rows of FOUND: spans decided by whole contexts, and anchors that are undecided.
+
+    The grams are dealt into as many parts as the texts need at ``part_bytes`` each.  A task
+    reads its parts one after the other and holds one, or ``held_bytes`` of packed
+    anchors: of a part that has more, each such portion is combined by itself and
+    all that it leaves goes on undecided.
+    """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(4 * tasks, 1 << 15)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    bits = min(max(4 * tasks, size // part_bytes).bit_length(), 24)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ids, held = [], [], 0
@@ -246,22 +263,29 @@ def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK) -> Data
                     ids.append(doc)
                     held += len(raw)
                 if held >= chunk:
-                    yield from _combined(texts, ids, parts, many)
+                    yield from _combined(texts, ids, bits, many)
                     texts, ids, held = [], [], 0
         if texts:
-            yield from _combined(texts, ids, parts, many)
+            yield from _combined(texts, ids, bits, many)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = []
+        at, packed, held, split = None, [], 0, False
         for batch in batches:
             anchors_ = batch.column("anchors")
-            packed += [(p, raw) for p, raw in zip(batch.column("part").to_pylist(), anchors_.to_pylist(), strict=True) if raw is not None]
             yield batch.select(FOUND.names).filter(anchors_.is_null())
-        packed.sort(key=lambda x: x[0])
-        for part, own in groupby(packed, key=lambda x: x[0]):
-            yield from decided(part, [raw for _, raw in own])
-
-    def decided(part: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for k in np.flatnonzero(anchors_.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                part, raw = batch.column("part")[k].as_py(), anchors_[k].as_py()
+                if part != at or held >= held_bytes:
+                    more = part == at
+                    if packed:
+                        yield from decided(at, packed, split or more)
+                    at, packed, held, split = part, [], 0, more
+                packed.append(raw)
+                held += len(raw)
+        if packed:
+            yield from decided(at, packed, split)
+
+    def decided(part: int, packed: list[bytes], open_: bool) -> Iterator[pa.RecordBatch]:
         key, context, hot, doc, tag, at = (np.concatenate(x) for x in zip(*map(unpack, packed), strict=True))
         order = np.lexsort((doc, context, key))
         key, context, hot, doc, tag, at = (x[order] for x in (key, context, hot, doc, tag, at))
@@ -272,13 +296,12 @@ def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK) -> Data
         later = doc > first
         yield pa.RecordBatch.from_arrays(_whole(doc[later], tag[later], at[later]), FOUND.names)
         # buckets of several contexts and documents, or known to be common
-        on = (np.add.reduceat(new, at_key) > 1) & (np.maximum.reduceat(doc, at_key) > np.minimum.reduceat(doc, at_key)) | np.logical_or.reduceat(hot, at_key)
+        on = (np.add.reduceat(new, at_key) > 1) & (np.maximum.reduceat(doc, at_key) > np.minimum.reduceat(doc, at_key)) | np.logical_or.reduceat(hot, at_key) | open_
         # a marked anchor itself has gone on already
         u = np.repeat(on, np.diff(np.append(at_key, len(key)))) & ~later & ~hot
-        yield pa.RecordBatch.from_arrays(_asked(doc[u], tag[u], at[u], _bucket(np.uint64(part), key[u])), FOUND.names)
+        yield pa.RecordBatch.from_arrays(_asked(doc[u], tag[u], at[u], _bucket(np.uint64(part), key[u], bits)), FOUND.names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(read, SENT).repartition(tasks, "part").mapInArrow(bucket, FOUND)
+    return rows.mapInArrow(read, SENT).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(bucket, FOUND)
 
 
 def packed_texts(docs: DataFrame, name: str = "_packed") -> DataFrame:
@@ -421,9 +444,9 @@ def single_spans(rows: DataFrame) -> DataFrame:
     return own.select("doc_id", "tag", start.alias("start"), (start + LENGTH).alias("end"), F.lit(None).cast("long").alias("key"))
 
 
-def spans(docs: DataFrame, many: int = MANY, large: int = LARGE, chunk: int = CHUNK) -> DataFrame:
+def spans(docs: DataFrame, many: int = MANY, large: int = LARGE, chunk: int = CHUNK, part_bytes: int = PART_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """doc_id, tag (of the text) and a list of spans of the bytes to remove; not for documents that lose none."""
-    found = stored(first_buckets(docs, many, chunk), "buckets")
+    found = stored(first_buckets(docs, many, chunk, part_bytes, held_bytes), "buckets")
     rows = stored(contexts(docs, found.filter("key is not null")), "contexts")
     rows, single = split_large(rows, large)
     every = found.filter("key is null")

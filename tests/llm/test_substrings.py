@@ -62,7 +62,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "how"), [(1, {}), (2, {"many": 1, "chunk": 3000}), (3, {"many": 2, "large": 3, "chunk": 10_000}), (4, {"large": 12, "chunk": 1})])
+@pytest.mark.parametrize(("seed", "how"), [(1, {}), (2, {"many": 1, "chunk": 3000}), (3, {"many": 2, "large": 3, "chunk": 10_000}), (4, {"large": 12, "chunk": 1}), (5, {"chunk": 500, "part_bytes": 1 << 20, "held_bytes": 1}), (6, {"chunk": 2000, "part_bytes": 8, "held_bytes": 3000})])
 def test_against_all_strings(spark, seed, how):
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x", 7) for d, t in rows], "doc_id long, text string, kept string, tag int").repartition(3)
