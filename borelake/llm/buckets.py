@@ -20,25 +20,33 @@ from pyspark.sql import types as T
 
 from borelake.shared import settle
 
-BLOCK = 4096
+#: Rows of a block; a kernel meets two, so its matrices have at most about 4 * BLOCK**2 cells (8 MB of bytes, 34 MB of longs).
+BLOCK = 1024
+
+
+def split(rows: DataFrame, keys: list[str], by: str, block: int = BLOCK) -> DataFrame:
+    """``rows`` dealt to groups of at most about twice ``block``: _low and _high name a bucket's pair of blocks, _side the block of the two.
+
+    All pairs of rows of a bucket meet in one group: those of one block where
+    _low = _high, others where their blocks are the two.
+    """
+    hot = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block))
+    if hot.isEmpty():
+        return rows.withColumns({"_low": F.lit(0), "_high": F.lit(0), "_side": F.lit(0)})
+    sized = rows.join(hot, keys, "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int"))
+    dealt = sized.withColumn("_own", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other"), "_side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_n", "_blocks", "_own", "_other")
 
 
 def compare(rows: DataFrame, keys: list[str], by: str, kernel: Callable[[dict[str, np.ndarray], np.ndarray], list[pa.Array] | None], out: T.StructType, block: int = BLOCK) -> DataFrame:
     """Rows that ``kernel`` makes of each bucket of at least two rows.
 
     ``keys`` name a bucket; ``by`` is the column by whose hash large buckets are
-    split.  ``kernel(columns, own)`` gets the group's columns as arrays (fixed
+    split.  ``kernel(columns, side)`` gets the group's columns as arrays (fixed
     size lists as matrices) and for each row its block's side: it compares all
     pairs if all sides are equal, else only pairs of different sides.
     """
-    hot = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block))
-    if hot.isEmpty():
-        split = rows.withColumns({"_low": F.lit(0), "_high": F.lit(0), "_side": F.lit(0)})
-    else:
-        sized = rows.join(hot, keys, "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int"))
-        dealt = sized.withColumn("_own", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        split = dealt.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other"), "_side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_n", "_blocks", "_own", "_other")
-    return per_group(split, [*keys, "_low", "_high"], lambda columns: kernel(columns, columns["_side"]), out)
+    return per_group(split(rows, keys, by, block), [*keys, "_low", "_high"], lambda columns: kernel(columns, columns["_side"]), out)
 
 
 def per_group(rows: DataFrame, names: list[str], kernel: Callable[[dict[str, np.ndarray]], list[pa.Array] | None], out: T.StructType) -> DataFrame:

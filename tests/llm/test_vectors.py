@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from borelake.llm import vectors
 
@@ -68,5 +70,45 @@ def test_split_lists_give_the_same(spark, monkeypatch):
     rows = table(3, 260, 200)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     whole = {r["vec_id"]: tuple(r) for r in vectors.near_groups(df).collect()}
-    monkeypatch.setattr(vectors, "compare", lambda *a: buckets.compare(*a, block=50))
+    monkeypatch.setattr(vectors, "split", lambda *a: buckets.split(*a, block=50))
     assert {r["vec_id"]: tuple(r) for r in vectors.near_groups(df).collect()} == whole
+
+
+def test_hashes_in_common(spark, monkeypatch):
+    """If two vectors share both hashes, they are told apart by themselves."""
+    rows = table(5, 80, 20)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = {r["vec_id"]: tuple(r) for r in vectors.near_groups(df).collect()}
+    monkeypatch.setattr(vectors.F, "xxhash64", lambda *c: vectors.F.lit(1).cast("long") if len(c) == 2 or c == ("vector",) else vectors.F.hash(*c).cast("long"))
+    assert {r["vec_id"]: tuple(r) for r in vectors.near_groups(df).collect()} == want
+
+
+def test_lists_meet():
+    """Any two rows that share four of eight pivots are in one list at least."""
+    rng = np.random.default_rng(2)
+    near = np.sort(np.argsort(rng.random((4000, 20)), axis=1)[:, :8], axis=1).astype(np.int32)
+    lists = vectors.lists_of(near, 20)
+    for i in range(0, 4000, 2):
+        shares = len(np.intersect1d(near[i], near[i + 1])) >= 4
+        assert not shares or len(np.intersect1d(lists[i], lists[i + 1]))
+
+
+def test_recall_on_a_large_table(spark, tmp_path):
+    """Links of every 50th of 50,000 vectors against all of them; the mean recall is over 0.99."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50_000, 48))
+    for k in range(0, 50_000, 5):  # near vectors at cosines of about 0.975 to 1, some in larger groups
+        at = rng.integers(0, 50_000, int(rng.choice([1, 1, 1, 20])))
+        x[at] = x[k] + rng.normal(size=(len(at), 48)) * rng.uniform(0.0, 0.2, (len(at), 1))
+    label = rng.integers(0, 4, 50_000)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(50_001, dtype=np.int32) * 48), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": lists, "label": label}), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"file://{tmp_path}/v.parquet")
+    got = vectors.near_groups(df).toPandas().set_index("vec_id")["n_links"]
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    found = wanted = 0
+    for k in range(0, 50_000, 50):
+        want = int(((unit @ unit[k] >= 0.98) & (label == label[k])).sum()) - 1
+        assert got[k] <= want
+        found, wanted = found + int(got[k]), wanted + want
+    assert wanted > 300 and found >= 0.99 * wanted, (found, wanted)
