@@ -9,18 +9,22 @@ turn's costs RELABEL, or UNKNOWN if the turn's role is none of the three.  The
 cheapest sequence is rendered turn by turn: the pieces of a conversation, in order
 of turn, are its text.
 
-Long conversations are split into blocks of turns by turn number.  A block's
-least costs between all states are a small matrix; matrices of a conversation are
-multiplied in order to find the states at block borders, and each block is then
-repaired by itself.  So a conversation that holds much of the table is repaired
-by many tasks; only its matrices meet in one.
+All turns are sorted by conversation and turn over ranges, so neither a long
+conversation nor many turns of one number, or of none, are one task.  Each range
+is cut into blocks of turns.  A block's least costs between all states are a small
+matrix; matrices of a conversation are multiplied in order to find the costs with
+which each block begins.  With these, each block says for every state at its end in
+which state it then began; going back through these answers gives the states at
+block borders, and each block is repaired by itself.  Only a row of a few numbers
+for each block of a conversation meets in one task.
 
 Defined results: null or other roles, in any case or with white space around, are
 read as above or as unknown; a null text is empty; turns of equal number are in the
-order of role and text; null turns come first; rows without conv_id are one
-conversation; of equally cheap repairs the one through the smaller states (system,
-user, assistant) from the end of each block is taken; no rows give no rows; further
-columns are ignored; marks of the format in texts are broken by a space.
+order of role, of the text's first 64 characters and of its hash; null turns come
+first; rows without conv_id are one conversation; of equally cheap repairs the one
+taken goes back from the end through the smallest states (system, user, assistant),
+however turns are cut into blocks; no rows give no rows; further columns are
+ignored; marks of the format in texts are broken by a space.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,16 +86,20 @@ def matrix(roles: list[int]) -> np.ndarray:
     return total
 
 
-def path(roles: list[int], entry: int, leave: int) -> list[int]:
-    """States before the first and after each turn of a cheapest repair from ``entry`` to ``leave``."""
-    reached = np.where(np.arange(4) == entry, 0.0, np.inf)
-    from_: list[np.ndarray] = []
+def steps(roles: list[int], reached: np.ndarray) -> list[np.ndarray]:
+    """For each turn, from which state each state is reached at least cost (the smallest of them), if the block begins at these costs."""
+    from_ = []
     for role in roles:
         step = reached[:, None] + COSTS[role]
         from_.append(step.argmin(axis=0))
         reached = step.min(axis=0)
+    return from_
+
+
+def path(roles: list[int], reached: np.ndarray, leave: int) -> list[int]:
+    """States before the first and after each turn of the repair that ends in ``leave``."""
     states = [leave]
-    for back in reversed(from_):
+    for back in reversed(steps(roles, reached)):
         states.append(int(back[states[-1]]))
     return states[::-1]
 
@@ -118,73 +127,122 @@ def piece(before: int, state: int, text: str | None, last: bool) -> str:
     return out
 
 
-_KEYS = ["none", "conv", "block"]
+_CONV, _PLACE = ["none", "conv"], ["range", "block"]
+_KEYS = [*_CONV, *_PLACE]
 TURNS = T.StructType([
-    T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("role", T.StringType()), T.StructField("merged", T.BooleanType()),
+    T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("place", T.LongType()), T.StructField("role", T.StringType()), T.StructField("merged", T.BooleanType()),
     T.StructField("relabelled", T.BooleanType()), T.StructField("inserted", T.IntegerType()), T.StructField("cost", T.IntegerType()), T.StructField("piece", T.StringType()),
 ])
+_FOUR = T.ArrayType(T.DoubleType())
 
 
-def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per turn of ``turns`` (conv_id, turn, role, text): its repaired role, how it got there, its cost, and the piece that renders it.
+def _keyed(**more: T.DataType) -> T.StructType:
+    kinds = {"none": T.IntegerType(), "conv": T.LongType(), "range": T.IntegerType(), "block": T.LongType()}
+    return T.StructType([T.StructField(k, v) for k, v in (kinds | more).items()])
 
-    ``place`` orders the rows of one block, so ``turn, place`` orders a conversation.
-    """
+
+def _numbered(turns: DataFrame, block: int) -> DataFrame:
+    """Turns in order over ranges, with their range, their row in it, and the block of rows."""
     rows = turns.select(
         F.col("conv_id").isNull().cast("int").alias("none"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
-        F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long").alias("block"),
-        F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), role_number(F.col("role")).alias("number"), "text",
+        F.col("turn").cast("long").alias("turn"), F.substring("role", 1, 64).alias("_role"), F.substring("text", 1, 64).alias("_text"), F.xxhash64("text").alias("_hash"),
+        F.monotonically_increasing_id().alias("_row"), role_number(F.col("role")).alias("number"), "text",
     )
-    blocks = T.StructType([T.StructField("none", T.IntegerType()), T.StructField("conv", T.LongType()), T.StructField("block", T.LongType()), T.StructField("least", T.ArrayType(T.DoubleType()))])
+    order = [*_CONV, "turn", "_role", "_text", "_hash", "_row"]  # equal rows can be in any order, and so can be cut apart
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*_CONV, "turn", "number", "text")
+    out = T.StructType([*_keyed(), T.StructField("row", T.LongType()), *dealt.schema.fields[2:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            row = np.arange(at, at + batch.num_rows)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.full(len(row), number, np.int32)), pa.array(row // block), pa.array(row), *batch.columns[2:]], out.names)
+
+    return stored(dealt.mapInArrow(run, out), "turns")
+
+
+def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per turn of ``turns`` (conv_id, turn, role, text): its repaired role, how it got there, its cost, and the piece that renders it.
+
+    ``place`` is the row's place among all, so it orders each conversation.
+    """
+    rows = _numbered(turns, block)
+    numbers = rows.select(*_KEYS, "row", "number")
+
+    def by_block(run, out: T.StructType, source: DataFrame) -> DataFrame:
+        return source.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "row").mapInArrow(run, out)
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in whole_groups(batches, _KEYS):
-            numbers = table.column("number").to_numpy()
-            least = [matrix(numbers[b:e].tolist()).ravel().tolist() for b, e in zip(edges, edges[1:])]
-            heads = table.select(_KEYS).take(pa.array(edges[:-1])).combine_chunks()
-            yield from pa.table({k: heads.column(k) for k in _KEYS} | {"least": pa.array(least, pa.list_(pa.float64()))}).to_batches()
-
-    least = rows.select(*_KEYS, "turn", "role", "number").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "turn", "role").mapInArrow(multiplied, blocks)
-    borders = T.StructType([*blocks.fields[:3], T.StructField("entry", T.IntegerType()), T.StructField("leave", T.IntegerType()), T.StructField("last", T.BooleanType())])
-
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, edges in whole_groups(batches, _KEYS[:2]):
-            each = np.array(table.column("least").to_pylist()).reshape(-1, 4, 4)
-            entry, leave, last = np.zeros(len(each), np.int32), np.zeros(len(each), np.int32), np.zeros(len(each), bool)
-            for b, e in zip(edges, edges[1:]):
-                reached = [np.array([0, np.inf, np.inf, np.inf])]
-                for k in range(b, e):
-                    reached.append((reached[-1][:, None] + each[k]).min(axis=0))
-                state, last[e - 1] = int((reached[-1] + END).argmin()), True
-                for k in range(e - 1, b - 1, -1):
-                    leave[k] = state
-                    state = int((reached[k - b] + each[k][:, state]).argmin())
-                    entry[k] = state
-            yield from pa.table({k: table.column(k) for k in _KEYS} | {"entry": entry, "leave": leave, "last": last}).to_batches()
-
-    plan = stored(least.repartition(*_KEYS[:2]).sortWithinPartitions(*_KEYS).mapInArrow(scanned, borders), "roles")
+            roles = table.column("number").to_numpy()
+            least = [matrix(roles[b:e].tolist()).ravel().tolist() for b, e in zip(edges, edges[1:])]
+            heads = table.select(_KEYS).take(pa.array(edges[:-1]))
+            yield from heads.append_column("least", pa.array(least, pa.list_(pa.float64()))).combine_chunks().to_batches()
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, reached = None, np.empty(0)
+        for batch in batches:
+            begun = []
+            for key, least in zip(zip(*(batch.column(c).to_pylist() for c in _CONV), strict=True), batch.column("least").to_pylist(), strict=True):
+                if key != at:
+                    at, reached = key, np.array([0, np.inf, np.inf, np.inf])
+                begun.append(reached.tolist())
+                reached = (reached[:, None] + np.array(least).reshape(4, 4)).min(axis=0)
+            yield pa.RecordBatch.from_arrays([*batch.select(_KEYS).columns, pa.array(begun, pa.list_(pa.float64()))], [*_KEYS, "reached"])
+
+    least = by_block(multiplied, _keyed(least=_FOUR), numbers)
+    begun = stored(least.repartition(*_CONV).sortWithinPartitions(*_KEYS).mapInArrow(forward, _keyed(reached=_FOUR)), "roles")
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in whole_groups(batches, _KEYS):
+            roles, reached = table.column("number").to_numpy(), table.column("reached").take(pa.array(edges[:-1])).to_pylist()
+            entries, ends = [], []
+            for b, e, costs in zip(edges, edges[1:], reached, strict=False):
+                own = roles[b:e].tolist()
+                entries.append([path(own, np.array(costs), leave)[0] for leave in range(4)])
+                ends.append((np.array(costs)[:, None] + matrix(own)).min(axis=0).tolist())
+            heads = table.select([*_KEYS, "reached"]).take(pa.array(edges[:-1]))
+            heads = heads.append_column("entries", pa.array(entries, pa.list_(pa.int32()))).append_column("ends", pa.array(ends, pa.list_(pa.float64())))
+            yield from heads.combine_chunks().to_batches()
+
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, 0
+        for batch in batches:
+            leave, last = [], []
+            for key, entries, ends in zip(zip(*(batch.column(c).to_pylist() for c in _CONV), strict=True), *(batch.column(c).to_pylist() for c in ("entries", "ends")), strict=True):
+                last.append(key != at)
+                if key != at:
+                    at, state = key, int((np.array(ends) + END).argmin())
+                leave.append(state)
+                state = entries[state]
+            yield pa.RecordBatch.from_arrays([*batch.select([*_KEYS, "reached"]).columns, pa.array(leave, pa.int32()), pa.array(last, pa.bool_())], [*_KEYS, "reached", "leave", "last"])
+
+    both = by_block(answered, _keyed(reached=_FOUR, entries=T.ArrayType(T.IntegerType()), ends=_FOUR), numbers.join(begun, _KEYS))
+    back = both.repartition(*_CONV).sortWithinPartitions(*_CONV, F.desc("range"), F.desc("block"))
+    plan = stored(back.mapInArrow(backward, _keyed(reached=_FOUR, leave=T.IntegerType(), last=T.BooleanType())), "repairs")
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in whole_groups(batches, _KEYS):
-            numbers, texts = table.column("number").to_numpy(), table.column("text").to_pylist()
-            entry, leave, last = (table.column(k).to_numpy() for k in ("entry", "leave", "last"))
-            out: dict[str, list] = {k: [] for k in ("place", "role", "merged", "relabelled", "inserted", "cost", "piece")}
-            for b, e in zip(edges, edges[1:]):
-                states = path(numbers[b:e].tolist(), int(entry[b]), int(leave[b]))
+            roles, texts = table.column("number").to_numpy(), table.column("text").to_pylist()
+            heads = table.select(["reached", "leave", "last"]).take(pa.array(edges[:-1])).to_pylist()
+            out: dict[str, list] = {k: [] for k in ("role", "merged", "relabelled", "inserted", "cost", "piece")}
+            for b, e, head in zip(edges, edges[1:], heads, strict=False):
+                states = path(roles[b:e].tolist(), np.array(head["reached"]), head["leave"])
                 for k in range(b, e):
-                    before, state, end = states[k - b], states[k - b + 1], bool(last[k]) and k == e - 1
+                    before, state, end = states[k - b], states[k - b + 1], head["last"] and k == e - 1
                     missing = int(END[state]) if end else 0
                     for name, value in (
-                        ("place", k - b), ("role", ROLES[state - 1]), ("merged", BETWEEN[before, state] == -2), ("relabelled", numbers[k] != state - 1),
-                        ("inserted", int(BETWEEN[before, state] >= 0) + missing // INSERT), ("cost", int(COSTS[numbers[k], before, state]) + missing), ("piece", piece(before, state, texts[k], end)),
+                        ("role", ROLES[state - 1]), ("merged", BETWEEN[before, state] == -2), ("relabelled", roles[k] != state - 1),
+                        ("inserted", int(BETWEEN[before, state] >= 0) + missing // INSERT), ("cost", int(COSTS[roles[k], before, state]) + missing), ("piece", piece(before, state, texts[k], end)),
                     ):
                         out[name].append(value)
             none = table.column("none").to_numpy() == 1
-            conv = pa.array(table.column("conv").to_numpy(), mask=none)
-            columns = [conv, table.column("turn").combine_chunks(), pa.array(out["place"], pa.int32()), pa.array(out["role"]), pa.array(out["merged"], pa.bool_()), pa.array(out["relabelled"], pa.bool_()), pa.array(out["inserted"], pa.int32()), pa.array(out["cost"], pa.int32()), pa.array(out["piece"], pa.string())]
+            place = (table.column("range").to_numpy().astype(np.int64) << 40) + table.column("row").to_numpy()
+            columns = [pa.array(table.column("conv").to_numpy(), mask=none), table.column("turn").combine_chunks(), pa.array(place), pa.array(out["role"]), pa.array(out["merged"], pa.bool_()), pa.array(out["relabelled"], pa.bool_()), pa.array(out["inserted"], pa.int32()), pa.array(out["cost"], pa.int32()), pa.array(out["piece"], pa.string())]
             yield from pa.Table.from_arrays(columns, TURNS.names).to_batches()
 
-    return rows.join(plan, _KEYS).repartition(*_KEYS).sortWithinPartitions(*_KEYS, "turn", "role", "text").mapInArrow(repaired, TURNS)
+    return by_block(repaired, TURNS, rows.join(plan, _KEYS))
 
 
 def conversations(repaired: DataFrame) -> DataFrame:

@@ -81,19 +81,20 @@ def described(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Of each class: share of rows, mean, and the Cholesky factor of its covariance; or one score for all."""
+    """Of each class: share of rows, mean, the inverse of the Cholesky factor of its covariance, and half its log determinant; or one score for all."""
 
     shares: tuple[float, float]
     means: np.ndarray | None = None
-    factors: np.ndarray | None = None
+    inverses: np.ndarray | None = None
+    logs: np.ndarray | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.means is None:
             return np.full(len(x), self.shares[1])
         logs = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
-            logs.append(np.log(self.shares[k]) - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(self.factors[k])).sum())
+            z = (x - self.means[k]) @ self.inverses[k].T
+            logs.append(np.log(self.shares[k]) - 0.5 * (z * z).sum(axis=1) - self.logs[k])
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
@@ -121,7 +122,7 @@ def learn(features: DataFrame, labels: DataFrame, label: str = "quality", pooled
         shrunk = (1 - pooled) * own[k] + pooled * both
         shrunk = (1 - diagonal) * shrunk + diagonal * np.diag(np.diag(shrunk)) + 1e-6 * np.eye(d)
         factors.append(np.linalg.cholesky(shrunk))
-    return Model((n[0] / sum(n), n[1] / sum(n)), means, np.array(factors))
+    return Model((n[0] / sum(n), n[1] / sum(n)), means, np.linalg.inv(factors), np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(axis=1))
 
 
 def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

@@ -92,7 +92,8 @@ def token_counts(parts: DataFrame, rules: list[Rule]) -> dict[str, int]:
     spark = parts.sparkSession
     wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
     tokens = parts.select(F.explode(F.array_distinct(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"))).alias("token"))
-    counts = tokens.join(F.broadcast(wanted), "token").groupBy("token").count()
+    few = F.broadcast(wanted) if len(rules) <= RULES else wanted
+    counts = tokens.join(few, "token").groupBy("token").count()
     return {r["token"]: r["count"] for r in counts.collect()}
 
 
@@ -121,10 +122,21 @@ def judge(urls: DataFrame, rules: list[Rule], url: str = "url", block: int = RUL
     return parts.withColumn("verdict", F.coalesce("verdict", F.when(F.col("pattern").isNotNull(), "block").otherwise("allow")))
 
 
+class _Searches(dict):
+    """Each rule's search, compiled when a URL first asks for it."""
+
+    def __init__(self, rules: list[Rule]):
+        self.rules = rules
+
+    def __missing__(self, n: int):
+        self[n] = re.compile(self.rules[n].expression).search
+        return self[n]
+
+
 def _judged(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, index = sent.value
-        search = [re.compile(r.expression).search for r in own]
+        search = _Searches(own)
         always = index.get("", [])
         for batch in batches:
             rules, verdicts, patterns = (batch.column(k).to_pylist() for k in ("rule", "verdict", "pattern"))

@@ -88,3 +88,17 @@ def test_repair(spark, block):
         texts = [chat._safe(r[3]) for r in given]
         assert "".join(m[1].replace("\n", "") for m in said) == "".join(texts).replace("\n", "")
     assert chat.repair(df.limit(0)).count() == 0
+
+
+def test_blocks_do_not_show(spark):
+    """The same repair for any block size, and a null conversation of null turns that is many tasks' work."""
+    rng = random.Random(5)
+    roles = ["system", "user", "assistant", "tool"]
+    rows = [(None, None, rng.choice(roles), f"{k % 40}") for k in range(3000)] + [(1, 7, rng.choice(roles), "same") for _ in range(700)] + [(2, t, rng.choice(roles), "x") for t in range(500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    made = []
+    for block in (1, 7, 4096):
+        found = sorted(chat.repair(df, block).collect(), key=lambda r: (r["conv_id"] is None, r["conv_id"] or 0, r["place"]))
+        made.append([tuple(r[c] for c in ("conv_id", "turn", "role", "merged", "relabelled", "inserted", "cost", "piece")) for r in found])
+    assert made[0] == made[1] == made[2] and len(made[0]) == len(rows)
+    assert chat._numbered(df, 100).filter("conv = 0 and none = 1").select("range", "block").distinct().count() >= 30

@@ -1,5 +1,8 @@
+import zlib
 import random
 
+import numpy as np
+
 from borelake.llm import quality
 
 
@@ -29,3 +32,25 @@ def test_held_out_accuracy_and_rare_cases(spark):
     assert quality.scores(docs.limit(0), known).count() == 0
     assert {r["score"] for r in quality.scores(docs, known.limit(0)).collect()} == {0.5}
     assert {r["score"] for r in quality.scores(docs, known.filter("quality = 1")).collect()} == {1.0}
+
+
+def test_scores_against_plain_densities(spark):
+    """The model's scores are those of two normal densities with covariances shrunk as documented, computed without factors."""
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choice(["Word", "a,", "the", "x$", "long-er", "é.", "zz zz"]) for _ in range(rng.randrange(60)))) for k in range(400)] + [(400, None), (401, "")]
+    labels = [(k, k % 3 == 0) for k in range(380)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.scores(docs, spark.createDataFrame([(k, int(q)) for k, q in labels], "doc_id long, quality int")).collect()}
+    x = {k: np.array(quality.statistics(t)) for k, t in rows}
+    learned = {q: np.array([x[k] for k, y in labels if y == q and zlib.crc32(str(k).encode()) % 5]) for q in (False, True)}
+    n = {q: len(v) for q, v in learned.items()}
+    own = {q: np.cov(v.T, bias=True) for q, v in learned.items()}
+    both = sum(n[q] * own[q] for q in n) / sum(n.values())
+    log = {}
+    for q, v in learned.items():
+        c = (1 - quality.POOLED) * own[q] + quality.POOLED * both
+        c = (1 - quality.DIAGONAL) * c + quality.DIAGONAL * np.diag(np.diag(c)) + 1e-6 * np.eye(len(c))
+        d = {k: y - v.mean(axis=0) for k, y in x.items()}
+        log[q] = {k: np.log(n[q] / sum(n.values())) - 0.5 * y @ np.linalg.inv(c) @ y - 0.5 * np.linalg.slogdet(c)[1] for k, y in d.items()}
+    for k in x:
+        assert abs(got[k] - 1 / (1 + np.exp(log[False][k] - log[True][k]))) < 1e-6, k
