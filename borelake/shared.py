@@ -27,9 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def tidy(spark: SparkSession) -> int:
+    """Remove the tables that this process has written to the shared folder; to be called when their results have been used. Checkpoints are Spark's (spark.cleaner.referenceTracking.cleanCheckpoints)."""
+    gone = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def settle(df: DataFrame) -> DataFrame:
