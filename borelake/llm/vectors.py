@@ -116,13 +116,15 @@ def lists_of(near: np.ndarray, pivots: int) -> np.ndarray:
 
 def candidates(near: np.ndarray, side: np.ndarray, key: int, pivots: int, shared: int) -> np.ndarray:
     """Pairs (i < j) of rows of sorted pivots that share enough of them, and whose first common list is ``key``."""
-    numbers, place = np.unique(near, return_inverse=True)
-    has = np.zeros((len(near), len(numbers)), np.float32)
-    has[np.arange(len(near))[:, None], place.reshape(near.shape)] = 1
-    close = np.triu(has @ has.T >= min(shared, near.shape[1]), 1)
+    has = np.zeros((len(near), pivots), np.float32)
+    has[np.arange(len(near))[:, None], near] = 1
+    close = has @ has.T >= min(shared, near.shape[1])
     if side.any() and not side.all():
         close &= side[:, None] != side[None, :]
     i, j = np.nonzero(close)
+    i, j = i[i < j], j[i < j]
+    if not len(i):
+        return np.stack([i, j])
     lists = lists_of(near, pivots)
     keep = np.empty(len(i), bool)
     for k in range(0, len(i), 1 << 14):
