@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 #: Roles by file name, in order (fixed values of the file contract).
 ROLES = (("xsi", r"(?i)xsi"), ("cast", r"(?i)cast"), ("pose", r"(?i)(pose|incl|relbearing)"))
-TARGETS = ("relbearing", "inclination", "depth", "zc", "waveform")
+#: Targets of a mapping: the role of their files, and the hint they expect (fixed values of the mapping format).
+TARGETS = {
+    "cast.zc": ("cast", "zc"), "cast.depth": ("cast", "depth"), "pose.depth": ("pose", "depth"), "pose.inclination": ("pose", "inclination"),
+    "pose.relbearing": ("pose", "relbearing"), "xsi.waveform": ("xsi", "waveform"), "xsi.depth": ("xsi", "depth"), "xsi.time": ("xsi", "time"),
+}
+TODO = "TODO_CONFIRM"
 
 
 def files(spark: SparkSession, folder: str, well: str = "") -> DataFrame:
@@ -37,11 +42,22 @@ def missing_roles(counts: DataFrame, roles: list[str], receivers: int) -> DataFr
     return absent.union(odd)
 
 
-def role_hint(name: Column, shape: Column | None = None) -> Column:
-    """What a field holds, by its name, else by its shape."""
-    n = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
-    hint = F.when(n.rlike("relbearing|relativebearing|^rb"), "relbearing").when(n.rlike("inc"), "inclination").when(n.rlike("depth|^md$|tvd"), "depth").when(n.rlike("zc|impedance"), "zc").when(n.rlike("wave|xsi|side[a-h]$"), "waveform")
-    return hint if shape is None else F.coalesce(hint, F.when(F.array_contains(shape, 180), "zc"))
+def leaf(path: Column) -> Column:
+    """The last part of a field path, letters and digits alone."""
+    return F.regexp_replace(F.lower(F.regexp_extract(path, r"([^.]*)$", 1)), "[^a-z0-9]+", "")
+
+
+def role_hint(path: Column, shape: Column) -> Column:
+    """What a field holds, by the last part of its path and its shape; the first rule that fits."""
+    n = leaf(path)
+    wide = (F.size(shape) >= 2) & (F.array_contains(shape, 1024) | F.array_contains(shape, 8) & F.array_contains(shape, 13))
+    return (
+        F.when(n.contains("azimuth") | n.isin("azi", "azim"), "azimuth").when(n.isin("time", "t", "timems", "tad"), "time").when(n.contains("depth") | n.isin("md", "tvd"), "depth")
+        .when(n.startswith("xsilmr") & (shape == F.array(F.lit(1), F.lit(1))), None)
+        .when(n.contains("relbearing") | n.contains("relativebearing"), "relbearing").when(n.isin("inc", "incl") | n.contains("inclination"), "inclination")
+        .when(n.endswith("zc") | n.contains("impedance") | n.contains("cast") & F.array_contains(shape, 180), "zc").when(n.rlike("wave|xsi") | wide, "waveform")
+        .when(n.contains("zc"), "zc").when(n == "data", "waveform")
+    )
 
 
 def orientation(shape: Column) -> Column:
@@ -49,15 +65,46 @@ def orientation(shape: Column) -> Column:
 
 
 def scored(fields: DataFrame) -> DataFrame:
-    """fields (well_id, field_path, shape, dtype) x targets with confidence; ``best`` marks the one to take, none under 0.70."""
+    """fields (well_id, role of the file, field_path, shape, dtype) x the targets that they can be, with hint and confidence."""
+    n, shape = leaf(F.col("field_path")), F.col("shape")
+    rows = fields.withColumn("hint", role_hint(F.col("field_path"), shape))
+    hint = F.coalesce("hint", F.lit(""))
+    two = F.size(shape) >= 2
+    fits = {
+        "zc": (hint == "zc") | n.endswith("zc") | n.contains("impedance") | n.contains("zc") & two, "depth": (hint == "depth") | n.isin("md", "tvd", "depthinc") | n.endswith("depth"),
+        "inclination": (hint == "inclination") | n.isin("inc", "incl") | n.contains("inclination"), "relbearing": (hint == "relbearing") | n.contains("relbearing") | n.contains("relativebearing"),
+        "waveform": (hint == "waveform") | (n == "data") | n.contains("waveform") | n.contains("wave") & two, "time": (hint == "time") | n.isin("time", "t", "tad", "timeaxis", "timems") | n.contains("time") & (F.size(shape) <= 2),
+    }
+    more = {
+        "zc": F.when(F.array_contains(shape, 180), 0.12), "depth": F.when(n.isin("depth", "md", "depthinc"), 0.12), "inclination": F.when(n.isin("inc", "incl", "inclination"), 0.15),
+        "relbearing": F.when(n.contains("relbearing"), 0.15), "waveform": F.when(F.col("field_path").rlike("Side[A-H]$"), 0.10), "time": F.when(n.isin("time", "t", "tad", "timems"), 0.08),
+    }
+    numeric = F.when(F.col("dtype").isin("float", "double", "int"), 0.04).otherwise(0.0)
+    found = []
+    for target, (role, kind) in TARGETS.items():
+        score = F.lit(0.45) + F.when(hint == kind, 0.32).otherwise(0.0) + F.coalesce(more[kind], F.lit(0.0)) + numeric
+        found.append(F.when((F.col("role") == role) & fits[kind], F.struct(F.lit(target).alias("target"), F.least(F.lit(0.99), score).alias("confidence"))))
+    return rows.withColumn("_t", F.explode(F.array_compact(F.array(*found)))).select(*rows.columns, "_t.*")
+
+
+def recommended(fields: DataFrame, least: float = 0.70, least_waveform: float = 0.72) -> DataFrame:
+    """Per well and target: the field to take and its confidence, TODO_CONFIRM and 0 if none is sure enough; a complete group of waveform sides A-H of one shape goes first, and its sum of confidences decides between groups."""
     from pyspark.sql import Window as W
 
-    rows = fields.withColumn("hint", role_hint(F.col("field_path"), F.col("shape"))).withColumn("target", F.explode(F.array(*map(F.lit, TARGETS))))
-    plain = F.regexp_replace(F.lower("field_path"), "[^a-z0-9]+", "")
-    score = F.lit(0.45) + F.when(F.col("hint") == F.col("target"), 0.32).otherwise(0.0) + F.when(F.contains(plain, F.col("target")), 0.15).otherwise(0.0) + F.when(F.col("dtype").isin("float", "double", "int"), 0.04).otherwise(0.0)
-    rows = rows.withColumn("confidence", F.least(F.lit(0.99), score))
+    rows = scored(fields)
     place = F.row_number().over(W.partitionBy("well_id", "target").orderBy(F.desc("confidence"), "field_path"))
-    return rows.withColumn("place", place).withColumn("best", (F.col("place") == 1) & (F.col("confidence") >= 0.70))
+    first = rows.withColumn("_p", place).filter("_p = 1").select("well_id", "target", "field_path", "confidence")
+    sides = rows.filter("target = 'xsi.waveform'").withColumns({"prefix": F.regexp_extract("field_path", r"^(.+Side)([A-H])$", 1), "letter": F.regexp_extract("field_path", r"^(.+Side)([A-H])$", 2)}).filter("letter <> ''")
+    groups = sides.groupBy("well_id", "prefix", "shape").agg(F.countDistinct("letter").alias("n"), F.sum("confidence").alias("total"), F.least(F.lit(0.99), F.max("confidence") + 0.04).alias("sure")).filter("n = 8")
+    best = groups.groupBy("well_id").agg(F.max_by(F.struct("prefix", "sure"), F.struct(F.col("total"))).alias("g"))
+    wells = fields.select("well_id").distinct()
+    asked = wells.withColumn("target", F.explode(F.array(*map(F.lit, TARGETS)))).join(first, ["well_id", "target"], "left").join(best, "well_id", "left")
+    group = (F.col("target") == "xsi.waveform") & F.col("g").isNotNull()
+    sure = F.coalesce(F.col("confidence") >= F.when(F.col("target") == "xsi.waveform", least_waveform).otherwise(least), F.lit(False))
+    return asked.select(
+        "well_id", "target", F.when(group, F.concat("g.prefix", F.lit("{A-H}"))).when(sure, F.col("field_path")).otherwise(TODO).alias("field_path"),
+        F.when(group, F.col("g.sure")).when(sure, F.col("confidence")).otherwise(0.0).alias("confidence"),
+    )
 
 
 def side_groups(fields: DataFrame) -> DataFrame:
@@ -92,3 +139,19 @@ def write(rows: DataFrame, path: str, overwrite: bool = False, kind: str = "parq
         nested = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
         rows = rows.withColumns({c: F.to_json(c) for c in nested})
     rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).format(kind).save(path)
+
+
+def manifest_warnings(rows: DataFrame, expected: int | None = None, usual: int = 13) -> DataFrame:
+    """Per well of ``classified`` rows: its receivers, and what is odd: no image, no pose, other than the expected or usual number of receivers."""
+    has = lambda r: F.count_if(F.col("role") == r)
+    done = rows.groupBy("well_id").agg(has("cast").alias("_cast"), has("pose").alias("_pose"), has("xsi").alias("n_receivers"))
+    n = F.col("n_receivers")
+    count = F.when(n != (expected or usual), "receivers").when(n != usual, "unusual_receivers")
+    return done.withColumn("warnings", F.array_compact(F.array(F.when(F.col("_cast") < 1, "no_cast"), F.when(F.col("_pose") < 1, "no_pose"), count))).drop("_cast", "_pose")
+
+
+def contract_errors(waveforms: DataFrame, image: DataFrame, sides: int, samples: int, sectors: int) -> DataFrame:
+    """One row: which axes differ from the contract; depths (of image and waveforms) are a warning."""
+    own = waveforms.agg((F.countDistinct("side") != sides).alias("sides"), ((F.max(F.size("samples")) != samples) | (F.min(F.size("samples")) != samples)).alias("samples"), F.countDistinct("xsi_idx").alias("_x"))
+    other = image.agg((F.countDistinct("az_idx") != sectors).alias("sectors"), F.countDistinct("depth_idx").alias("_d"))
+    return own.crossJoin(other).withColumn("depths", F.col("_x") != F.col("_d")).drop("_x", "_d")

@@ -200,3 +200,20 @@ def candidate_ranges(pose: DataFrame, az: Column, seed: int = 20260520) -> DataF
     turn = F.when(F.col("candidate") == "plus", F.col("rb_deg")).when(F.col("candidate") == "minus", -F.col("rb_deg")).when(F.col("candidate") == "none", 0.0).otherwise(F.pmod(F.xxhash64(F.lit(seed), "well_id", "sample_idx"), F.lit(360)).cast("double"))
     rows = pose.withColumn("candidate", F.explode(F.array(*map(F.lit, names)))).withColumn("az", wrap(az + turn))
     return rows.groupBy("well_id", "candidate").agg(F.count("az").alias("n"), F.min("az").alias("az_min"), F.max("az").alias("az_max"), F.bool_and((F.col("az") >= 0) & (F.col("az") < 360)).alias("legal"), F.lit("insufficient_evidence").alias("verdict"))
+
+
+def side_contrast(waveforms: DataFrame) -> DataFrame:
+    """Per well: the range over sides of the median amplitude."""
+    values = waveforms.select("well_id", "side", F.explode("samples").alias("v"))
+    by = values.groupBy("well_id", "side").agg(F.percentile(F.abs("v"), F.lit(0.5)).alias("m"))
+    return by.groupBy("well_id").agg(F.count(F.lit(1)).alias("n_sides"), (F.max("m") - F.min("m")).alias("contrast"))
+
+
+def azimuth_preview(pose: DataFrame, sides: int) -> DataFrame:
+    """Per well at its first, middle and last depth: the azimuth of each side under each candidate but the random one."""
+    counts = pose.groupBy("well_id").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.row_number().over(W.partitionBy("well_id").orderBy("depth")) - 1
+    rows = pose.withColumn("_r", place).join(counts, "well_id").filter((F.col("_r") == 0) | (F.col("_r") == F.floor(F.col("_n") / 2)) | (F.col("_r") == F.col("_n") - 1))
+    turns = F.array(*(F.struct(F.lit(n).alias("candidate"), F.lit(k).alias("k")) for n, k in (("plus", 1), ("minus", -1), ("none", 0))))
+    rows = rows.withColumn("_c", F.explode(turns)).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    return rows.select("well_id", "depth", "_c.candidate", "side", wrap(F.col("side") * (360.0 / sides) + F.col("_c.k") * F.col("rb_deg")).alias("azimuth"))

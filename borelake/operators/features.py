@@ -177,3 +177,25 @@ def standard_differences(rows: DataFrame, names: list[str]) -> DataFrame:
     done = long.groupBy("subset", "name").agg(F.count_if(c).alias("n_candidate"), F.count_if(n).alias("n_non_candidate"), F.avg(F.when(c, F.col("v"))).alias("m1"), F.avg(F.when(n, F.col("v"))).alias("m0"), F.var_samp(F.when(c, F.col("v"))).alias("v1"), F.var_samp(F.when(n, F.col("v"))).alias("v0"))
     spread = F.sqrt((F.col("v1") + F.col("v0")) / 2)
     return done.withColumn("difference", F.try_divide(F.col("m1") - F.col("m0"), F.when(spread > 0, spread))).drop("m1", "m0", "v1", "v0")
+
+
+def transform_report(rows: DataFrame, features: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
+    """Per feature: known values, ranges raw, logged and scaled, the clip limits, and how many values they cut."""
+    done = transformed(rows, features, low, high)
+    ends = done.agg(*(F.percentile(f"log_{f}", F.array(F.lit(low), F.lit(high))).alias(f) for f in features))
+    ends = ends.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f)[0].alias("clip_low"), F.col(f)[1].alias("clip_high")) for f in features))).alias("e")).select("e.*")
+    long = done.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("raw"), F.col(f"log_{f}").alias("log"), F.col(f"scaled_{f}").alias("scaled")) for f in features))).alias("x")).select("x.*")
+    found = long.join(ends, "feature").groupBy("feature", "clip_low", "clip_high").agg(
+        F.count("raw").alias("n"), F.count_if((F.col("log") < F.col("clip_low")) | (F.col("log") > F.col("clip_high"))).alias("n_clipped"),
+        *(f(c).alias(f"{c}_{n}") for c in ("raw", "log", "scaled") for n, f in (("min", F.min), ("max", F.max))),
+    )
+    return found
+
+
+def association_gate(counts: DataFrame, features: DataFrame, seen: DataFrame) -> DataFrame:
+    """One decision: ``counts`` (n_azimuthal, n_non_azimuthal), finite features of the sides, and ``observations`` of the sure plus labels."""
+    finite = features.agg(F.avg(F.coalesce(~F.isnan("rms") & (F.abs("rms") != float("inf")), F.lit(False)).cast("int")).alias("finite_share"))
+    sure = seen.filter("convention = 'plus' and subset = 'high_confidence'").agg(F.coalesce(F.bool_or(F.col("enough") & F.col("signal")), F.lit(False)).alias("sure"))
+    row = counts.crossJoin(finite).crossJoin(sure)  # one row each
+    blocked = (F.col("n_non_azimuthal") < F.col("n_azimuthal")) | (F.col("finite_share") < 0.5) | ~F.col("sure")
+    return row.withColumn("decision", F.when(blocked, "no_go").when(F.col("finite_share") < 0.95, "conditional_go").otherwise("go"))

@@ -132,3 +132,22 @@ def coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
     share = F.try_divide("n_candidate", "n_known")
     level = F.when(share.isNull() | (share < 1e-6) | (share > 0.8), "error").when((share < 0.001) | (share > 0.4), "warn").otherwise("ok")
     return done.withColumns({"coverage": share, "level": level})
+
+
+def audit(labels: DataFrame, low: float = 0.25, warn: float = 0.25, block: float = 0.50) -> DataFrame:
+    """Per well: candidates over both conventions, the share of unsure ones, disagreement and its level."""
+    one = F.col("presence") == 1
+    done = labels.groupBy("well_id").agg(F.count_if(one).alias("n_candidate"), F.count_if(one & (F.col("confidence") < low)).alias("_low"))
+    apart = F.col("disagreement")
+    level = F.when(apart > block, "block").when(apart > warn, "warn").otherwise("ok")
+    return done.join(disagreement(labels), "well_id", "left").withColumns({"low_share": F.try_divide("_low", "n_candidate"), "level": level}).drop("_low")
+
+
+def limit_of(value: float | str | None, confirmed: bool = False, fallback: float = LIMIT) -> tuple[float, str]:
+    """The impedance limit to use and its status: a number is confirmed; anything else takes the fallback, or is an error if it must be confirmed."""
+    try:
+        return float(value), "confirmed"
+    except (TypeError, ValueError):
+        if confirmed:
+            raise ValueError("the impedance limit is not confirmed") from None
+        return fallback, "requires_confirmation"

@@ -51,3 +51,13 @@ def decided(metrics: DataFrame, rules: list[tuple[str, str, float, str]]) -> Dat
     fails = F.when(F.col("value").isNull(), True).when(F.col("how") == "at_least", F.col("value") < F.col("bound")).otherwise(F.col("value") > F.col("bound"))
     done = checked.withColumn("fails", fails).groupBy("well_id").agg(F.count_if(F.col("fails") & ((F.col("level") == "block") | F.col("value").isNull())).alias("n_block"), F.count_if(F.col("fails") & (F.col("level") == "warn")).alias("n_warn"))
     return done.withColumn("decision", F.when(F.col("n_block") > 0, "no_go").when(F.col("n_warn") > 0, "conditional_go").otherwise("go"))
+
+
+def layers(labels: DataFrame) -> DataFrame:
+    """Per turned cell what the review shows: both conventions, where they differ, bad data, outliers, severity of candidates only."""
+    plus = F.col("convention") == "plus"
+    cells = labels.groupBy("well_id", "depth_idx", "az_rot").agg(
+        F.max(F.when(plus, F.col("presence"))).alias("plus"), F.max(F.when(~plus, F.col("presence"))).alias("minus"),
+        F.bool_or(plus & F.col("bad")).alias("bad"), F.bool_or(plus & F.col("outlier")).alias("outlier"), F.max(F.when(plus, F.col("severity"))).alias("severity"),
+    )
+    return cells.withColumns({"apart": F.col("plus") != F.col("minus"), "candidate_severity": F.when(F.col("plus") == 1, F.col("severity"))})

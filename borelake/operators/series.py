@@ -227,3 +227,21 @@ def axes_agree(a: DataFrame, b: DataFrame, keys: list[str], absolute: float = 1e
     both = a.select(*keys, "sample_idx", F.col("depth").alias("a")).join(b.select(*keys, "sample_idx", F.col("depth").alias("b")), [*keys, "sample_idx"], "full")
     far = F.coalesce(F.abs(F.col("a") - F.col("b")) > absolute + relative * F.abs("b"), F.lit(True))
     return both.groupBy(*keys).agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.sum(far.cast("long")).alias("n_far")).withColumn("agree", (F.col("n_a") == F.col("n_b")) & (F.col("n_far") == 0))
+
+
+def contiguity(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Per group: rows, and whether the index has no gaps."""
+    done = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(index).alias("_d"), (F.max(index) - F.min(index) + 1).alias("_w"))
+    return done.withColumn("contiguous", F.col("_d") == F.col("_w")).drop("_d", "_w")
+
+
+def centre_window(spans: DataFrame, size: float, centre: Column | None = None) -> DataFrame:
+    """Per span (start, stop): the window low..high of at most ``size`` around ``centre``, or around the middle, inside the span."""
+    middle = (F.col("start") + F.col("stop")) / 2 if centre is None else centre
+    half = F.least(F.lit(size / 2), (F.col("stop") - F.col("start")) / 2)
+    return spans.withColumns({"low": F.greatest(F.col("start"), middle - half), "high": F.least(F.col("stop"), middle + half)})
+
+
+def limited(rows: DataFrame, index: str, most: int | None) -> DataFrame:
+    """Rows of the first ``most`` depths; all if None. The filter reaches the scan."""
+    return rows if most is None else rows.filter(F.col(index) < most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("series", "labels", "convention", "review")
+MODULES = ("series", "labels", "convention", "review", "reports")
 
 
 def _gathered(name: str) -> dict:

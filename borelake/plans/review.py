@@ -10,8 +10,10 @@ from borelake.operators import labels as L
 from borelake.operators import review as V
 from borelake.operators import series as S
 from borelake.plans import labels as P
+from borelake.plans.series import SQL as SERIES_SQL
 from borelake.plans.series import posed_depths
 from borelake.plans.views import over
+from borelake.shared import stored
 from borelake.sources import adapter as D
 
 QUERIES, SQL = {}, {}
@@ -45,13 +47,30 @@ def manifest_missing(spark, sf):
     return C.missing_roles(C.role_counts(manifest(spark, sf)), ["xsi", "cast", "pose", "report"], 12)
 
 
-@query("field_scores", """WITH f AS (SELECT p_partkey % 7 AS well_id, 'log.' || p_name || CASE p_partkey % 4 WHEN 0 THEN '_rel_bearing' WHEN 1 THEN '_Depth' WHEN 2 THEN '.zc' ELSE '.x' END AS field_path, p_partkey % 3 = 0 AS has180, p_partkey FROM part),
-  h AS (SELECT *, regexp_replace(lower(field_path), '[^a-z0-9]+', '', 'g') AS n FROM f), g AS (SELECT *, coalesce(CASE WHEN regexp_matches(n, 'relbearing|relativebearing|^rb') THEN 'relbearing' WHEN regexp_matches(n, 'inc') THEN 'inclination' WHEN regexp_matches(n, 'depth|^md$|tvd') THEN 'depth' WHEN regexp_matches(n, 'zc|impedance') THEN 'zc' WHEN regexp_matches(n, 'wave|xsi|side[a-h]$') THEN 'waveform' END, CASE WHEN has180 THEN 'zc' END) AS hint FROM h),
-  s AS (SELECT well_id, field_path, target, least(0.99, 0.45 + CASE WHEN hint = target THEN 0.32 ELSE 0 END + CASE WHEN contains(n, target) THEN 0.15 ELSE 0 END + 0.04) AS confidence, p_partkey FROM g, (VALUES ('relbearing'), ('inclination'), ('depth'), ('zc'), ('waveform')) t(target))
-  SELECT well_id, target, field_path, round(confidence, 6) AS confidence FROM s WHERE confidence >= 0.7 QUALIFY row_number() OVER (PARTITION BY well_id, target ORDER BY confidence DESC, field_path) = 1""")
+FIELD = """f AS (SELECT p_partkey % 7 AS well_id, ['cast', 'pose', 'xsi'][(1 + p_partkey % 3)::INT] AS role, 'log.' || CASE p_partkey % 8 WHEN 0 THEN 'RelBearing' WHEN 1 THEN 'Depth' WHEN 2 THEN 'Zc' WHEN 3 THEN 'INCL'
+    WHEN 4 THEN 'time_ms' WHEN 5 THEN 'waveform' WHEN 6 THEN 'x' || p_partkey ELSE 'zc_raw' || p_partkey END AS field_path, CASE WHEN p_partkey % 5 = 0 THEN [100, 180] ELSE [100, 3] END AS shape FROM part)"""
+
+
+@query("field_scores", f"""WITH {FIELD}, l AS (SELECT *, regexp_replace(lower(regexp_extract(field_path, '([^.]*)$', 1)), '[^a-z0-9]+', '', 'g') AS n FROM f),
+  h AS (SELECT *, CASE WHEN n IN ('time', 't', 'timems', 'tad') THEN 'time' WHEN contains(n, 'depth') THEN 'depth' WHEN contains(n, 'relbearing') THEN 'relbearing' WHEN n IN ('inc', 'incl') THEN 'inclination'
+    WHEN suffix(n, 'zc') THEN 'zc' WHEN regexp_matches(n, 'wave|xsi') THEN 'waveform' WHEN contains(n, 'zc') THEN 'zc' ELSE '' END AS hint FROM l),
+  s AS (SELECT h.*, target, least(0.99, 0.45 + CASE WHEN hint = kind THEN 0.32 ELSE 0 END + 0.04 + CASE
+      WHEN kind = 'zc' AND list_contains(shape, 180) THEN 0.12 WHEN kind = 'depth' AND n IN ('depth', 'md', 'depthinc') THEN 0.12 WHEN kind = 'inclination' AND n IN ('inc', 'incl', 'inclination') THEN 0.15
+      WHEN kind = 'relbearing' AND contains(n, 'relbearing') THEN 0.15 WHEN kind = 'time' AND n IN ('time', 't', 'tad', 'timems') THEN 0.08 ELSE 0 END) AS confidence
+    FROM h JOIN (VALUES ('cast.zc', 'cast', 'zc'), ('cast.depth', 'cast', 'depth'), ('pose.depth', 'pose', 'depth'), ('pose.inclination', 'pose', 'inclination'), ('pose.relbearing', 'pose', 'relbearing'),
+      ('xsi.waveform', 'xsi', 'waveform'), ('xsi.depth', 'xsi', 'depth'), ('xsi.time', 'xsi', 'time')) t(target, file, kind) ON role = file AND (hint = kind OR kind = 'time' AND contains(n, 'time')))
+  SELECT w.well_id, t.target, CASE WHEN confidence >= CASE t.target WHEN 'xsi.waveform' THEN 0.72 ELSE 0.7 END THEN field_path ELSE 'TODO_CONFIRM' END AS field_path,
+    CASE WHEN confidence >= CASE t.target WHEN 'xsi.waveform' THEN 0.72 ELSE 0.7 END THEN round(confidence, 6) ELSE 0 END::DOUBLE AS confidence
+  FROM (SELECT DISTINCT well_id FROM f) w CROSS JOIN (SELECT unnest(['cast.zc', 'cast.depth', 'pose.depth', 'pose.inclination', 'pose.relbearing', 'xsi.waveform', 'xsi.depth', 'xsi.time']) AS target) t
+  LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY well_id, target ORDER BY confidence DESC, field_path) = 1) b ON b.well_id = w.well_id AND b.target = t.target""")
 def field_scores(spark, sf):
-    fields = D.table(spark, sf, "part").selectExpr("p_partkey % 7 as well_id", "concat('log.', p_name, case p_partkey % 4 when 0 then '_rel_bearing' when 1 then '_Depth' when 2 then '.zc' else '.x' end) as field_path", "case when p_partkey % 3 = 0 then array(100, 180) else array(100, 3) end as shape", "'double' as dtype")
-    return C.scored(fields).filter("best").select("well_id", "target", "field_path", six(F.col("confidence")).alias("confidence"))
+    """The field to take for each target of each well."""
+    fields = D.table(spark, sf, "part").selectExpr(
+        "p_partkey % 7 as well_id", "element_at(array('cast', 'pose', 'xsi'), cast(1 + p_partkey % 3 as int)) as role",
+        "concat('log.', case p_partkey % 8 when 0 then 'RelBearing' when 1 then 'Depth' when 2 then 'Zc' when 3 then 'INCL' when 4 then 'time_ms' when 5 then 'waveform' when 6 then concat('x', p_partkey) else concat('zc_raw', p_partkey) end) as field_path",
+        "case when p_partkey % 5 = 0 then array(100, 180) else array(100, 3) end as shape", "'double' as dtype",
+    )
+    return C.recommended(fields).select("well_id", "target", "field_path", six(F.col("confidence")).alias("confidence"))
 
 
 @query("label_code_errors", "SELECT count_if(presence NOT IN (-1, 0, 1)) AS presence, count_if(severity NOT IN (-1, 0, 1, 2, 3)) AS severity, count_if(confidence < 0 OR confidence > 1) AS confidence, count_if(confidence IS NULL) AS confidence_missing FROM labels", "labels")
@@ -89,9 +108,10 @@ GATE = [("valid_share", "at_least", 0.70, "block"), ("disagreement", "at_most",
 
 @query("label_gate", "SELECT well_id, CASE WHEN valid_share < 0.7 OR coverage > 0.8 THEN 'no_go' WHEN disagreement > 0.2 THEN 'conditional_go' ELSE 'go' END AS decision FROM (SELECT well_id, avg(baseline_valid::INT) AS valid_share, count_if(presence = 1) / count_if(presence >= 0) AS coverage FROM ruled GROUP BY well_id) JOIN (SELECT well_id, avg((p <> m)::INT) AS disagreement FROM (SELECT well_id, depth_idx, az_rot, max(CASE WHEN convention = 'plus' THEN presence END) AS p, max(CASE WHEN convention = 'minus' THEN presence END) AS m FROM labels GROUP BY ALL) WHERE p >= 0 AND m >= 0 GROUP BY well_id) USING (well_id)", "ruled", "labels")
 def label_gate(spark, sf):
-    rows = P.labels(spark, sf)
-    plain = L.coverage(L.ruled(P.based(spark, sf)), ["well_id"]).select("well_id", F.lit("coverage").alias("metric"), F.col("coverage").alias("value"))
-    valid = P.based(spark, sf).groupBy("well_id").agg(F.avg(F.col("baseline_valid").cast("int")).alias("value")).select("well_id", F.lit("valid_share").alias("metric"), "value")
+    rows = stored(P.labels(spark, sf).select("well_id", "depth_idx", "az_rot", "convention", "presence", "baseline_valid"), "labels")
+    own = rows.filter("convention = 'plus'")
+    plain = L.coverage(own, ["well_id"]).select("well_id", F.lit("coverage").alias("metric"), F.col("coverage").alias("value"))
+    valid = own.groupBy("well_id").agg(F.avg(F.col("baseline_valid").cast("int")).alias("value")).select("well_id", F.lit("valid_share").alias("metric"), "value")
     apart = L.disagreement(rows).select("well_id", F.lit("disagreement").alias("metric"), F.col("disagreement").alias("value"))
     return V.decided(plain.union(valid).union(apart), GATE).select("well_id", "decision")
 
@@ -104,8 +124,8 @@ def sample_gate(spark, sf):
     return V.decided(metrics, [("least_class", "at_least", 20.0, "block"), ("positive_share", "at_least", 0.05, "block"), ("error_share", "at_most", 0.20, "block")]).select("well_id", "decision")
 
 
-@query("alignment_gate", None)
+@query("alignment_gate", f"SELECT well_id, CASE WHEN block IS NULL THEN 'conditional_go' ELSE 'no_go' END AS decision FROM ({SERIES_SQL['axis_overlap']})")
 def alignment_gate(spark, sf):
-    """Axes of the events audited, gridded and judged; a receiver table that is consistent lets a well pass with conditions at best."""
+    """Axes of the events audited, gridded and judged; as their unit is not confirmed, a well passes with conditions at best."""
     axes = S.audit(D.event_series(spark, sf), ["well_id", "series_id"])
     return S.verdict(axes, S.proposed_grid(S.overlap(axes, ["well_id"])), ["well_id"], unit_known=False).select("well_id", "decision")

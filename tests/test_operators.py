@@ -137,10 +137,12 @@ def test_catalog(spark):
     files = [(1, "raw/CAST.mat"), (1, "raw/pose_a.mat"), *((1, f"raw/XSILMR{k:02}.mat") for k in range(1, 13))]
     counts = C.role_counts(C.classified(spark.createDataFrame(files, "well_id long, path string")))
     assert {(r["role"], r["problem"]) for r in C.missing_roles(counts, ["xsi", "cast", "pose"], 13).collect()} == {("xsi", "receivers")}
-    fields = spark.createDataFrame([(1, 1, f"WVFSide{c}", [10, 1024], "double") for c in "ABCDEFGH"] + [(1, 1, "Depth", [10], "double"), (1, 2, "Depth", [11], "double")], "well_id long, receiver int, field_path string, shape array<int>, dtype string")
+    fields = spark.createDataFrame([(1, 1, "xsi", f"WVFSide{c}", [10, 1024], "double") for c in "ABCDEFGH"] + [(1, 1, "xsi", "log.Depth", [10], "double"), (1, 2, "xsi", "log.Depth", [11], "double"), (1, None, "pose", "Tool.RelBearing", [9], "double"), (1, None, "cast", "odd", [9], "char")], "well_id long, receiver int, role string, field_path string, shape array<int>, dtype string")
+    best = {r["target"]: (r["field_path"], round(r["confidence"], 6)) for r in C.recommended(fields).collect()}
+    assert best["xsi.depth"] == ("log.Depth", 0.93) and best["xsi.waveform"] == ("WVFSide{A-H}", 0.95)
+    assert best["pose.relbearing"] == ("Tool.RelBearing", 0.96) and best["cast.zc"] == (C.TODO, 0) and len(best) == 8
+    fields = fields.filter("role = 'xsi'")
     assert C.side_groups(fields).first()["prefix"] == "WVFSide"
-    best = {r["target"]: r["field_path"] for r in C.scored(fields).filter("best").collect()}
-    assert best["depth"] == "Depth" and best["waveform"].startswith("WVFSide")
     audit = C.field_audit(fields, 3).first()
     assert (audit["n_missing"], audit["n_name_sets"], audit["n_shape_mismatch"]) == (1, 2, 1)
 
@@ -160,3 +162,43 @@ def test_quality_review_and_gates(spark, tmp_path):
         C.write(rows, f"{tmp_path}/t")
     C.write(rows.withColumn("s", F.array("v")), f"{tmp_path}/c", kind="csv")
     assert C.files(spark, f"{tmp_path}/t", "w").count() >= 1
+
+
+def test_long_columns_are_linear(spark):
+    """A column of 20,000 rows, in blocks of 500, against plain interpolation."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    value = np.where(rng.random(20_000) < 0.3, rng.random(20_000), np.nan)
+    value[3000:9000] = np.nan  # blocks without a known row
+    rows = spark.createDataFrame([(0, k, k * 0.5, None if np.isnan(v) else float(v)) for k, v in enumerate(value)], "well_id int, depth_idx int, depth double, v double")
+    got = {r["depth_idx"]: r["f"] for r in S.gap_filled(rows, ["well_id"], "v", "f", block=500).collect()}
+    known = np.flatnonzero(~np.isnan(value))
+    want = np.interp(np.arange(20_000), known, value[known])
+    assert max(abs(got[k] - want[k]) for k in range(20_000)) < 1e-9
+    targets = spark.createDataFrame([(0, k, d) for k, d in enumerate((-1.0, 0.0, 2500.25, 9999.5, 20_000.0))], "well_id int, k int, depth double")
+    source = rows.filter("v is not null").select("well_id", "depth", "v")
+    near = {r["k"]: r["x"] for r in S.bracketed(source, targets, ["well_id"], ["v"], span=100.0).select("k", S.lerp("v", "clamp").alias("x")).collect()}
+    assert all(abs(near[k] - np.interp(d, known * 0.5, value[known])) < 1e-9 for k, d in enumerate((-1.0, 0.0, 2500.25, 9999.5, 20_000.0)))
+
+
+def test_limits_and_contiguity(spark):
+    assert L.limit_of("3.5") == (3.5, "confirmed") and L.limit_of("TODO") == (2.5, "requires_confirmation")
+    with pytest.raises(ValueError, match="not confirmed"):
+        L.limit_of(None, confirmed=True)
+    rows = spark.createDataFrame([(0, 1), (0, 2), (0, 4), (1, 5), (1, 6)], "well_id int, k int")
+    assert {r["well_id"]: r["contiguous"] for r in S.contiguity(rows, ["well_id"], "k").collect()} == {0: False, 1: True}
+    assert S.limited(rows, "k", 4).count() == 2 and S.limited(rows, "k", None).count() == 5
+
+
+def test_jumps_stay_inside_windows(spark):
+    """A bearing that jumps across a window's edge only is no jump of the window; one sample has jump 0, no sample none."""
+    pose = spark.createDataFrame([(0, 0.0, 8.0, 0.0), (0, 1.0, 8.0, 10.0), (0, 2.5, 8.0, 170.0), (0, 3.5, 8.0, 180.0), (0, 4.5, 8.0, 180.0)], "well_id int, depth double, inc_deg double, rb_deg double")
+    spans = spark.createDataFrame([(0, 0.0, 8.0)], "well_id int, start double, stop double")
+    got = {r["window"]: r for r in R.windows(pose, spans, 2.0).collect()}
+    assert [got[k]["jump_max"] for k in range(4)] == [10.0, 10.0, 0.0, None]
+    assert [list(got[k]["reasons"]) for k in range(4)] == [[], [], ["few_samples"], ["few_samples", "low_orientation", "low_inclination", "bearing_jump"]]
+    out = spark.createDataFrame([(1.5, 2.0, "M", "slips"), (0.0, 9.0, "ft", "other")], "start double, stop double, unit string, reason string")
+    got = {r["window"]: r for r in R.windows(pose, spans, 2.0, out, "m").collect()}
+    assert list(got[0]["reasons"]) == ["interval:slips"] and list(got[1]["reasons"]) == []
+    assert [r["window"] for r in R.best_windows(R.windows(pose, spans, 2.0), 1).collect()] == [0]
