@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.buckets import parted
+from borelake.llm.buckets import parted, returned
 
 #: Pattern by which byte-level tokenizers split texts (a fixed value of the format).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -426,7 +426,7 @@ def _appended(df: DataFrame, column: str, kind: T.DataType, maker: Bpe | Labels,
         for batch in parted(batches, of, PART):
             yield pa.RecordBatch.from_arrays([*batch.columns, f(sent.value, batch.column(of))], [*batch.schema.names, column])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, kind)]))
+    return df.mapInArrow(returned(run), T.StructType([*df.schema.fields, T.StructField(column, kind)]))
 
 
 def encode(df: DataFrame, source: str, text: str = "text", ids: str = "ids") -> DataFrame:

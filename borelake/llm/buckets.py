@@ -9,6 +9,7 @@ one group and one batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ def per_group(rows: DataFrame, names: list[str], kernel: Callable[[dict[str, np.
         for table, edges in whole_groups(batches, names):
             yield from _made(table, edges[:-1], edges[1:], kernel, out)
 
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, out)
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(returned(run), out)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -86,6 +87,19 @@ def _edges(table: pa.Table, names: list[str]) -> list[int]:
     return np.flatnonzero(new).tolist()
 
 
+def returned(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives the memory that the task has used back to the system; workers wait for other tasks, beside those of other stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches in parts of at most ``rows`` rows, so that what is made of texts is sent on before the next are read."""
     for batch in batches:

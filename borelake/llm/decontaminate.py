@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.buckets import parted
+from borelake.llm.buckets import parted, returned
 from borelake.shared import stored
 
 WINDOW = 13
@@ -269,7 +269,7 @@ def judged(docs: DataFrame, items: DataFrame, use, out: T.StructType, n: int = W
             for batch in parted(batches, "text", PART):
                 yield use(batch, *sent.value.judged(batch.column("text")))
 
-        return docs.mapInArrow(once, out)
+        return docs.mapInArrow(returned(once), out)
     columns = docs.columns
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
     hit = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_hits", _RUN), T.StructField("_names", _NAMES)])
@@ -282,7 +282,7 @@ def judged(docs: DataFrame, items: DataFrame, use, out: T.StructType, n: int = W
                 some = [k for k, m in enumerate(masks) if m is not None]
                 yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(some, pa.int64())), pa.array([_runs(masks[k]) for k in some], _ARROW_RUN), pa.array([names[k] for k in some], _ARROW_NAMES)], hit.names)
 
-        part = stored(rows.select("_row", "text").mapInArrow(scanned, hit), "decontaminate-hits")
+        part = stored(rows.select("_row", "text").mapInArrow(returned(scanned), hit), "decontaminate-hits")
         found = part if found is None else found.union(part)
     # a row has at most one row of hits for each block
     found = found.groupBy("_row").agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.flatten(F.collect_list("_names")).alias("_names"))
@@ -299,7 +299,7 @@ def judged(docs: DataFrame, items: DataFrame, use, out: T.StructType, n: int = W
                 names.append(sorted(set(ids or [])))
             yield use(batch.select(columns), sizes, masks, names)
 
-    return rows.join(found, "_row", "left").select(*columns, "_hits", "_names").mapInArrow(united, out)
+    return rows.join(found, "_row", "left").select(*columns, "_hits", "_names").mapInArrow(returned(united), out)
 
 
 def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

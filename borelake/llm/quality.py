@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.buckets import sliced
+from borelake.llm.buckets import returned, sliced
 from borelake.shared import stored
 
 FEATURES = ("symbols", "capitals", "stutter", "repeats", "stops", "word_length")
@@ -76,7 +76,7 @@ def described(docs: DataFrame) -> DataFrame:
             x = np.array([statistics(t.as_py()) for t in batch.column("text")], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], out.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text").mapInArrow(returned(run), out)
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
             x = np.column_stack([batch.column(f).to_numpy() for f in FEATURES])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.scores(x))], ["doc_id", "score"])
 
-    found = features.mapInArrow(run, out)
+    found = features.mapInArrow(returned(run), out)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -151,7 +151,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
             x = np.array([statistics(t.as_py()) for t in batch.column("text")], np.float64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(sent.value.scores(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returned(run), docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

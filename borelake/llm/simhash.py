@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.buckets import compare, forest, sliced
+from borelake.llm.buckets import compare, forest, returned, sliced
 from borelake.operators.components import components
 from borelake.shared import settle, stored
 
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             found = [fingerprint(x.as_py(), shingle) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text").mapInArrow(returned(run), out)
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
             n, both = n + len(x), both + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([both.astype(np.int64).ravel().tolist()], pa.list_(pa.int64()))], ["n", "both"])
 
-    each = fps.select("fp").mapInArrow(run, out).select("n", F.posexplode("both").alias("at", "both"))
+    each = fps.select("fp").mapInArrow(returned(run), out).select("n", F.posexplode("both").alias("at", "both"))
     sums = each.groupBy("at").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).collect()
     both = np.zeros(BITS * BITS)
     for row in sums:
@@ -184,7 +184,7 @@ def filed(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
                         own = np.flatnonzero(other > value) if k else np.arange(len(fps))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int32)), pa.array(other[own]), pa.array(np.full(len(own), k > 0)), pa.array(fps[own])], FILED.names)
 
-    return fps.select("fp").mapInArrow(run, FILED)
+    return fps.select("fp").mapInArrow(returned(run), FILED)
 
 
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelake.llm.buckets import sliced, whole_groups
+from borelake.llm.buckets import returned, sliced, whole_groups
 from borelake.shared import settle, stored
 
 LENGTH = 50
@@ -301,7 +301,7 @@ def first_buckets(docs: DataFrame, many: int = MANY, chunk: int = CHUNK, part_by
         u = np.repeat(on, np.diff(np.append(at_key, len(key)))) & ~later & ~hot
         yield pa.RecordBatch.from_arrays(_asked(doc[u], tag[u], at[u], _bucket(np.uint64(part), key[u], bits)), FOUND.names)
 
-    return rows.mapInArrow(read, SENT).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(bucket, FOUND)
+    return rows.mapInArrow(returned(read), SENT).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(returned(bucket), FOUND)
 
 
 def packed_texts(docs: DataFrame, name: str = "_packed") -> DataFrame:
@@ -316,7 +316,7 @@ def packed_texts(docs: DataFrame, name: str = "_packed") -> DataFrame:
             columns = [batch.column(f.name) for f in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([None if r is None else tag_of(r) for r in raw], pa.int32()), pa.array([None if r is None else press.compress(r) for r in raw], pa.binary())], out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(returned(run), out)
 
 
 CONTEXT = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("context", T.BinaryType())])
@@ -339,7 +339,7 @@ def contexts(docs: DataFrame, asks: DataFrame) -> DataFrame:
                 flat = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * _WIDTH, _WIDTH, dtype=np.int32)), pa.py_buffer(bytes_.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, REACH, np.int32)), pa.array(key), pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, tag.as_py(), np.int32)), pa.array(at.astype(np.int32)), flat], CONTEXT.names)
 
-    return texts.join(asked, ["doc_id", "tag"]).mapInArrow(_rebatched(run), CONTEXT)
+    return texts.join(asked, ["doc_id", "tag"]).mapInArrow(returned(_rebatched(run)), CONTEXT)
 
 
 def _rebatched(run, rows: int = 20_000):
@@ -411,7 +411,7 @@ def window_spans(rows: DataFrame) -> DataFrame:
                 if len(k):
                     yield pa.RecordBatch.from_arrays(_windows(table.take(pa.array(k)), group[k]), FOUND.names)
 
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, FOUND)
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(returned(run), FOUND)
 
 
 def _windows(table: pa.Table, group: np.ndarray) -> list[pa.Array]:
@@ -485,7 +485,7 @@ def cut(docs: DataFrame, **how) -> DataFrame:
                 runs.append(len(start))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs))], out.names)
 
-    return joined.mapInArrow(run, out)
+    return joined.mapInArrow(returned(run), out)
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
@@ -501,7 +501,7 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
             texts = pa.array([None if null else k.decode("utf-8", "ignore") for k, null in kept], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(names.get(c, c)) for c in columns], columns)
 
-    return done.mapInArrow(run, docs.schema)
+    return done.mapInArrow(returned(run), docs.schema)
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borelake.llm.bpe import ChunkedEncoder, byte_letters, tokenizer_source
-from borelake.llm.buckets import parted
+from borelake.llm.buckets import parted, returned
 from borelake.shared import new_folder
 
 #: Ids in a word, by selector (fixed values of the format).
@@ -236,7 +236,7 @@ def write(docs: DataFrame, path: str, source: str, end_id: int | None = 2, block
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(coded, BLOCKS).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(returned(coded), BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -264,7 +264,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 starts = before[row["shard"]] + row["first"] + ends - sizes
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(sizes), pa.array(parts, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.mapInArrow(decoded, READ)
+    return blocks.mapInArrow(returned(decoded), READ)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
