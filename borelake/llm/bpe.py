@@ -417,21 +417,27 @@ def lists_of(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(4 * np.concatenate(([0], ends))), pa.py_buffer(ids)]).cast(pa.binary())
 
 
-def _appended(df: DataFrame, column: str, kind: T.DataType, maker: Bpe | Labels, of: str, f) -> DataFrame:
+def _appended(df: DataFrame, column: str, kind: T.DataType, maker: Bpe | Labels, of: str, f, part: int = PART) -> DataFrame:
     """``df`` with ``column`` = f(maker, column ``of`` of a part of the rows), in place of any column so named."""
     df = df.drop(column)
     sent = df.sparkSession.sparkContext.broadcast(maker)  # a worker opens it once, and so keeps what its encoder has learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parted(batches, of, PART):
+        for batch in parted(batches, of, part):
             yield pa.RecordBatch.from_arrays([*batch.columns, f(sent.value, batch.column(of))], [*batch.schema.names, column])
 
     return df.mapInArrow(returned(run), T.StructType([*df.schema.fields, T.StructField(column, kind)]))
 
 
-def encode(df: DataFrame, source: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with its texts' ids in ``ids``: little-endian unsigned 32-bit integers."""
-    return _appended(df, ids, T.BinaryType(), Bpe(source), text, lambda bpe, texts: lists_of(*bpe.chunks.encode(texts)))
+def encode(df: DataFrame, source: str, text: str = "text", ids: str = "ids", part: int = PART, remembered: int = REMEMBERED) -> DataFrame:
+    """``df`` with its texts' ids in ``ids``: little-endian unsigned 32-bit integers.
+
+    Parts of ``part`` bytes and ``remembered`` chunks change memory and time alone: a worker takes about
+    270 MB with the defaults, 160 MB at 1 MB and 50,000 chunks, for 1.8 times the time.
+    """
+    maker = Bpe(source)
+    maker.chunks.size = remembered
+    return _appended(df, ids, T.BinaryType(), maker, text, lambda bpe, texts: lists_of(*bpe.chunks.encode(texts)), part)
 
 
 def decode(df: DataFrame, source: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
