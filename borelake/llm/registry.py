@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "bpe", "token_files", "simhash", "vectors", "urls", "quality", "substrings", "pages", "chat", "trie", "periods")
+MODULES = ("decontaminate", "bpe", "token_files", "simhash", "vectors", "urls", "quality", "substrings", "pages", "chat", "toxicity", "trie", "periods")
 
 
 def _gathered(name: str) -> dict:
