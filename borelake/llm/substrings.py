@@ -324,9 +324,13 @@ _WIDTH = LENGTH + REACH
 
 
 def contexts(docs: DataFrame, asks: DataFrame) -> DataFrame:
-    """Undecided anchors with the bytes of their contexts: windows over one can begin ``low`` to ``high`` bytes into them."""
-    asked = asks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "key")).alias("asks"))
+    """Undecided anchors with the bytes of their contexts: windows over one can begin ``low`` to ``high`` bytes into them.
+
+    Repeated rows ask for the same: each place is asked for once, and each text is there once.
+    """
+    asked = asks.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "key")).alias("asks"))
     texts = packed_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")).withColumnRenamed("_tag", "tag")
+    texts = texts.groupBy("doc_id", "tag").agg(F.first("_packed").alias("_packed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()

@@ -101,3 +101,13 @@ def test_refinement_numbers():
         for k in range(40):
             want.setdefault(context[k, j : j + N].tobytes(), set()).add(int(ids[k, j]))
         assert all(len(v) == 1 for v in want.values()) and len({next(iter(v)) for v in want.values()}) == len(want)
+
+
+def test_repeated_rows_ask_once(spark):
+    """Copies of a row share their text's contexts: many make as many rows as one."""
+    text = "".join(chr(97 + k * k % 23) for k in range(400))
+    tag = substrings.tag_of(text.encode())
+    for copies in (1, 60):
+        docs = spark.createDataFrame([(1, text), (2, text)] * copies, "doc_id long, text string")
+        asks = spark.createDataFrame([(d, tag, s, 7) for d in (1, 2) for s in (0, 50, 90)] * copies, "doc_id long, tag int, start int, key long")
+        assert substrings.contexts(docs, asks).count() == 6
