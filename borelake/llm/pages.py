@@ -14,14 +14,14 @@ A slot is template if
 
 * it is in a part of the page that HTML itself names as such (head, navigation, page
   header, footer, side bar, form, script, style, by tag or role, or hidden);
-* a block of the wrapper around it is named like a template (class or id, as menu,
-  side bar, advert, notice or comments) and the wrapper shows it to be an aside: it is
-  no paragraph or the like, has no article or main heading inside, and holds
-  under ``ALL`` of the host's text;
+* a block of the wrapper around it is a form or named like a template (class or id, as
+  menu, side bar, advert, notice or comments) and the wrapper shows it to be an aside: it
+  is no paragraph or the like, has no article (but named ones, as of a comment) or main
+  heading inside, and holds under ``ALL`` of the host's text, or is a form without a paragraph;
 * or, outside of an article, at least ``SAME`` different pages have it and all of them
   say the same, though it is less than half of the host's text, or most of it is links.
 
-If a page has an article or main region, only what is inside counts.  Names alone
+If a page has an article or main region with more than headings, only what is inside counts.  Names alone
 decide nothing: a body or a container named ``has-sidebar`` holds the text, and stays.
 
 Readers align what they have read and send one partial wrapper for each host.
@@ -33,9 +33,8 @@ take at most ``SENT_BYTES``, else by a join on the host.
 Defined results: null or empty html has empty text; a page without host shares
 the wrapper of all such; repeated rows give repeated rows, and copies of a page
 count as one page; null page_id or url are returned as they are; no pages give no
-rows; broken or unclosed tags are closed by the next block; blocks nested deeper than
-``LEVELS`` have the slots of that depth and marks of their own; further columns are
-ignored by ``extract``.
+rows; broken or unclosed tags are closed by the next block; blocks may be nested to any
+depth; further columns are ignored by ``extract``.
 """
 
 from __future__ import annotations
@@ -62,29 +61,30 @@ SAME = 3
 #: Share of a host's text that makes a block the body of its pages, whatever its name.
 ALL = 0.9
 SENT_BYTES = 64_000_000
-LEVELS = 1_000
 #: Wrapper nodes and forms of pages that a reader holds before it sends what it has.
 HELD = 50_000
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * LEVELS))
+#: Trees are as deep as pages are; calls of plain Python functions take heap, not stack.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Tag names and roles (fixed values of HTML).
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style".split())
 _CLOSE_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd".split())
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TEMPLATE = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu audio video map".split())
+_TEMPLATE = frozenset("head title nav footer aside script style noscript template iframe object svg canvas button select textarea dialog menu audio video map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: Words of class and id by which authors name asides (fixed values of common usage), alone or with a word before and a kind of block after.
 _NAMES = re.compile(
     r"(?!(?:has|no|not|with|without|is|show|hide|js)[-_])(?:[a-z0-9]+[-_])?(?:ads?|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead"
-    r"|cookies?|consent|gdpr|notices?|popup|modal|newsletter|signup|login|comments?|respond|disqus|toolbar|pagination|pager)(?:[-_](?:list|section|area|box|wrapper|wrap|container|block|bar|inner|content|widget|top|bottom|left|right|notice|banner|form|[0-9]+))?"
+    r"|cookies?|consent|gdpr|notices?|popup|modal|newsletter|signup|login|comments?|respond|disqus|toolbar|pagination|pager)(?:[-_](?:list|section|area|box|wrapper|wrap|container|block|bar|inner|content|widget|top|bottom|left|right|notice|banner|form|thread|[0-9]+))?"
 )
 #: Blocks that are text themselves, and blocks that mark the body of a page.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption address".split())
 _BODY = frozenset("article main h1".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
@@ -105,10 +105,23 @@ class Node:
         return self.key if self.key != "()" else "(" + " ".join(k.shape() for k in self.kids) + ")"
 
     def expression(self) -> str:
-        inner = " ".join(k.expression() for k in self.kids)
-        own = "TEXT" if self.key == "#" else f"({inner})" if self.key == "()" else f"<{self.key}>{inner}</>"
-        marks = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[self.optional, self.repeated]
-        return f"({own}){marks}" if marks and self.key != "()" else own + marks
+        """The regular expression of the tree, written without recursion."""
+        out: list[str] = []
+        stack: list[Node | str] = [self]
+        while stack:
+            n = stack.pop()
+            if isinstance(n, str):
+                out.append(n)
+                continue
+            marks = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[n.optional, n.repeated]
+            begin, end = ("TEXT", "") if n.key == "#" else ("(", ")") if n.key == "()" else (f"<{n.key}>", "</>")
+            if marks and n.key != "()":
+                begin, end = f"({begin}", f"{end})"
+            stack.append(end + marks)
+            for k in range(len(n.kids) - 1, -1, -1):
+                stack += [n.kids[k], " "] if k else [n.kids[k]]
+            out.append(begin)
+        return "".join(out)
 
     def now(self) -> Node:
         node = self
@@ -190,6 +203,7 @@ class Page:
         self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.links = self.link = 0
+        self.said_more = False  # whether an article says more than headings
         at = 0
         html = html or ""
         size = len(html)
@@ -215,6 +229,8 @@ class Page:
         while len(self.stack) > 1:
             self._pop()
         self._fold(self.root)
+        if not self.said_more:
+            self.blocks = [(node, False, *rest) for node, _, *rest in self.blocks]
         #: Slots in order, and what distinguishes trees.
         self.slots: list[Node] = []
         parts: list[str] = []
@@ -236,7 +252,8 @@ class Page:
     def _flush(self) -> None:
         text = " ".join(entities.unescape("".join(self.text)).split()) if self.text else ""
         if text:
-            _, node, main, template = self.stack[-1]
+            name, node, main, template = self.stack[-1]
+            self.said_more |= main and not template and name not in _HEADINGS
             if not node.kids or node.kids[-1].key != "#":
                 node.kids.append(Node("#"))
             self.blocks.append((node.kids[-1], main, template, text, min(self.links, len(text))))
@@ -260,24 +277,22 @@ class Page:
             classes = own.get("class", "").lower().split()
             key = ".".join((name, *sorted(classes)))
             named = name not in _PROSE and any(map(_NAMES.fullmatch, (*classes, own.get("id", "").lower().strip())))
-            main = main or own.get("role") in ("main", "article") or own.get("itemprop") == "articleBody"
-            template = template or own.get("role") in _ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
-        main = main or name in ("article", "main")
+            main = main or not named and (own.get("role") in ("main", "article") or own.get("itemprop") == "articleBody")
+            template = template or own.get("role") in _ROLES and name != "form" or "hidden" in own
+        main = main or not named and name in ("article", "main")
         template = template or name in _TEMPLATE or name == "header" and not main
         if name in _VOID:
             return
         self.open[name] += 1
-        if len(self.stack) <= LEVELS:
-            node = Node(key, named=named)
-            parent.kids.append(node)
-            parent = node
-        self.stack.append((name, parent, main, template or named and len(self.stack) > LEVELS))
+        # a named block is no neighbour of equal shape to one that isn't
+        node = Node(f"{key}.~" if named else key, named=named or name == "form")
+        parent.kids.append(node)
+        self.stack.append((name, node, main, template))
 
     def _pop(self) -> str:
         name, node, _, _ = self.stack.pop()
         self.open[name] -= 1
-        if node is not self.stack[-1][1]:
-            self._fold(node)
+        self._fold(node)
         return name
 
     @staticmethod
@@ -376,17 +391,20 @@ class Host:
         nodes = list(self.nodes())
         article = any(n.said and n.said[3] for n in nodes)
         chars = {n: n.said[1] if n.said and (n.said[3] or not article) else 0 for n in nodes}
-        core = {n: n.key.split(".")[0] in _BODY for n in nodes}
+        core = {n: n.key.split(".")[0] in _BODY and not n.named for n in nodes}
+        prose = {n: n.key.split(".")[0] == "p" for n in nodes}
         for n in reversed(nodes):
             for k in n.kids:
                 chars[n] += chars[k]
                 core[n] |= core[k]
+                prose[n] |= prose[k]
         total, every = chars[self.root], sum(n.said[1] for n in nodes if n.said)
         found: set[Node] = set()
         stack = [(self.root, False)]
         while stack:
             n, aside = stack.pop()
-            aside = aside or n.named and not core[n] and chars[n] < ALL * total or n.named and not total
+            small = chars[n] < ALL * total or n.key.split(".")[0] == "form" and not prose[n]
+            aside = aside or n.named and not core[n] and small or n.named and not total
             stack += [(k, aside) for k in n.kids]
             if n.said:
                 text, size, links, main, pages = n.said

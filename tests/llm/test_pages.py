@@ -105,7 +105,7 @@ def test_pages_without_text_or_path_keep_the_template():
     assert read([*sources, None, "", "<p>broken"]) == [*(f"Own {k} with some more words" for k in range(20)), "", "", "broken"]
 
 
-@pytest.mark.parametrize("deep", [70, pages.LEVELS + 5, 5000])
+@pytest.mark.parametrize("deep", [70, 1_005, 5000])
 def test_marks_and_ends_of_deep_blocks(deep):
     assert read(["<div>" * deep + "<nav>menu</nav><p>text</p>" + "</div>" * deep]) == ["text"]
     assert read(["<div>" * deep + "<nav>menu</nav><article><p>Story</p></article>x" + "</div>" * deep]) == ["Story"]
@@ -123,3 +123,64 @@ def test_common_host(spark):
     assert got == {k: f"{'' if k % 9 else 'Same words' + chr(10)}T{k}\nOwn {k} and some more words" for k in range(400)}
     found = {r["host"]: r for r in pages.wrappers(df).collect()}
     assert found["big.org"]["pages"] == 355 and found["big.org"]["n_template"] == 1
+
+
+def text(html):
+    """The text of a page that is alone on its host."""
+    host = pages.Host()
+    host.add(pages.Page(html))
+    return pages.Wrapper(pages.Host.load(host.dump())).text(html)
+
+
+@pytest.mark.parametrize("deep", [5, 990, 1_010, 5_000])
+def test_depth_decides_nothing(deep):
+    own = "<div class='comments'><div><p>only text of the page</p></div></div>"
+    assert text("<div>" * deep + own + "</div>" * deep) == "only text of the page"
+    both = "<article><p>the article says this</p></article><div class='comments'><p>a reader says that</p></div>"
+    assert text("<section>" * deep + both + "</section>" * deep) == "the article says this"
+
+
+def test_hidden_is_an_attribute():
+    assert text("<div title='is hidden here'><p>shown</p></div><p data-x=hidden>too</p>") == "shown\ntoo"
+    assert text("<p>shown</p><div hidden><p>not</p></div><div hidden=''>nor this</div><div class='a' HIDDEN>nor that</div>") == "shown"
+
+
+def test_forms():
+    assert text("<form id='page'><h1>Title</h1><p>All of a page can be in a form.</p><input name='x'><select><option>1</option></select></form>") == "Title\nAll of a page can be in a form."
+    assert text("<div><p>The text of the page.</p></div><form><label>Your name</label><input></form>") == "The text of the page."
+    assert text("<form><label>Search</label></form>") == ""
+
+
+def test_comments_and_titles():
+    assert text("<title>Site</title><p>words</p>") == "words"
+    assert text("<div><p>The page.</p></div><div id='disqus_thread'><p>first!</p></div>") == "The page."
+    page = "<article><h1>Head</h1><p>The article.</p></article><div class='user-comments'><article class='comment'><p>first!</p></article><article class='comment'><p>second!</p></article></div>"
+    assert text(page) == "Head\nThe article."
+    assert text("<main><h1>T</h1></main><div>body</div>") == "T\nbody"
+
+
+def site(rng, n):
+    """Pages of one made-up host with what their text is, by construction."""
+    words = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "and", "of"]) for _ in range(k))
+    box, side, foot = rng.choice(["div", "section", "td"]), rng.choice(["sidebar", "widget-menu", "advert"]), words(6)
+    menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("home", "news", "about"))
+    wraps = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), (f"<{box} class='post'>", f"</{box}>")])
+    for _ in range(n):
+        own = [f"{words(3)} {rng.random()}"] + [words(rng.randint(5, 40)) for _ in range(rng.randint(2, 9))]
+        body = f"<h1>{own[0]}</h1>" + "".join(rng.choice(["<p>{}</p>", "<p>\n {} </p>", "<blockquote>{}</blockquote>"]).format(t.replace(" and ", " <b>and</b>\n  ")) for t in own[1:])
+        asides = f"<div class='{side}'><p>{words(4)}</p></div>" if rng.random() < 0.7 else ""
+        notes = f"<div id='comments'><div><p>{words(8)}</p></div></div>" if rng.random() < 0.5 else ""
+        yield f"<html><head><title>{own[0]}</title></head><body><nav><ul>{menu}</ul></nav>{asides}{wraps[0]}{body}{wraps[1]}{notes}<footer>{foot}</footer><script>var x = '<p>no</p>';</script></body></html>", "\n".join(own)
+
+
+def test_made_sites(spark):
+    """Texts are known by construction; all of all pages must come out, whatever the host's style."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for host in range(25):
+        for page, (html, own) in enumerate(site(rng, rng.choice([1, 2, 12]))):
+            key = f"{host}-{page}"
+            rows.append((key, f"http://h{host}.example/{page}", html))
+            want[key] = own
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == want
