@@ -36,9 +36,11 @@ Strings of added tokens become their ids.
 from __future__ import annotations
 
 import json
+import unicodedata
 from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,44 @@ REMEMBERED = 150_000
 PART = 4 << 20
 
 
+#: What stands for a character of another Unicode version while a text is cut: a letter (of no contraction), a number, a mark, a space.
+_STANDS = {"L": "b", "N": "1", "S": "!", "Z": "\t"}
+
+
+@cache
+def reclassified() -> dict[int, str]:
+    """Code points that the pattern's engine takes for another kind than the tokenizers library does, with what stands for them.
+
+    Engines have tables of different Unicode versions. Only code points on which this one and Python's
+    differ are asked for; the library's own splitter says what they are.
+    """
+    from tokenizers import pre_tokenizers
+
+    splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    every = "".join(chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000)
+    here = {k: set(regex.findall(rf"\p{{{k}}}", every)) for k in "LN"}
+    spaces = set(regex.findall(r"\s", every))
+    asked = [c for c in every if (kind := unicodedata.category(c)[0], [c in here[k] for k in "LN"])[1] != [kind == k for k in "LN"] or (c in spaces) != c.isspace()]
+
+    def joined(head: str) -> set[str]:
+        """Those that stay in one piece with ``head``."""
+        found = set()
+        for k in range(0, len(asked), 500):
+            part = asked[k : k + 500]
+            begins = {a for _, (a, _) in splitter.pre_tokenize_str("".join(f"{head}{c}\n\n" for c in part))}
+            found |= {c for n, c in enumerate(part) if 4 * n + 1 not in begins}
+        return found
+
+    kinds = {"L": joined("a"), "N": joined("1"), "S": joined("!")}
+    out = {}
+    for c in asked:
+        said = next((k for k, own in kinds.items() if c in own), "Z")
+        mine = "L" if c in here["L"] else "N" if c in here["N"] else "Z" if c in spaces else "S"
+        if said != mine:
+            out[ord(c)] = _STANDS[said]
+    return out
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: itself if printable, else the next free code point from 256."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -369,6 +409,8 @@ class Bpe:
         if any(a[k] for a in said.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens with options")
         self.piece = regex.compile(PIECE)
+        self.stands = reclassified()
+        self.odd = regex.compile("[" + "".join(map(chr, self.stands)) + "]") if self.stands else None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.chunks = ChunkedEncoder(self._many, self._words, list(self.added))
 
@@ -379,13 +421,19 @@ class Bpe:
         found = dict(self.automaton.walks([b" " + s.encode() for s in stems]))
         return [found[b" " + s.encode()] for s in stems]
 
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a text, as the library cuts it."""
+        if self.odd is None or text.isascii() or not self.odd.search(text):
+            return self.piece.findall(text)
+        return [text[m.start() : m.end()] for m in self.piece.finditer(text.translate(self.stands))]
+
     def _ids(self, text: str) -> bytes:
         found: list[int] = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 found.append(self.added[part])
             else:
-                for piece in self.piece.findall(part):
+                for piece in self._cut(part):
                     found += self.automaton.walk(piece.encode("utf-8"))
         return array("I", found).tobytes()
 
