@@ -88,7 +88,7 @@ def scored(fields: DataFrame) -> DataFrame:
 
 
 def recommended(fields: DataFrame, least: float = 0.70, least_waveform: float = 0.72) -> DataFrame:
-    """Per well and target: the field to take and its confidence, TODO_CONFIRM and 0 if none is sure enough; a complete group of waveform sides A-H of one shape goes first, and its sum of confidences decides between groups."""
+    """Per well and target: the field to take and its confidence, TODO_CONFIRM and 0 if none is sure enough; a complete group of waveform sides A-H of one shape goes first; the greatest sum of confidences decides between groups, of equal ones the smaller prefix."""
     from pyspark.sql import Window as W
 
     rows = scored(fields)
@@ -96,7 +96,7 @@ def recommended(fields: DataFrame, least: float = 0.70, least_waveform: float =
     first = rows.withColumn("_p", place).filter("_p = 1").select("well_id", "target", "field_path", "confidence")
     sides = rows.filter("target = 'xsi.waveform'").withColumns({"prefix": F.regexp_extract("field_path", r"^(.+Side)([A-H])$", 1), "letter": F.regexp_extract("field_path", r"^(.+Side)([A-H])$", 2)}).filter("letter <> ''")
     groups = sides.groupBy("well_id", "prefix", "shape").agg(F.countDistinct("letter").alias("n"), F.sum("confidence").alias("total"), F.least(F.lit(0.99), F.max("confidence") + 0.04).alias("sure")).filter("n = 8")
-    best = groups.groupBy("well_id").agg(F.max_by(F.struct("prefix", "sure"), F.struct(F.col("total"))).alias("g"))
+    best = groups.groupBy("well_id").agg(F.min_by(F.struct("prefix", "sure"), F.struct(-F.col("total"), F.col("prefix"), F.to_json("shape"))).alias("g"))
     wells = fields.select("well_id").distinct()
     asked = wells.withColumn("target", F.explode(F.array(*map(F.lit, TARGETS)))).join(first, ["well_id", "target"], "left").join(best, "well_id", "left")
     group = (F.col("target") == "xsi.waveform") & F.col("g").isNotNull()
@@ -120,27 +120,6 @@ def field_audit(fields: DataFrame, receivers: int) -> DataFrame:
     return by.groupBy("well_id").agg((F.lit(receivers) - F.countDistinct("receiver")).alias("n_missing"), F.countDistinct("names").alias("n_name_sets")).join(shapes, "well_id")
 
 
-def code_errors(labels: DataFrame) -> DataFrame:
-    """Rows of a label table outside the legal codes and ranges (fixed values of the label format)."""
-    return labels.agg(
-        F.count_if(~F.col("presence").isin(-1, 0, 1)).alias("presence"), F.count_if(~F.col("severity").isin(-1, 0, 1, 2, 3)).alias("severity"),
-        F.count_if((F.col("confidence") < 0) | (F.col("confidence") > 1)).alias("confidence"), F.count_if(F.col("confidence").isNull() | F.isnan("confidence")).alias("confidence_missing"),
-    )
-
-
-def stamped(rows: DataFrame, version: str, config: str) -> DataFrame:
-    """``rows`` with the version and the digest of the configuration that made them."""
-    return rows.withColumns({"data_version": F.lit(version), "config_sha256": F.sha2(F.lit(config), 256)})
-
-
-def write(rows: DataFrame, path: str, overwrite: bool = False, kind: str = "parquet") -> None:
-    """Refuses to replace unless asked; CSV gets nested values as JSON."""
-    if kind == "csv":
-        nested = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
-        rows = rows.withColumns({c: F.to_json(c) for c in nested})
-    rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).format(kind).save(path)
-
-
 def manifest_warnings(rows: DataFrame, expected: int | None = None, usual: int = 13) -> DataFrame:
     """Per well of ``classified`` rows: its receivers, and what is odd: no image, no pose, other than the expected or usual number of receivers."""
     has = lambda r: F.count_if(F.col("role") == r)
@@ -148,10 +127,3 @@ def manifest_warnings(rows: DataFrame, expected: int | None = None, usual: int =
     n = F.col("n_receivers")
     count = F.when(n != (expected or usual), "receivers").when(n != usual, "unusual_receivers")
     return done.withColumn("warnings", F.array_compact(F.array(F.when(F.col("_cast") < 1, "no_cast"), F.when(F.col("_pose") < 1, "no_pose"), count))).drop("_cast", "_pose")
-
-
-def contract_errors(waveforms: DataFrame, image: DataFrame, sides: int, samples: int, sectors: int) -> DataFrame:
-    """One row: which axes differ from the contract; depths (of image and waveforms) are a warning."""
-    own = waveforms.agg((F.countDistinct("side") != sides).alias("sides"), ((F.max(F.size("samples")) != samples) | (F.min(F.size("samples")) != samples)).alias("samples"), F.countDistinct("xsi_idx").alias("_x"))
-    other = image.agg((F.countDistinct("az_idx") != sectors).alias("sectors"), F.countDistinct("depth_idx").alias("_d"))
-    return own.crossJoin(other).withColumn("depths", F.col("_x") != F.col("_d")).drop("_x", "_d")

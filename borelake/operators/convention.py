@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from borelake.functions.angles import delta, distance, orientation_confidence, wrap
+from borelake.operators.intervals import overlapping, points_in
+from borelake.operators.ranks import medians, numbered
 from borelake.operators.series import bracketed, lerp, prepared
 
 
@@ -71,23 +73,14 @@ def _same_unit(interval: Column, unit: str) -> Column:
     return F.lower(interval).isin(*unknown) if unit.lower() in unknown else F.lower(interval) == unit.lower()
 
 
-def _meets(low: Column, high: Column) -> Column:
-    return F.greatest(low, F.least("start", "stop")) < F.least(high, F.greatest("start", "stop"))
-
-
 def excluded(rows: DataFrame, intervals: DataFrame, unit: str) -> DataFrame:
     """Per window (well_id, window, low, high) that an interval (start, stop, unit, reason) in ``unit`` overlaps: the reasons, left_out. Touching ends don't overlap; other units are not converted."""
     own = intervals.filter(_same_unit(F.col("unit"), unit)).select("start", "stop", "reason")
-    met = rows.join(own, _meets(F.col("low"), F.col("high")))
+    ends = F.least("start", "stop"), F.greatest("start", "stop")
+    met = overlapping(rows.select("well_id", "window", "low", "high"), own, [], F.col("low"), F.col("high"), *ends)
     return met.groupBy("well_id", "window").agg(F.array_sort(F.collect_set(F.concat(F.lit("interval:"), "reason"))).alias("left_out"))
 
 
-def not_excluded(rows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Windows that no exclude interval (start, stop, unit) of the same unit overlaps."""
-    cond = (F.greatest(rows["low"], F.col("start")) < F.least(rows["high"], F.col("stop"))) & (rows["unit"] == F.col("x_unit"))
-    return rows.join(intervals.withColumnRenamed("unit", "x_unit"), cond, "left_anti")
-
-
 def energy_at(energy: DataFrame, axis: DataFrame, depths: DataFrame, sides: int) -> DataFrame:
     """``depths`` (well_id, depth_idx, depth) x sides with energy: linear between the sonic depths (``axis``: well_id, xsi_idx, depth), held at the ends."""
     source = prepared(energy.join(axis, ["well_id", "xsi_idx"]).withColumnRenamed("xsi_idx", "sample_idx"), ["well_id", "side"])
@@ -104,7 +97,7 @@ def evidence(depths: DataFrame, image: DataFrame, energy: DataFrame) -> DataFram
 
 
 def _judged(rows: DataFrame, keys: list[str], most_jump: float, least: float, counted: bool) -> DataFrame:
-    """Evidence grouped by window: orientation, jump and contrasts, and reasons against."""
+    """Evidence grouped by window (which bounds the group): orientation, jump and contrasts, and reasons against."""
     known = rows.withColumn("jump", step_of_bearing(keys, "depth_idx"))
     done = known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("depth_idx").alias("first"), F.max("depth_idx").alias("last"), F.avg("orientation").alias("orientation"),
@@ -118,19 +111,23 @@ def _judged(rows: DataFrame, keys: list[str], most_jump: float, least: float, co
 
 
 def sliding_windows(rows: DataFrame, size: int, stride: int, least: float = 0.5, most_jump: float = 45.0) -> DataFrame:
-    """Windows of ``size`` evidence rows each ``stride`` rows, the last one at the end; a row says in which windows it is."""
-    last = rows.groupBy("well_id").agg(F.max("depth_idx").alias("_last"), F.min("depth_idx").alias("_first"))
-    at = rows.join(last, "well_id").withColumns({"_r": F.col("depth_idx") - F.col("_first"), "_top": F.greatest(F.col("_last") - F.col("_first") + 1 - size, F.lit(0))})
+    """Windows of ``size`` evidence rows each ``stride`` rows, whatever depths are missing between them, the last one at the end; ``window`` is the number of its first row.
+
+    Rows are numbered over sorted ranges; a row says in which windows it is.
+    """
+    at = numbered(rows, ["well_id"], ["depth_idx"], "_r").withColumn("_r", F.col("_r") - 1)
+    top = F.greatest(F.count(F.lit(1)) - size, F.lit(0)).alias("_top")
+    at = at.join(rows.groupBy("well_id").agg(top), "well_id")
     low = F.greatest(F.ceil((F.col("_r") - size + 1) / stride), F.lit(0))
     regular = F.transform(F.filter(F.sequence(low, F.greatest(F.floor(F.col("_r") / stride), low)), lambda k: (k * stride <= F.col("_r")) & (k * stride <= F.col("_top"))), lambda k: k * stride)
     starts = F.array_distinct(F.concat(regular, F.when(F.col("_r") >= F.col("_top"), F.array(F.col("_top").cast("long"))).otherwise(F.array().cast("array<bigint>"))))
-    dealt = at.withColumn("window", F.explode(starts)).drop("_first", "_last", "_r", "_top")
+    dealt = at.withColumn("window", F.explode(starts)).drop("_r", "_top")
     return _judged(dealt, ["well_id", "window"], most_jump, least, False)
 
 
 def window_evidence(rows: DataFrame, accepted: DataFrame) -> DataFrame:
     """Evidence rows of ``accepted`` depth windows (well_id, window, low, high), judged by window; windows without rows have none."""
-    dealt = rows.join(accepted.select("well_id", "window", "low", "high"), "well_id").filter("depth between low and high")
+    dealt = points_in(rows, accepted.select("well_id", "window", "low", "high"), ["well_id"], "depth", "low", "high")
     return _judged(dealt, ["well_id", "window"], 360.0, 0.0, True)
 
 
@@ -143,7 +140,8 @@ def side_energy(waveforms: DataFrame) -> DataFrame:
 def contrast(rows: DataFrame, keys: list[str], depth: str, value: str) -> DataFrame:
     """Median over depths of the range around the well."""
     by = rows.groupBy(*keys, depth).agg((F.max(value) - F.min(value)).alias("r"))
-    return by.groupBy(*keys).agg(F.percentile("r", F.lit(0.5)).alias("contrast"))
+    found = medians(by, keys, ["r"]).withColumnRenamed("r_median", "contrast")
+    return rows.select(*keys).distinct().join(found, keys, "left")
 
 
 def tracks(image: DataFrame, energy: DataFrame, bearings: DataFrame) -> DataFrame:
@@ -154,17 +152,34 @@ def tracks(image: DataFrame, energy: DataFrame, bearings: DataFrame) -> DataFram
 
 
 def window_scores(rows: DataFrame, sectors: int, sides: int) -> DataFrame:
-    """Per window and hypothesis: continuity of both tracks, their agreement, and the score."""
-    hyp = hypotheses(rows.sparkSession)
-    both = rows.crossJoin(F.broadcast(hyp))
-    cast = wrap(F.col("direction") * F.col("az_low") * (360.0 / sectors) + F.col("sign") * F.col("rb_deg"))
-    xsi = wrap(F.col("side_offset") + F.col("side_order") * F.col("side_top") * (360.0 / sides) + F.col("sign") * F.col("rb_deg"))
-    keys = ["well_id", "window", "hyp"]
-    by = W.partitionBy(*keys).orderBy("depth_idx")
-    both = both.withColumns({"cast": cast, "xsi": xsi}).withColumns({"cast_step": distance(F.col("cast"), F.lag("cast").over(by)), "xsi_step": distance(F.col("xsi"), F.lag("xsi").over(by)), "apart": distance(F.col("cast"), F.col("xsi"))})
+    """Per window and hypothesis: continuity of both tracks, their agreement, and the score.
+
+    How far a track turns from one depth to the next depends on the sign and the
+    direction (or the order of sides) alone, so four steps each are taken for a row
+    and averaged by window. Only the distance of the tracks to each other depends on
+    all, and on the tracks' angles: these are counted by window first, and only the
+    counted angles are met with the hypotheses.
+    """
+    by = W.partitionBy("well_id", "window").orderBy("depth_idx")
+    angles = {
+        f"{track}_{sign}_{k}": wrap(k * F.col(c) * step + sign * F.col("rb_deg"))
+        for sign in (1, -1) for k in (1, -1) for track, c, step in (("cast", "az_low", 360.0 / sectors), ("xsi", "side_top", 360.0 / sides))
+    }
+    at = rows.select("well_id", "window", "depth_idx", *(a.alias(n) for n, a in angles.items()))
+    moved = at.select("well_id", "window", *(distance(F.col(n), F.lag(n).over(by)).alias(n) for n in angles))
+    means = moved.groupBy("well_id", "window").agg(*(F.avg(n).alias(n) for n in angles))
+    hyp = F.broadcast(hypotheses(rows.sparkSession))
+    pick = lambda track, k: F.coalesce(*(F.when((F.col("sign") == s) & (F.col(k) == d), F.coalesce(F.col(f"{track}_{s}_{d}"), F.lit(0.0))) for s in (1, -1) for d in (1, -1)))
     near = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - c / 180))
+    scored = means.crossJoin(hyp).select("well_id", "window", *hyp.columns, near(pick("cast", "direction")).alias("cast_continuity"), near(pick("xsi", "side_order")).alias("xsi_continuity"))
+    # of two tracks turned by the same bearing only the sector and the side matter
+    pairs = rows.groupBy("well_id", "window", "az_low", "side_top").agg(F.count("rb_deg").alias("_n"))
+    apart = distance(wrap(F.col("direction") * F.col("az_low") * (360.0 / sectors)), wrap(F.col("side_offset") + F.col("side_order") * F.col("side_top") * (360.0 / sides)))
+    # the sign turns both tracks alike, so half the hypotheses say all
+    own = pairs.crossJoin(hyp.filter("sign = 1")).withColumn("_apart", apart)
+    middle = own.groupBy("well_id", "window", "side_order", "direction", "side_offset").agg(near(F.percentile("_apart", F.lit(0.5), F.col("_n"))).alias("consistency"))
     prior = F.when(F.col("side_order") == 1, 0.01).otherwise(0.0) + F.when(F.col("direction") == 1, 0.01).otherwise(0.0) + F.when(F.col("side_offset") == 0, 0.01).otherwise(0.0)
-    done = both.groupBy(*keys, "sign", "side_order", "direction", "side_offset").agg(F.coalesce(near(F.avg("cast_step")), F.lit(1.0)).alias("cast_continuity"), F.coalesce(near(F.avg("xsi_step")), F.lit(1.0)).alias("xsi_continuity"), near(F.percentile("apart", F.lit(0.5))).alias("consistency"))
+    done = scored.join(middle, ["well_id", "window", "side_order", "direction", "side_offset"], "left")
     return done.withColumn("score", 0.25 * F.col("cast_continuity") + 0.25 * F.col("xsi_continuity") + 0.5 * F.col("consistency") + prior)
 
 
@@ -204,16 +219,15 @@ def candidate_ranges(pose: DataFrame, az: Column, seed: int = 20260520) -> DataF
 
 def side_contrast(waveforms: DataFrame) -> DataFrame:
     """Per well: the range over sides of the median amplitude."""
-    values = waveforms.select("well_id", "side", F.explode("samples").alias("v"))
-    by = values.groupBy("well_id", "side").agg(F.percentile(F.abs("v"), F.lit(0.5)).alias("m"))
+    values = waveforms.select("well_id", "side", F.explode("samples").alias("v")).withColumn("v", F.abs("v"))
+    by = medians(values, ["well_id", "side"], ["v"]).withColumnRenamed("v_median", "m")
     return by.groupBy("well_id").agg(F.count(F.lit(1)).alias("n_sides"), (F.max("m") - F.min("m")).alias("contrast"))
 
 
 def azimuth_preview(pose: DataFrame, sides: int) -> DataFrame:
     """Per well at its first, middle and last depth: the azimuth of each side under each candidate but the random one."""
     counts = pose.groupBy("well_id").agg(F.count(F.lit(1)).alias("_n"))
-    place = F.row_number().over(W.partitionBy("well_id").orderBy("depth")) - 1
-    rows = pose.withColumn("_r", place).join(counts, "well_id").filter((F.col("_r") == 0) | (F.col("_r") == F.floor(F.col("_n") / 2)) | (F.col("_r") == F.col("_n") - 1))
+    rows = numbered(pose, ["well_id"], ["depth", "sample_idx"], "_r").withColumn("_r", F.col("_r") - 1).join(counts, "well_id").filter((F.col("_r") == 0) | (F.col("_r") == F.floor(F.col("_n") / 2)) | (F.col("_r") == F.col("_n") - 1))
     turns = F.array(*(F.struct(F.lit(n).alias("candidate"), F.lit(k).alias("k")) for n, k in (("plus", 1), ("minus", -1), ("none", 0))))
     rows = rows.withColumn("_c", F.explode(turns)).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
     return rows.select("well_id", "depth", "_c.candidate", "side", wrap(F.col("side") * (360.0 / sides) + F.col("_c.k") * F.col("rb_deg")).alias("azimuth"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from borelake.operators.ranks import average_ranks, between, medians, order_statistics, quantiles
 from borelake.operators.series import bracketed, lerp, nearest, prepared
+from borelake.shared import stored
 
 FEATURES = ("rms", "peak_abs", "mean_abs", "early_energy", "late_energy", "late_ratio")
 
@@ -89,16 +90,17 @@ def subset_counts(samples: DataFrame) -> DataFrame:
 def association(samples: DataFrame, features: list[str]) -> DataFrame:
     """Per convention, subset and feature: class means, medians, differences, effect size, rank correlations, severity means.
 
-    Everything but ranks is one grouped pass.
+    The rows are written once. Sums are one grouped pass; medians and ranks come from counts over ranges.
     """
     keys = ["convention", "subset", "feature"]
     long = in_subsets(samples).unpivot(["convention", "subset", "presence", "confidence", "severity_plus"], features, "feature", "v").filter("v is not null")
+    long = stored(long, "long")
     c, n = F.col("presence") == 1, F.col("presence") == 0
     v, w = F.col("v"), F.col("confidence")
     weighted = lambda k: F.try_divide(F.sum(F.when(k & (w >= 0), v * w)), F.sum(F.when(k & (w >= 0), w)))
     done = long.groupBy(*keys).agg(
         F.count_if(c).alias("n_candidate"), F.count_if(n).alias("n_non_candidate"), F.avg(F.when(c, v)).alias("candidate_mean"), F.avg(F.when(n, v)).alias("non_candidate_mean"),
-        F.percentile(F.when(c, v), F.lit(0.5)).alias("candidate_median"), F.percentile(F.when(n, v), F.lit(0.5)).alias("non_candidate_median"), weighted(c).alias("weighted_candidate_mean"), weighted(n).alias("weighted_non_candidate_mean"),
+        weighted(c).alias("weighted_candidate_mean"), weighted(n).alias("weighted_non_candidate_mean"),
         F.var_samp(F.when(c, v)).alias("_vc"), F.var_samp(F.when(n, v)).alias("_vn"), *(F.avg(F.when(F.col("severity_plus") == k, v)).alias(f"severity_mean_{k}") for k in range(4)),
     )
     a, b = F.col("n_candidate"), F.col("n_non_candidate")
@@ -111,20 +113,32 @@ def association(samples: DataFrame, features: list[str]) -> DataFrame:
         "mean_difference": difference, "difference_share": difference / F.greatest(F.abs("non_candidate_mean"), F.lit(1e-12)), "weighted_difference_share": w_difference / F.greatest(F.abs("weighted_non_candidate_mean"), F.lit(1e-12)),
         "effect": F.try_divide(difference, F.when(pooled > 0, pooled)), "rising": F.when(F.size(known) >= 3, F.forall(steps, lambda s: s >= 0)), "falling": F.when(F.size(known) >= 3, F.forall(steps, lambda s: s <= 0)),
     }).drop("_vc", "_vn")
+    middle = quantiles(long.filter(c | n), [*keys, "presence"], "v", {"m": 0.5})
+    middle = middle.groupBy(*keys).agg(*(F.max(F.when(F.col("presence") == k, F.col("m"))).alias(f"{name}_median") for k, name in ((1, "candidate"), (0, "non_candidate"))))
+    done = done.join(middle, keys, "left")
     for name, label, cond in (("spearman_presence", "presence", c | n), ("spearman_severity", "severity_plus", F.col("severity_plus") >= 0)):
         done = done.join(spearman(long.filter(cond), keys, "v", label).withColumnRenamed("r", name), keys, "left")
     return done
 
 
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Rank correlation per group, ties with their mean rank; null under three rows or for a constant."""
-    def ranked(c: str) -> Column:
-        by = W.partitionBy(*keys)
-        return F.rank().over(by.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, c)) - 1) / 2
+    """Rank correlation per group, ties with their mean rank; null under three rows or for a constant.
 
-    ranks = rows.select(*keys, ranked(a).alias("ra"), ranked(b).alias("rb"))
-    usable = (F.count(F.lit(1)) >= 3) & (F.min("ra") < F.max("ra")) & (F.min("rb") < F.max("rb"))
-    return ranks.groupBy(*keys).agg(F.when(usable, F.corr("ra", "rb")).alias("r"))
+    Equal pairs are counted first; ranks are found over ranges of values, so no group is one task. The mean of all ranks is (n + 1) / 2.
+    """
+    known = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = stored(known.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    ranks = pairs
+    for c in (a, b):
+        ranks = ranks.join(average_ranks(pairs, keys, c, f"_r_{c}", "_n").drop("n"), [*keys, c])
+    n, ra, rb = F.col("_n"), F.col(f"_r_{a}"), F.col(f"_r_{b}")
+    sums = ranks.groupBy(*keys).agg(
+        F.sum("_n").alias("_all"), F.sum(n * ra * ra).alias("_aa"), F.sum(n * rb * rb).alias("_bb"), F.sum(n * ra * rb).alias("_ab"),
+        ((F.min(ra) < F.max(ra)) & (F.min(rb) < F.max(rb))).alias("_vary"),
+    )
+    middle = F.col("_all") * ((F.col("_all") + 1) / 2) * ((F.col("_all") + 1) / 2)
+    r = (F.col("_ab") - middle) / F.sqrt((F.col("_aa") - middle) * (F.col("_bb") - middle))
+    return sums.select(*keys, F.when((F.col("_all") >= 3) & F.col("_vary"), r).alias("r"))
 
 
 def top_effects(rows: DataFrame, n: int = 8) -> DataFrame:
@@ -151,21 +165,35 @@ def sample_table(samples: DataFrame, features: DataFrame, sides: int, most_error
     return rows.withColumns({"sample_id": F.col("xsi_idx") * sides + F.col("side"), "large_error": large, "feature_valid": valid, "weight": weight, "include": weight > 0})
 
 
+def scales(logged: DataFrame, features: list[str], low: float, high: float) -> DataFrame:
+    """One row with, for each feature, the quantiles ``low`` and ``high`` of log_* (low_*, high_*) and the median and quartiles of what is clipped to them (q1_*, q2_*, q3_*).
+
+    One pass over counted values: clipping keeps the order, so a place of the clipped values holds the clipped value of that place.
+    """
+    long = logged.select(*(F.col(f"log_{f}").alias(f) for f in features)).unpivot([], features, "feature", "v")
+    found = order_statistics(long, ["feature"], "v", {"low": low, "high": high, "q1": 0.25, "q2": 0.5, "q3": 0.75})
+    found = found.withColumns({"low": between(F.col("low")), "high": between(F.col("high"))})
+    clip = lambda c: F.greatest(F.least(c, F.col("high")), F.col("low"))
+    found = found.withColumns({q: between(F.struct(clip(F.col(q)["low"]).alias("low"), clip(F.col(q)["high"]).alias("high"), F.col(q)["part"].alias("part"))) for q in ("q1", "q2", "q3")})
+    return found.agg(*(F.max(F.when(F.col("feature") == f, F.col(q))).alias(f"{q}_{f}") for f in features for q in ("low", "high", "q1", "q2", "q3")))
+
+
 def transformed(rows: DataFrame, features: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
     """``rows`` with log_* (log1p of what is over 0) and scaled_* (clipped to two quantiles, then robustly scaled by the clipped values' median and quartiles).
 
-    The two rows of statistics are broadcast.
+    The rows are written once; the one row of ``scales`` is broadcast.
     """
-    logged = rows.withColumns({f"log_{f}": F.log1p(F.greatest(F.col(f), F.lit(0.0))) for f in features})
-    ends = logged.agg(*(F.percentile(f"log_{f}", F.array(F.lit(low), F.lit(high))).alias(f"_e_{f}") for f in features))
-    logged = logged.crossJoin(F.broadcast(ends))
-    clipped = {f"_c_{f}": F.when(F.col(f"log_{f}").isNotNull(), F.greatest(F.least(F.col(f"log_{f}"), F.col(f"_e_{f}")[1]), F.col(f"_e_{f}")[0])) for f in features}
-    logged = logged.withColumns(clipped)
-    middle = logged.agg(*(F.percentile(f"_c_{f}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{f}") for f in features))
-    done = logged.crossJoin(F.broadcast(middle))
-    iqr = {f: F.col(f"_q_{f}")[2] - F.col(f"_q_{f}")[0] for f in features}
-    done = done.withColumns({f"scaled_{f}": (F.col(f"_c_{f}") - F.col(f"_q_{f}")[1]) / F.when(iqr[f] > 0, iqr[f]).otherwise(1.0) for f in features})
-    return done.drop(*(f"_{k}_{f}" for k in "ecq" for f in features))
+    logged = stored(rows.withColumns({f"log_{f}": F.log1p(F.greatest(F.col(f), F.lit(0.0))) for f in features}), "logged")
+    return _scaled(logged, scales(logged, features, low, high), features).select(*logged.columns, *(f"scaled_{f}" for f in features))
+
+
+def _scaled(logged: DataFrame, by: DataFrame, features: list[str]) -> DataFrame:
+    done = logged.crossJoin(F.broadcast(by))
+    for f in features:
+        clipped = F.when(F.col(f"log_{f}").isNotNull(), F.greatest(F.least(F.col(f"log_{f}"), F.col(f"high_{f}")), F.col(f"low_{f}")))
+        iqr = F.col(f"q3_{f}") - F.col(f"q1_{f}")
+        done = done.withColumn(f"scaled_{f}", (clipped - F.col(f"q2_{f}")) / F.when(iqr > 0, iqr).otherwise(1.0))
+    return done
 
 
 def standard_differences(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -180,21 +208,23 @@ def standard_differences(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def transform_report(rows: DataFrame, features: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
-    """Per feature: known values, ranges raw, logged and scaled, the clip limits, and how many values they cut."""
-    done = transformed(rows, features, low, high)
-    ends = done.agg(*(F.percentile(f"log_{f}", F.array(F.lit(low), F.lit(high))).alias(f) for f in features))
-    ends = ends.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f)[0].alias("clip_low"), F.col(f)[1].alias("clip_high")) for f in features))).alias("e")).select("e.*")
-    long = done.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("raw"), F.col(f"log_{f}").alias("log"), F.col(f"scaled_{f}").alias("scaled")) for f in features))).alias("x")).select("x.*")
-    found = long.join(ends, "feature").groupBy("feature", "clip_low", "clip_high").agg(
-        F.count("raw").alias("n"), F.count_if((F.col("log") < F.col("clip_low")) | (F.col("log") > F.col("clip_high"))).alias("n_clipped"),
-        *(f(c).alias(f"{c}_{n}") for c in ("raw", "log", "scaled") for n, f in (("min", F.min), ("max", F.max))),
+    """Per feature: known and missing values, ranges, means and medians raw, logged and scaled, the clip limits, and how many values they cut."""
+    logged = stored(rows.select(*features, *(F.log1p(F.greatest(F.col(f), F.lit(0.0))).alias(f"log_{f}") for f in features)), "logged")
+    done = _scaled(logged, scales(logged, features, low, high), features)
+    each = [F.struct(F.lit(f).alias("feature"), F.col(f"low_{f}").alias("clip_low"), F.col(f"high_{f}").alias("clip_high"), F.col(f).cast("double").alias("raw"), F.col(f"log_{f}").alias("log"), F.col(f"scaled_{f}").alias("scaled")) for f in features]
+    long = stored(done.select(F.explode(F.array(*each)).alias("x")).select("x.*"), "stages")
+    kinds = ["raw", "log", "scaled"]
+    found = long.groupBy("feature", "clip_low", "clip_high").agg(
+        F.count("raw").alias("n"), F.count_if(F.col("raw").isNull()).alias("n_missing"), F.count_if((F.col("log") < F.col("clip_low")) | (F.col("log") > F.col("clip_high"))).alias("n_clipped"),
+        *(f(c).alias(f"{c}_{n}") for c in kinds for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))),
     )
-    return found
+    return found.join(medians(long, ["feature"], kinds), "feature", "left")
 
 
 def association_gate(counts: DataFrame, features: DataFrame, seen: DataFrame) -> DataFrame:
-    """One decision: ``counts`` (n_azimuthal, n_non_azimuthal), finite features of the sides, and ``observations`` of the sure plus labels."""
-    finite = features.agg(F.avg(F.coalesce(~F.isnan("rms") & (F.abs("rms") != float("inf")), F.lit(False)).cast("int")).alias("finite_share"))
+    """One decision: ``counts`` (n_azimuthal, n_non_azimuthal), the finite share of all features of the sides, and ``observations`` of the sure plus labels."""
+    known = sum(F.coalesce(~F.isnan(f) & (F.abs(f) != float("inf")), F.lit(False)).cast("int") for f in FEATURES)
+    finite = features.agg((F.sum(known) / (F.count(F.lit(1)) * len(FEATURES))).alias("finite_share"))
     sure = seen.filter("convention = 'plus' and subset = 'high_confidence'").agg(F.coalesce(F.bool_or(F.col("enough") & F.col("signal")), F.lit(False)).alias("sure"))
     row = counts.crossJoin(finite).crossJoin(sure)  # one row each
     blocked = (F.col("n_non_azimuthal") < F.col("n_azimuthal")) | (F.col("finite_share") < 0.5) | ~F.col("sure")

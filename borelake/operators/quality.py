@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from borelake.operators.ranks import quantiles
+from borelake.shared import stored
+
 
 def numeric(rows: DataFrame, keys: list[str], value: Column, most: float = 0.1) -> DataFrame:
     """Per group: finite and missing shares, range, mean, population deviation, share of the largest magnitude, warn.
@@ -35,5 +38,6 @@ def pose(rows: DataFrame) -> DataFrame:
 
 def summary(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Per group and value column: n, finite share, range, mean, median."""
-    long = rows.select(*keys, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(keys, values, "name", "v")
-    return long.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"), (F.count("v") / F.count(F.lit(1))).alias("finite_share"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"), F.percentile("v", F.lit(0.5)).alias("v_median"))
+    long = stored(rows.select(*keys, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(keys, values, "name", "v"), "summary")
+    sums = long.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"), (F.count("v") / F.count(F.lit(1))).alias("finite_share"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"))
+    return sums.join(quantiles(long, [*keys, "name"], "v", {"v_median": 0.5}), [*keys, "name"], "left")

@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from borelake.operators.ranks import islands, numbered, order_statistics, quantiles
+
 
 def thinned(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
     """``most`` evenly placed rows of each group, as a figure shows them."""
-    by = W.partitionBy(*keys)
-    at = rows.withColumns({"_n": F.count(F.lit(1)).over(by), "_r": F.row_number().over(by.orderBy(order)) - 1})
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    at = numbered(rows, keys, [order], "_r").join(n, keys).withColumn("_r", F.col("_r") - 1)
     k = F.round(F.col("_r") * (most - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).cast("int")
     keep = (F.col("_n") <= most) | F.exists(F.array(k - 1, k, k + 1), lambda i: (i >= 0) & (i < most) & (F.floor(i * (F.col("_n") - 1) / (most - 1)) == F.col("_r")))
-    return at.filter(keep).drop("_n", "_r")
+    return at.filter(keep).select(*rows.columns)
 
 
 def limits(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Colour limits: the 1 and 99 percentiles, wider by one if they are equal."""
-    ends = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("e"))
-    return ends.select(*keys, F.col("e")[0].alias("low"), F.when(F.col("e")[1] > F.col("e")[0], F.col("e")[1]).otherwise(F.col("e")[0] + 1).alias("high"))
+    ends = quantiles(rows, keys, value, {"low": 0.01, "high": 0.99})
+    return ends.withColumn("high", F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(F.col("low") + 1))
 
 
 def histogram(rows: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
@@ -30,25 +31,26 @@ def histogram(rows: DataFrame, keys: list[str], value: str, bins: int) -> DataFr
 
 
 def boxes(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    q = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select(*keys, "n", *(F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))))
+    """Per group: known values and their quartiles."""
+    names = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found = order_statistics(rows, keys, value, names)
+    own = rows.groupBy(*keys).agg(F.count(value).alias("n"))
+    return own.join(found.drop("n"), keys, "left").select(*keys, "n", *((F.col(q)["low"] + (F.col(q)["high"] - F.col(q)["low"]) * F.col(q)["part"]).alias(q) for q in names))
 
 
 def runs(rows: DataFrame, keys: list[str], flag: Column, order: str = "depth_idx", pad: float = 0.0) -> DataFrame:
     """Unbroken runs of flagged rows as depth spans."""
-    by = W.partitionBy(*keys).orderBy(order)
-    at = rows.withColumns({"_f": flag, "_r": F.row_number().over(by)}).filter("_f")
-    island = at.withColumn("_i", F.col("_r") - F.row_number().over(by))
-    return island.groupBy(*keys, "_i").agg((F.min("depth") - pad).alias("low"), (F.max("depth") + pad).alias("high"), F.count(F.lit(1)).alias("n")).drop("_i")
+    found = islands(rows, keys, [order], flag)
+    return found.groupBy(*keys, "island").agg((F.min("depth") - pad).alias("low"), (F.max("depth") + pad).alias("high"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
 def decided(metrics: DataFrame, rules: list[tuple[str, str, float, str]]) -> DataFrame:
-    """A gate: metrics (well_id, metric, value) against rules (metric, at_least or at_most, bound, block or warn); a missing metric blocks."""
+    """A gate: metrics (well_id, metric, value) against rules (metric, how, bound, block or warn); a missing metric blocks. how: at_least and at_most allow the bound, below doesn't."""
     spark = metrics.sparkSession
     table = F.broadcast(spark.createDataFrame(rules, "metric string, how string, bound double, level string"))
     wells = metrics.select("well_id").distinct()
     checked = wells.crossJoin(table).join(metrics, ["well_id", "metric"], "left")
-    fails = F.when(F.col("value").isNull(), True).when(F.col("how") == "at_least", F.col("value") < F.col("bound")).otherwise(F.col("value") > F.col("bound"))
+    fails = F.when(F.col("value").isNull(), True).when(F.col("how") == "at_least", F.col("value") < F.col("bound")).when(F.col("how") == "below", F.col("value") >= F.col("bound")).otherwise(F.col("value") > F.col("bound"))
     done = checked.withColumn("fails", fails).groupBy("well_id").agg(F.count_if(F.col("fails") & ((F.col("level") == "block") | F.col("value").isNull())).alias("n_block"), F.count_if(F.col("fails") & (F.col("level") == "warn")).alias("n_warn"))
     return done.withColumn("decision", F.when(F.col("n_block") > 0, "no_go").when(F.col("n_warn") > 0, "conditional_go").otherwise("go"))
 

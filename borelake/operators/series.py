@@ -15,6 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from borelake.functions.angles import delta, wrap
+from borelake.operators.intervals import points_in
+from borelake.operators.ranks import quantiles, with_previous
+from borelake.shared import stored
 
 #: Depth of a block of work, and rows of one, where rows are numbered: some thousands of rows. They change no result.
 SPAN, BLOCK = 2048.0, 4096
@@ -130,16 +133,18 @@ def audit(series: DataFrame, keys: list[str]) -> DataFrame:
     """Per series in file order: counts, direction, monotonic, and the steps that are not zero.
 
     "Mostly" allows 25 violations or half a percent, whichever is more, from 100 steps on.
+    A step across two ranges of a series takes the last depth of the range before, so a series is many tasks.
     """
-    before = F.lag("depth").over(W.partitionBy(*keys).orderBy("sample_idx"))
-    steps = series.filter("depth is not null").withColumn("step", F.col("depth") - before)
+    rows = series.filter("depth is not null").select(*keys, "sample_idx", "depth")
+    steps = stored(with_previous(rows, keys, ["sample_idx"], "depth", "_above").withColumn("step", F.col("depth") - F.col("_above")).drop("_above"), "steps")
     count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
     size = F.when(F.col("step") != 0, F.abs("step"))
     known = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("depth").alias("depth_min"), F.max("depth").alias("depth_max"), F.min_by("depth", "sample_idx").alias("depth_first"), F.max_by("depth", "sample_idx").alias("depth_last"),
         count(F.col("step") > 0).alias("n_up"), count(F.col("step") < 0).alias("n_down"), count(F.col("step") == 0).alias("n_equal"),
-        F.percentile(size, F.lit(0.5)).alias("step_median"), F.min(size).alias("step_min"), F.max(size).alias("step_max"),
+        F.min(size).alias("step_min"), F.max(size).alias("step_max"),
     )
+    known = known.join(quantiles(steps.withColumn("size", size), keys, "size", {"step_median": 0.5}), keys, "left")
     total = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))
     n, up, down, equal = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_up", "n_down", "n_equal"))
     allowed = F.when(n - 1 < 100, 0).otherwise(F.greatest(F.lit(25), F.floor((n - 1) * 0.005)))
@@ -195,7 +200,7 @@ def receiver_consistency(series: DataFrame, expected: int) -> DataFrame:
 def window_slices(series: DataFrame, windows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Per window (keys, window, low, high): samples inside, and the ``most`` contiguous ones around the sample nearest the centre."""
     centre = (F.col("low") + F.col("high")) / 2
-    inside = series.join(windows, keys).filter("depth between low and high")
+    inside = points_in(series, windows, keys, "depth", "low", "high")
     found = inside.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n_matched"), F.min("sample_idx").alias("first"), F.max("sample_idx").alias("last"), F.min_by("sample_idx", F.struct(F.abs(F.col("depth") - centre), "sample_idx")).alias("centre_idx"), F.min("depth").alias("seen_low"), F.max("depth").alias("seen_high"))
     begin = F.greatest("first", F.least(F.col("centre_idx") - most // 2, F.col("last") - most + 1))
     return windows.join(found, [*keys, "window"], "left").withColumns({"n_matched": F.coalesce("n_matched", F.lit(0)), "begin": F.when(F.col("n_matched") > most, begin).otherwise(F.col("first"))}).withColumn("stop", F.when(F.col("n_matched") > most, F.col("begin") + most - 1).otherwise(F.col("last")))
@@ -211,9 +216,9 @@ def gap_filled(rows: DataFrame, keys: list[str], value: str, name: str, order: s
 
 
 def median_step(rows: DataFrame, keys: list[str]) -> DataFrame:
-    step = F.col("depth") - F.lag("depth").over(W.partitionBy(*keys).orderBy("depth"))
-    steps = rows.select(*keys, "depth").distinct().withColumn("step", F.abs(step)).filter("step > 0")
-    return steps.groupBy(*keys).agg(F.percentile("step", F.lit(0.5)).alias("step"))
+    """Per series the median distance of neighbouring depths."""
+    steps = with_previous(rows.select(*keys, "depth").distinct(), keys, ["depth"], "depth", "_above")
+    return quantiles(steps.withColumn("_step", F.col("depth") - F.col("_above")), keys, "_step", {"step": 0.5})
 
 
 def window_samples(length: float, step: Column) -> Column:

@@ -145,15 +145,26 @@ def _shown(rows):
     )
 
 
-@query("sliding_windows", f"""+ {EVIDENCE}, m AS (SELECT well_id, greatest(max(depth_idx) - min(depth_idx) + 1 - 16, 0) AS top, min(depth_idx) AS first FROM ev GROUP BY well_id),
-  st AS (SELECT well_id, first, unnest(list_distinct(range(0, top + 1, 8) || [top])) AS win FROM m),
-  x AS (SELECT ev.*, win FROM ev JOIN st ON ev.well_id = st.well_id AND ev.depth_idx - first BETWEEN win AND win + 15)
-  """ + JUDGED % "CASE WHEN NOT coalesce(avg(orientation) >= 0.5, false) THEN 'low_orientation' END, CASE WHEN count(rb_deg) > 0 AND coalesce(max(jump), 0) > 45 THEN 'bearing_jump' END,", "cells", "waveforms", "posed")
+SLIDING = f"""{EVIDENCE}, nr AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY depth_idx) - 1 AS r, count(*) OVER (PARTITION BY well_id) AS n_rows FROM ev),
+  st AS (SELECT well_id, unnest(list_distinct(range(0, greatest(any_value(n_rows) - 16, 0) + 1, 8) || [greatest(any_value(n_rows) - 16, 0)])) AS win FROM nr GROUP BY well_id),
+  x AS (SELECT nr.*, win FROM nr JOIN st ON nr.well_id = st.well_id AND nr.r BETWEEN win AND win + 15)
+  """ + JUDGED % "CASE WHEN NOT coalesce(avg(orientation) >= 0.5, false) THEN 'low_orientation' END, CASE WHEN count(rb_deg) > 0 AND coalesce(max(jump), 0) > 45 THEN 'bearing_jump' END,"
+
+
+@query("sliding_windows", f"+ {SLIDING}", "cells", "waveforms", "posed")
 def sliding_windows(spark, sf):
-    """Windows of 16 depths each 8 depths, the last at the end."""
+    """Windows of 16 evidence rows each 8 rows, the last at the end."""
     return _shown(R.sliding_windows(evidence(spark, sf), 16, 8))
 
 
+@query("sliding_best", f"+ {SLIDING.replace('SELECT well_id, win AS window_id', 'SELECT well_id, window_id, place, quality FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY quality DESC, window_id) AS place FROM (SELECT well_id, win AS window_id', 1)}) WHERE reasons = '') WHERE place <= 8", "cells", "waveforms", "posed")
+def sliding_best(spark, sf):
+    """The eight sliding windows of each well with most contrast that nothing speaks against."""
+    rows = _shown(R.sliding_windows(evidence(spark, sf), 16, 8)).withColumn("reasons", F.filter(F.split("reasons", ","), lambda x: x != ""))
+    best = R.best_windows(rows.withColumnRenamed("window_id", "window"), 8)
+    return best.select("well_id", F.col("window").alias("window_id"), F.col("place").cast("long").alias("place"), "quality")
+
+
 @query("window_evidence", f"""+ {EVIDENCE}, {LOOSE}, x AS (SELECT ev.*, win FROM ev JOIN best b ON ev.well_id = b.well_id AND place <= 8 AND ev.depth BETWEEN b.low AND b.high)
   """ + JUDGED % "CASE WHEN count(*) < 2 THEN 'too_short' END,", "cells", "pose", "waveforms", "posed")
 def window_evidence(spark, sf):
@@ -168,10 +179,10 @@ def azimuth_contrast(spark, sf):
     return image.union(sides)
 
 
-@query("bearing_candidates", "SELECT well_id, candidate, count(*) AS n, round(min(az), 6) AS az_min, round(max(az), 6) AS az_max, true AS legal FROM (SELECT well_id, candidate, wrap(45 + CASE candidate WHEN 'plus' THEN rb_deg WHEN 'minus' THEN -rb_deg ELSE 0 END) AS az FROM pose, (VALUES ('plus'), ('minus'), ('none')) t(candidate)) GROUP BY ALL", "pose")
+@query("bearing_candidates", "SELECT well_id, candidate, count(*) AS n, round(min(az), 6) AS az_min, round(max(az), 6) AS az_max, bool_and(az >= 0 AND az < 360) AS legal, any_value('insufficient_evidence') AS verdict FROM (SELECT well_id, candidate, wrap(45 + CASE candidate WHEN 'plus' THEN rb_deg WHEN 'minus' THEN -rb_deg ELSE 0 END) AS az FROM pose, (VALUES ('plus'), ('minus'), ('none')) t(candidate)) GROUP BY ALL", "pose")
 def bearing_candidates(spark, sf):
     rows = R.candidate_ranges(D.pose(spark, sf), F.lit(45.0)).filter("candidate <> 'random'")
-    return rows.select("well_id", "candidate", "n", six(F.col("az_min")).alias("az_min"), six(F.col("az_max")).alias("az_max"), "legal")
+    return rows.select("well_id", "candidate", "n", six(F.col("az_min")).alias("az_min"), six(F.col("az_max")).alias("az_max"), "legal", "verdict")
 
 
 def tracks(spark, sf):

@@ -10,6 +10,7 @@ from borelake.operators import labels as L
 from borelake.operators.quality import summary
 from borelake.plans.series import posed_depths, side_of_sector
 from borelake.plans.views import over
+from borelake.shared import stored
 from borelake.sources import adapter as D
 
 QUERIES, SQL = {}, {}
@@ -135,17 +136,43 @@ SQL["label_objects"] = SQL["label_objects"].replace("WITH ", "WITH RECURSIVE ",
 GRID = "(VALUES (0.3), (0.35), (0.4)) a(alpha), (VALUES (2.0), (2.5), (3.0)) z(zlimit), (VALUES (0.4, 0.55), (0.45, 0.6), (0.5, 0.65)) s(moderate, severe)"
 
 
-@query("threshold_grid", f"""SELECT alpha, zlimit, moderate, severe, count_if(valid) AS n_known, count_if(c) AS n_candidate, round(count_if(c) / count_if(valid), 6) AS coverage, count_if(c AND d AND NOT l) AS n_drop_only, count_if(c AND l AND NOT d) AS n_limit_only, count_if(c AND d AND l) AS n_both, count_if(c AND relative_drop >= severe) AS n_severe, count_if(c AND relative_drop >= moderate AND NOT relative_drop >= severe) AS n_moderate, count_if(outlier) AS n_outlier, count_if(bad) AS n_bad
-  FROM (SELECT *, valid AND (d OR l) AS c FROM (SELECT r.*, alpha::DOUBLE AS alpha, zlimit::DOUBLE AS zlimit, moderate::DOUBLE AS moderate, severe::DOUBLE AS severe, coalesce(zc < zc_base * (1 - alpha::DOUBLE), false) AS d, coalesce(zc < zlimit::DOUBLE, false) AS l FROM ruled r, {GRID})) GROUP BY ALL""", "ruled")
+# nine settings of the rule, as bits of a cell; components by the labels that neighbours pass on
+@query("threshold_grid", f"""+ q AS (
+    SELECT *, greatest(0, least(1, greatest(coalesce(greatest(0, least(1, relative_drop / 0.7)), 0), 0.25) * CASE WHEN baseline_valid THEN finite_fraction ELSE 0 END * orient * (rb_deg IS NOT NULL)::INT
+      * CASE WHEN bad THEN 0 WHEN zc IS NULL OR zc < 0 OR zc > 20 THEN 0.5 ELSE 1 END)) AS sure FROM confident
+  ), runs AS (
+    SELECT *, row_number() OVER (ORDER BY alpha, zlimit) AS run FROM (SELECT DISTINCT alpha::DOUBLE AS alpha, zlimit::DOUBLE AS zlimit FROM {GRID})
+  ), m AS (
+    SELECT q.*, alpha, zlimit, run, coalesce(zc < zc_base * (1 - alpha), false) AS d, coalesce(zc < zlimit, false) AS l FROM q, runs
+  ), c AS (
+    SELECT alpha, zlimit, run, moderate::DOUBLE AS moderate, severe::DOUBLE AS severe, count_if(valid) AS n_known, count_if(valid AND (d OR l)) AS n_candidate,
+      count_if(valid AND d AND NOT l) AS n_drop_only, count_if(valid AND l AND NOT d) AS n_limit_only, count_if(valid AND d AND l) AS n_both,
+      count_if(valid AND (d OR l) AND relative_drop >= severe) AS n_severe, count_if(valid AND (d OR l) AND relative_drop >= moderate AND NOT relative_drop >= severe) AS n_moderate,
+      count_if(outlier) AS n_outlier, count_if(bad) AS n_bad, avg(CASE WHEN valid AND (d OR l) THEN sure END) AS confidence_mean,
+      count_if(valid AND (d OR l) AND sure < 0.25) / nullif(count_if(valid AND (d OR l)), 0) AS low_share
+    FROM m, (VALUES (0.4, 0.55), (0.45, 0.6), (0.5, 0.65)) s(moderate, severe) GROUP BY ALL
+  ), t AS (
+    SELECT run, well_id, depth_idx, ((az_idx + k * round_even(coalesce(rb_deg, 0) / 30.0, 0)::INT) % 12 + 12) % 12 AS az, max(CASE WHEN k = 1 AND valid THEN (d OR l)::INT END) AS p, max(CASE WHEN k = -1 AND valid THEN (d OR l)::INT END) AS m
+    FROM m, (VALUES (1), (-1)) v(k) GROUP BY ALL
+  ), a AS (
+    SELECT run, avg(p) AS plus_coverage, avg(m) AS minus_coverage, avg(CASE WHEN p IS NOT NULL AND m IS NOT NULL THEN (p <> m)::INT END) AS disagreement FROM t GROUP BY run
+  ), o AS (SELECT run, well_id, depth_idx, az, ((run * 64 + well_id) * 1048576 + depth_idx) * 16 + az AS cell FROM t WHERE p = 1),
+  e AS (SELECT a.cell AS a, b.cell AS b FROM o a JOIN o b ON a.run = b.run AND a.well_id = b.well_id AND b.depth_idx BETWEEN a.depth_idx - 1 AND a.depth_idx + 1 AND (b.az - a.az + 13) % 12 <= 2),
+  reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+  g AS (SELECT run, component, count(*) AS n FROM (SELECT a AS cell, min(b) AS component FROM reach GROUP BY a) JOIN o USING (cell) GROUP BY ALL),
+  k AS (SELECT run, count(*) AS n_components, sum(CASE WHEN n <= 3 THEN n ELSE 0 END) / sum(n) AS speckle_share FROM g GROUP BY run)
+  SELECT alpha, zlimit, moderate, severe, n_known, n_candidate, round(n_candidate / n_known, 6) AS coverage, n_drop_only, n_limit_only, n_both, n_severe, n_moderate, n_outlier, n_bad,
+    round(confidence_mean, 6) AS confidence_mean, round(low_share, 6) AS low_share, round(plus_coverage, 6) AS plus_coverage, round(minus_coverage, 6) AS minus_coverage,
+    round(disagreement, 6) AS disagreement, coalesce(n_components, 0) AS n_components, round(speckle_share, 6) AS speckle_share
+  FROM c JOIN a USING (run) LEFT JOIN k USING (run)""", "confident")
 def threshold_grid(spark, sf):
-    grid = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(z).alias("zlimit"), F.lit(m).alias("moderate"), F.lit(s).alias("severe")) for a in (0.3, 0.35, 0.4) for z in (2.0, 2.5, 3.0) for m, s in ((0.4, 0.55), (0.45, 0.6), (0.5, 0.65))))
-    rows = based(spark, sf).withColumn("_g", F.explode(grid)).select("*", "_g.*")
-    rows = L.ruled(rows, F.col("alpha"), F.col("zlimit"), F.col("moderate"), F.col("severe"))
-    c, d, z = F.col("candidate"), F.col("by_drop"), F.col("by_limit")
-    return rows.groupBy("alpha", "zlimit", "moderate", "severe").agg(
-        F.count_if("valid").alias("n_known"), F.count_if(c).alias("n_candidate"), six(F.count_if(c) / F.count_if("valid")).alias("coverage"), F.count_if(c & d & ~z).alias("n_drop_only"), F.count_if(c & z & ~d).alias("n_limit_only"), F.count_if(c & d & z).alias("n_both"),
-        F.count_if(F.col("severity") == 3).alias("n_severe"), F.count_if(F.col("severity") == 2).alias("n_moderate"), F.count_if("outlier").alias("n_outlier"), F.count_if("bad").alias("n_bad"),
-    )
+    """27 settings of the candidate rule: coverage both ways, disagreement, confidence, severity, components and specks."""
+    rows = based(spark, sf).join(posed_depths(spark, sf).drop("depth"), ["well_id", "depth_idx"])
+    done = L.threshold_grid(rows, [0.3, 0.35, 0.4], [2.0, 2.5, 3.0], [(0.4, 0.55), (0.45, 0.6), (0.5, 0.65)], D.SECTORS)
+    return done.withColumns({c: six(F.col(c)) for c in ("coverage", "confidence_mean", "low_share", "plus_coverage", "minus_coverage", "disagreement", "speckle_share")})
+
+
+SQL["threshold_grid"] = SQL["threshold_grid"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("depth_profile", "SELECT well_id, depth_idx, round(avg(CASE WHEN convention = 'plus' THEN (presence = 1)::INT END), 6) AS plus_share, round(avg(CASE WHEN convention = 'minus' THEN (presence = 1)::INT END), 6) AS minus_share, round(avg((confidence >= 0.5)::INT), 6) AS high_share, round(avg(confidence), 6) AS confidence FROM labels GROUP BY ALL", "labels")
@@ -191,11 +218,21 @@ def association(spark, sf):
     return rows.select("convention", "subset", "feature", "n_candidate", "n_non_candidate", *((F.round(c, 5) + 0.0 if c in ("mean_difference", "effect") else F.round(c, 5)).alias(c) for c in ("candidate_mean", "candidate_median", "mean_difference", "weighted_candidate_mean", "effect", "severity_mean_0", "severity_mean_3")))
 
 
-@query("rank_correlation", "SELECT conv AS convention, subset, feature, CASE WHEN count(*) >= 3 AND min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 5) + 0.0 END AS r FROM (SELECT *, rank() OVER (PARTITION BY conv, subset, feature ORDER BY v) + (count(*) OVER (PARTITION BY conv, subset, feature, v) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY conv, subset, feature ORDER BY severity_plus) + (count(*) OVER (PARTITION BY conv, subset, feature, severity_plus) - 1) / 2.0 AS rb FROM long_features WHERE severity_plus >= 0) GROUP BY ALL", "long_features")
+RANKS = """SELECT conv AS convention, subset, feature, CASE WHEN count(*) >= 3 AND min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 5) + 0.0 END AS %s FROM (
+    SELECT *, rank() OVER (PARTITION BY conv, subset, feature ORDER BY v) + (count(*) OVER (PARTITION BY conv, subset, feature, v) - 1) / 2.0 AS ra,
+      rank() OVER (PARTITION BY conv, subset, feature ORDER BY %s) + (count(*) OVER (PARTITION BY conv, subset, feature, %s) - 1) / 2.0 AS rb
+    FROM long_features WHERE %s >= 0) GROUP BY ALL"""
+
+
+@query("rank_correlation", f"""SELECT convention, subset, feature, r_severity, r_presence FROM ({RANKS % ("r_severity", *["severity_plus"] * 3)})
+  FULL JOIN ({RANKS % ("r_presence", *["presence"] * 3)}) USING (convention, subset, feature)""", "long_features")
 def rank_correlation(spark, sf):
+    """Spearman's correlation of each feature with severity and with presence."""
     rows = samples(spark, sf).join(side_features(spark, sf), ["well_id", "xsi_idx", "side"])
-    long = E.in_subsets(rows).unpivot(["convention", "subset", "severity_plus"], list(E.FEATURES), "feature", "v").filter("severity_plus >= 0")
-    return E.spearman(long, ["convention", "subset", "feature"], "v", "severity_plus").withColumn("r", F.round("r", 5) + 0.0)
+    keys = ["convention", "subset", "feature"]
+    long = stored(E.in_subsets(rows).unpivot(["convention", "subset", "severity_plus", "presence"], list(E.FEATURES), "feature", "v"), "long")
+    r = {c: E.spearman(long.filter(F.col(c) >= 0), keys, "v", c).select(*keys, (F.round("r", 5) + 0.0).alias(n)) for c, n in (("severity_plus", "r_severity"), ("presence", "r_presence"))}
+    return r["severity_plus"].join(r["presence"], keys, "full")
 
 
 @query("top_effects", f"SELECT feature, round(raw_effect, 5) + 0.0 AS effect FROM ({ASSOCIATION}) WHERE convention = 'plus' AND subset = 'high_confidence' AND raw_effect IS NOT NULL ORDER BY abs(raw_effect) DESC, feature LIMIT 8", "long_features")

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from borelake.functions.angles import six
 from borelake.operators import catalog as C
+from borelake.operators import checks as K
 from borelake.operators import convention as R
 from borelake.operators import features as E
 from borelake.operators import labels as L
 from borelake.operators import review as V
 from borelake.operators import series as S
 from borelake.plans import labels as P
+from borelake.plans.review import SQL as REVIEW_SQL
 from borelake.plans.views import over
+from borelake.shared import stored
 from borelake.sources import adapter as D
 
 QUERIES, SQL = {}, {}
 NAMES = ["rms", "peak_abs", "late_ratio"]
+FIELD_SCORES = REVIEW_SQL["field_scores"]
 
 
 def query(name: str, sql: str | None, *views: str):
@@ -99,16 +106,18 @@ TRANSFORM = """+ e AS (SELECT feature, quantile_cont(x, 0.001) AS lo, quantile_c
 
 
 @query("transform_report", f"""{TRANSFORM}
-  SELECT r.feature, r.n, round(r.a, 5) AS raw_min, round(r.b, 5) AS raw_max, round(l.a, 5) AS log_min, round(l.b, 5) AS log_max, round(lo, 5) AS clip_low, round(hi, 5) AS clip_high,
-    n_clipped, round(s.a, 4) + 0.0 AS scaled_min, round(s.b, 4) AS scaled_max
-  FROM (SELECT feature, count(v) AS n, min(v) AS a, max(v) AS b FROM r GROUP BY feature) r
-  JOIN (SELECT feature, min(x) AS a, max(x) AS b FROM logged GROUP BY feature) l USING (feature) JOIN e USING (feature)
+  SELECT r.feature, r.n, r.n_missing, round(r.a, 5) AS raw_min, round(r.b, 5) AS raw_max, round(r.m, 5) AS raw_mean, round(r.q, 5) AS raw_median,
+    round(l.a, 5) AS log_min, round(l.b, 5) AS log_max, round(l.m, 5) AS log_mean, round(l.q, 5) AS log_median, round(lo, 5) AS clip_low, round(hi, 5) AS clip_high,
+    n_clipped, round(s.a, 4) + 0.0 AS scaled_min, round(s.b, 4) AS scaled_max, round(s.m, 4) + 0.0 AS scaled_mean, round(s.q, 4) + 0.0 AS scaled_median
+  FROM (SELECT feature, count(v) AS n, count_if(v IS NULL) AS n_missing, min(v) AS a, max(v) AS b, avg(v) AS m, quantile_cont(v, 0.5) AS q FROM r GROUP BY feature) r
+  JOIN (SELECT feature, min(x) AS a, max(x) AS b, avg(x) AS m, quantile_cont(x, 0.5) AS q FROM logged GROUP BY feature) l USING (feature) JOIN e USING (feature)
   JOIN (SELECT feature, count_if(x < lo OR x > hi) AS n_clipped FROM logged JOIN e USING (feature) GROUP BY feature) c USING (feature)
-  JOIN (SELECT feature, min(s) AS a, max(s) AS b FROM scaled GROUP BY feature) s USING (feature)""", "table6", "scaled")
+  JOIN (SELECT feature, min(s) AS a, max(s) AS b, avg(s) AS m, quantile_cont(s, 0.5) AS q FROM scaled GROUP BY feature) s USING (feature)""", "table6", "scaled")
 def transform_report(spark, sf):
-    """Ranges of the features raw, logged and scaled, and what clipping cut."""
+    """Ranges, means and medians of the features raw, logged and scaled, and what clipping cut."""
     rows = E.transform_report(P.table6(spark, sf), NAMES)
-    return rows.select("feature", "n", "n_clipped", *(F.round(c, 5).alias(c) for c in ("raw_min", "raw_max", "log_min", "log_max", "clip_low", "clip_high")), (F.round("scaled_min", 4) + 0.0).alias("scaled_min"), F.round("scaled_max", 4).alias("scaled_max"))
+    five = ("raw_min", "raw_max", "raw_mean", "raw_median", "log_min", "log_max", "log_mean", "log_median", "clip_low", "clip_high")
+    return rows.select("feature", "n", "n_missing", "n_clipped", *(F.round(c, 5).alias(c) for c in five), F.round("scaled_max", 4).alias("scaled_max"), *((F.round(c, 4) + 0.0).alias(c) for c in ("scaled_min", "scaled_mean", "scaled_median")))
 
 
 ASSOCIATED = P.ASSOCIATION.replace("SELECT *, mean_difference", "SELECT *, weighted_candidate_mean - sum_n AS w_difference, sum_n, mean_difference", 1).replace(
@@ -128,7 +137,7 @@ def observations(spark, sf):
     return observed(spark, sf)
 
 
-@query("association_gate", f"""+ {OBSERVED}, s AS (SELECT count_if(azimuthal) AS az, count_if(non_azimuthal) AS non_az FROM samples), f AS (SELECT avg((rms IS NOT NULL AND isfinite(rms))::INT) AS finite FROM features_side)
+@query("association_gate", f"""+ {OBSERVED}, s AS (SELECT count_if(azimuthal) AS az, count_if(non_azimuthal) AS non_az FROM samples), f AS (SELECT avg((v IS NOT NULL AND isfinite(v))::INT) AS finite FROM (SELECT unnest([rms, peak_abs, mean_abs, early_energy, late_energy, late_ratio]) AS v FROM features_side))
   SELECT CASE WHEN non_az < az OR finite < 0.5 OR NOT coalesce((SELECT bool_or(enough AND signal) FROM ob WHERE convention = 'plus' AND subset = 'high_confidence'), false) THEN 'no_go'
     WHEN finite < 0.95 THEN 'conditional_go' ELSE 'go' END AS decision, az AS n_azimuthal, non_az AS n_non_azimuthal, round(finite, 6) AS finite_share FROM s, f""", "long_features", "samples", "features_side")
 def association_gate(spark, sf):
@@ -175,20 +184,62 @@ def manifest_valid(spark, sf):
     return rows.select("well_id", "n_receivers", F.concat_ws(",", "warnings").alias("warnings"))
 
 
-@query("contract_errors", """SELECT count(DISTINCT side) <> 8 AS sides, max(len(samples)) <> 64 OR min(len(samples)) <> 64 AS samples,
-  (SELECT count(DISTINCT az_idx) FROM cells) <> 12 AS sectors, count(DISTINCT xsi_idx) <> (SELECT count(DISTINCT depth_idx) FROM cells) AS depths FROM waveforms""", "waveforms", "cells")
-def contract_errors(spark, sf):
-    """Do the tables have the axes that the contract names? Depths only warn."""
-    return C.contract_errors(D.waveforms(spark, sf), D.full_image(spark, sf), D.SIDES, 64, D.SECTORS)
+CONTRACT = """i AS (
+    SELECT unnest([
+      CASE WHEN count(DISTINCT side) <> 8 THEN {'table': 'waveforms', 'level': 'error', 'issue': 'sides'} END,
+      CASE WHEN max(len(samples)) <> 64 OR min(len(samples)) <> 64 THEN {'table': 'waveforms', 'level': 'error', 'issue': 'samples'} END,
+      CASE WHEN (SELECT count(DISTINCT az_idx) FROM cells) <> 12 THEN {'table': 'image', 'level': 'error', 'issue': 'sectors'} END,
+      CASE WHEN count(DISTINCT xsi_idx) <> (SELECT count(*) FROM (SELECT DISTINCT depth_idx FROM cells)) THEN {'table': 'waveforms', 'level': 'warning', 'issue': 'depths'} END
+    ]) AS i FROM waveforms
+  )"""
 
 
-@query("intake_gate", """WITH f AS (SELECT p_partkey % 7 AS well_id, CASE p_partkey % 5 WHEN 0 THEN 'cast' WHEN 1 THEN 'pose' WHEN 2 THEN NULL ELSE 'xsi' END AS role FROM part),
-  w AS (SELECT well_id, count_if(role = 'xsi') = 0 AS bad, count_if(role = 'cast') < 1 OR count_if(role = 'pose') < 1 OR count_if(role = 'xsi') <> 13 AS odd FROM f GROUP BY well_id)
-  SELECT well_id, CASE WHEN bad THEN 'no_go' WHEN odd THEN 'conditional_go' ELSE 'go' END AS decision FROM w""")
-def intake_gate(spark, sf):
-    """A well without receivers stops the intake; other oddities of its files are conditions."""
-    from borelake.plans.review import manifest
+def contract(spark, sf):
+    """Issues of the waveforms and the image against axes of 8 sides, 64 samples, 12 sectors and the image's depths."""
+    waves, image = D.waveforms(spark, sf), stored(D.full_image(spark, sf), "image")
+    axes = {"side": spark.range(D.SIDES), "time": spark.range(64), "sector": spark.range(D.SECTORS), "depth": image.select("depth_idx").distinct()}
+    return K.contract_issues(spark, {"waveforms": waves, "image": image}, axes)
 
-    rows = C.manifest_warnings(manifest(spark, sf))
-    metrics = rows.select("well_id", (F.col("n_receivers") == 0).cast("double").alias("no_receivers"), F.size("warnings").cast("double").alias("warnings")).unpivot("well_id", ["no_receivers", "warnings"], "metric", "value")
-    return V.decided(metrics, [("no_receivers", "at_most", 0.0, "block"), ("warnings", "at_most", 0.0, "warn")]).select("well_id", "decision")
+
+@query("contract_errors", f"+ {CONTRACT} SELECT i.table, i.level, i.issue FROM i WHERE i IS NOT NULL", "waveforms", "cells")
+def contract_errors(spark, sf):
+    """Do the tables have the axes that the contract names? Depths only warn."""
+    return contract(spark, sf)
+
+
+@query("intake_gate", f"""+ {CONTRACT}, mf AS (SELECT p_partkey % 7 AS well_id, CASE p_partkey % 5 WHEN 0 THEN 'cast' WHEN 1 THEN 'pose' WHEN 2 THEN NULL ELSE 'xsi' END AS role FROM part),
+  mw AS (SELECT count_if(role = 'cast') < 1 AS c, count_if(role = 'pose') < 1 AS p, count_if(role = 'xsi') <> 13 AS x, well_id IS NULL AS e FROM mf GROUP BY well_id),
+  {FIELDS.replace('fields AS', 'fs AS')}, pr AS (SELECT count(*) AS n, count_if(len(shape) < 1) AS bad FROM fs),
+  mp AS ({FIELD_SCORES}),
+  sl AS (SELECT count_if(n = 0) AS empty FROM (SELECT well_id, count(zc) AS n FROM cells GROUP BY well_id)),
+  qc AS (SELECT count_if(count_zc < n) AS odd, count_if(count_zc = 0) AS none FROM (SELECT well_id, count(*) AS n, count(zc) AS count_zc FROM cells GROUP BY well_id)),
+  a AS (
+    SELECT 'manifest' AS artifact, count_if(e) AS n_errors, count_if(c) + count_if(p) + count_if(x) AS n_warnings FROM mw
+    UNION ALL SELECT 'probe', bad + (n = 0)::INT, 0 FROM pr
+    UNION ALL SELECT 'mapping', count_if(field_path = 'TODO_CONFIRM'), count_if(confidence < 0.8 AND field_path <> 'TODO_CONFIRM') FROM mp
+    UNION ALL SELECT 'slices', empty, 0 FROM sl
+    UNION ALL SELECT 'contract', (SELECT count_if(i.level = 'error') FROM i), (SELECT count_if(i.level = 'warning') FROM i)
+    UNION ALL SELECT 'quality', none, odd FROM qc
+  )
+  SELECT artifact, n_errors::BIGINT AS n_errors, n_warnings::BIGINT AS n_warnings, CASE WHEN n_errors > 0 THEN 'fail' WHEN n_warnings > 0 THEN 'warning' ELSE 'pass' END AS status,
+    CASE WHEN (SELECT sum(n_errors) FROM a) > 0 THEN 'no_go' WHEN (SELECT sum(n_warnings) FROM a) > 0 THEN 'conditional_go' ELSE 'go' END AS decision FROM a""", "waveforms", "cells")
+def intake_gate(spark, sf):
+    """Manifest, fields, their mapping, slices, contract and quality: each passes, warns or fails, and all decide.
+
+    Other than the usual number of files only warns; a target without a sure field is an error, one that is barely sure a warning.
+    """
+    from borelake.plans.review import field_choice, manifest
+
+    files = C.manifest_warnings(manifest(spark, sf))
+    said = lambda rows, artifact, level: rows.select(F.lit(artifact).alias("artifact"), F.lit(level).alias("level"), F.col("n").cast("long").alias("n"))
+    image = stored(D.full_image(spark, sf), "image").groupBy("well_id").agg(F.count(F.lit(1)).alias("rows"), F.count("zc").alias("known"))
+    mapping = stored(field_choice(spark, sf), "mapping")
+    todo = F.col("field_path") == C.TODO
+    probe = fields(spark, sf).agg((F.count_if(F.size("shape") < 1) + (F.count(F.lit(1)) == 0).cast("int")).alias("n"))
+    issues = [
+        said(files.agg(F.count_if(F.col("well_id").isNull()).alias("n")), "manifest", "error"), said(files.agg(F.sum(F.size("warnings")).alias("n")), "manifest", "warning"), said(probe, "probe", "error"),
+        said(mapping.agg(F.count_if(todo).alias("n")), "mapping", "error"), said(mapping.agg(F.count_if(~todo & (F.col("confidence") < 0.8)).alias("n")), "mapping", "warning"),
+        said(image.agg(F.count_if(F.col("known") == 0).alias("n")), "slices", "error"), said(image.agg(F.count_if(F.col("known") == 0).alias("n")), "quality", "error"), said(image.agg(F.count_if(F.col("known") < F.col("rows")).alias("n")), "quality", "warning"),
+        contract(spark, sf).select(F.lit("contract").alias("artifact"), "level", F.lit(1).cast("long").alias("n")),
+    ]
+    return K.decided(reduce(DataFrame.unionByName, issues), ["manifest", "probe", "mapping", "slices", "contract", "quality"])

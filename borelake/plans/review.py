@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from borelake.functions.angles import six
 from borelake.operators import catalog as C
+from borelake.operators import checks as K
+from borelake.operators import features as E
 from borelake.operators import labels as L
 from borelake.operators import review as V
 from borelake.operators import series as S
@@ -65,17 +67,32 @@ FIELD = """f AS (SELECT p_partkey % 7 AS well_id, ['cast', 'pose', 'xsi'][(1 + p
   LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY well_id, target ORDER BY confidence DESC, field_path) = 1) b ON b.well_id = w.well_id AND b.target = t.target""")
 def field_scores(spark, sf):
     """The field to take for each target of each well."""
+    return field_choice(spark, sf).withColumn("confidence", six(F.col("confidence")))
+
+
+def field_choice(spark, sf):
     fields = D.table(spark, sf, "part").selectExpr(
         "p_partkey % 7 as well_id", "element_at(array('cast', 'pose', 'xsi'), cast(1 + p_partkey % 3 as int)) as role",
         "concat('log.', case p_partkey % 8 when 0 then 'RelBearing' when 1 then 'Depth' when 2 then 'Zc' when 3 then 'INCL' when 4 then 'time_ms' when 5 then 'waveform' when 6 then concat('x', p_partkey) else concat('zc_raw', p_partkey) end) as field_path",
         "case when p_partkey % 5 = 0 then array(100, 180) else array(100, 3) end as shape", "'double' as dtype",
     )
-    return C.recommended(fields).select("well_id", "target", "field_path", six(F.col("confidence")).alias("confidence"))
-
-
-@query("label_code_errors", "SELECT count_if(presence NOT IN (-1, 0, 1)) AS presence, count_if(severity NOT IN (-1, 0, 1, 2, 3)) AS severity, count_if(confidence < 0 OR confidence > 1) AS confidence, count_if(confidence IS NULL) AS confidence_missing FROM labels", "labels")
+    return C.recommended(fields).select("well_id", "target", "field_path", "confidence")
+
+
+@query("label_code_errors", """+ r AS (
+    SELECT *, {'well_id': well_id, 'depth_idx': depth_idx, 'az_idx': az_idx, 'convention': convention} AS k FROM labels
+  ), x AS (
+    SELECT unnest([
+      {'rule': 'presence_code', 'level': 'error', 'n': count_if(presence NOT IN (-1, 0, 1))}, {'rule': 'severity_code', 'level': 'error', 'n': count_if(severity NOT IN (-1, 0, 1, 2, 3))},
+      {'rule': 'confidence_range', 'level': 'error', 'n': count_if(isfinite(confidence) AND (confidence < 0 OR confidence > 1))}, {'rule': 'confidence_not_finite', 'level': 'warning', 'n': count_if(confidence IS NULL OR NOT isfinite(confidence))},
+      {'rule': 'shape_of_severity', 'level': 'error', 'n': count_if((presence IS NULL) <> (severity IS NULL))}, {'rule': 'shape_of_confidence', 'level': 'error', 'n': count_if((presence IS NULL) <> (confidence IS NULL))},
+      {'rule': 'convention', 'level': 'error', 'n': count_if(convention NOT IN ('plus', 'minus') OR convention IS NULL)}, {'rule': 'uncertain', 'level': 'warning', 'n': count_if(presence = -1)}
+    ]) AS x FROM r
+  ) SELECT x.rule, x.level, x.n FROM x""", "labels")
 def label_code_errors(spark, sf):
-    return C.code_errors(P.labels(spark, sf))
+    """Every rule of the label format, counted in one pass; that presence is unknown only warns."""
+    rules = [*K.label_rules(), K.Rule("uncertain", F.col("presence") == -1, "warning")]
+    return K.checked(P.labels(spark, sf), rules, ["well_id", "depth_idx", "az_idx", "convention"]).select("rule", "level", "n")
 
 
 @query("colour_limits", "SELECT well_id, round(quantile_cont(zc, 0.01), 6) AS low, round(CASE WHEN quantile_cont(zc, 0.99) > quantile_cont(zc, 0.01) THEN quantile_cont(zc, 0.99) ELSE quantile_cont(zc, 0.01) + 1 END, 6) AS high FROM cells GROUP BY well_id", "cells")
@@ -103,10 +120,10 @@ def thinned_depths(spark, sf):
     return V.thinned(posed_depths(spark, sf), ["well_id"], "depth_idx", 50).select("well_id", "depth_idx")
 
 
-GATE = [("valid_share", "at_least", 0.70, "block"), ("disagreement", "at_most", 0.20, "warn"), ("coverage", "at_most", 0.80, "block")]
+GATE = [("valid_share", "at_least", 0.70, "block"), ("disagreement", "below", 0.20, "warn"), ("coverage", "at_most", 0.80, "block")]
 
 
-@query("label_gate", "SELECT well_id, CASE WHEN valid_share < 0.7 OR coverage > 0.8 THEN 'no_go' WHEN disagreement > 0.2 THEN 'conditional_go' ELSE 'go' END AS decision FROM (SELECT well_id, avg(baseline_valid::INT) AS valid_share, count_if(presence = 1) / count_if(presence >= 0) AS coverage FROM ruled GROUP BY well_id) JOIN (SELECT well_id, avg((p <> m)::INT) AS disagreement FROM (SELECT well_id, depth_idx, az_rot, max(CASE WHEN convention = 'plus' THEN presence END) AS p, max(CASE WHEN convention = 'minus' THEN presence END) AS m FROM labels GROUP BY ALL) WHERE p >= 0 AND m >= 0 GROUP BY well_id) USING (well_id)", "ruled", "labels")
+@query("label_gate", "SELECT well_id, CASE WHEN valid_share < 0.7 OR coverage > 0.8 THEN 'no_go' WHEN disagreement >= 0.2 THEN 'conditional_go' ELSE 'go' END AS decision FROM (SELECT well_id, avg(baseline_valid::INT) AS valid_share, count_if(presence = 1) / count_if(presence >= 0) AS coverage FROM ruled GROUP BY well_id) JOIN (SELECT well_id, avg((p <> m)::INT) AS disagreement FROM (SELECT well_id, depth_idx, az_rot, max(CASE WHEN convention = 'plus' THEN presence END) AS p, max(CASE WHEN convention = 'minus' THEN presence END) AS m FROM labels GROUP BY ALL) WHERE p >= 0 AND m >= 0 GROUP BY well_id) USING (well_id)", "ruled", "labels")
 def label_gate(spark, sf):
     rows = stored(P.labels(spark, sf).select("well_id", "depth_idx", "az_rot", "convention", "presence", "baseline_valid"), "labels")
     own = rows.filter("convention = 'plus'")
@@ -116,12 +133,27 @@ def label_gate(spark, sf):
     return V.decided(plain.union(valid).union(apart), GATE).select("well_id", "decision")
 
 
-@query("sample_gate", "SELECT well_id, CASE WHEN least(count_if(presence_plus = 1), count_if(presence_plus = 0)) < 20 OR avg((weight > 0)::INT) < 0.05 OR avg(large_error::INT) > 0.2 THEN 'no_go' ELSE 'go' END AS decision FROM table6 GROUP BY well_id", "table6")
+@query("sample_gate", """+ n AS (SELECT avg((isfinite(s))::INT) AS finite FROM scaled),
+  g AS (
+    SELECT well_id, least(count_if(azimuthal AND presence_plus = 1), count_if(azimuthal AND presence_plus = 0)) AS least_class, avg((weight > 0)::INT) AS positive_share, avg(large_error::INT) AS error_share,
+      count_if(weight IS NULL OR weight < 0 OR weight > 1) AS bad_weights FROM table6 GROUP BY well_id
+  ) SELECT well_id, least_class, round(positive_share, 6) AS positive_share, round(error_share, 6) AS error_share,
+    CASE WHEN least_class < 20 OR positive_share < 0.05 OR error_share > 0.2 OR bad_weights > 0 OR 1 - finite > 0.01 THEN 'no_go' ELSE 'go' END AS decision FROM g, n""", "table6", "scaled")
 def sample_gate(spark, sf):
-    p = F.col("presence_plus")
-    sums = P.table6(spark, sf).groupBy("well_id").agg(F.least(F.count_if(p == 1), F.count_if(p == 0)).cast("double").alias("least_class"), F.avg((F.col("weight") > 0).cast("int")).alias("positive_share"), F.avg(F.col("large_error").cast("int")).alias("error_share"))
-    metrics = sums.unpivot("well_id", ["least_class", "positive_share", "error_share"], "metric", "value")
-    return V.decided(metrics, [("least_class", "at_least", 20.0, "block"), ("positive_share", "at_least", 0.05, "block"), ("error_share", "at_most", 0.20, "block")]).select("well_id", "decision")
+    """Sure samples of each class, weights, depth errors and finite transformed features, by well."""
+    names = ["rms", "peak_abs", "late_ratio"]
+    rows = stored(E.transformed(P.table6(spark, sf), names), "sample-gate")
+    p, sure, w = F.col("presence_plus"), F.col("azimuthal"), F.col("weight")
+    sums = rows.groupBy("well_id").agg(
+        F.least(F.count_if(sure & (p == 1)), F.count_if(sure & (p == 0))).cast("double").alias("least_class"), F.avg((w > 0).cast("int")).alias("positive_share"), F.avg(F.col("large_error").cast("int")).alias("error_share"),
+        F.count_if(w.isNull() | F.isnan(w) | (w < 0) | (w > 1)).cast("double").alias("bad_weights"),
+    )
+    finite = sum((F.col(f"scaled_{f}").isNotNull() & ~F.isnan(f"scaled_{f}")).cast("int") for f in names) / len(names)
+    odd = rows.agg((1 - F.avg(finite)).alias("not_finite"))
+    metrics = sums.crossJoin(F.broadcast(odd)).unpivot("well_id", ["least_class", "positive_share", "error_share", "bad_weights", "not_finite"], "metric", "value")
+    rules = [("least_class", "at_least", 20.0, "block"), ("positive_share", "at_least", 0.05, "block"), ("error_share", "at_most", 0.20, "block"), ("bad_weights", "at_most", 0.0, "block"), ("not_finite", "at_most", 0.01, "block")]
+    done = V.decided(metrics, rules).select("well_id", "decision").join(sums, "well_id")
+    return done.select("well_id", F.col("least_class").cast("long").alias("least_class"), six(F.col("positive_share")).alias("positive_share"), six(F.col("error_share")).alias("error_share"), "decision")
 
 
 @query("alignment_gate", f"SELECT well_id, CASE WHEN block IS NULL THEN 'conditional_go' ELSE 'no_go' END AS decision FROM ({SERIES_SQL['axis_overlap']})")

@@ -104,7 +104,7 @@ def _audit(spark, sf, order):
     return rows.select("well_id", "series_id", "n", "depth_min", "depth_max", *(F.col(c).cast("long").alias(c) for c in ("n_up", "n_down", "n_equal")), *(F.round(c, 3).alias(c) for c in ("step_median", "step_min", "step_max")), "direction")
 
 
-for _name, _order, _sql in (("up", "sample_idx", "sample_idx"), ("down", "-sample_idx", "-sample_idx"), ("mixed", "(sample_idx * 7919) % 1009 * 1000000 + sample_idx", "(sample_idx * 7919) % 1009 * 1000000 + sample_idx")):
+for _name, _order, _sql in (("up", "sample_idx", "sample_idx"), ("mixed", "(sample_idx * 7919) % 1009 * 1000000 + sample_idx", "(sample_idx * 7919) % 1009 * 1000000 + sample_idx")):
     query(f"axis_audit_{_name}", "SELECT * EXCLUDE (allowed) FROM (" + DIRECTED_SQL.format(AUDIT_SQL % _sql) + ")", "event_series")(lambda spark, sf, order=_order: _audit(spark, sf, order))
 
 

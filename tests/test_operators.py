@@ -76,6 +76,19 @@ def test_baseline(spark, block):
     assert not got[4, 2]["baseline_valid"] and got[3, 2]["baseline_valid"] and got[0, 2]["finite_fraction"] == 1
 
 
+@pytest.mark.parametrize("half", [1, 10, 281])
+def test_rolling_window(half):
+    import numpy as np
+
+    rng = np.random.default_rng(half)
+    values = np.round(rng.random(700), 2)
+    got = L.rolling(values, half, 0.9)
+    for i in range(700):
+        window = np.sort(values[max(0, i - half) : i + half + 1])
+        assert got[i] == window[max(math.ceil(len(window) * 0.9), 1) - 1]
+    assert len(L.rolling(values[:3], half, 0.5)) == 3 and len(L.rolling(values[:0], half, 0.5)) == 0
+
+
 def test_label_rules_and_confidence(spark):
     rows = [(0, 0, 0.0, 0, 4.0, 10.0, 1.0, True, 0.4, 0.6, 8.0, 90.0), (0, 1, 1.0, 0, 9.0, 10.0, 1.0, True, 0.9, 0.1, 8.0, 90.0), (0, 2, 2.0, 0, None, 10.0, 1.0, False, None, None, 8.0, 90.0), (0, 3, 3.0, 0, 0.3, 10.0, 1.0, True, 0.03, 0.97, 8.0, 90.0), (0, 4, 4.0, 0, 4.0, 10.0, 1.0, True, 0.4, 0.6, 0.5, 90.0), (0, 5, 5.0, 0, 2.0, 2.5, 1.0, True, 0.8, 0.2, None, None)]
     based = spark.createDataFrame(rows, "well_id long, depth_idx long, depth double, az_idx int, zc double, zc_base double, finite_fraction double, baseline_valid boolean, zc_ratio double, relative_drop double, inc_deg double, rb_deg double")
@@ -95,6 +108,44 @@ def test_components_across_the_seam(spark):
     assert flat.select("component").distinct().count() == 3
 
 
+@pytest.mark.parametrize("wrap", [True, False])
+def test_components_of_all_runs_over_tiles(spark, wrap):
+    """Tiles of three depths against one walk over all cells, for three nested masks."""
+    import random
+
+    rng = random.Random(7)
+    cells = {(w, d, a): rng.choice([0, 0, 1, 3, 7]) for w in (0, 1) for d in range(40) for a in range(6)}
+    df = spark.createDataFrame([(*c, m) for c, m in cells.items() if m], "well_id long, depth_idx long, az_idx int, bits int")
+    found = L.cell_components(df, 6, wrap, "bits", tile=3).collect()
+    for run in range(3):
+        left = {c for c, m in cells.items() if m >> run & 1}
+        got = {}
+        for r in found:
+            if r["run"] == run:
+                got.setdefault(r["component"], set()).add((r["well_id"], r["depth_idx"], r["az_idx"]))
+        want = []
+        while left:
+            todo = [left.pop()]
+            whole = set(todo)
+            while todo:
+                w, d, a = todo.pop()
+                for x in ((w, d + i, (a + j) % 6 if wrap else a + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                    if x in left:
+                        left.remove(x)
+                        whole.add(x)
+                        todo.append(x)
+            want.append(whole)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+
+
+def test_tied_groups_of_sides(spark):
+    """Of complete groups with equal sums, the smaller prefix is taken, whatever the order of rows."""
+    rows = [(1, 1, "xsi", f"{p}Side{c}", [10, 1024], "double") for p in ("b", "a", "c") for c in "ABCDEFGH"]
+    for part in (rows, rows[::-1]):
+        best = C.recommended(spark.createDataFrame(part, "well_id int, receiver int, role string, field_path string, shape array<int>, dtype string")).filter("target = 'xsi.waveform'").first()
+        assert best["field_path"] == "aSide{A-H}"
+
+
 def test_features(spark):
     rows = spark.createDataFrame([(0, 0, r, 0, s) for r, s in ((1, [1.0, -1.0, 2.0, -2.0]), (2, [2.0] * 4), (3, [None, 100.0, float("nan"), 100.0]))], "well_id long, xsi_idx long, receiver int, side int, samples array<double>")
     got = {r["receiver"]: r for r in E.basic_features(rows, (0.0, 0.5), (0.5, 1.0)).collect()}
@@ -154,13 +205,12 @@ def test_quality_review_and_gates(spark, tmp_path):
     assert V.runs(rows, ["well_id"], F.col("v").isNull() | (F.col("v") > 7)).count() == 2
     assert V.thinned(rows, ["well_id"], "depth_idx", 4).count() == 4
     assert sum(r["n"] for r in V.histogram(rows, [], "v", 4).collect()) == 9
+    edge = spark.createDataFrame([(0, "a", 0.2)], "well_id long, metric string, value double")
+    assert [V.decided(edge, [("a", how, 0.2, "warn")]).first()["decision"] for how in ("at_most", "below")] == ["go", "conditional_go"]
     metrics = spark.createDataFrame([(0, "a", 1.0), (1, "a", 0.0), (2, "b", 1.0)], "well_id long, metric string, value double")
     got = {r["well_id"]: r["decision"] for r in V.decided(metrics, [("a", "at_least", 0.5, "warn")]).collect()}
     assert got == {0: "go", 1: "conditional_go", 2: "no_go"}
-    C.write(C.stamped(rows, "v1", "x"), f"{tmp_path}/t")
-    with pytest.raises(Exception, match="already exists"):
-        C.write(rows, f"{tmp_path}/t")
-    C.write(rows.withColumn("s", F.array("v")), f"{tmp_path}/c", kind="csv")
+    rows.write.parquet(f"{tmp_path}/t")
     assert C.files(spark, f"{tmp_path}/t", "w").count() >= 1
 
 
