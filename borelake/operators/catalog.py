@@ -120,10 +120,32 @@ def field_audit(fields: DataFrame, receivers: int) -> DataFrame:
     return by.groupBy("well_id").agg((F.lit(receivers) - F.countDistinct("receiver")).alias("n_missing"), F.countDistinct("names").alias("n_name_sets")).join(shapes, "well_id")
 
 
-def manifest_warnings(rows: DataFrame, expected: int | None = None, usual: int = 13) -> DataFrame:
-    """Per well of ``classified`` rows: its receivers, and what is odd: no image, no pose, other than the expected or usual number of receivers."""
+def manifest_warnings(rows: DataFrame, expected: int | None = None, usual: int = 13, by_well: DataFrame | None = None) -> DataFrame:
+    """Per well of ``classified`` rows: its receivers, errors (no_well_id) and what is odd: no image, no pose, other than the expected number of receivers, or as expected but other than the ``usual`` one.
+
+    What is expected is what ``by_well`` (well_id, expected) says of the well, else ``expected``, else the usual number.
+    """
     has = lambda r: F.count_if(F.col("role") == r)
     done = rows.groupBy("well_id").agg(has("cast").alias("_cast"), has("pose").alias("_pose"), has("xsi").alias("n_receivers"))
+    if by_well is None:
+        done = done.withColumn("_expected", F.lit(expected or usual))
+    else:
+        told = by_well.select(F.col("well_id").alias("_well"), F.col("expected").alias("_told"))
+        done = done.join(told, F.col("well_id").eqNullSafe(F.col("_well")), "left").withColumn("_expected", F.coalesce("_told", F.lit(expected or usual))).drop("_well", "_told")
     n = F.col("n_receivers")
-    count = F.when(n != (expected or usual), "receivers").when(n != usual, "unusual_receivers")
-    return done.withColumn("warnings", F.array_compact(F.array(F.when(F.col("_cast") < 1, "no_cast"), F.when(F.col("_pose") < 1, "no_pose"), count))).drop("_cast", "_pose")
+    count = F.when(n != F.col("_expected"), "receivers").when(n != usual, "unusual_receivers")
+    missing = F.coalesce(F.trim(F.col("well_id").cast("string")) == "", F.lit(True))
+    return done.withColumns({
+        "warnings": F.array_compact(F.array(F.when(F.col("_cast") < 1, "no_cast"), F.when(F.col("_pose") < 1, "no_pose"), count)),
+        "errors": F.array_compact(F.array(F.when(missing, "no_well_id"))),
+    }).drop("_cast", "_pose", "_expected")
+
+
+#: Top fields of a manifest, each with the names it can have (fixed values of the manifest format).
+MANIFEST = (("schema_version",), ("data_version",), ("generated_at", "created_at"))
+
+
+def manifest_errors(head: dict, wells: DataFrame) -> list[str]:
+    """Errors of a manifest as a whole: top fields that are missing or empty, and no well at all."""
+    found = [" or ".join(names) for names in MANIFEST if not any(head.get(n) for n in names)]
+    return found + (["no_wells"] if wells.isEmpty() else [])

@@ -82,11 +82,19 @@ def excluded(rows: DataFrame, intervals: DataFrame, unit: str) -> DataFrame:
 
 
 def energy_at(energy: DataFrame, axis: DataFrame, depths: DataFrame, sides: int) -> DataFrame:
-    """``depths`` (well_id, depth_idx, depth) x sides with energy: linear between the sonic depths (``axis``: well_id, xsi_idx, depth), held at the ends."""
+    """``depths`` (well_id, depth_idx, depth) x sides with energy: linear between the sonic depths (``axis``: well_id, xsi_idx, depth), held at the ends, 0 on a side without any. Wells without waveforms have no rows."""
     source = prepared(energy.join(axis, ["well_id", "xsi_idx"]).withColumnRenamed("xsi_idx", "sample_idx"), ["well_id", "side"])
     wells = source.select("well_id").distinct()
     targets = depths.join(wells, "well_id", "left_semi").withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
-    return bracketed(source, targets, ["well_id", "side"], ["energy"]).select("well_id", "depth_idx", "side", lerp("energy", "clamp").alias("energy"))
+    return bracketed(source, targets, ["well_id", "side"], ["energy"]).select("well_id", "depth_idx", "side", lerp("energy", "clamp", empty=0.0).alias("energy"))
+
+
+def turned(rows: DataFrame, index: str, places: int, order: int = 1, offset: float = 0.0) -> DataFrame:
+    """``rows`` (well_id, depth_idx, rb_deg, ``index`` of one of ``places`` around the tool) under both signs: azimuth, and the place of it around the well at that depth. Rows without a bearing have none."""
+    both = rows.filter("rb_deg is not null").withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+    both = both.withColumn("azimuth", wrap(offset + order * F.col(index) * (360.0 / places) + F.col("sign") * F.col("rb_deg")))
+    ring = W.partitionBy("well_id", "depth_idx", "sign").orderBy(F.round("azimuth", 9), index)  # as many rows as places
+    return both.withColumn("place", F.row_number().over(ring).cast("long"))
 
 
 def evidence(depths: DataFrame, image: DataFrame, energy: DataFrame) -> DataFrame:

@@ -289,6 +289,26 @@ def audit(labels: DataFrame, low: float = 0.25, warn: float = 0.25, block: float
     return done.join(disagreement(labels), "well_id", "left").withColumns({"low_share": F.try_divide("_low", "n_candidate"), "level": level}).drop("_low")
 
 
+def rule_of(config: dict) -> tuple[dict, list[str], list[str]]:
+    """The candidate rule of a configuration (alpha, limit and its status, severity bounds), with errors and warnings: alpha lies in (0, 1), severity bounds rise, a limit that is not a number is the fallback, or an error if it must be confirmed."""
+    threshold, grades = config.get("threshold") or {}, config.get("severity") or {}
+    errors, warnings = [], []
+    alpha = float(threshold.get("relative_drop_alpha", ALPHA))
+    if not 0 < alpha < 1:
+        errors.append("alpha")
+    try:
+        limit, status = limit_of(threshold.get("zc_min_limit"), bool(threshold.get("require_confirmed_zc_min_limit", False)), float(threshold.get("conservative_fallback_mrayl", LIMIT)))
+    except ValueError:
+        limit, status = None, "missing_required"
+        errors.append("limit")
+    if status == "requires_confirmation":
+        warnings.append("limit")
+    bounds = [float(grades.get(k, v)) for k, v in (("mild_min_drop", 0.30), ("moderate_min_drop", MODERATE), ("severe_min_drop", SEVERE))]
+    if bounds != sorted(bounds):
+        errors.append("severity")
+    return {"alpha": alpha, "limit": limit, "status": status, "mild": bounds[0], "moderate": bounds[1], "severe": bounds[2]}, errors, warnings
+
+
 def limit_of(value: float | str | None, confirmed: bool = False, fallback: float = LIMIT) -> tuple[float, str]:
     """The impedance limit to use and its status: a number is confirmed; anything else takes the fallback, or is an error if it must be confirmed."""
     try:

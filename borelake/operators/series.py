@@ -79,8 +79,8 @@ def fraction() -> Column:
     return F.when(width == 0, 0.0).otherwise((F.col("depth") - F.col("before.depth")) / width)
 
 
-def lerp(value: str, edge: str | float | None = None, least: int = 1) -> Column:
-    """Linear value of a bracketed target. Outside: ``None`` null, ``"clamp"`` the nearest, or a number; null also under ``least`` sources."""
+def lerp(value: str, edge: str | float | None = None, least: int = 1, empty: float | None = None) -> Column:
+    """Linear value of a bracketed target. Outside: ``None`` null, ``"clamp"`` the nearest, or a number; null also under ``least`` sources; ``empty`` where the series has no source at all."""
     a, b = F.col(f"before.{value}"), F.col(f"after.{value}")
     inside = F.when(F.col("after.depth") == F.col("before.depth"), a).otherwise(a + (b - a) * fraction())
     inside = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), inside)
@@ -88,6 +88,8 @@ def lerp(value: str, edge: str | float | None = None, least: int = 1) -> Column:
         inside = F.coalesce(inside, a, b)
     elif edge is not None:
         inside = F.coalesce(inside, F.lit(float(edge)))
+    if empty is not None:
+        inside = F.when(F.coalesce(F.col("n_source"), F.lit(0)) == 0, float(empty)).otherwise(inside)
     return F.when(F.col("n_source") >= least, inside) if least > 1 else inside
 
 

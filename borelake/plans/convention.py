@@ -8,6 +8,7 @@ from borelake.functions.angles import six
 from borelake.operators import convention as R
 from borelake.plans.series import posed_depths
 from borelake.plans.views import over
+from borelake.shared import stage
 from borelake.sources import adapter as D
 
 QUERIES, SQL = {}, {}
@@ -49,6 +50,7 @@ WINDOWS = """sp AS (
   )"""
 
 
+@stage
 def depth_windows(spark, sf):
     pose = D.pose(spark, sf)
     intervals = spark.createDataFrame(INTERVALS, "start double, stop double, unit string, reason string")
@@ -81,6 +83,7 @@ LOOSE = """sp AS (
   )"""
 
 
+@stage
 def loose_windows(spark, sf):
     pose = D.pose(spark, sf)
     return R.windows(pose, R.spans(pose, D.full_image(spark, sf)), WINDOW, least_inc=0.0, most_jump=80.0)
@@ -105,6 +108,7 @@ ENERGY = """en AS (
   )"""
 
 
+@stage
 def energy_on_image(spark, sf):
     """Side energy on every image depth, from the median depth of the receivers."""
     waves = D.waveforms(spark, sf)
@@ -119,6 +123,16 @@ def side_energy(spark, sf):
     return energy_on_image(spark, sf).select("well_id", F.col("depth_idx").cast("long").alias("depth_idx"), "side", six(F.col("energy")).alias("energy"))
 
 
+@query("turned_energy", f"""+ {ENERGY}, z AS (
+    SELECT well_id, depth_idx, side, k, wrap(side * 45.0 + k * rb_deg) AS azimuth, e FROM at_depth JOIN posed USING (well_id, depth_idx), (VALUES (1), (-1)) t(k) WHERE rb_deg IS NOT NULL)
+  SELECT well_id, depth_idx, k AS sign, row_number() OVER (PARTITION BY well_id, depth_idx, k ORDER BY round(azimuth, 9), side) AS place, round(azimuth, 6) AS azimuth, round(e, 6) AS energy FROM z""", "waveforms", "posed")
+def turned_energy(spark, sf):
+    """Side energies of each image depth around the well, under both signs of the bearing."""
+    bearings = posed_depths(spark, sf).select("well_id", "depth_idx", "rb_deg")
+    rows = R.turned(energy_on_image(spark, sf).join(bearings, ["well_id", "depth_idx"]), "side", D.SIDES)
+    return rows.select("well_id", F.col("depth_idx").cast("long").alias("depth_idx"), "sign", "place", six(F.col("azimuth")).alias("azimuth"), six(F.col("energy")).alias("energy"))
+
+
 EVIDENCE = f"""{ENERGY}, ev AS (
     SELECT p.*, coalesce(greatest(0, least(1, (inc_deg - 1) / 4.0)), 0) AS orientation, image_range, side_range FROM posed p
     JOIN (SELECT well_id, depth_idx, max(zc) - min(zc) AS image_range FROM cells GROUP BY ALL) USING (well_id, depth_idx)
@@ -126,6 +140,7 @@ EVIDENCE = f"""{ENERGY}, ev AS (
   )"""
 
 
+@stage
 def evidence(spark, sf):
     return R.evidence(posed_depths(spark, sf), D.full_image(spark, sf), energy_on_image(spark, sf))
 
@@ -185,6 +200,7 @@ def bearing_candidates(spark, sf):
     return rows.select("well_id", "candidate", "n", six(F.col("az_min")).alias("az_min"), six(F.col("az_max")).alias("az_max"), "legal", "verdict")
 
 
+@stage
 def tracks(spark, sf):
     """Both tracks on every image depth with a bearing, in windows of 64 depths."""
     bearings = posed_depths(spark, sf).filter("rb_deg is not null").select("well_id", "depth_idx", "rb_deg")

@@ -10,7 +10,7 @@ from borelake.operators import labels as L
 from borelake.operators.quality import summary
 from borelake.plans.series import posed_depths, side_of_sector
 from borelake.plans.views import over
-from borelake.shared import stored
+from borelake.shared import stage, stored
 from borelake.sources import adapter as D
 
 QUERIES, SQL = {}, {}
@@ -26,19 +26,25 @@ def query(name: str, sql: str | None, *views: str):
     return add
 
 
+@stage
 def based(spark, sf):
     return L.baseline(D.full_image(spark, sf))
 
 
-def confident(spark, sf, isolated=False):
-    rows = L.ruled(based(spark, sf)).join(posed_depths(spark, sf).drop("depth"), ["well_id", "depth_idx"])
-    return L.with_confidence(rows, L.isolated(rows, D.SECTORS) if isolated else None)
+def posed_rules(spark, sf):
+    return L.ruled(based(spark, sf)).join(posed_depths(spark, sf).drop("depth"), ["well_id", "depth_idx"])
+
+
+@stage
+def confident(spark, sf):
+    return L.with_confidence(posed_rules(spark, sf))
 
 
 def labels(spark, sf):
     return L.both_conventions(confident(spark, sf), D.SECTORS)
 
 
+@stage
 def samples(spark, sf):
     axis = D.waveforms(spark, sf).filter("receiver = 1").groupBy("well_id", "xsi_idx").agg(F.min("depth").alias("depth"))
     sides = E.side_labels(labels(spark, sf), side_of_sector(spark))
@@ -47,10 +53,12 @@ def samples(spark, sf):
     return E.label_samples(sides, depths, axis, pose)
 
 
+@stage
 def side_features(spark, sf):
     return E.by_side(E.basic_features(D.waveforms(spark, sf)))
 
 
+@stage
 def table6(spark, sf):
     return E.sample_table(samples(spark, sf), side_features(spark, sf), D.SIDES)
 
@@ -83,10 +91,26 @@ def label_confidence(spark, sf):
 
 @query("confidence_parts", "SELECT well_id, round(avg(orient), 6) AS c_orientation, round(avg(CASE WHEN baseline_valid THEN finite_fraction ELSE 0 END), 6) AS c_baseline, round(avg((rb_deg IS NOT NULL)::INT), 6) AS c_bearing, round(avg(CASE WHEN bad THEN 0 ELSE 1 END), 6) AS c_data, round(avg(confidence), 6) AS confidence FROM confident GROUP BY well_id", "confident")
 def confidence_parts(spark, sf):
-    rows = confident(spark, sf, isolated=True)
+    rows = posed_rules(spark, sf)
+    rows = L.with_confidence(rows, L.isolated(rows, D.SECTORS))
     return rows.groupBy("well_id").agg(*(six(F.avg(c)).alias(c) for c in ("c_orientation", "c_baseline", "c_bearing", "c_data", "confidence")))
 
 
+PARTS = ("c_strength", "c_baseline", "c_orientation", "c_bearing", "c_data", "confidence")
+
+
+@query("confidence_by_convention", """+ s AS (
+    SELECT convention, CASE WHEN candidate THEN greatest(coalesce(greatest(0, least(1, relative_drop / 0.7)), 0), 0.25) ELSE coalesce(greatest(0, least(1, relative_drop / 0.7)), 0) * 0.25 END AS c_strength,
+      CASE WHEN baseline_valid THEN finite_fraction ELSE 0 END::DOUBLE AS c_baseline, orient::DOUBLE AS c_orientation, (rb_deg IS NOT NULL)::DOUBLE AS c_bearing,
+      CASE WHEN bad THEN 0 WHEN zc IS NULL OR zc < 0 OR zc > 20 THEN 0.5 ELSE 1 END::DOUBLE AS c_data, confidence::DOUBLE AS confidence FROM labels)
+  SELECT convention, part, count(*) AS n, round(min(v), 6) AS v_min, round(max(v), 6) AS v_max, round(avg(v), 6) AS v_mean, round(quantile_cont(v, 0.5), 6) AS v_median
+  FROM (UNPIVOT s ON c_strength, c_baseline, c_orientation, c_bearing, c_data, confidence INTO NAME part VALUE v) GROUP BY ALL""", "labels")
+def confidence_by_convention(spark, sf):
+    """Range, mean and median of each part of the confidence under both conventions."""
+    done = summary(labels(spark, sf), ["convention"], list(PARTS))
+    return done.select("convention", F.col("name").alias("part"), "n", *(six(F.col(c)).alias(c) for c in ("v_min", "v_max", "v_mean", "v_median")))
+
+
 @query("label_disagreement", "SELECT well_id, count(*) AS n_both, round(avg((p <> m)::INT), 6) AS disagreement FROM (SELECT well_id, depth_idx, az_rot, max(CASE WHEN convention = 'plus' THEN presence END) AS p, max(CASE WHEN convention = 'minus' THEN presence END) AS m FROM labels GROUP BY ALL) WHERE p >= 0 AND m >= 0 GROUP BY well_id", "labels")
 def label_disagreement(spark, sf):
     return L.disagreement(labels(spark, sf)).withColumn("disagreement", six(F.col("disagreement")))
@@ -209,13 +233,14 @@ def sample_subsets(spark, sf):
 
 ASSOCIATION = """SELECT *, mean_difference / nullif(sqrt(((n_candidate - 1) * vc + (n_non_candidate - 1) * vn) / (n_candidate + n_non_candidate - 2)), 0) AS raw_effect FROM (SELECT conv AS convention, subset, feature, count_if(presence = 1) AS n_candidate, count_if(presence = 0) AS n_non_candidate, avg(CASE WHEN presence = 1 THEN v END) AS candidate_mean, avg(CASE WHEN presence = 0 THEN v END) AS non_candidate_mean, quantile_cont(CASE WHEN presence = 1 THEN v END, 0.5) AS candidate_median,
   avg(CASE WHEN presence = 1 THEN v END) - avg(CASE WHEN presence = 0 THEN v END) AS mean_difference, sum(CASE WHEN presence = 1 THEN v * confidence END) / nullif(sum(CASE WHEN presence = 1 THEN confidence END), 0) AS weighted_candidate_mean, CASE WHEN count_if(presence = 1) >= 2 AND count_if(presence = 0) >= 2 THEN var_samp(CASE WHEN presence = 1 THEN v END) END AS vc, var_samp(CASE WHEN presence = 0 THEN v END) AS vn,
-  avg(CASE WHEN severity_plus = 0 THEN v END) AS severity_mean_0, avg(CASE WHEN severity_plus = 3 THEN v END) AS severity_mean_3 FROM long_features GROUP BY ALL)"""
+  avg(CASE WHEN severity_plus = 0 THEN v END) AS severity_mean_0, avg(CASE WHEN severity_plus = 1 THEN v END) AS severity_mean_1, avg(CASE WHEN severity_plus = 2 THEN v END) AS severity_mean_2,
+  avg(CASE WHEN severity_plus = 3 THEN v END) AS severity_mean_3, list_filter([severity_mean_0, severity_mean_1, severity_mean_2, severity_mean_3], lambda x: x IS NOT NULL) AS known FROM long_features GROUP BY ALL)"""
 
 
-@query("association", f"SELECT convention, subset, feature, n_candidate, n_non_candidate, round(candidate_mean, 5) AS candidate_mean, round(candidate_median, 5) AS candidate_median, round(mean_difference, 5) + 0.0 AS mean_difference, round(weighted_candidate_mean, 5) AS weighted_candidate_mean, round(raw_effect, 5) + 0.0 AS effect, round(severity_mean_0, 5) AS severity_mean_0, round(severity_mean_3, 5) AS severity_mean_3 FROM ({ASSOCIATION})", "long_features")
+@query("association", f"SELECT convention, subset, feature, n_candidate, n_non_candidate, round(candidate_mean, 5) AS candidate_mean, round(candidate_median, 5) AS candidate_median, round(mean_difference, 5) + 0.0 AS mean_difference, round(weighted_candidate_mean, 5) AS weighted_candidate_mean, round(raw_effect, 5) + 0.0 AS effect, round(severity_mean_0, 5) AS severity_mean_0, round(severity_mean_1, 5) AS severity_mean_1, round(severity_mean_2, 5) AS severity_mean_2, round(severity_mean_3, 5) AS severity_mean_3, CASE WHEN len(known) >= 3 THEN list_sort(known) = known END AS rising, CASE WHEN len(known) >= 3 THEN list_reverse_sort(known) = known END AS falling FROM ({ASSOCIATION})", "long_features")
 def association(spark, sf):
     rows = E.association(samples(spark, sf).join(side_features(spark, sf), ["well_id", "xsi_idx", "side"]), list(E.FEATURES))
-    return rows.select("convention", "subset", "feature", "n_candidate", "n_non_candidate", *((F.round(c, 5) + 0.0 if c in ("mean_difference", "effect") else F.round(c, 5)).alias(c) for c in ("candidate_mean", "candidate_median", "mean_difference", "weighted_candidate_mean", "effect", "severity_mean_0", "severity_mean_3")))
+    return rows.select("convention", "subset", "feature", "n_candidate", "n_non_candidate", "rising", "falling", *((F.round(c, 5) + 0.0 if c in ("mean_difference", "effect") else F.round(c, 5)).alias(c) for c in ("candidate_mean", "candidate_median", "mean_difference", "weighted_candidate_mean", "effect", "severity_mean_0", "severity_mean_1", "severity_mean_2", "severity_mean_3")))
 
 
 RANKS = """SELECT conv AS convention, subset, feature, CASE WHEN count(*) >= 3 AND min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 5) + 0.0 END AS %s FROM (
@@ -258,6 +283,25 @@ def sample_report(spark, sf):
     return table6(spark, sf).groupBy("well_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(p == 1).alias("n_candidate"), F.count_if(p == 0).alias("n_non_candidate"), F.count_if("large_error").alias("n_large_error"), six(F.avg((F.col("weight") > 0).cast("int"))).alias("positive_share"), F.count_if(F.col("azimuthal") & (p == 1)).alias("n_sure"))
 
 
+@query("sample_codes", """SELECT field, code, count(*) AS n FROM (UNPIVOT (SELECT presence_plus, presence_minus, severity_plus FROM table6) ON presence_plus, presence_minus, severity_plus INTO NAME field VALUE code) GROUP BY ALL
+  UNION ALL SELECT 'large_error', 1, count_if(large_error) FROM table6 UNION ALL SELECT 'zero_weight', 1, count_if(weight <= 0) FROM table6 UNION ALL SELECT 'disagreement', 1, count_if(disagreement) FROM table6""", "table6")
+def sample_codes(spark, sf):
+    """How many samples have each label and severity code, and how many are excluded for what."""
+    rows, names = table6(spark, sf), ["presence_plus", "presence_minus", "severity_plus"]
+    codes = rows.unpivot([], names, "field", "code").groupBy("field", "code").agg(F.count(F.lit(1)).alias("n"))
+    flags = rows.agg(F.count_if("large_error").alias("large_error"), F.count_if(F.col("weight") <= 0).alias("zero_weight"), F.count_if("disagreement").alias("disagreement"))
+    return codes.unionByName(flags.unpivot([], ["large_error", "zero_weight", "disagreement"], "field", "n").select("field", F.lit(1).alias("code"), "n"))
+
+
+@query("sample_ranges", """+ w AS (SELECT rms, peak_abs, mean_abs, early_energy, late_energy, late_ratio, mismatch::DOUBLE AS mismatch, weight::DOUBLE AS weight FROM table6),
+  r AS (FROM w UNPIVOT INCLUDE NULLS (v FOR name IN (rms, peak_abs, mean_abs, early_energy, late_energy, late_ratio, mismatch, weight)))
+  SELECT name, count(*) AS n, round(count(v) / count(*), 6) AS finite_share, round(min(v), 5) AS v_min, round(max(v), 5) AS v_max, round(avg(v), 5) AS v_mean, round(quantile_cont(v, 0.5), 5) AS v_median FROM r GROUP BY name""", "table6")
+def sample_ranges(spark, sf):
+    """Finite share, range, mean and median of every feature, the depth error and the weight of the samples."""
+    done = summary(table6(spark, sf), [], [*E.FEATURES, "mismatch", "weight"])
+    return done.select("name", "n", six(F.col("finite_share")).alias("finite_share"), *(F.round(c, 5).alias(c) for c in ("v_min", "v_max", "v_mean", "v_median")))
+
+
 @query("scaled_features", "SELECT well_id, sample_id, feature, round(x, 5) AS logged, round(s, 4) + 0.0 AS scaled FROM scaled", "scaled")
 def scaled_features(spark, sf):
     names = ["rms", "peak_abs", "late_ratio"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from borelake.shared import run
+
 MODULES = ("series", "labels", "convention", "review", "reports")
 
 
@@ -11,5 +13,5 @@ def _gathered(name: str) -> dict:
     return {k: v for m in MODULES for k, v in getattr(import_module(f"{__package__}.{m}"), name).items()}
 
 
-QUERIES = _gathered("QUERIES")
+QUERIES = {name: run(query) for name, query in _gathered("QUERIES").items()}
 SQL = _gathered("SQL")

@@ -13,12 +13,13 @@ from borelake.operators import checks as K
 from borelake.operators import convention as R
 from borelake.operators import features as E
 from borelake.operators import labels as L
+from borelake.operators import publish
 from borelake.operators import review as V
 from borelake.operators import series as S
 from borelake.plans import labels as P
 from borelake.plans.review import SQL as REVIEW_SQL
 from borelake.plans.views import over
-from borelake.shared import stored
+from borelake.shared import new_folder, stored
 from borelake.sources import adapter as D
 
 QUERIES, SQL = {}, {}
@@ -173,15 +174,42 @@ def side_groups(spark, sf):
     return C.side_groups(fields(spark, sf)).select("well_id", "prefix", F.lit(8).cast("long").alias("n_sides"))
 
 
-@query("manifest_valid", """WITH f AS (SELECT p_partkey % 7 AS well_id, CASE p_partkey % 5 WHEN 0 THEN 'cast' WHEN 1 THEN 'pose' WHEN 2 THEN NULL ELSE 'xsi' END AS role FROM part)
-  SELECT well_id, count_if(role = 'xsi') AS n_receivers, array_to_string(list_filter([CASE WHEN count_if(role = 'cast') < 1 THEN 'no_cast' END, CASE WHEN count_if(role = 'pose') < 1 THEN 'no_pose' END,
-    CASE WHEN count_if(role = 'xsi') <> 100 THEN 'receivers' WHEN count_if(role = 'xsi') <> 13 THEN 'unusual_receivers' END], lambda x: x IS NOT NULL), ',') AS warnings FROM f GROUP BY well_id""")
+@query("manifest_valid", """WITH f AS (SELECT p_partkey % 7 AS well_id, CASE p_partkey % 5 WHEN 0 THEN 'cast' WHEN 1 THEN 'pose' WHEN 2 THEN NULL ELSE 'xsi' END AS role FROM part),
+  x AS (SELECT c_custkey % 5 AS well_id, max(c_custkey % 3) + 10 AS expected FROM customer WHERE c_custkey % 5 < 4 GROUP BY 1),
+  w AS (SELECT well_id, count_if(role = 'cast') AS c, count_if(role = 'pose') AS p, count_if(role = 'xsi') AS x, coalesce(any_value(expected), 100) AS e FROM f LEFT JOIN x USING (well_id) GROUP BY well_id)
+  SELECT well_id, x AS n_receivers, '' AS errors, array_to_string(list_filter([CASE WHEN c < 1 THEN 'no_cast' END, CASE WHEN p < 1 THEN 'no_pose' END,
+    CASE WHEN x <> e THEN 'receivers' WHEN x <> 13 THEN 'unusual_receivers' END], lambda x: x IS NOT NULL), ',') AS warnings FROM w""")
 def manifest_valid(spark, sf):
-    """What is odd about each well's files, against an expected number of receivers."""
+    """What is odd about each well's files, against the number of receivers that the well, or else the manifest, expects."""
     from borelake.plans.review import manifest
 
-    rows = C.manifest_warnings(manifest(spark, sf), expected=100)
-    return rows.select("well_id", "n_receivers", F.concat_ws(",", "warnings").alias("warnings"))
+    told = D.table(spark, sf, "customer").filter("c_custkey % 5 < 4").groupBy((F.col("c_custkey") % 5).alias("well_id")).agg((F.max(F.col("c_custkey") % 3) + 10).alias("expected"))
+    rows = C.manifest_warnings(manifest(spark, sf), expected=100, by_well=told)
+    return rows.select("well_id", "n_receivers", F.concat_ws(",", "errors").alias("errors"), F.concat_ws(",", "warnings").alias("warnings"))
+
+
+@query("field_orientation", f"""WITH {FIELDS}, w AS (SELECT field_path, CASE WHEN field_path = 'Depth' THEN [10, 180] WHEN field_path = 'log.TIME' THEN [180, 10] WHEN shape = [10, 2] THEN [5, 180, 3] ELSE shape END AS shape FROM fields)
+  SELECT CASE WHEN shape[-1] = 180 THEN 'azimuth_last' WHEN shape[1] = 180 THEN 'azimuth_first' WHEN list_contains(shape, 180) THEN 'contains' ELSE 'unknown' END AS orientation, count(*) AS n FROM w GROUP BY ALL""")
+def field_orientation(spark, sf):
+    """Along which axis fields have their sectors."""
+    shape = F.expr("case when field_path = 'Depth' then array(10, 180) when field_path = 'log.TIME' then array(180, 10) when shape = array(10, 2) then array(5, 180, 3) else shape end")
+    rows = fields(spark, sf).withColumn("shape", shape)
+    return rows.groupBy(C.orientation(F.col("shape")).alias("orientation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+CONFIG = '{"alpha": 0.35, "limit": 2.5}'
+
+
+@query("published_labels", f"""SELECT well_id, presence, count(*) AS n, 'labels_v001' AS data_version, sha256('{CONFIG}') AS config_sha256, true AS no_final_labels, true AS not_ground_truth
+  FROM ruled GROUP BY well_id, presence""", "ruled")
+def published_labels(spark, sf):
+    """Label counts as a published stage: staged, stamped, renamed, read back and held against their stamp."""
+    at = new_folder(spark, "published")
+    stage = L.ruled(P.based(spark, sf)).groupBy("well_id", "presence").agg(F.count(F.lit(1)).alias("n"))
+    publish.published(stage, at, "labels_v001", CONFIG)
+    if not publish.verified(spark, at):
+        raise ValueError("the stage is not what its stamp says")
+    return spark.read.parquet(at)
 
 
 CONTRACT = """i AS (
@@ -196,7 +224,7 @@ CONTRACT = """i AS (
 
 def contract(spark, sf):
     """Issues of the waveforms and the image against axes of 8 sides, 64 samples, 12 sectors and the image's depths."""
-    waves, image = D.waveforms(spark, sf), stored(D.full_image(spark, sf), "image")
+    waves, image = D.waveforms(spark, sf), D.full_image(spark, sf)
     axes = {"side": spark.range(D.SIDES), "time": spark.range(64), "sector": spark.range(D.SECTORS), "depth": image.select("depth_idx").distinct()}
     return K.contract_issues(spark, {"waveforms": waves, "image": image}, axes)
 
@@ -232,7 +260,7 @@ def intake_gate(spark, sf):
 
     files = C.manifest_warnings(manifest(spark, sf))
     said = lambda rows, artifact, level: rows.select(F.lit(artifact).alias("artifact"), F.lit(level).alias("level"), F.col("n").cast("long").alias("n"))
-    image = stored(D.full_image(spark, sf), "image").groupBy("well_id").agg(F.count(F.lit(1)).alias("rows"), F.count("zc").alias("known"))
+    image = D.full_image(spark, sf).groupBy("well_id").agg(F.count(F.lit(1)).alias("rows"), F.count("zc").alias("known"))
     mapping = stored(field_choice(spark, sf), "mapping")
     todo = F.col("field_path") == C.TODO
     probe = fields(spark, sf).agg((F.count_if(F.size("shape") < 1) + (F.count(F.lit(1)) == 0).cast("int")).alias("n"))

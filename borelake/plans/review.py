@@ -49,34 +49,68 @@ def manifest_missing(spark, sf):
     return C.missing_roles(C.role_counts(manifest(spark, sf)), ["xsi", "cast", "pose", "report"], 12)
 
 
-FIELD = """f AS (SELECT p_partkey % 7 AS well_id, ['cast', 'pose', 'xsi'][(1 + p_partkey % 3)::INT] AS role, 'log.' || CASE p_partkey % 8 WHEN 0 THEN 'RelBearing' WHEN 1 THEN 'Depth' WHEN 2 THEN 'Zc' WHEN 3 THEN 'INCL'
-    WHEN 4 THEN 'time_ms' WHEN 5 THEN 'waveform' WHEN 6 THEN 'x' || p_partkey ELSE 'zc_raw' || p_partkey END AS field_path, CASE WHEN p_partkey % 5 = 0 THEN [100, 180] ELSE [100, 3] END AS shape FROM part)"""
-
-
-@query("field_scores", f"""WITH {FIELD}, l AS (SELECT *, regexp_replace(lower(regexp_extract(field_path, '([^.]*)$', 1)), '[^a-z0-9]+', '', 'g') AS n FROM f),
-  h AS (SELECT *, CASE WHEN n IN ('time', 't', 'timems', 'tad') THEN 'time' WHEN contains(n, 'depth') THEN 'depth' WHEN contains(n, 'relbearing') THEN 'relbearing' WHEN n IN ('inc', 'incl') THEN 'inclination'
-    WHEN suffix(n, 'zc') THEN 'zc' WHEN regexp_matches(n, 'wave|xsi') THEN 'waveform' WHEN contains(n, 'zc') THEN 'zc' ELSE '' END AS hint FROM l),
-  s AS (SELECT h.*, target, least(0.99, 0.45 + CASE WHEN hint = kind THEN 0.32 ELSE 0 END + 0.04 + CASE
+#: Names that reach every rule: words of each kind, alone, inside others, and with shapes that decide.
+FIELD_NAMES = (
+    "log.RelBearing", "log.Depth", "log.Zc", "log.INCL", "log.time_ms", "log.waveform", "log.x", "log.zc_raw", "log.MD", "log.TVD", "axis.Azimuth", "axis.azi", "tool.relative_bearing", "tool.Inclination",
+    "log.Acoustic Impedance", "cast_image", "XSILMR07", "raw.data", "log.wave", "raw.time_axis", "log.T", "log.DEPTH_INC", "WVFSideA", "log.xsi", "log.timer_value", "log.TAD",
+)
+#: A role, a shape and a type for each row of part, apart from the name.
+FIELD_SHAPES = ("[100, 180]", "[100, 3]", "[13, 8, 1024]", "[1, 1]", "[100]")
+FIELD = f"""f AS (SELECT p_partkey % 7 AS well_id, ['cast', 'pose', 'xsi'][(1 + p_partkey % 3)::INT] AS role, [{', '.join(map(repr, FIELD_NAMES))}][(1 + p_partkey % {len(FIELD_NAMES)})::INT] || CASE WHEN p_partkey % 11 = 0 THEN p_partkey::VARCHAR ELSE '' END AS field_path,
+    [{', '.join(FIELD_SHAPES)}][(1 + (p_partkey // 3) % {len(FIELD_SHAPES)})::INT] AS shape, CASE WHEN p_partkey % 13 = 0 THEN 'struct' ELSE 'double' END AS dtype FROM part)"""
+#: The rules of hints and scores, as SQL: n is the last part of a path in letters and digits, hint what it holds.
+HINTS = """l AS (SELECT *, regexp_replace(lower(regexp_extract(field_path, '([^.]*)$', 1)), '[^a-z0-9]+', '', 'g') AS n, len(shape) AS rank FROM f),
+  h AS (SELECT *, coalesce(CASE WHEN contains(n, 'azimuth') OR n IN ('azi', 'azim') THEN 'azimuth' WHEN n IN ('time', 't', 'timems', 'tad') THEN 'time' WHEN contains(n, 'depth') OR n IN ('md', 'tvd') THEN 'depth'
+    WHEN prefix(n, 'xsilmr') AND shape = [1, 1] THEN NULL WHEN contains(n, 'relbearing') OR contains(n, 'relativebearing') THEN 'relbearing' WHEN n IN ('inc', 'incl') OR contains(n, 'inclination') THEN 'inclination'
+    WHEN suffix(n, 'zc') OR contains(n, 'impedance') OR contains(n, 'cast') AND list_contains(shape, 180) THEN 'zc'
+    WHEN regexp_matches(n, 'wave|xsi') OR rank >= 2 AND (list_contains(shape, 1024) OR list_contains(shape, 8) AND list_contains(shape, 13)) THEN 'waveform'
+    WHEN contains(n, 'zc') THEN 'zc' WHEN n = 'data' THEN 'waveform' END, '') AS hint FROM l),
+  s AS (SELECT h.*, target, least(0.99, 0.45 + CASE WHEN hint = kind THEN 0.32 ELSE 0 END + CASE WHEN dtype IN ('float', 'double', 'int') THEN 0.04 ELSE 0 END + CASE
       WHEN kind = 'zc' AND list_contains(shape, 180) THEN 0.12 WHEN kind = 'depth' AND n IN ('depth', 'md', 'depthinc') THEN 0.12 WHEN kind = 'inclination' AND n IN ('inc', 'incl', 'inclination') THEN 0.15
-      WHEN kind = 'relbearing' AND contains(n, 'relbearing') THEN 0.15 WHEN kind = 'time' AND n IN ('time', 't', 'tad', 'timems') THEN 0.08 ELSE 0 END) AS confidence
+      WHEN kind = 'relbearing' AND contains(n, 'relbearing') THEN 0.15 WHEN kind = 'waveform' AND regexp_matches(field_path, 'Side[A-H]$') THEN 0.10 WHEN kind = 'time' AND n IN ('time', 't', 'tad', 'timems') THEN 0.08 ELSE 0 END) AS confidence
     FROM h JOIN (VALUES ('cast.zc', 'cast', 'zc'), ('cast.depth', 'cast', 'depth'), ('pose.depth', 'pose', 'depth'), ('pose.inclination', 'pose', 'inclination'), ('pose.relbearing', 'pose', 'relbearing'),
-      ('xsi.waveform', 'xsi', 'waveform'), ('xsi.depth', 'xsi', 'depth'), ('xsi.time', 'xsi', 'time')) t(target, file, kind) ON role = file AND (hint = kind OR kind = 'time' AND contains(n, 'time')))
-  SELECT w.well_id, t.target, CASE WHEN confidence >= CASE t.target WHEN 'xsi.waveform' THEN 0.72 ELSE 0.7 END THEN field_path ELSE 'TODO_CONFIRM' END AS field_path,
-    CASE WHEN confidence >= CASE t.target WHEN 'xsi.waveform' THEN 0.72 ELSE 0.7 END THEN round(confidence, 6) ELSE 0 END::DOUBLE AS confidence
-  FROM (SELECT DISTINCT well_id FROM f) w CROSS JOIN (SELECT unnest(['cast.zc', 'cast.depth', 'pose.depth', 'pose.inclination', 'pose.relbearing', 'xsi.waveform', 'xsi.depth', 'xsi.time']) AS target) t
-  LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY well_id, target ORDER BY confidence DESC, field_path) = 1) b ON b.well_id = w.well_id AND b.target = t.target""")
+      ('xsi.waveform', 'xsi', 'waveform'), ('xsi.depth', 'xsi', 'depth'), ('xsi.time', 'xsi', 'time')) t(target, file, kind) ON role = file AND (hint = kind OR CASE kind
+        WHEN 'zc' THEN suffix(n, 'zc') OR contains(n, 'impedance') OR contains(n, 'zc') AND rank >= 2 WHEN 'depth' THEN n IN ('md', 'tvd', 'depthinc') OR suffix(n, 'depth')
+        WHEN 'inclination' THEN n IN ('inc', 'incl') OR contains(n, 'inclination') WHEN 'relbearing' THEN contains(n, 'relbearing') OR contains(n, 'relativebearing')
+        WHEN 'waveform' THEN n = 'data' OR contains(n, 'waveform') OR contains(n, 'wave') AND rank >= 2 ELSE n IN ('time', 't', 'tad', 'timeaxis', 'timems') OR contains(n, 'time') AND rank <= 2 END))"""
+
+
+@query("field_scores", f"""WITH {FIELD}, {HINTS},
+  g AS (SELECT well_id, regexp_extract(field_path, '^(.+Side)([A-H])$', 1) AS prefix, shape, sum(confidence) AS total, least(0.99, max(confidence) + 0.04) AS sure FROM s
+    WHERE target = 'xsi.waveform' AND regexp_extract(field_path, '^(.+Side)([A-H])$', 2) <> '' GROUP BY ALL HAVING count(DISTINCT regexp_extract(field_path, '^(.+Side)([A-H])$', 2)) = 8),
+  gb AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY well_id ORDER BY total DESC, prefix) = 1),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY well_id, target ORDER BY confidence DESC, field_path) = 1)
+  SELECT w.well_id, t.target, CASE WHEN t.target = 'xsi.waveform' AND gb.prefix IS NOT NULL THEN gb.prefix || '{{A-H}}' WHEN confidence >= least THEN field_path ELSE 'TODO_CONFIRM' END AS field_path,
+    CASE WHEN t.target = 'xsi.waveform' AND gb.prefix IS NOT NULL THEN round(sure, 6) WHEN confidence >= least THEN round(confidence, 6) ELSE 0 END::DOUBLE AS confidence
+  FROM (SELECT DISTINCT well_id FROM f) w CROSS JOIN (SELECT unnest(['cast.zc', 'cast.depth', 'pose.depth', 'pose.inclination', 'pose.relbearing', 'xsi.waveform', 'xsi.depth', 'xsi.time']) AS target) t0
+  CROSS JOIN LATERAL (SELECT t0.target AS target, CASE t0.target WHEN 'xsi.waveform' THEN 0.72 ELSE 0.7 END AS least) t
+  LEFT JOIN b ON b.well_id = w.well_id AND b.target = t.target LEFT JOIN gb ON gb.well_id = w.well_id""")
 def field_scores(spark, sf):
     """The field to take for each target of each well."""
     return field_choice(spark, sf).withColumn("confidence", six(F.col("confidence")))
 
 
-def field_choice(spark, sf):
-    fields = D.table(spark, sf, "part").selectExpr(
-        "p_partkey % 7 as well_id", "element_at(array('cast', 'pose', 'xsi'), cast(1 + p_partkey % 3 as int)) as role",
-        "concat('log.', case p_partkey % 8 when 0 then 'RelBearing' when 1 then 'Depth' when 2 then 'Zc' when 3 then 'INCL' when 4 then 'time_ms' when 5 then 'waveform' when 6 then concat('x', p_partkey) else concat('zc_raw', p_partkey) end) as field_path",
-        "case when p_partkey % 5 = 0 then array(100, 180) else array(100, 3) end as shape", "'double' as dtype",
+@query("field_hints", f"""WITH {FIELD}, {HINTS} SELECT target, hint, round(confidence, 6) AS confidence, count(*) AS n FROM s GROUP BY ALL""")
+def field_hints(spark, sf):
+    """Every score that fields of each hint reach for each target."""
+    rows = C.scored(named_fields(spark, sf))
+    return rows.groupBy("target", F.coalesce("hint", F.lit("")).alias("hint"), six(F.col("confidence")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def named_fields(spark, sf):
+    part, n = D.table(spark, sf, "part"), len(FIELD_NAMES)
+    pick = lambda values, at: F.element_at(F.array(*values), (1 + at).cast("int"))
+    key = F.col("p_partkey")
+    shapes = [F.expr(f"array({x[1:-1]})") for x in FIELD_SHAPES]
+    return part.select(
+        (key % 7).alias("well_id"), pick([F.lit(r) for r in ("cast", "pose", "xsi")], key % 3).alias("role"),
+        F.concat(pick([F.lit(x) for x in FIELD_NAMES], key % n), F.when(key % 11 == 0, key.cast("string")).otherwise("")).alias("field_path"),
+        pick(shapes, F.floor(key / 3) % len(shapes)).alias("shape"), F.when(key % 13 == 0, "struct").otherwise("double").alias("dtype"),
     )
-    return C.recommended(fields).select("well_id", "target", "field_path", "confidence")
+
+
+def field_choice(spark, sf):
+    return C.recommended(named_fields(spark, sf)).select("well_id", "target", "field_path", "confidence")
 
 
 @query("label_code_errors", """+ r AS (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from borelake.functions import angles as A
@@ -9,6 +12,7 @@ from borelake.functions.angles import six
 from borelake.operators import quality as Q
 from borelake.operators import series as S
 from borelake.plans.views import over
+from borelake.shared import stage
 from borelake.sources import adapter as D
 
 QUERIES, SQL = {}, {}
@@ -81,6 +85,7 @@ def rotated_cells(spark, sf):
     return rows.select("well_id", "depth_idx", "az_rot", "convention", "zc", F.row_number().over(W.partitionBy("well_id", "depth_idx", "convention").orderBy("az_rot")).cast("long").alias("place"))
 
 
+@stage
 def posed_depths(spark, sf):
     """Pose on image depths: one row a depth."""
     depths = D.full_image(spark, sf).select("well_id", "depth_idx", "depth").distinct()
@@ -224,10 +229,31 @@ def time_axis(spark, sf):
     return rows.groupBy("receiver", "pos").agg(six(F.avg("v")).alias("mean")).withColumn("time", F.round(F.col("pos") * 0.004, 6))
 
 
-@query("axes_agree", "SELECT count(a) AS n_a, count(b) AS n_b, sum(coalesce(abs(a - b) > 1e-8 + 1e-5 * abs(b), true)::INT)::BIGINT AS n_far, count(a) = count(b) AND sum(coalesce(abs(a - b) > 1e-8 + 1e-5 * abs(b), true)::INT) = 0 AS agree, well_id FROM (SELECT well_id, xsi_idx, depth AS a FROM (SELECT DISTINCT well_id, xsi_idx, depth FROM waveforms WHERE receiver = 1)) FULL JOIN (SELECT DISTINCT well_id, xsi_idx, depth AS b FROM waveforms WHERE receiver = 2) USING (well_id, xsi_idx) GROUP BY well_id", "waveforms")
+AGREE = """SELECT well_id, '%s' AS pair, count(a) AS n_a, count(b) AS n_b, sum(coalesce(abs(a - b) > 1e-8 + 1e-5 * abs(b), true)::INT)::BIGINT AS n_far,
+    count(a) = count(b) AND sum(coalesce(abs(a - b) > 1e-8 + 1e-5 * abs(b), true)::INT) = 0 AS agree
+  FROM (%s) FULL JOIN (%s) USING (well_id, i) GROUP BY well_id"""
+_AXIS = {
+    "image": "SELECT DISTINCT well_id, depth_idx AS i, depth AS {} FROM cells", "pose": "SELECT well_id, sample_idx AS i, depth AS {} FROM pose",
+    "receiver_1": "SELECT DISTINCT well_id, xsi_idx AS i, depth AS {} FROM waveforms WHERE receiver = 1", "receiver_2": "SELECT DISTINCT well_id, xsi_idx AS i, depth AS {} FROM waveforms WHERE receiver = 2",
+}
+PAIRS = (("receiver_1", "receiver_2"), ("image", "pose"), ("image", "receiver_1"))
+
+
+@query("axes_agree", " UNION ALL ".join(AGREE % (f"{a}, {b}", _AXIS[a].format("a"), _AXIS[b].format("b")) for a, b in PAIRS), "waveforms", "cells", "pose")
 def axes_agree(spark, sf):
-    axes = D.waveforms(spark, sf).select("well_id", F.col("xsi_idx").alias("sample_idx"), "receiver", "depth").distinct()
-    return S.axes_agree(axes.filter("receiver = 1"), axes.filter("receiver = 2"), ["well_id"])
+    """Do two axes of a well agree sample by sample: receivers with each other, the image with the pose and with a receiver."""
+    waves = D.waveforms(spark, sf).select("well_id", F.col("xsi_idx").alias("sample_idx"), "receiver", "depth").distinct()
+    axes = {
+        "image": D.full_image(spark, sf).select("well_id", F.col("depth_idx").alias("sample_idx"), "depth").distinct(), "pose": D.pose(spark, sf).select("well_id", "sample_idx", "depth"),
+        "receiver_1": waves.filter("receiver = 1"), "receiver_2": waves.filter("receiver = 2"),
+    }
+    return reduce(DataFrame.unionByName, [S.axes_agree(axes[a], axes[b], ["well_id"]).withColumn("pair", F.lit(f"{a}, {b}")) for a, b in PAIRS])
+
+
+@query("first_depths", "SELECT well_id, count(*) AS n, round(max(depth), 6) AS depth_max FROM pose WHERE sample_idx < 100 GROUP BY well_id", "pose")
+def first_depths(spark, sf):
+    """What a reader limited to the first 100 depths of a well sees; the limit is the operation, and reaches the scan."""
+    return S.limited(D.pose(spark, sf), "sample_idx", 100).groupBy("well_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("depth"), 6).alias("depth_max"))
 
 
 @query("qc_image", "SELECT well_id, count(*) AS n, count(zc) AS n_finite, round(count(zc) / count(*), 6) AS finite_share, round(avg((zc = 0)::INT), 6) AS zero_share, min(zc) AS v_min, max(zc) AS v_max, round(avg(zc), 6) AS v_mean, round(stddev_pop(zc), 6) AS v_std, round(avg((abs(zc) >= top)::INT), 6) AS clip_share, count(zc) < count(*) OR avg((abs(zc) >= top)::INT) > 0.1 AS warn FROM (SELECT *, max(abs(zc)) OVER (PARTITION BY well_id) AS top FROM cells) GROUP BY well_id", "cells")

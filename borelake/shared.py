@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +60,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     at = new_folder(spark, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+_run: ContextVar[dict | None] = ContextVar("_run", default=None)
+
+
+def stage(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``make(spark, sf_dir)`` as a stage table: within one ``run`` it is computed and written once, and read by all that need it."""
+
+    @wraps(make)
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known = _run.get()
+        if known is None:
+            return make(spark, sf_dir)
+        key = (make.__module__, make.__qualname__, sf_dir)
+        if key not in known:
+            known[key] = stored(make(spark, sf_dir), make.__name__)
+        return known[key]
+
+    return made
+
+
+def run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` with stage tables of its own; a query inside another shares the outer one's."""
+
+    @wraps(query)
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _run.get() is not None:
+            return query(spark, sf_dir)
+        token = _run.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _run.reset(token)
+
+    return whole

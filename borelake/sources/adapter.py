@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from borelake.shared import stage
+
 SECTORS = 12
 SIDES = 8
 SECTOR_STEP = 30.0
@@ -19,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@stage
 def image_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """well_id, depth_idx, depth, az_idx, zc of the cells that were measured."""
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 4 as well_id", "l_partkey div 4 as depth_idx", "cast(l_orderkey % 12 as int) as az_idx", "l_quantity")
     return rows.groupBy("well_id", "depth_idx", "az_idx").agg((F.max("l_quantity") / 5).alias("zc")).withColumn("depth", F.col("depth_idx") * 0.5)
 
 
+@stage
 def full_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_cells`` with a row for each depth and sector; zc is null where nothing was measured."""
     cells = image_cells(spark, sf_dir)
@@ -39,6 +43,7 @@ def on_spine(cells: DataFrame, sectors: int) -> DataFrame:
     return spine.join(cells.drop("depth"), ["well_id", "depth_idx", "az_idx"], "left")
 
 
+@stage
 def pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """well_id, sample_idx, depth, inc_deg, rb_deg."""
     return table(spark, sf_dir, "part").selectExpr(

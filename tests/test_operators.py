@@ -56,10 +56,10 @@ def test_interpolation_edges(spark):
     source = spark.createDataFrame([(0, 0, 0.0, 0.0, 350.0), (0, 1, 1.0, 10.0, 10.0), (0, 2, 1.0, 99.0, 99.0), (0, 3, None, 5.0, 5.0)], "well_id int, sample_idx int, depth double, v double, a double")
     targets = spark.createDataFrame([(0, d) for d in (-1.0, 0.0, 0.5, 1.0, 2.0)] + [(1, 0.0)], "well_id int, depth double")
     rows = S.bracketed(S.prepared(source, ["well_id"]), targets, ["well_id"], ["v", "a", "sample_idx"])
-    got = rows.select("well_id", "depth", S.lerp("v").alias("n"), S.lerp("v", -1.0).alias("f"), S.lerp("v", "clamp").alias("c"), S.lerp_angle("a").alias("a"), S.lerp_angle_by_parts("a").alias("p"), S.nearest("sample_idx").alias("i")).orderBy("well_id", "depth").collect()
+    got = rows.select("well_id", "depth", S.lerp("v").alias("n"), S.lerp("v", -1.0).alias("f"), S.lerp("v", "clamp").alias("c"), S.lerp("v", "clamp", empty=0.0).alias("e"), S.lerp_angle("a").alias("a"), S.lerp_angle_by_parts("a").alias("p"), S.nearest("sample_idx").alias("i")).orderBy("well_id", "depth").collect()
     assert [r["n"] for r in got] == [None, 0, 5, 10, None, None]
     assert [r["f"] for r in got] == [-1, 0, 5, 10, -1, -1]
-    assert [r["c"] for r in got] == [0, 0, 5, 10, 10, None]
+    assert [r["c"] for r in got] == [0, 0, 5, 10, 10, None] and [r["e"] for r in got] == [0, 0, 5, 10, 10, 0]
     assert [r["i"] for r in got] == [0, 0, 0, 1, 1, None]
     assert min(got[2]["a"], 360 - got[2]["a"]) < 1e-9 and min(got[2]["p"], 360 - got[2]["p"]) < 1e-9
 
@@ -184,9 +184,38 @@ def test_planted_sign_wins(spark):
     assert R.hypotheses(spark).distinct().count() == 64
 
 
+def test_turned_places(spark):
+    rows = spark.createDataFrame([(0, 0, s, 100.0, float(s)) for s in range(4)] + [(0, 1, 0, None, 1.0)], "well_id int, depth_idx int, side int, rb_deg double, energy double")
+    got = {(r["sign"], r["place"]): (r["side"], r["azimuth"]) for r in R.turned(rows, "side", 4).collect()}
+    assert got == {(1, 1): (3, 10.0), (1, 2): (0, 100.0), (1, 3): (1, 190.0), (1, 4): (2, 280.0), (-1, 1): (2, 80.0), (-1, 2): (3, 170.0), (-1, 3): (0, 260.0), (-1, 4): (1, 350.0)}
+
+
+def test_stages_are_made_once(spark):
+    from borelake.shared import run, stage
+
+    made = []
+
+    @stage
+    def numbers(spark, sf_dir):
+        made.append(sf_dir)
+        return spark.range(3)
+
+    @run
+    def query(spark, sf_dir):
+        return numbers(spark, sf_dir).join(numbers(spark, sf_dir), "id").join(numbers(spark, "other"), "id")
+
+    assert query(spark, "one").count() == 3 and made == ["one", "other"]
+    assert query(spark, "one").count() == 3 and len(made) == 4 and numbers(spark, "one").count() == 3 and len(made) == 5
+
+
 def test_catalog(spark):
     files = [(1, "raw/CAST.mat"), (1, "raw/pose_a.mat"), *((1, f"raw/XSILMR{k:02}.mat") for k in range(1, 13))]
     counts = C.role_counts(C.classified(spark.createDataFrame(files, "well_id long, path string")))
+    odd = spark.createDataFrame([*files, (None, "raw/notes.txt"), (2, "raw/XSILMR01.mat")], "well_id long, path string")
+    told = spark.createDataFrame([(1, 12), (2, 1)], "well_id long, expected int")
+    got = {r["well_id"]: (list(r["errors"]), list(r["warnings"])) for r in C.manifest_warnings(C.classified(odd), by_well=told).collect()}
+    assert got == {1: ([], ["unusual_receivers"]), 2: ([], ["no_cast", "no_pose", "unusual_receivers"]), None: (["no_well_id"], ["no_cast", "no_pose", "receivers"])}
+    assert C.manifest_errors({"schema_version": 1, "created_at": "x"}, odd.limit(0)) == ["data_version", "no_wells"]
     assert {(r["role"], r["problem"]) for r in C.missing_roles(counts, ["xsi", "cast", "pose"], 13).collect()} == {("xsi", "receivers")}
     fields = spark.createDataFrame([(1, 1, "xsi", f"WVFSide{c}", [10, 1024], "double") for c in "ABCDEFGH"] + [(1, 1, "xsi", "log.Depth", [10], "double"), (1, 2, "xsi", "log.Depth", [11], "double"), (1, None, "pose", "Tool.RelBearing", [9], "double"), (1, None, "cast", "odd", [9], "char")], "well_id long, receiver int, role string, field_path string, shape array<int>, dtype string")
     best = {r["target"]: (r["field_path"], round(r["confidence"], 6)) for r in C.recommended(fields).collect()}
@@ -236,6 +265,10 @@ def test_limits_and_contiguity(spark):
     assert L.limit_of("3.5") == (3.5, "confirmed") and L.limit_of("TODO") == (2.5, "requires_confirmation")
     with pytest.raises(ValueError, match="not confirmed"):
         L.limit_of(None, confirmed=True)
+    rule, errors, warnings = L.rule_of({"threshold": {"zc_min_limit": "TODO"}})
+    assert (rule["alpha"], rule["limit"], errors, warnings) == (0.35, 2.5, [], ["limit"])
+    rule, errors, warnings = L.rule_of({"threshold": {"relative_drop_alpha": 1.0, "zc_min_limit": None, "require_confirmed_zc_min_limit": True}, "severity": {"mild_min_drop": 0.7}})
+    assert rule["limit"] is None and errors == ["alpha", "limit", "severity"] and warnings == []
     rows = spark.createDataFrame([(0, 1), (0, 2), (0, 4), (1, 5), (1, 6)], "well_id int, k int")
     assert {r["well_id"]: r["contiguous"] for r in S.contiguity(rows, ["well_id"], "k").collect()} == {0: False, 1: True}
     assert S.limited(rows, "k", 4).count() == 2 and S.limited(rows, "k", None).count() == 5
