@@ -2,7 +2,8 @@
 
 A bounded sample of at most ``sample`` vectors gives reference points, each chosen
 as far as possible from those before it: 128, or two times the root of the number
-of vectors if that is more, and half the sample at most.  Every vector is described
+of vectors if that is more, and half the sample at most (so up to 16 million vectors
+lists grow with the root of their number).  Every vector is described
 by its ``PREFIX`` nearest pivots, and filed, by number and pivots alone, in
 inverted lists of pairs of them, within its label and length.  Two vectors that
 share ``SHARED`` pivots meet in a list of two that stand at most ``GAP`` apart among the
@@ -41,7 +42,8 @@ from borelake.shared import stored
 
 PREFIX = 8
 SHARED = 4
-SAMPLE = 4096
+#: Vectors that the pivots are chosen from; they are held by the driver (50 MB at 384 components).
+SAMPLE = 16_384
 #: Sorted by number, two of four pivots that two lists of eight share stand at most so far apart in both.
 GAP = 3
 
@@ -61,11 +63,13 @@ def farthest(sample: np.ndarray, count: int) -> np.ndarray:
 
 def pivots_of(classes: DataFrame, count: int, sample: int) -> dict[int, np.ndarray]:
     """Pivots for each length of vector among ``sample`` classes chosen by hash."""
-    rows = classes.select("vector").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
-    by: dict[int, list] = {}
-    for (v,) in rows:
-        by.setdefault(len(v), []).append(v)
-    return {size: farthest(unit(np.array(vs, np.float64)), count) for size, vs in by.items()}
+    rows = classes.select("vector").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow().column("vector").combine_chunks()
+    sizes = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+    out = {}
+    for size in np.unique(sizes).tolist():
+        own = rows.filter(pa.array(sizes == size)).flatten().to_numpy().reshape(-1, size)
+        out[size] = farthest(unit(own), count)
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -116,8 +120,9 @@ def lists_of(near: np.ndarray, pivots: int) -> np.ndarray:
 
 def candidates(near: np.ndarray, side: np.ndarray, key: int, pivots: int, shared: int) -> np.ndarray:
     """Pairs (i < j) of rows of sorted pivots that share enough of them, and whose first common list is ``key``."""
-    has = np.zeros((len(near), pivots), np.float32)
-    has[np.arange(len(near))[:, None], near] = 1
+    used, place = np.unique(near, return_inverse=True)  # of all pivots only those of the list
+    has = np.zeros((len(near), len(used)), np.float32)
+    has[np.arange(len(near))[:, None], place.reshape(near.shape)] = 1
     close = has @ has.T >= min(shared, near.shape[1])
     if side.any() and not side.all():
         close &= side[:, None] != side[None, :]

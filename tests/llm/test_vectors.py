@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from borelake.llm import vectors
 
@@ -112,3 +113,24 @@ def test_recall_on_a_large_table(spark, tmp_path):
         assert got[k] <= want
         found, wanted = found + int(got[k]), wanted + want
     assert wanted > 300 and found >= 0.99 * wanted, (found, wanted)
+
+
+@pytest.mark.parametrize(("size", "spread"), [(384, 0.3), (48, 0.4)])
+def test_recall_in_clusters(spark, tmp_path, size, spread):
+    """Vectors crowd in 50 clusters; links of every 50th of 12,000 against all, found at 0.99 or more."""
+    rng, n = np.random.default_rng(size), 12_000
+    x = rng.normal(size=(50, size))[rng.integers(50, size=n)] + spread * rng.normal(size=(n, size))
+    for k in range(0, n, 5):
+        at = rng.integers(0, n, int(rng.choice([1, 1, 1, 20])))
+        x[at] = x[k] + np.sqrt((x[k] ** 2).mean()) * rng.normal(size=(len(at), size)) * rng.uniform(0.0, 0.2, (len(at), 1))
+    label = rng.integers(0, 2, n)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": lists, "label": label}), f"{tmp_path}/v.parquet")
+    got = vectors.near_groups(spark.read.parquet(f"file://{tmp_path}/v.parquet")).toPandas().set_index("vec_id")["n_links"]
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    found = wanted = 0
+    for k in range(0, n, 50):
+        want = int(((unit @ unit[k] >= 0.98) & (label == label[k])).sum()) - 1
+        assert got[k] <= want
+        found, wanted = found + int(got[k]), wanted + want
+    assert wanted > 100 and found >= 0.99 * wanted, (found, wanted)
