@@ -61,7 +61,8 @@ def role_hint(path: Column, shape: Column) -> Column:
 
 
 def orientation(shape: Column) -> Column:
-    return F.when(F.try_element_at(shape, F.lit(-1)) == 180, "azimuth_last").when(F.try_element_at(shape, F.lit(1)) == 180, "azimuth_first").when(F.array_contains(shape, 180), "contains").otherwise("unknown")
+    return F.when(F.try_element_at(shape, F.lit(-1)) == 180, "azimuth_last").when(F.try_element_at(shape, F.lit(1)) == 180,
+        "azimuth_first").when(F.array_contains(shape, 180), "contains").otherwise("unknown")
 
 
 def scored(fields: DataFrame) -> DataFrame:
@@ -73,7 +74,8 @@ def scored(fields: DataFrame) -> DataFrame:
     fits = {
         "zc": (hint == "zc") | n.endswith("zc") | n.contains("impedance") | n.contains("zc") & two, "depth": (hint == "depth") | n.isin("md", "tvd", "depthinc") | n.endswith("depth"),
         "inclination": (hint == "inclination") | n.isin("inc", "incl") | n.contains("inclination"), "relbearing": (hint == "relbearing") | n.contains("relbearing") | n.contains("relativebearing"),
-        "waveform": (hint == "waveform") | (n == "data") | n.contains("waveform") | n.contains("wave") & two, "time": (hint == "time") | n.isin("time", "t", "tad", "timeaxis", "timems") | n.contains("time") & (F.size(shape) <= 2),
+        "waveform": (hint == "waveform") | (n == "data") | n.contains("waveform") | n.contains("wave") & two, "time": (hint == "time") | n.isin("time", "t",
+        "tad", "timeaxis", "timems") | n.contains("time") & (F.size(shape) <= 2),
     }
     more = {
         "zc": F.when(F.array_contains(shape, 180), 0.12), "depth": F.when(n.isin("depth", "md", "depthinc"), 0.12), "inclination": F.when(n.isin("inc", "incl", "inclination"), 0.15),
@@ -94,8 +96,10 @@ def recommended(fields: DataFrame, least: float = 0.70, least_waveform: float =
     rows = scored(fields)
     place = F.row_number().over(W.partitionBy("well_id", "target").orderBy(F.desc("confidence"), "field_path"))
     first = rows.withColumn("_p", place).filter("_p = 1").select("well_id", "target", "field_path", "confidence")
-    sides = rows.filter("target = 'xsi.waveform'").withColumns({"prefix": F.regexp_extract("field_path", r"^(.+Side)([A-H])$", 1), "letter": F.regexp_extract("field_path", r"^(.+Side)([A-H])$", 2)}).filter("letter <> ''")
-    groups = sides.groupBy("well_id", "prefix", "shape").agg(F.countDistinct("letter").alias("n"), F.sum("confidence").alias("total"), F.least(F.lit(0.99), F.max("confidence") + 0.04).alias("sure")).filter("n = 8")
+    sides = rows.filter("target = 'xsi.waveform'").withColumns({"prefix": F.regexp_extract("field_path", r"^(.+Side)([A-H])$", 1),
+        "letter": F.regexp_extract("field_path", r"^(.+Side)([A-H])$", 2)}).filter("letter <> ''")
+    groups = sides.groupBy("well_id", "prefix", "shape").agg(F.countDistinct("letter").alias("n"), F.sum("confidence").alias("total"), F.least(F.lit(0.99),
+        F.max("confidence") + 0.04).alias("sure")).filter("n = 8")
     best = groups.groupBy("well_id").agg(F.min_by(F.struct("prefix", "sure"), F.struct(-F.col("total"), F.col("prefix"), F.to_json("shape"))).alias("g"))
     wells = fields.select("well_id").distinct()
     asked = wells.withColumn("target", F.explode(F.array(*map(F.lit, TARGETS)))).join(first, ["well_id", "target"], "left").join(best, "well_id", "left")

@@ -39,7 +39,8 @@ def checked(rows: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
     names = [f"_{k}" for k in range(len(rules))]
     flagged = rows.select(F.struct(*keys).alias("_key"), *(_broken(r).alias(n) for n, r in zip(names, rules, strict=True)))
     sums = flagged.agg(*(F.struct(F.count_if(n).alias("n"), F.min(F.when(F.col(n), F.col("_key"))).alias("key")).alias(n) for n in names))
-    each = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.level).alias("level"), F.col(n)["n"].alias("n"), F.to_json(F.col(n)["key"]).alias("key")) for n, r in zip(names, rules, strict=True)))
+    each = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.level).alias("level"), F.col(n)["n"].alias("n"),
+        F.to_json(F.col(n)["key"]).alias("key")) for n, r in zip(names, rules, strict=True)))
     return sums.select(F.explode(each).alias("_r")).select("_r.*")
 
 
@@ -60,7 +61,8 @@ def label_rules(source: str | None = None, status: str | None = None, final: str
     rules = [
         Rule("presence_code", ~F.col("presence").isin(*PRESENCE)), Rule("severity_code", ~F.col("severity").isin(*SEVERITY)),
         Rule("confidence_range", _finite("confidence") & ~F.col("confidence").between(0, 1)), Rule("confidence_not_finite", there & ~_finite("confidence"), "warning"),
-        Rule("shape_of_severity", there & (F.col("presence").isNull() != F.col("severity").isNull())), Rule("shape_of_confidence", there & (F.col("presence").isNull() != F.col("confidence").isNull())),
+        Rule("shape_of_severity", there & (F.col("presence").isNull() != F.col("severity").isNull())), Rule("shape_of_confidence",
+            there & (F.col("presence").isNull() != F.col("confidence").isNull())),
         Rule("convention", ~F.coalesce(F.col("convention").isin(*CONVENTIONS), F.lit(False))),
     ]
     no = lambda c, ok: ~F.coalesce(ok(F.col(c)), F.lit(False))
@@ -110,7 +112,8 @@ def contract_issues(spark: SparkSession, tables: dict[str, DataFrame], axes: dic
     if found:
         return spark.createDataFrame(found, kinds)
     size = {name: rows.agg(F.count(F.lit(1)).alias(f"_{name}")) for name, rows in axes.items()}
-    waves = tables["waveforms"].agg(F.countDistinct("side").alias("_sides"), F.min(F.size("samples")).alias("_least"), F.max(F.size("samples")).alias("_most"), F.countDistinct("xsi_idx").alias("_depths"))
+    waves = tables["waveforms"].agg(F.countDistinct("side").alias("_sides"), F.min(F.size("samples")).alias("_least"), F.max(F.size("samples")).alias("_most"),
+        F.countDistinct("xsi_idx").alias("_depths"))
     image = tables["image"].agg(F.countDistinct("az_idx").alias("_sectors"), F.countDistinct("depth_idx").alias("_rows"))
     row = reduce(DataFrame.crossJoin, [waves, image, *size.values()])  # one row each
     says = lambda cond, table, level, issue: F.when(cond, F.struct(F.lit(table).alias("table"), F.lit(level).alias("level"), F.lit(issue).alias("issue")))

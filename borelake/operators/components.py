@@ -61,7 +61,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = settle(both.filter("v > u").join(least, "u").select("v", "m").distinct())
         least = settle(large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("least")))
         joined = large.withColumnRenamed("v", "u").join(least, "u")
-        small = joined.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("least").alias("m")), F.struct(F.col("u").alias("v"), F.col("least").alias("m")))).alias("x")).select("x.v", "x.m")
+        small = joined.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("least").alias("m")), F.struct(F.col("u").alias("v"),
+            F.col("least").alias("m")))).alias("x")).select("x.v", "x.m")
         now = settle(small.filter("v <> m").distinct())
         after = told(now)
         if after == before and after[0] == least.count():

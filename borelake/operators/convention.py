@@ -17,7 +17,8 @@ def hypotheses(spark) -> DataFrame:
     rows = spark.range(64).withColumn("hyp", F.col("id").cast("int"))
     h = F.col("hyp")
     sign, order, direction = F.floor(h / 32), F.floor(h / 16) % 2, F.floor(h / 8) % 2
-    return rows.select("hyp", F.when(sign == 0, 1).otherwise(-1).alias("sign"), F.when(order == 0, 1).otherwise(-1).alias("side_order"), F.when(direction == 0, 1).otherwise(-1).alias("direction"), ((h % 8) * 45.0).alias("side_offset"))
+    return rows.select("hyp", F.when(sign == 0, 1).otherwise(-1).alias("sign"), F.when(order == 0, 1).otherwise(-1).alias("side_order"), F.when(direction == 0,
+        1).otherwise(-1).alias("direction"), ((h % 8) * 45.0).alias("side_offset"))
 
 
 def step_of_bearing(keys: list[str], order: str) -> Column:
@@ -113,7 +114,8 @@ def _judged(rows: DataFrame, keys: list[str], most_jump: float, least: float, co
         F.percentile("image_range", F.lit(0.5)).alias("image_contrast"), F.percentile("side_range", F.lit(0.5)).alias("side_contrast"),
     )
     low = lambda c: ~F.coalesce(F.col(c) > 0, F.lit(False))
-    marks = [F.when(F.col("n") < 2, "too_short")] if counted else [F.when(~F.coalesce(F.col("orientation") >= least, F.lit(False)), "low_orientation"), F.when(F.col("jump_max") > most_jump, "bearing_jump")]
+    marks = [F.when(F.col("n") < 2, "too_short")] if counted else [F.when(~F.coalesce(F.col("orientation") >= least, F.lit(False)), "low_orientation"),
+        F.when(F.col("jump_max") > most_jump, "bearing_jump")]
     marks += [F.when(low("image_contrast"), "low_image_contrast"), F.when(low("side_contrast"), "low_side_contrast")]
     return done.withColumns({"reasons": F.array_compact(F.array(*marks)), "quality": F.coalesce("image_contrast", F.lit(0.0)) + F.coalesce("side_contrast", F.lit(0.0))})
 
@@ -195,7 +197,8 @@ def hypothesis_totals(scores: DataFrame) -> DataFrame:
     """Per well and hypothesis: total, mean, and the windows that it wins (the first wins a tie)."""
     best = F.row_number().over(W.partitionBy("well_id", "window").orderBy(F.round("score", 9).desc(), "hyp")) == 1
     rows = scores.withColumn("won", best.cast("int"))
-    done = rows.groupBy("well_id", "hyp", "sign", "side_order", "direction", "side_offset").agg(F.sum("score").alias("total"), F.avg("score").alias("mean"), F.sum("won").alias("votes"), F.count(F.lit(1)).alias("n_windows"))
+    done = rows.groupBy("well_id", "hyp", "sign", "side_order", "direction", "side_offset").agg(F.sum("score").alias("total"), F.avg("score").alias("mean"),
+        F.sum("won").alias("votes"), F.count(F.lit(1)).alias("n_windows"))
     return done.withColumn("support", F.col("votes") / F.col("n_windows"))
 
 
@@ -212,7 +215,8 @@ def recommendations(totals: DataFrame, least: int = 5, share: float = 0.70, gap:
     place = F.row_number().over(W.partitionBy("well_id").orderBy(F.round("total", 9).desc(), "hyp"))
     two = totals.withColumn("place", place).filter("place <= 2")
     first = lambda c: F.max(F.when(F.col("place") == 1, F.col(c)))
-    done = two.groupBy("well_id").agg(first("hyp").alias("hyp"), first("sign").alias("sign"), first("support").alias("support"), first("n_windows").alias("n_windows"), (first("total") - F.max(F.when(F.col("place") == 2, F.col("total")))).alias("gap"))
+    done = two.groupBy("well_id").agg(first("hyp").alias("hyp"), first("sign").alias("sign"), first("support").alias("support"),
+        first("n_windows").alias("n_windows"), (first("total") - F.max(F.when(F.col("place") == 2, F.col("total")))).alias("gap"))
     enough = F.coalesce((F.col("n_windows") >= least) & (F.col("support") >= share) & (F.col("gap") >= gap), F.lit(False))
     return done.withColumns({"enough": enough, "recommendation": F.when(~enough, "unresolved").when(F.col("sign") == 1, "plus").otherwise("minus")})
 
@@ -220,9 +224,11 @@ def recommendations(totals: DataFrame, least: int = 5, share: float = 0.70, gap:
 def candidate_ranges(pose: DataFrame, az: Column, seed: int = 20260520) -> DataFrame:
     """Per bearing candidate: range of the turned azimuth. Without scores the verdict stays insufficient_evidence."""
     names = ("plus", "minus", "none", "random")
-    turn = F.when(F.col("candidate") == "plus", F.col("rb_deg")).when(F.col("candidate") == "minus", -F.col("rb_deg")).when(F.col("candidate") == "none", 0.0).otherwise(F.pmod(F.xxhash64(F.lit(seed), "well_id", "sample_idx"), F.lit(360)).cast("double"))
+    turn = F.when(F.col("candidate") == "plus", F.col("rb_deg")).when(F.col("candidate") == "minus", -F.col("rb_deg")).when(F.col("candidate") == "none",
+        0.0).otherwise(F.pmod(F.xxhash64(F.lit(seed), "well_id", "sample_idx"), F.lit(360)).cast("double"))
     rows = pose.withColumn("candidate", F.explode(F.array(*map(F.lit, names)))).withColumn("az", wrap(az + turn))
-    return rows.groupBy("well_id", "candidate").agg(F.count("az").alias("n"), F.min("az").alias("az_min"), F.max("az").alias("az_max"), F.bool_and((F.col("az") >= 0) & (F.col("az") < 360)).alias("legal"), F.lit("insufficient_evidence").alias("verdict"))
+    return rows.groupBy("well_id", "candidate").agg(F.count("az").alias("n"), F.min("az").alias("az_min"), F.max("az").alias("az_max"),
+        F.bool_and((F.col("az") >= 0) & (F.col("az") < 360)).alias("legal"), F.lit("insufficient_evidence").alias("verdict"))
 
 
 def side_contrast(waveforms: DataFrame) -> DataFrame:
@@ -235,7 +241,8 @@ def side_contrast(waveforms: DataFrame) -> DataFrame:
 def azimuth_preview(pose: DataFrame, sides: int) -> DataFrame:
     """Per well at its first, middle and last depth: the azimuth of each side under each candidate but the random one."""
     counts = pose.groupBy("well_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = numbered(pose, ["well_id"], ["depth", "sample_idx"], "_r").withColumn("_r", F.col("_r") - 1).join(counts, "well_id").filter((F.col("_r") == 0) | (F.col("_r") == F.floor(F.col("_n") / 2)) | (F.col("_r") == F.col("_n") - 1))
+    rows = numbered(pose, ["well_id"], ["depth", "sample_idx"], "_r").withColumn("_r", F.col("_r") - 1).join(counts,
+        "well_id").filter((F.col("_r") == 0) | (F.col("_r") == F.floor(F.col("_n") / 2)) | (F.col("_r") == F.col("_n") - 1))
     turns = F.array(*(F.struct(F.lit(n).alias("candidate"), F.lit(k).alias("k")) for n, k in (("plus", 1), ("minus", -1), ("none", 0))))
     rows = rows.withColumn("_c", F.explode(turns)).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
     return rows.select("well_id", "depth", "_c.candidate", "side", wrap(F.col("side") * (360.0 / sides) + F.col("_c.k") * F.col("rb_deg")).alias("azimuth"))

@@ -33,7 +33,8 @@ def basic_features(rows: DataFrame, early=(0.0, 0.35), late=(0.35, 1.0)) -> Data
     s = F.col("samples")
     square = lambda x: x * x
     known = F.filter(s, lambda x: x.isNotNull() & ~F.isnan(x))
-    done = rows.withColumns({"rms": F.sqrt(_mean(s, square)), "peak_abs": F.array_max(F.transform(known, F.abs)), "mean_abs": _mean(s, F.abs), "early_energy": _mean(time_window(s, *early), square), "late_energy": _mean(time_window(s, *late), square)})
+    done = rows.withColumns({"rms": F.sqrt(_mean(s, square)), "peak_abs": F.array_max(F.transform(known, F.abs)), "mean_abs": _mean(s, F.abs),
+        "early_energy": _mean(time_window(s, *early), square), "late_energy": _mean(time_window(s, *late), square)})
     return done.withColumn("late_ratio", F.col("late_energy") / F.greatest("early_energy", F.lit(1e-12))).drop("samples")
 
 
@@ -47,9 +48,11 @@ def side_labels(labels: DataFrame, side_of: DataFrame) -> DataFrame:
     rows = labels.join(F.broadcast(side_of.withColumnRenamed("az_idx", "az_rot")), "az_rot")
     candidate, known = F.col("presence") == 1, F.col("presence") >= 0
     top = lambda cond, c: F.max(F.when(cond, F.col(c)))
-    grouped = rows.groupBy("well_id", "depth_idx", "side", "convention").agg(F.max("presence").alias("presence"), top(candidate, "severity").alias("_worst"), top(candidate, "confidence").alias("_sure"), top(known, "confidence").alias("_any"))
+    grouped = rows.groupBy("well_id", "depth_idx", "side", "convention").agg(F.max("presence").alias("presence"), top(candidate, "severity").alias("_worst"),
+        top(candidate, "confidence").alias("_sure"), top(known, "confidence").alias("_any"))
     one = F.col("presence") == 1
-    return grouped.withColumns({"severity": F.when(one, F.greatest("_worst", F.lit(1))).when(F.col("presence") == 0, 0).otherwise(-1), "confidence": F.coalesce(F.when(one, F.col("_sure")).otherwise(F.col("_any")), F.lit(0.0))}).drop("_worst", "_sure", "_any")
+    return grouped.withColumns({"severity": F.when(one, F.greatest("_worst", F.lit(1))).when(F.col("presence") == 0, 0).otherwise(-1),
+        "confidence": F.coalesce(F.when(one, F.col("_sure")).otherwise(F.col("_any")), F.lit(0.0))}).drop("_worst", "_sure", "_any")
 
 
 def label_samples(sides: DataFrame, image_depths: DataFrame, axis: DataFrame, pose_confidence: DataFrame, least: float = 0.5) -> DataFrame:
@@ -78,7 +81,8 @@ def subsets() -> list[tuple[str, str, Column]]:
 
 def in_subsets(samples: DataFrame) -> DataFrame:
     """A row for each sample and subset, with that subset's presence and confidence; severity is that of plus."""
-    marks = [F.when(cond, F.struct(F.lit(n).alias("subset"), F.lit(c).alias("convention"), F.col(f"presence_{c}").alias("presence"), F.col(f"confidence_{c}").alias("confidence"))) for n, c, cond in subsets()]
+    marks = [F.when(cond, F.struct(F.lit(n).alias("subset"), F.lit(c).alias("convention"), F.col(f"presence_{c}").alias("presence"),
+        F.col(f"confidence_{c}").alias("confidence"))) for n, c, cond in subsets()]
     return samples.withColumn("_in", F.explode(F.array_compact(F.array(*marks)))).select(*samples.columns, "_in.*")
 
 
@@ -110,8 +114,10 @@ def association(samples: DataFrame, features: list[str]) -> DataFrame:
     known = F.filter(F.array(*(F.col(f"severity_mean_{k}") for k in range(4))), lambda x: x.isNotNull())
     steps = F.zip_with(F.slice(known, F.lit(1), F.greatest(F.size(known) - 1, F.lit(0))), F.slice(known, F.lit(2), F.greatest(F.size(known) - 1, F.lit(0))), lambda p, q: q - p)
     done = done.withColumns({
-        "mean_difference": difference, "difference_share": difference / F.greatest(F.abs("non_candidate_mean"), F.lit(1e-12)), "weighted_difference_share": w_difference / F.greatest(F.abs("weighted_non_candidate_mean"), F.lit(1e-12)),
-        "effect": F.try_divide(difference, F.when(pooled > 0, pooled)), "rising": F.when(F.size(known) >= 3, F.forall(steps, lambda s: s >= 0)), "falling": F.when(F.size(known) >= 3, F.forall(steps, lambda s: s <= 0)),
+        "mean_difference": difference, "difference_share": difference / F.greatest(F.abs("non_candidate_mean"), F.lit(1e-12)),
+            "weighted_difference_share": w_difference / F.greatest(F.abs("weighted_non_candidate_mean"), F.lit(1e-12)),
+        "effect": F.try_divide(difference, F.when(pooled > 0, pooled)), "rising": F.when(F.size(known) >= 3, F.forall(steps, lambda s: s >= 0)),
+        "falling": F.when(F.size(known) >= 3, F.forall(steps, lambda s: s <= 0)),
     }).drop("_vc", "_vn")
     middle = quantiles(long.filter(c | n), [*keys, "presence"], "v", {"m": 0.5})
     middle = middle.groupBy(*keys).agg(*(F.max(F.when(F.col("presence") == k, F.col("m"))).alias(f"{name}_median") for k, name in ((1, "candidate"), (0, "non_candidate"))))
@@ -202,7 +208,8 @@ def standard_differences(rows: DataFrame, names: list[str]) -> DataFrame:
     marks = F.array_compact(F.array(F.lit("all_known"), F.when(F.col("azimuthal"), "high_confidence").otherwise("low_confidence"), F.when(F.col("disagreement"), "plus_minus_disagreement")))
     long = known.withColumn("subset", F.explode(marks)).unpivot(["subset", "presence_plus"], names, "name", "v").filter("v is not null")
     c, n = F.col("presence_plus") == 1, F.col("presence_plus") == 0
-    done = long.groupBy("subset", "name").agg(F.count_if(c).alias("n_candidate"), F.count_if(n).alias("n_non_candidate"), F.avg(F.when(c, F.col("v"))).alias("m1"), F.avg(F.when(n, F.col("v"))).alias("m0"), F.var_samp(F.when(c, F.col("v"))).alias("v1"), F.var_samp(F.when(n, F.col("v"))).alias("v0"))
+    done = long.groupBy("subset", "name").agg(F.count_if(c).alias("n_candidate"), F.count_if(n).alias("n_non_candidate"),
+        F.avg(F.when(c, F.col("v"))).alias("m1"), F.avg(F.when(n, F.col("v"))).alias("m0"), F.var_samp(F.when(c, F.col("v"))).alias("v1"), F.var_samp(F.when(n, F.col("v"))).alias("v0"))
     spread = F.sqrt((F.col("v1") + F.col("v0")) / 2)
     return done.withColumn("difference", F.try_divide(F.col("m1") - F.col("m0"), F.when(spread > 0, spread))).drop("m1", "m0", "v1", "v0")
 
@@ -211,7 +218,8 @@ def transform_report(rows: DataFrame, features: list[str], low: float = 0.001, h
     """Per feature: known and missing values, ranges, means and medians raw, logged and scaled, the clip limits, and how many values they cut."""
     logged = stored(rows.select(*features, *(F.log1p(F.greatest(F.col(f), F.lit(0.0))).alias(f"log_{f}") for f in features)), "logged")
     done = _scaled(logged, scales(logged, features, low, high), features)
-    each = [F.struct(F.lit(f).alias("feature"), F.col(f"low_{f}").alias("clip_low"), F.col(f"high_{f}").alias("clip_high"), F.col(f).cast("double").alias("raw"), F.col(f"log_{f}").alias("log"), F.col(f"scaled_{f}").alias("scaled")) for f in features]
+    each = [F.struct(F.lit(f).alias("feature"), F.col(f"low_{f}").alias("clip_low"), F.col(f"high_{f}").alias("clip_high"),
+        F.col(f).cast("double").alias("raw"), F.col(f"log_{f}").alias("log"), F.col(f"scaled_{f}").alias("scaled")) for f in features]
     long = stored(done.select(F.explode(F.array(*each)).alias("x")).select("x.*"), "stages")
     kinds = ["raw", "log", "scaled"]
     found = long.groupBy("feature", "clip_low", "clip_high").agg(

@@ -54,7 +54,8 @@ def baseline(cells: DataFrame, half: int = 10, quantile: float = 0.9, block: int
     last = cells.groupBy("well_id").agg(F.max("depth_idx").alias("_last"))
     at = filled.join(last, "well_id")
     before, after = F.sequence(F.lit(-half).cast("long"), F.lit(0).cast("long")), F.sequence(F.lit(0).cast("long"), F.lit(half).cast("long"))
-    shifts = F.when((F.col("depth_idx") == 0) & (F.col("_last") == 0), F.array_union(before, after)).when(F.col("depth_idx") == 0, before).when(F.col("depth_idx") == F.col("_last"), after).otherwise(F.array(F.lit(0).cast("long")))
+    shifts = F.when((F.col("depth_idx") == 0) & (F.col("_last") == 0), F.array_union(before, after)).when(F.col("depth_idx") == 0,
+        before).when(F.col("depth_idx") == F.col("_last"), after).otherwise(F.array(F.lit(0).cast("long")))
     padded = at.withColumn("_shift", F.explode(shifts)).withColumn("_pos", F.col("depth_idx") + F.col("_shift"))
     home = F.floor(F.greatest(F.least(F.col("_pos"), F.col("_last")), F.lit(0)) / block)
     near = F.array_distinct(F.transform(F.array(F.lit(-half), F.lit(0), F.lit(half)), lambda d: F.floor(F.greatest(F.least(F.col("_pos") + d, F.col("_last")), F.lit(0)) / block)))
@@ -74,7 +75,8 @@ def baseline(cells: DataFrame, half: int = 10, quantile: float = 0.9, block: int
     rolled = dealt.select(*names, "_zf", "_pos", "_block", "_own").groupBy("well_id", "az_idx", "_block").applyInArrow(slide, out)
     valid = F.col("zc").isNotNull() & (F.col("zc_base") > 0) & (F.col("finite_fraction") >= LEAST_FINITE)
     rolled = rolled.withColumn("baseline_valid", valid)
-    return rolled.select(*names, "zc_base", "finite_fraction", "baseline_valid", F.when(valid, F.col("zc") / F.col("zc_base")).alias("zc_ratio"), F.when(valid, (F.col("zc_base") - F.col("zc")) / F.col("zc_base")).alias("relative_drop"))
+    return rolled.select(*names, "zc_base", "finite_fraction", "baseline_valid", F.when(valid, F.col("zc") / F.col("zc_base")).alias("zc_ratio"), F.when(valid,
+        (F.col("zc_base") - F.col("zc")) / F.col("zc_base")).alias("relative_drop"))
 
 
 def severity(candidate: Column, valid: Column, moderate: float | Column = MODERATE, severe: float | Column = SEVERE) -> Column:
@@ -91,8 +93,10 @@ def ruled(based: DataFrame, alpha: float | Column = ALPHA, limit: float | Column
     rows = rows.withColumn("valid", F.col("baseline_valid") & ~F.col("bad"))
     rows = rows.withColumn("candidate", F.col("valid") & (F.col("by_drop") | F.col("by_limit")))
     drop, low = F.col("valid") & F.col("by_drop"), F.col("valid") & F.col("by_limit")
-    bits = F.when(F.col("valid"), 0).otherwise(UNCERTAIN).bitwiseOR(F.when(drop, RELATIVE_DROP).otherwise(0)).bitwiseOR(F.when(low, ABS_THRESHOLD).otherwise(0)).bitwiseOR(F.when(drop & low, FUSED_RULE).otherwise(0))
-    return rows.withColumns({"presence": F.when(~F.col("valid"), -1).when(F.col("candidate"), 1).otherwise(0), "severity": severity(F.col("candidate"), F.col("valid"), moderate, severe), "evidence": bits})
+    bits = F.when(F.col("valid"), 0).otherwise(UNCERTAIN).bitwiseOR(F.when(drop, RELATIVE_DROP).otherwise(0)).bitwiseOR(F.when(low,
+        ABS_THRESHOLD).otherwise(0)).bitwiseOR(F.when(drop & low, FUSED_RULE).otherwise(0))
+    return rows.withColumns({"presence": F.when(~F.col("valid"), -1).when(F.col("candidate"), 1).otherwise(0), "severity": severity(F.col("candidate"),
+        F.col("valid"), moderate, severe), "evidence": bits})
 
 
 def cell_ids(cells: DataFrame) -> DataFrame:
@@ -120,7 +124,8 @@ def cell_components(cells: DataFrame, sectors: int, wrap: bool, masks: str | Non
     ``masks`` names a column of bits: bit k says that the cell is there in run k; all runs are done together. Without it there is run 0.
     A task joins the cells of a tile of depths; only labels on both sides of a tile's edge become nodes of a graph.
     """
-    own = cell_ids(cells.select("well_id", F.col("depth_idx").cast("long").alias("depth_idx"), F.col("az_idx").cast("long").alias("az_idx"), (F.col(masks).cast("long") if masks else F.lit(1).cast("long")).alias("_masks")))
+    own = cell_ids(cells.select("well_id", F.col("depth_idx").cast("long").alias("depth_idx"), F.col("az_idx").cast("long").alias("az_idx"),
+        (F.col(masks).cast("long") if masks else F.lit(1).cast("long")).alias("_masks")))
     own = own.withColumn("_tile", F.floor(F.col("depth_idx") / tile))
 
     def joined(rows: pa.Table) -> pa.Table:
@@ -143,19 +148,23 @@ def cell_components(cells: DataFrame, sectors: int, wrap: bool, masks: str | Non
                 a.append(np.flatnonzero(there))
                 b.append(other[there])
             label = _labels(len(at), np.concatenate(a), np.concatenate(b))
-            parts.append(rows.take(pa.array(at)).select(["well_id", "depth_idx", "az_idx"]).append_column("run", pa.array(np.full(len(at), k, np.int32))).append_column("label", pa.array(cell[at][label])))
-        return pa.concat_tables(parts) if parts else rows.slice(0, 0).select(["well_id", "depth_idx", "az_idx"]).append_column("run", pa.array([], pa.int32())).append_column("label", pa.array([], pa.int64()))
+            parts.append(rows.take(pa.array(at)).select(["well_id", "depth_idx", "az_idx"]).append_column("run",
+                pa.array(np.full(len(at), k, np.int32))).append_column("label", pa.array(cell[at][label])))
+        return pa.concat_tables(parts) if parts else rows.slice(0, 0).select(["well_id", "depth_idx", "az_idx"]).append_column("run", pa.array([],
+            pa.int32())).append_column("label", pa.array([], pa.int64()))
 
     out = T.StructType([own.schema["well_id"], own.schema["depth_idx"], own.schema["az_idx"], T.StructField("run", T.IntegerType()), T.StructField("label", T.LongType())])
     found = stored(own.groupBy("well_id", "_tile").applyInArrow(joined, out), "tiles")
     node = lambda c: F.format_string("%04d|%020d", "run", c)
     edge = F.pmod("depth_idx", F.lit(tile))
-    low = found.filter(edge == tile - 1).select("run", "well_id", (F.col("depth_idx") + 1).alias("depth_idx"), F.explode(F.array(*(F.col("az_idx") + k for k in (-1, 0, 1)))).alias("az_idx"), node("label").alias("a"))
+    low = found.filter(edge == tile - 1).select("run", "well_id", (F.col("depth_idx") + 1).alias("depth_idx"),
+        F.explode(F.array(*(F.col("az_idx") + k for k in (-1, 0, 1)))).alias("az_idx"), node("label").alias("a"))
     if wrap:
         low = low.withColumn("az_idx", F.pmod("az_idx", F.lit(sectors)))
     high = found.filter(edge == 0).select("run", "well_id", "depth_idx", "az_idx", node("label").alias("b"))
     whole = components(low.join(high, ["run", "well_id", "depth_idx", "az_idx"]).select("a", "b").distinct())
-    whole = whole.select(F.split_part("node", F.lit("|"), F.lit(1)).cast("int").alias("run"), F.split_part("node", F.lit("|"), F.lit(2)).cast("long").alias("label"), F.split_part("component", F.lit("|"), F.lit(2)).cast("long").alias("component"))
+    whole = whole.select(F.split_part("node", F.lit("|"), F.lit(1)).cast("int").alias("run"), F.split_part("node", F.lit("|"),
+        F.lit(2)).cast("long").alias("label"), F.split_part("component", F.lit("|"), F.lit(2)).cast("long").alias("component"))
     return found.join(whole, ["run", "label"], "left").select("run", "well_id", "depth_idx", "az_idx", F.coalesce("component", "label").alias("component"))
 
 
@@ -169,7 +178,8 @@ def isolated(rows: DataFrame, sectors: int, most: int = 3) -> DataFrame:
 def component_summary(cells: DataFrame, sectors: int, depth_step: float, az_step: float, speck: int = 3) -> DataFrame:
     """Per well: components, their depth lengths and azimuth widths, and the share of cells in small ones."""
     found = cell_components(cells, sectors, wrap=True)
-    each = found.groupBy("well_id", "component").agg(((F.max("depth_idx") - F.min("depth_idx") + 1) * depth_step).alias("length"), (F.countDistinct("az_idx") * az_step).alias("width"), F.count(F.lit(1)).alias("n"))
+    each = found.groupBy("well_id", "component").agg(((F.max("depth_idx") - F.min("depth_idx") + 1) * depth_step).alias("length"),
+        (F.countDistinct("az_idx") * az_step).alias("width"), F.count(F.lit(1)).alias("n"))
     each = stored(each, "components")
     stats = [f(c).alias(f"{c}_{n}") for c in ("length", "width") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
     done = each.groupBy("well_id").agg(F.count(F.lit(1)).alias("n_components"), *stats, (F.sum(F.when(F.col("n") <= speck, F.col("n")).otherwise(0)) / F.sum("n")).alias("speckle_share"))
@@ -211,18 +221,21 @@ def threshold_grid(rows: DataFrame, alphas: list[float], limits: list[float], se
         F.count(F.lit(1)).alias("n"), F.sum("sure").alias("sure"), F.count_if(F.col("sure") < low).alias("n_low"),
     )
     settings = [(r, i, j, k, a, z, *severities[k]) for r, (a, z) in enumerate(runs) for i, j in [(r // len(limits), r % len(limits))] for k in range(len(severities))]
-    table = F.array(*(F.struct(F.lit(r).alias("run"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit(float(a)).alias("alpha"), F.lit(float(z)).alias("zlimit"), F.lit(m).alias("moderate"), F.lit(s).alias("severe")) for r, i, j, k, a, z, m, s in settings))
+    table = F.array(*(F.struct(F.lit(r).alias("run"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit(float(a)).alias("alpha"),
+        F.lit(float(z)).alias("zlimit"), F.lit(m).alias("moderate"), F.lit(s).alias("severe")) for r, i, j, k, a, z, m, s in settings))
     met = counts.withColumn("_s", F.explode(table)).select("*", "_s.*")
     bit = lambda c, k: F.expr(f"shiftright({c}, {k}) & 1 = 1")
     one, by_drop, by_limit = bit("masks", "run"), bit("drops", "i"), bit("lows", "j")
     grade = F.array(*(F.col(f"grade{k}") for k in range(len(severities))))[F.col("k")]
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     done = met.groupBy("run", "alpha", "zlimit", "moderate", "severe").agg(
-        total(F.col("valid")).alias("n_known"), total(one).alias("n_candidate"), total(by_drop & ~by_limit).alias("n_drop_only"), total(by_limit & ~by_drop).alias("n_limit_only"), total(by_drop & by_limit).alias("n_both"),
+        total(F.col("valid")).alias("n_known"), total(one).alias("n_candidate"), total(by_drop & ~by_limit).alias("n_drop_only"),
+            total(by_limit & ~by_drop).alias("n_limit_only"), total(by_drop & by_limit).alias("n_both"),
         total(one & (grade == 3)).alias("n_severe"), total(one & (grade == 2)).alias("n_moderate"), total(F.col("outlier")).alias("n_outlier"), total(F.col("bad")).alias("n_bad"),
         F.sum(F.when(one, F.col("sure"))).alias("_sure"), F.sum(F.when(one, F.col("n_low"))).alias("_low"),
     )
-    done = done.withColumns({"coverage": F.try_divide("n_candidate", "n_known"), "confidence_mean": F.try_divide("_sure", "n_candidate"), "low_share": F.try_divide("_low", "n_candidate")}).drop("_sure", "_low")
+    done = done.withColumns({"coverage": F.try_divide("n_candidate", "n_known"), "confidence_mean": F.try_divide("_sure", "n_candidate"),
+        "low_share": F.try_divide("_low", "n_candidate")}).drop("_sure", "_low")
 
     # both conventions
     turned = both_conventions(cells.select("well_id", "depth_idx", "az_idx", "rb_deg", "valid", "masks"), sectors)
@@ -232,7 +245,8 @@ def threshold_grid(rows: DataFrame, alphas: list[float], limits: list[float], se
     p, m = bit("plus", "run"), bit("minus", "run")
     share = lambda cond, of: F.try_divide(total(cond), total(of))
     both = F.col("plus").isNotNull() & F.col("minus").isNotNull()
-    apart = same.groupBy("run").agg(share(p, F.col("plus").isNotNull()).alias("plus_coverage"), share(m, F.col("minus").isNotNull()).alias("minus_coverage"), share(both & (p != m), both).alias("disagreement"))
+    apart = same.groupBy("run").agg(share(p, F.col("plus").isNotNull()).alias("plus_coverage"), share(m, F.col("minus").isNotNull()).alias("minus_coverage"),
+        share(both & (p != m), both).alias("disagreement"))
 
     # components of the plus labels
     found = cell_components(sides.filter("plus > 0").withColumnRenamed("az_rot", "az_idx"), sectors, True, "plus")
@@ -254,7 +268,8 @@ def with_confidence(rows: DataFrame, isolated_cells: DataFrame | None = None) ->
         rows = rows.join(isolated_cells.withColumn("isolated", F.lit(True)), ["well_id", "depth_idx", "az_idx"], "left").fillna({"isolated": False})
     bad = F.when(F.col("zc").isNull() | (F.col("zc") < 0) | (F.col("zc") > 20), 0.5).otherwise(1.0)
     bad = F.when(F.col("bad"), 0.0).when(F.col("isolated"), 0.1).otherwise(bad)
-    parts = {"c_strength": strength, "c_baseline": F.when(F.col("baseline_valid"), clip(F.col("finite_fraction"))).otherwise(0.0), "c_orientation": orient, "c_bearing": F.col("rb_deg").isNotNull().cast("double"), "c_data": bad}
+    parts = {"c_strength": strength, "c_baseline": F.when(F.col("baseline_valid"), clip(F.col("finite_fraction"))).otherwise(0.0), "c_orientation": orient,
+        "c_bearing": F.col("rb_deg").isNotNull().cast("double"), "c_data": bad}
     rows = rows.withColumns(parts)
     product = F.col("c_strength") * F.col("c_baseline") * F.col("c_orientation") * F.col("c_bearing") * F.col("c_data")
     return rows.withColumn("confidence", F.when(F.col("valid"), clip(product)).otherwise(0.0))
@@ -262,7 +277,8 @@ def with_confidence(rows: DataFrame, isolated_cells: DataFrame | None = None) ->
 
 def both_conventions(rows: DataFrame, sectors: int) -> DataFrame:
     """Each label turned to the high side both ways: convention and the sector az_rot. A projection, no shuffle."""
-    return rows.withColumn("_turned", F.explode(F.array(*(F.struct(F.lit(c).alias("convention"), rotated(F.col("az_idx"), F.col("rb_deg"), c, sectors).alias("az_rot")) for c in ("plus", "minus"))))).select(*rows.columns, "_turned.*")
+    return rows.withColumn("_turned", F.explode(F.array(*(F.struct(F.lit(c).alias("convention"), rotated(F.col("az_idx"), F.col("rb_deg"), c,
+        sectors).alias("az_rot")) for c in ("plus", "minus"))))).select(*rows.columns, "_turned.*")
 
 
 def disagreement(labels: DataFrame) -> DataFrame:

@@ -32,12 +32,14 @@ def waveforms(rows: DataFrame, sides: int = 8, samples: int = 1024) -> DataFrame
 
 def pose(rows: DataFrame) -> DataFrame:
     """Per well: ranges of inclination and bearing, and whether they are legal."""
-    done = rows.groupBy("well_id").agg(F.count(F.lit(1)).alias("n"), F.min("inc_deg").alias("inc_min"), F.max("inc_deg").alias("inc_max"), F.min("rb_deg").alias("rb_min"), F.max("rb_deg").alias("rb_max"))
+    done = rows.groupBy("well_id").agg(F.count(F.lit(1)).alias("n"), F.min("inc_deg").alias("inc_min"), F.max("inc_deg").alias("inc_max"),
+        F.min("rb_deg").alias("rb_min"), F.max("rb_deg").alias("rb_max"))
     return done.withColumn("legal", (F.col("inc_min") >= 0) & (F.col("inc_max") <= 180) & (F.col("rb_min") >= 0) & (F.col("rb_max") < 360))
 
 
 def summary(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Per group and value column: n, finite share, range, mean, median."""
     long = stored(rows.select(*keys, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(keys, values, "name", "v"), "summary")
-    sums = long.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"), (F.count("v") / F.count(F.lit(1))).alias("finite_share"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"))
+    sums = long.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"), (F.count("v") / F.count(F.lit(1))).alias("finite_share"), F.min("v").alias("v_min"),
+        F.max("v").alias("v_max"), F.avg("v").alias("v_mean"))
     return sums.join(quantiles(long, [*keys, "name"], "v", {"v_median": 0.5}), [*keys, "name"], "left")

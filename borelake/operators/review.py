@@ -50,7 +50,8 @@ def decided(metrics: DataFrame, rules: list[tuple[str, str, float, str]]) -> Dat
     table = F.broadcast(spark.createDataFrame(rules, "metric string, how string, bound double, level string"))
     wells = metrics.select("well_id").distinct()
     checked = wells.crossJoin(table).join(metrics, ["well_id", "metric"], "left")
-    fails = F.when(F.col("value").isNull(), True).when(F.col("how") == "at_least", F.col("value") < F.col("bound")).when(F.col("how") == "below", F.col("value") >= F.col("bound")).otherwise(F.col("value") > F.col("bound"))
+    fails = F.when(F.col("value").isNull(), True).when(F.col("how") == "at_least", F.col("value") < F.col("bound")).when(F.col("how") == "below",
+        F.col("value") >= F.col("bound")).otherwise(F.col("value") > F.col("bound"))
     done = checked.withColumn("fails", fails).groupBy("well_id").agg(F.count_if(F.col("fails") & ((F.col("level") == "block") | F.col("value").isNull())).alias("n_block"), F.count_if(F.col("fails") & (F.col("level") == "warn")).alias("n_warn"))
     return done.withColumn("decision", F.when(F.col("n_block") > 0, "no_go").when(F.col("n_warn") > 0, "conditional_go").otherwise("go"))
 

@@ -142,7 +142,8 @@ def audit(series: DataFrame, keys: list[str]) -> DataFrame:
     count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
     size = F.when(F.col("step") != 0, F.abs("step"))
     known = steps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("depth").alias("depth_min"), F.max("depth").alias("depth_max"), F.min_by("depth", "sample_idx").alias("depth_first"), F.max_by("depth", "sample_idx").alias("depth_last"),
+        F.count(F.lit(1)).alias("n"), F.min("depth").alias("depth_min"), F.max("depth").alias("depth_max"), F.min_by("depth",
+        "sample_idx").alias("depth_first"), F.max_by("depth", "sample_idx").alias("depth_last"),
         count(F.col("step") > 0).alias("n_up"), count(F.col("step") < 0).alias("n_down"), count(F.col("step") == 0).alias("n_equal"),
         F.min(size).alias("step_min"), F.max(size).alias("step_max"),
     )
@@ -151,17 +152,20 @@ def audit(series: DataFrame, keys: list[str]) -> DataFrame:
     n, up, down, equal = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_up", "n_down", "n_equal"))
     allowed = F.when(n - 1 < 100, 0).otherwise(F.greatest(F.lit(25), F.floor((n - 1) * 0.005)))
     direction = (
-        F.when(n < 2, "undetermined").when((down == 0) & (equal == 0), "increasing").when((up == 0) & (equal == 0), "decreasing").when((down == 0) & (up > 0), "nondecreasing").when((up == 0) & (down > 0), "nonincreasing")
+        F.when(n < 2, "undetermined").when((down == 0) & (equal == 0), "increasing").when((up == 0) & (equal == 0), "decreasing").when((down == 0) & (up > 0),
+        "nondecreasing").when((up == 0) & (down > 0), "nonincreasing")
         .when((up > down) & (down <= allowed), "mostly_increasing").when((down > up) & (up <= allowed), "mostly_decreasing").otherwise("non_monotonic")
     )
-    return total.join(known, keys, "left").withColumns({"direction": direction, "n_missing": F.col("n_total") - n}).withColumn("monotonic", F.col("direction").isin("increasing", "decreasing", "nondecreasing", "nonincreasing"))
+    return total.join(known, keys, "left").withColumns({"direction": direction, "n_missing": F.col("n_total") - n}).withColumn("monotonic",
+        F.col("direction").isin("increasing", "decreasing", "nondecreasing", "nonincreasing"))
 
 
 def overlap(axes: DataFrame, by: list[str]) -> DataFrame:
     """Per group of ``audit`` rows: the range all axes share, the coarsest median step, and the number of axes."""
     none = F.sum(F.when(F.col("depth_min").isNull(), 1).otherwise(0)) > 0
     return axes.groupBy(*by).agg(
-        F.when(~none, F.max("depth_min")).alias("start"), F.when(~none, F.min("depth_max")).alias("stop"), F.max("step_median").alias("step"), F.min("step_median").alias("step_least"), F.count(F.lit(1)).alias("n_axes"),
+        F.when(~none, F.max("depth_min")).alias("start"), F.when(~none, F.min("depth_max")).alias("stop"), F.max("step_median").alias("step"),
+        F.min("step_median").alias("step_least"), F.count(F.lit(1)).alias("n_axes"),
     )
 
 
@@ -169,7 +173,8 @@ def proposed_grid(shared: DataFrame) -> DataFrame:
     """``overlap`` rows with n_grid, block (why there is no grid) and warn (steps differ by more than twice)."""
     why = F.when(F.col("start").isNull() | (F.col("stop") <= F.col("start")), "no_overlap").when(F.col("step").isNull(), "no_step")
     n = F.when(why.isNull(), F.floor((F.col("stop") - F.col("start")) / F.col("step")) + 1)
-    return shared.withColumn("n_grid", n).withColumn("block", F.coalesce(why, F.when(F.col("n_grid") < 2, "short"))).withColumn("warn", F.coalesce(F.col("step") / F.col("step_least") > 2, F.lit(False)))
+    return shared.withColumn("n_grid", n).withColumn("block", F.coalesce(why, F.when(F.col("n_grid") < 2, "short"))).withColumn("warn",
+        F.coalesce(F.col("step") / F.col("step_least") > 2, F.lit(False)))
 
 
 def grid(proposal: DataFrame, keys: list[str]) -> DataFrame:
@@ -191,9 +196,11 @@ def receiver_consistency(series: DataFrame, expected: int) -> DataFrame:
     """Per well: do all receivers share one axis? By starts, stops, steps, and distance to receiver 1 at the same sample."""
     axes = audit(series, ["well_id", "receiver"])
     spread = lambda c: F.max(c) - F.min(c)
-    ranges = axes.groupBy("well_id").agg(F.count(F.lit(1)).alias("n_receivers"), spread("depth_first").alias("start_range"), spread("depth_last").alias("stop_range"), spread("step_median").alias("step_range"), F.percentile("step_median", F.lit(0.5)).alias("step"))
+    ranges = axes.groupBy("well_id").agg(F.count(F.lit(1)).alias("n_receivers"), spread("depth_first").alias("start_range"),
+        spread("depth_last").alias("stop_range"), spread("step_median").alias("step_range"), F.percentile("step_median", F.lit(0.5)).alias("step"))
     first = series.filter("receiver = 1").select("well_id", "sample_idx", F.col("depth").alias("_first"))
-    gaps = series.join(first, ["well_id", "sample_idx"]).groupBy("well_id").agg(F.max(F.abs(F.col("depth") - F.col("_first"))).alias("gap_max"), F.percentile(F.abs(F.col("depth") - F.col("_first")), F.lit(0.5)).alias("gap_median"))
+    gaps = series.join(first, ["well_id", "sample_idx"]).groupBy("well_id").agg(F.max(F.abs(F.col("depth") - F.col("_first"))).alias("gap_max"),
+        F.percentile(F.abs(F.col("depth") - F.col("_first")), F.lit(0.5)).alias("gap_median"))
     tolerance = F.greatest(0.5 * F.col("step"), F.lit(1e-3))
     same = (F.col("gap_max") <= tolerance) & (F.col("start_range") <= 10 * tolerance) & (F.col("stop_range") <= 10 * tolerance) & (F.col("n_receivers") == expected)
     return ranges.join(gaps, "well_id").withColumns({"tolerance": tolerance, "consistent": same})
@@ -203,9 +210,11 @@ def window_slices(series: DataFrame, windows: DataFrame, keys: list[str], most:
     """Per window (keys, window, low, high): samples inside, and the ``most`` contiguous ones around the sample nearest the centre."""
     centre = (F.col("low") + F.col("high")) / 2
     inside = points_in(series, windows, keys, "depth", "low", "high")
-    found = inside.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n_matched"), F.min("sample_idx").alias("first"), F.max("sample_idx").alias("last"), F.min_by("sample_idx", F.struct(F.abs(F.col("depth") - centre), "sample_idx")).alias("centre_idx"), F.min("depth").alias("seen_low"), F.max("depth").alias("seen_high"))
+    found = inside.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n_matched"), F.min("sample_idx").alias("first"), F.max("sample_idx").alias("last"),
+        F.min_by("sample_idx", F.struct(F.abs(F.col("depth") - centre), "sample_idx")).alias("centre_idx"), F.min("depth").alias("seen_low"), F.max("depth").alias("seen_high"))
     begin = F.greatest("first", F.least(F.col("centre_idx") - most // 2, F.col("last") - most + 1))
-    return windows.join(found, [*keys, "window"], "left").withColumns({"n_matched": F.coalesce("n_matched", F.lit(0)), "begin": F.when(F.col("n_matched") > most, begin).otherwise(F.col("first"))}).withColumn("stop", F.when(F.col("n_matched") > most, F.col("begin") + most - 1).otherwise(F.col("last")))
+    return windows.join(found, [*keys, "window"], "left").withColumns({"n_matched": F.coalesce("n_matched", F.lit(0)),
+        "begin": F.when(F.col("n_matched") > most, begin).otherwise(F.col("first"))}).withColumn("stop", F.when(F.col("n_matched") > most, F.col("begin") + most - 1).otherwise(F.col("last")))
 
 
 def gap_filled(rows: DataFrame, keys: list[str], value: str, name: str, order: str = "depth_idx", block: int = BLOCK) -> DataFrame:
@@ -233,7 +242,8 @@ def axes_agree(a: DataFrame, b: DataFrame, keys: list[str], absolute: float = 1e
     """Per series: lengths, and whether all depths agree sample by sample."""
     both = a.select(*keys, "sample_idx", F.col("depth").alias("a")).join(b.select(*keys, "sample_idx", F.col("depth").alias("b")), [*keys, "sample_idx"], "full")
     far = F.coalesce(F.abs(F.col("a") - F.col("b")) > absolute + relative * F.abs("b"), F.lit(True))
-    return both.groupBy(*keys).agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.sum(far.cast("long")).alias("n_far")).withColumn("agree", (F.col("n_a") == F.col("n_b")) & (F.col("n_far") == 0))
+    return both.groupBy(*keys).agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.sum(far.cast("long")).alias("n_far")).withColumn("agree",
+        (F.col("n_a") == F.col("n_b")) & (F.col("n_far") == 0))
 
 
 def contiguity(rows: DataFrame, keys: list[str], index: str) -> DataFrame:

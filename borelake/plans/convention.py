@@ -63,7 +63,8 @@ def depth_windows(spark, sf):
 def bearing_windows(spark, sf):
     """Every depth window with what speaks against it."""
     rows = depth_windows(spark, sf)
-    return rows.select("well_id", F.col("window").alias("window_id"), "n", *(six(F.col(c)).alias(c) for c in ("inc_mean", "orientation", "jump_max", "quality")), F.concat_ws(",", "reasons").alias("reasons"))
+    return rows.select("well_id", F.col("window").alias("window_id"), "n",
+        *(six(F.col(c)).alias(c) for c in ("inc_mean", "orientation", "jump_max", "quality")), F.concat_ws(",", "reasons").alias("reasons"))
 
 
 #: For the queries over evidence, jumps up to 80 degrees and any inclination pass: the tables' bearings turn by up to 77.
@@ -124,8 +125,10 @@ def side_energy(spark, sf):
 
 
 @query("turned_energy", f"""+ {ENERGY}, z AS (
-    SELECT well_id, depth_idx, side, k, wrap(side * 45.0 + k * rb_deg) AS azimuth, e FROM at_depth JOIN posed USING (well_id, depth_idx), (VALUES (1), (-1)) t(k) WHERE rb_deg IS NOT NULL)
-  SELECT well_id, depth_idx, k AS sign, row_number() OVER (PARTITION BY well_id, depth_idx, k ORDER BY round(azimuth, 9), side) AS place, round(azimuth, 6) AS azimuth, round(e, 6) AS energy FROM z""", "waveforms", "posed")
+    SELECT well_id, depth_idx, side, k, wrap(side * 45.0 + k * rb_deg) AS azimuth, e FROM at_depth JOIN posed USING (well_id, depth_idx), (VALUES (1), (-1))
+  t(k) WHERE rb_deg IS NOT NULL)
+  SELECT well_id, depth_idx, k AS sign, row_number() OVER (PARTITION BY well_id, depth_idx, k ORDER BY round(azimuth, 9), side) AS place, round(azimuth, 6) AS
+  azimuth, round(e, 6) AS energy FROM z""", "waveforms", "posed")
 def turned_energy(spark, sf):
     """Side energies of each image depth around the well, under both signs of the bearing."""
     bearings = posed_depths(spark, sf).select("well_id", "depth_idx", "rb_deg")
@@ -172,7 +175,8 @@ def sliding_windows(spark, sf):
     return _shown(R.sliding_windows(evidence(spark, sf), 16, 8))
 
 
-@query("sliding_best", f"+ {SLIDING.replace('SELECT well_id, win AS window_id', 'SELECT well_id, window_id, place, quality FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY quality DESC, window_id) AS place FROM (SELECT well_id, win AS window_id', 1)}) WHERE reasons = '') WHERE place <= 8", "cells", "waveforms", "posed")
+@query("sliding_best", f"""+
+  {SLIDING.replace('SELECT well_id, win AS window_id', 'SELECT well_id, window_id, place, quality FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY quality DESC, window_id) AS place FROM (SELECT well_id, win AS window_id', 1)}) WHERE reasons = '') WHERE place <= 8""", "cells", "waveforms", "posed")
 def sliding_best(spark, sf):
     """The eight sliding windows of each well with most contrast that nothing speaks against."""
     rows = _shown(R.sliding_windows(evidence(spark, sf), 16, 8)).withColumn("reasons", F.filter(F.split("reasons", ","), lambda x: x != ""))
@@ -187,14 +191,19 @@ def window_evidence(spark, sf):
     return _shown(R.window_evidence(evidence(spark, sf), R.best_windows(loose_windows(spark, sf), 8)))
 
 
-@query("azimuth_contrast", "SELECT 'image' AS kind, well_id, round(quantile_cont(r, 0.5), 6) AS contrast FROM (SELECT well_id, depth_idx, max(zc) - min(zc) AS r FROM cells GROUP BY ALL) GROUP BY well_id UNION ALL SELECT 'sides', well_id, round(quantile_cont(r, 0.5), 6) FROM (SELECT well_id, xsi_idx, max(e) - min(e) AS r FROM (SELECT well_id, xsi_idx, side, sqrt(sum(list_sum(list_transform(samples, lambda x: x * x))) / sum(len(samples))) AS e FROM waveforms GROUP BY ALL) GROUP BY ALL) GROUP BY well_id", "cells", "waveforms")
+@query("azimuth_contrast", """SELECT 'image' AS kind, well_id, round(quantile_cont(r, 0.5), 6) AS contrast FROM (SELECT well_id, depth_idx, max(zc) - min(zc)
+  AS r FROM cells GROUP BY ALL) GROUP BY well_id UNION ALL SELECT 'sides', well_id, round(quantile_cont(r, 0.5), 6) FROM (SELECT well_id, xsi_idx, max(e) -
+  min(e) AS r FROM (SELECT well_id, xsi_idx, side, sqrt(sum(list_sum(list_transform(samples, lambda x: x * x))) / sum(len(samples))) AS e FROM waveforms GROUP
+  BY ALL) GROUP BY ALL) GROUP BY well_id""", "cells", "waveforms")
 def azimuth_contrast(spark, sf):
     image = R.contrast(D.full_image(spark, sf), ["well_id"], "depth_idx", "zc").select(F.lit("image").alias("kind"), "well_id", six(F.col("contrast")).alias("contrast"))
     sides = R.contrast(R.side_energy(D.waveforms(spark, sf)), ["well_id"], "xsi_idx", "energy").select(F.lit("sides").alias("kind"), "well_id", six(F.col("contrast")).alias("contrast"))
     return image.union(sides)
 
 
-@query("bearing_candidates", "SELECT well_id, candidate, count(*) AS n, round(min(az), 6) AS az_min, round(max(az), 6) AS az_max, bool_and(az >= 0 AND az < 360) AS legal, any_value('insufficient_evidence') AS verdict FROM (SELECT well_id, candidate, wrap(45 + CASE candidate WHEN 'plus' THEN rb_deg WHEN 'minus' THEN -rb_deg ELSE 0 END) AS az FROM pose, (VALUES ('plus'), ('minus'), ('none')) t(candidate)) GROUP BY ALL", "pose")
+@query("bearing_candidates", """SELECT well_id, candidate, count(*) AS n, round(min(az), 6) AS az_min, round(max(az), 6) AS az_max, bool_and(az >= 0 AND az <
+  360) AS legal, any_value('insufficient_evidence') AS verdict FROM (SELECT well_id, candidate, wrap(45 + CASE candidate WHEN 'plus' THEN rb_deg WHEN 'minus'
+  THEN -rb_deg ELSE 0 END) AS az FROM pose, (VALUES ('plus'), ('minus'), ('none')) t(candidate)) GROUP BY ALL""", "pose")
 def bearing_candidates(spark, sf):
     rows = R.candidate_ranges(D.pose(spark, sf), F.lit(45.0)).filter("candidate <> 'random'")
     return rows.select("well_id", "candidate", "n", six(F.col("az_min")).alias("az_min"), six(F.col("az_max")).alias("az_max"), "legal", "verdict")
@@ -232,7 +241,8 @@ def totals(spark, sf):
     return R.hypothesis_totals(R.window_scores(tracks(spark, sf), D.SECTORS, D.SIDES))
 
 
-@query("hypothesis_totals", f"+ {TRACKS} SELECT well_id, hyp, round(sum(score), 5) AS total, round(avg(score), 5) AS mean, count(*) AS n_windows FROM z GROUP BY well_id, hyp", "cells", "waveforms", "posed")
+@query("hypothesis_totals", f"""+ {TRACKS} SELECT well_id, hyp, round(sum(score), 5) AS total, round(avg(score), 5) AS mean, count(*) AS n_windows FROM z GROUP
+  BY well_id, hyp""", "cells", "waveforms", "posed")
 def hypothesis_totals(spark, sf):
     return totals(spark, sf).select("well_id", "hyp", F.round("total", 5).alias("total"), F.round("mean", 5).alias("mean"), "n_windows")
 
@@ -254,9 +264,11 @@ def attribute_votes(spark, sf):
 
 
 @query("sign_recommendations", f"""+ {VOTES}, s AS (SELECT well_id, hyp, sign, sum(score) AS total, count(*) AS n_windows FROM z GROUP BY ALL),
-  r AS (SELECT s.*, (SELECT count(*) FROM b WHERE b.well_id = s.well_id AND b.hyp = s.hyp) / n_windows AS support, row_number() OVER (PARTITION BY well_id ORDER BY round(total, 9) DESC, hyp) AS place FROM s)
+  r AS (SELECT s.*, (SELECT count(*) FROM b WHERE b.well_id = s.well_id AND b.hyp = s.hyp) / n_windows AS support, row_number() OVER (PARTITION BY well_id
+  ORDER BY round(total, 9) DESC, hyp) AS place FROM s)
   SELECT a.well_id, a.hyp, round(a.support, 6) AS support, round(a.total - b.total, 5) AS gap, a.n_windows,
-    CASE WHEN NOT (a.n_windows >= 5 AND a.support >= 0.7 AND a.total - b.total >= 0.05) THEN 'unresolved' WHEN a.sign = 1 THEN 'plus' ELSE 'minus' END AS recommendation
+    CASE WHEN NOT (a.n_windows >= 5 AND a.support >= 0.7 AND a.total - b.total >= 0.05) THEN 'unresolved' WHEN a.sign = 1 THEN 'plus' ELSE 'minus' END AS
+  recommendation
   FROM r a JOIN r b ON a.well_id = b.well_id AND a.place = 1 AND b.place = 2""", "cells", "waveforms", "posed")
 def sign_recommendations(spark, sf):
     """The best hypothesis of each well, its lead, and the sign that this is enough to recommend."""

@@ -92,7 +92,8 @@ def azimuth_bad_data(spark, sf):
     return by.groupBy("well_id").agg(six(F.min("s")).alias("azimuth_min"), six(F.max("s")).alias("azimuth_max"), six(F.avg("s")).alias("azimuth_mean"))
 
 
-@query("label_audit", """+ d AS (SELECT well_id, avg((p <> m)::INT) AS apart FROM (SELECT well_id, depth_idx, az_rot, max(CASE WHEN convention = 'plus' THEN presence END) AS p, max(CASE WHEN convention = 'minus' THEN presence END) AS m FROM labels GROUP BY ALL) WHERE p >= 0 AND m >= 0 GROUP BY well_id),
+@query("label_audit", """+ d AS (SELECT well_id, avg((p <> m)::INT) AS apart FROM (SELECT well_id, depth_idx, az_rot, max(CASE WHEN convention = 'plus' THEN
+  presence END) AS p, max(CASE WHEN convention = 'minus' THEN presence END) AS m FROM labels GROUP BY ALL) WHERE p >= 0 AND m >= 0 GROUP BY well_id),
   c AS (SELECT well_id, count_if(presence = 1) AS n_candidate, count_if(presence = 1 AND confidence < 0.25) AS n_low FROM labels GROUP BY well_id)
   SELECT well_id, n_candidate, round(n_low / nullif(n_candidate, 0), 6) AS low_share, round(apart, 6) AS disagreement,
     CASE WHEN apart > 0.5 THEN 'block' WHEN apart > 0.25 THEN 'warn' ELSE 'ok' END AS level FROM c LEFT JOIN d USING (well_id)""", "labels")
@@ -118,11 +119,13 @@ def transform_report(spark, sf):
     """Ranges, means and medians of the features raw, logged and scaled, and what clipping cut."""
     rows = E.transform_report(P.table6(spark, sf), NAMES)
     five = ("raw_min", "raw_max", "raw_mean", "raw_median", "log_min", "log_max", "log_mean", "log_median", "clip_low", "clip_high")
-    return rows.select("feature", "n", "n_missing", "n_clipped", *(F.round(c, 5).alias(c) for c in five), F.round("scaled_max", 4).alias("scaled_max"), *((F.round(c, 4) + 0.0).alias(c) for c in ("scaled_min", "scaled_mean", "scaled_median")))
+    return rows.select("feature", "n", "n_missing", "n_clipped", *(F.round(c, 5).alias(c) for c in five), F.round("scaled_max", 4).alias("scaled_max"),
+        *((F.round(c, 4) + 0.0).alias(c) for c in ("scaled_min", "scaled_mean", "scaled_median")))
 
 
 ASSOCIATED = P.ASSOCIATION.replace("SELECT *, mean_difference", "SELECT *, weighted_candidate_mean - sum_n AS w_difference, sum_n, mean_difference", 1).replace(
-    "CASE WHEN count_if(presence = 1) >= 2", "sum(CASE WHEN presence = 0 THEN v * confidence END) / nullif(sum(CASE WHEN presence = 0 THEN confidence END), 0) AS sum_n, CASE WHEN count_if(presence = 1) >= 2", 1
+    "CASE WHEN count_if(presence = 1) >= 2", """sum(CASE WHEN presence = 0 THEN v * confidence END) / nullif(sum(CASE WHEN presence = 0 THEN confidence END),
+      0) AS sum_n, CASE WHEN count_if(presence = 1) >= 2""", 1
 )
 OBSERVED = f"""ob AS (SELECT convention, subset, min(least(n_candidate, n_non_candidate)) >= 20 AS enough,
     coalesce(bool_or(coalesce(abs(raw_effect) >= 0.05, false) OR coalesce(abs(w_difference / greatest(abs(sum_n), 1e-12)) >= 0.01, false)), false) AS signal FROM ({ASSOCIATED}) GROUP BY ALL)"""
@@ -138,8 +141,10 @@ def observations(spark, sf):
     return observed(spark, sf)
 
 
-@query("association_gate", f"""+ {OBSERVED}, s AS (SELECT count_if(azimuthal) AS az, count_if(non_azimuthal) AS non_az FROM samples), f AS (SELECT avg((v IS NOT NULL AND isfinite(v))::INT) AS finite FROM (SELECT unnest([rms, peak_abs, mean_abs, early_energy, late_energy, late_ratio]) AS v FROM features_side))
-  SELECT CASE WHEN non_az < az OR finite < 0.5 OR NOT coalesce((SELECT bool_or(enough AND signal) FROM ob WHERE convention = 'plus' AND subset = 'high_confidence'), false) THEN 'no_go'
+@query("association_gate", f"""+ {OBSERVED}, s AS (SELECT count_if(azimuthal) AS az, count_if(non_azimuthal) AS non_az FROM samples), f AS (SELECT avg((v IS
+  NOT NULL AND isfinite(v))::INT) AS finite FROM (SELECT unnest([rms, peak_abs, mean_abs, early_energy, late_energy, late_ratio]) AS v FROM features_side))
+  SELECT CASE WHEN non_az < az OR finite < 0.5 OR NOT coalesce((SELECT bool_or(enough AND signal) FROM ob WHERE convention = 'plus' AND subset =
+  'high_confidence'), false) THEN 'no_go'
     WHEN finite < 0.95 THEN 'conditional_go' ELSE 'go' END AS decision, az AS n_azimuthal, non_az AS n_non_azimuthal, round(finite, 6) AS finite_share FROM s, f""", "long_features", "samples", "features_side")
 def association_gate(spark, sf):
     """May the association be used: subsets, finite features, enough sure samples with a signal."""
@@ -148,35 +153,42 @@ def association_gate(spark, sf):
     return done.select("decision", "n_azimuthal", "n_non_azimuthal", six(F.col("finite_share")).alias("finite_share"))
 
 
-FIELDS = """fields AS (SELECT c_custkey % 9 AS well_id, (c_custkey // 9) % 14 AS receiver, CASE c_custkey % 5 WHEN 0 THEN 'Depth' WHEN 1 THEN 'WVFSide' || chr((65 + c_custkey % 8)::INT) ELSE 'log.TIME' END AS field_path,
+FIELDS = """fields AS (SELECT c_custkey % 9 AS well_id, (c_custkey // 9) % 14 AS receiver, CASE c_custkey % 5 WHEN 0 THEN 'Depth' WHEN 1 THEN 'WVFSide' ||
+  chr((65 + c_custkey % 8)::INT) ELSE 'log.TIME' END AS field_path,
     CASE WHEN c_custkey % 97 = 0 THEN [10, 2] ELSE [10, 1024] END AS shape FROM customer)"""
 
 
 def fields(spark, sf):
     return D.table(spark, sf, "customer").selectExpr(
-        "c_custkey % 9 as well_id", "(c_custkey div 9) % 14 as receiver", "case c_custkey % 5 when 0 then 'Depth' when 1 then concat('WVFSide', char(65 + c_custkey % 8)) else 'log.TIME' end as field_path",
+        "c_custkey % 9 as well_id", "(c_custkey div 9) % 14 as receiver",
+        "case c_custkey % 5 when 0 then 'Depth' when 1 then concat('WVFSide', char(65 + c_custkey % 8)) else 'log.TIME' end as field_path",
         "case when c_custkey % 97 = 0 then array(10, 2) else array(10, 1024) end as shape", "'double' as dtype",
     )
 
 
-@query("field_audit", f"""WITH {FIELDS}, s AS (SELECT well_id, count_if(n > 1) AS n_shape_mismatch FROM (SELECT well_id, field_path, count(DISTINCT shape) AS n FROM fields GROUP BY ALL) GROUP BY well_id),
+@query("field_audit", f"""WITH {FIELDS}, s AS (SELECT well_id, count_if(n > 1) AS n_shape_mismatch FROM (SELECT well_id, field_path, count(DISTINCT shape) AS n
+  FROM fields GROUP BY ALL) GROUP BY well_id),
   r AS (SELECT well_id, receiver, list_sort(list(DISTINCT field_path)) AS names FROM fields GROUP BY ALL)
-  SELECT well_id, 14 - count(DISTINCT receiver) AS n_missing, count(DISTINCT names) AS n_name_sets, any_value(n_shape_mismatch) AS n_shape_mismatch FROM r JOIN s USING (well_id) GROUP BY well_id""")
+  SELECT well_id, 14 - count(DISTINCT receiver) AS n_missing, count(DISTINCT names) AS n_name_sets, any_value(n_shape_mismatch) AS n_shape_mismatch FROM r JOIN
+  s USING (well_id) GROUP BY well_id""")
 def field_audit(spark, sf):
     """Receivers without fields, and names and shapes that differ between receivers."""
     return C.field_audit(fields(spark, sf), 14)
 
 
-@query("side_groups", f"""WITH {FIELDS} SELECT well_id, prefix, count(DISTINCT letter) AS n_sides FROM (SELECT *, regexp_extract(field_path, '^(.+Side)([A-H])$', 1) AS prefix, regexp_extract(field_path, '^(.+Side)([A-H])$', 2) AS letter FROM fields)
+@query("side_groups", f"""WITH {FIELDS} SELECT well_id, prefix, count(DISTINCT letter) AS n_sides FROM (SELECT *, regexp_extract(field_path,
+  '^(.+Side)([A-H])$', 1) AS prefix, regexp_extract(field_path, '^(.+Side)([A-H])$', 2) AS letter FROM fields)
   WHERE letter <> '' GROUP BY well_id, prefix, shape HAVING count(DISTINCT letter) = 8""")
 def side_groups(spark, sf):
     """Complete groups of the sides A to H."""
     return C.side_groups(fields(spark, sf)).select("well_id", "prefix", F.lit(8).cast("long").alias("n_sides"))
 
 
-@query("manifest_valid", """WITH f AS (SELECT p_partkey % 7 AS well_id, CASE p_partkey % 5 WHEN 0 THEN 'cast' WHEN 1 THEN 'pose' WHEN 2 THEN NULL ELSE 'xsi' END AS role FROM part),
+@query("manifest_valid", """WITH f AS (SELECT p_partkey % 7 AS well_id, CASE p_partkey % 5 WHEN 0 THEN 'cast' WHEN 1 THEN 'pose' WHEN 2 THEN NULL ELSE 'xsi'
+  END AS role FROM part),
   x AS (SELECT c_custkey % 5 AS well_id, max(c_custkey % 3) + 10 AS expected FROM customer WHERE c_custkey % 5 < 4 GROUP BY 1),
-  w AS (SELECT well_id, count_if(role = 'cast') AS c, count_if(role = 'pose') AS p, count_if(role = 'xsi') AS x, coalesce(any_value(expected), 100) AS e FROM f LEFT JOIN x USING (well_id) GROUP BY well_id)
+  w AS (SELECT well_id, count_if(role = 'cast') AS c, count_if(role = 'pose') AS p, count_if(role = 'xsi') AS x, coalesce(any_value(expected), 100) AS e FROM f
+  LEFT JOIN x USING (well_id) GROUP BY well_id)
   SELECT well_id, x AS n_receivers, '' AS errors, array_to_string(list_filter([CASE WHEN c < 1 THEN 'no_cast' END, CASE WHEN p < 1 THEN 'no_pose' END,
     CASE WHEN x <> e THEN 'receivers' WHEN x <> 13 THEN 'unusual_receivers' END], lambda x: x IS NOT NULL), ',') AS warnings FROM w""")
 def manifest_valid(spark, sf):
@@ -188,8 +200,10 @@ def manifest_valid(spark, sf):
     return rows.select("well_id", "n_receivers", F.concat_ws(",", "errors").alias("errors"), F.concat_ws(",", "warnings").alias("warnings"))
 
 
-@query("field_orientation", f"""WITH {FIELDS}, w AS (SELECT field_path, CASE WHEN field_path = 'Depth' THEN [10, 180] WHEN field_path = 'log.TIME' THEN [180, 10] WHEN shape = [10, 2] THEN [5, 180, 3] ELSE shape END AS shape FROM fields)
-  SELECT CASE WHEN shape[-1] = 180 THEN 'azimuth_last' WHEN shape[1] = 180 THEN 'azimuth_first' WHEN list_contains(shape, 180) THEN 'contains' ELSE 'unknown' END AS orientation, count(*) AS n FROM w GROUP BY ALL""")
+@query("field_orientation", f"""WITH {FIELDS}, w AS (SELECT field_path, CASE WHEN field_path = 'Depth' THEN [10, 180] WHEN field_path = 'log.TIME' THEN [180,
+  10] WHEN shape = [10, 2] THEN [5, 180, 3] ELSE shape END AS shape FROM fields)
+  SELECT CASE WHEN shape[-1] = 180 THEN 'azimuth_last' WHEN shape[1] = 180 THEN 'azimuth_first' WHEN list_contains(shape, 180) THEN 'contains' ELSE 'unknown'
+  END AS orientation, count(*) AS n FROM w GROUP BY ALL""")
 def field_orientation(spark, sf):
     """Along which axis fields have their sectors."""
     shape = F.expr("case when field_path = 'Depth' then array(10, 180) when field_path = 'log.TIME' then array(180, 10) when shape = array(10, 2) then array(5, 180, 3) else shape end")
@@ -265,9 +279,11 @@ def intake_gate(spark, sf):
     todo = F.col("field_path") == C.TODO
     probe = fields(spark, sf).agg((F.count_if(F.size("shape") < 1) + (F.count(F.lit(1)) == 0).cast("int")).alias("n"))
     issues = [
-        said(files.agg(F.count_if(F.col("well_id").isNull()).alias("n")), "manifest", "error"), said(files.agg(F.sum(F.size("warnings")).alias("n")), "manifest", "warning"), said(probe, "probe", "error"),
+        said(files.agg(F.count_if(F.col("well_id").isNull()).alias("n")), "manifest", "error"), said(files.agg(F.sum(F.size("warnings")).alias("n")),
+            "manifest", "warning"), said(probe, "probe", "error"),
         said(mapping.agg(F.count_if(todo).alias("n")), "mapping", "error"), said(mapping.agg(F.count_if(~todo & (F.col("confidence") < 0.8)).alias("n")), "mapping", "warning"),
-        said(image.agg(F.count_if(F.col("known") == 0).alias("n")), "slices", "error"), said(image.agg(F.count_if(F.col("known") == 0).alias("n")), "quality", "error"), said(image.agg(F.count_if(F.col("known") < F.col("rows")).alias("n")), "quality", "warning"),
+        said(image.agg(F.count_if(F.col("known") == 0).alias("n")), "slices", "error"), said(image.agg(F.count_if(F.col("known") == 0).alias("n")), "quality",
+            "error"), said(image.agg(F.count_if(F.col("known") < F.col("rows")).alias("n")), "quality", "warning"),
         contract(spark, sf).select(F.lit("contract").alias("artifact"), "level", F.lit(1).cast("long").alias("n")),
     ]
     return K.decided(reduce(DataFrame.unionByName, issues), ["manifest", "probe", "mapping", "slices", "contract", "quality"])

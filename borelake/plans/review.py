@@ -31,12 +31,14 @@ def query(name: str, sql: str | None, *views: str):
     return add
 
 
-FILES = "SELECT p_partkey % 7 AS well_id, CASE p_partkey % 5 WHEN 0 THEN 'raw/CAST_' || p_partkey || '.mat' WHEN 1 THEN 'raw/pose' || p_partkey || '.mat' WHEN 2 THEN 'raw/notes.txt' ELSE 'raw/XSILMR' || lpad((p_partkey % 13 + 1)::VARCHAR, 2, '0') || '.mat' END AS path FROM part"
+FILES = """SELECT p_partkey % 7 AS well_id, CASE p_partkey % 5 WHEN 0 THEN 'raw/CAST_' || p_partkey || '.mat' WHEN 1 THEN 'raw/pose' || p_partkey || '.mat'
+  WHEN 2 THEN 'raw/notes.txt' ELSE 'raw/XSILMR' || lpad((p_partkey % 13 + 1)::VARCHAR, 2, '0') || '.mat' END AS path FROM part"""
 CLASSED = f"SELECT *, CASE WHEN regexp_matches(name, '(?i)xsi') THEN 'xsi' WHEN regexp_matches(name, '(?i)cast') THEN 'cast' WHEN regexp_matches(name, '(?i)(pose|incl|relbearing)') THEN 'pose' END AS role, TRY_CAST(nullif(regexp_extract(name, '(?i)XSILMR(\\d+)', 1), '') AS INT) AS receiver FROM (SELECT *, regexp_extract(path, '([^/]+)$', 1) AS name FROM ({FILES}))"
 
 
 def manifest(spark, sf):
-    return C.classified(D.table(spark, sf, "part").selectExpr("p_partkey % 7 as well_id", "case p_partkey % 5 when 0 then concat('raw/CAST_', p_partkey, '.mat') when 1 then concat('raw/pose', p_partkey, '.mat') when 2 then 'raw/notes.txt' else concat('raw/XSILMR', lpad(cast(p_partkey % 13 + 1 as string), 2, '0'), '.mat') end as path"))
+    return C.classified(D.table(spark, sf, "part").selectExpr("p_partkey % 7 as well_id",
+        "case p_partkey % 5 when 0 then concat('raw/CAST_', p_partkey, '.mat') when 1 then concat('raw/pose', p_partkey, '.mat') when 2 then 'raw/notes.txt' else concat('raw/XSILMR', lpad(cast(p_partkey % 13 + 1 as string), 2, '0'), '.mat') end as path"))
 
 
 @query("manifest_roles", f"SELECT well_id, role, count(*) AS n, count(DISTINCT receiver) AS n_receivers FROM ({CLASSED}) GROUP BY ALL")
@@ -44,45 +46,65 @@ def manifest_roles(spark, sf):
     return C.role_counts(manifest(spark, sf))
 
 
-@query("manifest_missing", f"WITH c AS (SELECT well_id, role, count(DISTINCT receiver) AS n FROM ({CLASSED}) GROUP BY ALL) SELECT w.well_id, r.role, 'missing' AS problem FROM (SELECT DISTINCT well_id FROM c) w, (VALUES ('xsi'), ('cast'), ('pose'), ('report')) r(role) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.well_id = w.well_id AND c.role = r.role) UNION ALL SELECT well_id, role, 'receivers' FROM c WHERE role = 'xsi' AND n <> 12")
+@query("manifest_missing", f"""WITH c AS (SELECT well_id, role, count(DISTINCT receiver) AS n FROM ({CLASSED}) GROUP BY ALL) SELECT w.well_id, r.role,
+  'missing' AS problem FROM (SELECT DISTINCT well_id FROM c) w, (VALUES ('xsi'), ('cast'), ('pose'), ('report')) r(role) WHERE NOT EXISTS (SELECT 1 FROM c
+  WHERE c.well_id = w.well_id AND c.role = r.role) UNION ALL SELECT well_id, role, 'receivers' FROM c WHERE role = 'xsi' AND n <> 12""")
 def manifest_missing(spark, sf):
     return C.missing_roles(C.role_counts(manifest(spark, sf)), ["xsi", "cast", "pose", "report"], 12)
 
 
 #: Names that reach every rule: words of each kind, alone, inside others, and with shapes that decide.
 FIELD_NAMES = (
-    "log.RelBearing", "log.Depth", "log.Zc", "log.INCL", "log.time_ms", "log.waveform", "log.x", "log.zc_raw", "log.MD", "log.TVD", "axis.Azimuth", "axis.azi", "tool.relative_bearing", "tool.Inclination",
+    "log.RelBearing", "log.Depth", "log.Zc", "log.INCL", "log.time_ms", "log.waveform", "log.x", "log.zc_raw", "log.MD", "log.TVD", "axis.Azimuth", "axis.azi",
+    "tool.relative_bearing", "tool.Inclination",
     "log.Acoustic Impedance", "cast_image", "XSILMR07", "raw.data", "log.wave", "raw.time_axis", "log.T", "log.DEPTH_INC", "WVFSideA", "log.xsi", "log.timer_value", "log.TAD",
 )
 #: A role, a shape and a type for each row of part, apart from the name.
 FIELD_SHAPES = ("[100, 180]", "[100, 3]", "[13, 8, 1024]", "[1, 1]", "[100]")
-FIELD = f"""f AS (SELECT p_partkey % 7 AS well_id, ['cast', 'pose', 'xsi'][(1 + p_partkey % 3)::INT] AS role, [{', '.join(map(repr, FIELD_NAMES))}][(1 + p_partkey % {len(FIELD_NAMES)})::INT] || CASE WHEN p_partkey % 11 = 0 THEN p_partkey::VARCHAR ELSE '' END AS field_path,
-    [{', '.join(FIELD_SHAPES)}][(1 + (p_partkey // 3) % {len(FIELD_SHAPES)})::INT] AS shape, CASE WHEN p_partkey % 13 = 0 THEN 'struct' ELSE 'double' END AS dtype FROM part)"""
+FIELD = f"""f AS (SELECT p_partkey % 7 AS well_id, ['cast', 'pose', 'xsi'][(1 + p_partkey % 3)::INT] AS role, [{', '.join(map(repr, FIELD_NAMES))}][(1 +
+  p_partkey % {len(FIELD_NAMES)})::INT] || CASE WHEN p_partkey % 11 = 0 THEN p_partkey::VARCHAR ELSE '' END AS field_path,
+    [{', '.join(FIELD_SHAPES)}][(1 + (p_partkey // 3) % {len(FIELD_SHAPES)})::INT] AS shape, CASE WHEN p_partkey % 13 = 0 THEN 'struct' ELSE 'double' END AS
+  dtype FROM part)"""
 #: The rules of hints and scores, as SQL: n is the last part of a path in letters and digits, hint what it holds.
 HINTS = """l AS (SELECT *, regexp_replace(lower(regexp_extract(field_path, '([^.]*)$', 1)), '[^a-z0-9]+', '', 'g') AS n, len(shape) AS rank FROM f),
-  h AS (SELECT *, coalesce(CASE WHEN contains(n, 'azimuth') OR n IN ('azi', 'azim') THEN 'azimuth' WHEN n IN ('time', 't', 'timems', 'tad') THEN 'time' WHEN contains(n, 'depth') OR n IN ('md', 'tvd') THEN 'depth'
-    WHEN prefix(n, 'xsilmr') AND shape = [1, 1] THEN NULL WHEN contains(n, 'relbearing') OR contains(n, 'relativebearing') THEN 'relbearing' WHEN n IN ('inc', 'incl') OR contains(n, 'inclination') THEN 'inclination'
+  h AS (SELECT *, coalesce(CASE WHEN contains(n, 'azimuth') OR n IN ('azi', 'azim') THEN 'azimuth' WHEN n IN ('time', 't', 'timems', 'tad') THEN 'time' WHEN
+  contains(n, 'depth') OR n IN ('md', 'tvd') THEN 'depth'
+    WHEN prefix(n, 'xsilmr') AND shape = [1, 1] THEN NULL WHEN contains(n, 'relbearing') OR contains(n, 'relativebearing') THEN 'relbearing' WHEN n IN ('inc',
+  'incl') OR contains(n, 'inclination') THEN 'inclination'
     WHEN suffix(n, 'zc') OR contains(n, 'impedance') OR contains(n, 'cast') AND list_contains(shape, 180) THEN 'zc'
     WHEN regexp_matches(n, 'wave|xsi') OR rank >= 2 AND (list_contains(shape, 1024) OR list_contains(shape, 8) AND list_contains(shape, 13)) THEN 'waveform'
     WHEN contains(n, 'zc') THEN 'zc' WHEN n = 'data' THEN 'waveform' END, '') AS hint FROM l),
-  s AS (SELECT h.*, target, least(0.99, 0.45 + CASE WHEN hint = kind THEN 0.32 ELSE 0 END + CASE WHEN dtype IN ('float', 'double', 'int') THEN 0.04 ELSE 0 END + CASE
-      WHEN kind = 'zc' AND list_contains(shape, 180) THEN 0.12 WHEN kind = 'depth' AND n IN ('depth', 'md', 'depthinc') THEN 0.12 WHEN kind = 'inclination' AND n IN ('inc', 'incl', 'inclination') THEN 0.15
-      WHEN kind = 'relbearing' AND contains(n, 'relbearing') THEN 0.15 WHEN kind = 'waveform' AND regexp_matches(field_path, 'Side[A-H]$') THEN 0.10 WHEN kind = 'time' AND n IN ('time', 't', 'tad', 'timems') THEN 0.08 ELSE 0 END) AS confidence
-    FROM h JOIN (VALUES ('cast.zc', 'cast', 'zc'), ('cast.depth', 'cast', 'depth'), ('pose.depth', 'pose', 'depth'), ('pose.inclination', 'pose', 'inclination'), ('pose.relbearing', 'pose', 'relbearing'),
-      ('xsi.waveform', 'xsi', 'waveform'), ('xsi.depth', 'xsi', 'depth'), ('xsi.time', 'xsi', 'time')) t(target, file, kind) ON role = file AND (hint = kind OR CASE kind
-        WHEN 'zc' THEN suffix(n, 'zc') OR contains(n, 'impedance') OR contains(n, 'zc') AND rank >= 2 WHEN 'depth' THEN n IN ('md', 'tvd', 'depthinc') OR suffix(n, 'depth')
-        WHEN 'inclination' THEN n IN ('inc', 'incl') OR contains(n, 'inclination') WHEN 'relbearing' THEN contains(n, 'relbearing') OR contains(n, 'relativebearing')
-        WHEN 'waveform' THEN n = 'data' OR contains(n, 'waveform') OR contains(n, 'wave') AND rank >= 2 ELSE n IN ('time', 't', 'tad', 'timeaxis', 'timems') OR contains(n, 'time') AND rank <= 2 END))"""
+  s AS (SELECT h.*, target, least(0.99, 0.45 + CASE WHEN hint = kind THEN 0.32 ELSE 0 END + CASE WHEN dtype IN ('float', 'double', 'int') THEN 0.04 ELSE 0 END
+  + CASE
+      WHEN kind = 'zc' AND list_contains(shape, 180) THEN 0.12 WHEN kind = 'depth' AND n IN ('depth', 'md', 'depthinc') THEN 0.12 WHEN kind = 'inclination' AND
+  n IN ('inc', 'incl', 'inclination') THEN 0.15
+      WHEN kind = 'relbearing' AND contains(n, 'relbearing') THEN 0.15 WHEN kind = 'waveform' AND regexp_matches(field_path, 'Side[A-H]$') THEN 0.10 WHEN kind
+  = 'time' AND n IN ('time', 't', 'tad', 'timems') THEN 0.08 ELSE 0 END) AS confidence
+    FROM h JOIN (VALUES ('cast.zc', 'cast', 'zc'), ('cast.depth', 'cast', 'depth'), ('pose.depth', 'pose', 'depth'), ('pose.inclination', 'pose',
+  'inclination'), ('pose.relbearing', 'pose', 'relbearing'),
+      ('xsi.waveform', 'xsi', 'waveform'), ('xsi.depth', 'xsi', 'depth'), ('xsi.time', 'xsi', 'time')) t(target, file, kind) ON role = file AND (hint = kind OR
+  CASE kind
+        WHEN 'zc' THEN suffix(n, 'zc') OR contains(n, 'impedance') OR contains(n, 'zc') AND rank >= 2 WHEN 'depth' THEN n IN ('md', 'tvd', 'depthinc') OR
+  suffix(n, 'depth')
+        WHEN 'inclination' THEN n IN ('inc', 'incl') OR contains(n, 'inclination') WHEN 'relbearing' THEN contains(n, 'relbearing') OR contains(n,
+  'relativebearing')
+        WHEN 'waveform' THEN n = 'data' OR contains(n, 'waveform') OR contains(n, 'wave') AND rank >= 2 ELSE n IN ('time', 't', 'tad', 'timeaxis', 'timems') OR
+  contains(n, 'time') AND rank <= 2 END))"""
 
 
 @query("field_scores", f"""WITH {FIELD}, {HINTS},
-  g AS (SELECT well_id, regexp_extract(field_path, '^(.+Side)([A-H])$', 1) AS prefix, shape, sum(confidence) AS total, least(0.99, max(confidence) + 0.04) AS sure FROM s
-    WHERE target = 'xsi.waveform' AND regexp_extract(field_path, '^(.+Side)([A-H])$', 2) <> '' GROUP BY ALL HAVING count(DISTINCT regexp_extract(field_path, '^(.+Side)([A-H])$', 2)) = 8),
+  g AS (SELECT well_id, regexp_extract(field_path, '^(.+Side)([A-H])$', 1) AS prefix, shape, sum(confidence) AS total, least(0.99, max(confidence) + 0.04) AS
+  sure FROM s
+    WHERE target = 'xsi.waveform' AND regexp_extract(field_path, '^(.+Side)([A-H])$', 2) <> '' GROUP BY ALL HAVING count(DISTINCT regexp_extract(field_path,
+  '^(.+Side)([A-H])$', 2)) = 8),
   gb AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY well_id ORDER BY total DESC, prefix) = 1),
   b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY well_id, target ORDER BY confidence DESC, field_path) = 1)
-  SELECT w.well_id, t.target, CASE WHEN t.target = 'xsi.waveform' AND gb.prefix IS NOT NULL THEN gb.prefix || '{{A-H}}' WHEN confidence >= least THEN field_path ELSE 'TODO_CONFIRM' END AS field_path,
-    CASE WHEN t.target = 'xsi.waveform' AND gb.prefix IS NOT NULL THEN round(sure, 6) WHEN confidence >= least THEN round(confidence, 6) ELSE 0 END::DOUBLE AS confidence
-  FROM (SELECT DISTINCT well_id FROM f) w CROSS JOIN (SELECT unnest(['cast.zc', 'cast.depth', 'pose.depth', 'pose.inclination', 'pose.relbearing', 'xsi.waveform', 'xsi.depth', 'xsi.time']) AS target) t0
+  SELECT w.well_id, t.target, CASE WHEN t.target = 'xsi.waveform' AND gb.prefix IS NOT NULL THEN gb.prefix || '{{A-H}}' WHEN confidence >= least THEN
+  field_path ELSE 'TODO_CONFIRM' END AS field_path,
+    CASE WHEN t.target = 'xsi.waveform' AND gb.prefix IS NOT NULL THEN round(sure, 6) WHEN confidence >= least THEN round(confidence, 6) ELSE 0 END::DOUBLE AS
+  confidence
+  FROM (SELECT DISTINCT well_id FROM f) w CROSS JOIN (SELECT unnest(['cast.zc', 'cast.depth', 'pose.depth', 'pose.inclination', 'pose.relbearing',
+  'xsi.waveform', 'xsi.depth', 'xsi.time']) AS target) t0
   CROSS JOIN LATERAL (SELECT t0.target AS target, CASE t0.target WHEN 'xsi.waveform' THEN 0.72 ELSE 0.7 END AS least) t
   LEFT JOIN b ON b.well_id = w.well_id AND b.target = t.target LEFT JOIN gb ON gb.well_id = w.well_id""")
 def field_scores(spark, sf):
@@ -117,10 +139,14 @@ def field_choice(spark, sf):
     SELECT *, {'well_id': well_id, 'depth_idx': depth_idx, 'az_idx': az_idx, 'convention': convention} AS k FROM labels
   ), x AS (
     SELECT unnest([
-      {'rule': 'presence_code', 'level': 'error', 'n': count_if(presence NOT IN (-1, 0, 1))}, {'rule': 'severity_code', 'level': 'error', 'n': count_if(severity NOT IN (-1, 0, 1, 2, 3))},
-      {'rule': 'confidence_range', 'level': 'error', 'n': count_if(isfinite(confidence) AND (confidence < 0 OR confidence > 1))}, {'rule': 'confidence_not_finite', 'level': 'warning', 'n': count_if(confidence IS NULL OR NOT isfinite(confidence))},
-      {'rule': 'shape_of_severity', 'level': 'error', 'n': count_if((presence IS NULL) <> (severity IS NULL))}, {'rule': 'shape_of_confidence', 'level': 'error', 'n': count_if((presence IS NULL) <> (confidence IS NULL))},
-      {'rule': 'convention', 'level': 'error', 'n': count_if(convention NOT IN ('plus', 'minus') OR convention IS NULL)}, {'rule': 'uncertain', 'level': 'warning', 'n': count_if(presence = -1)}
+      {'rule': 'presence_code', 'level': 'error', 'n': count_if(presence NOT IN (-1, 0, 1))}, {'rule': 'severity_code', 'level': 'error', 'n':
+  count_if(severity NOT IN (-1, 0, 1, 2, 3))},
+      {'rule': 'confidence_range', 'level': 'error', 'n': count_if(isfinite(confidence) AND (confidence < 0 OR confidence > 1))}, {'rule':
+  'confidence_not_finite', 'level': 'warning', 'n': count_if(confidence IS NULL OR NOT isfinite(confidence))},
+      {'rule': 'shape_of_severity', 'level': 'error', 'n': count_if((presence IS NULL) <> (severity IS NULL))}, {'rule': 'shape_of_confidence', 'level':
+  'error', 'n': count_if((presence IS NULL) <> (confidence IS NULL))},
+      {'rule': 'convention', 'level': 'error', 'n': count_if(convention NOT IN ('plus', 'minus') OR convention IS NULL)}, {'rule': 'uncertain', 'level':
+  'warning', 'n': count_if(presence = -1)}
     ]) AS x FROM r
   ) SELECT x.rule, x.level, x.n FROM x""", "labels")
 def label_code_errors(spark, sf):
@@ -129,27 +155,33 @@ def label_code_errors(spark, sf):
     return K.checked(P.labels(spark, sf), rules, ["well_id", "depth_idx", "az_idx", "convention"]).select("rule", "level", "n")
 
 
-@query("colour_limits", "SELECT well_id, round(quantile_cont(zc, 0.01), 6) AS low, round(CASE WHEN quantile_cont(zc, 0.99) > quantile_cont(zc, 0.01) THEN quantile_cont(zc, 0.99) ELSE quantile_cont(zc, 0.01) + 1 END, 6) AS high FROM cells GROUP BY well_id", "cells")
+@query("colour_limits", """SELECT well_id, round(quantile_cont(zc, 0.01), 6) AS low, round(CASE WHEN quantile_cont(zc, 0.99) > quantile_cont(zc, 0.01) THEN
+  quantile_cont(zc, 0.99) ELSE quantile_cont(zc, 0.01) + 1 END, 6) AS high FROM cells GROUP BY well_id""", "cells")
 def colour_limits(spark, sf):
     return V.limits(D.full_image(spark, sf), ["well_id"], "zc").select("well_id", six(F.col("low")).alias("low"), six(F.col("high")).alias("high"))
 
 
-@query("weight_histogram", "SELECT presence_plus, CASE WHEN a = b THEN 0 ELSE least(floor((mismatch - a) / (b - a) * 40), 39)::INT END AS bin, count(*) AS n FROM table6, (SELECT min(mismatch) AS a, max(mismatch) AS b FROM table6) GROUP BY ALL", "table6")
+@query("weight_histogram", """SELECT presence_plus, CASE WHEN a = b THEN 0 ELSE least(floor((mismatch - a) / (b - a) * 40), 39)::INT END AS bin, count(*) AS n
+  FROM table6, (SELECT min(mismatch) AS a, max(mismatch) AS b FROM table6) GROUP BY ALL""", "table6")
 def weight_histogram(spark, sf):
     return V.histogram(P.table6(spark, sf), ["presence_plus"], "mismatch", 40)
 
 
-@query("severity_boxes", "SELECT severity_plus, count(rms) AS n, round(quantile_cont(rms, 0.25), 5) AS q25, round(quantile_cont(rms, 0.5), 5) AS q50, round(quantile_cont(rms, 0.75), 5) AS q75 FROM table6 WHERE severity_plus >= 0 GROUP BY severity_plus", "table6")
+@query("severity_boxes", """SELECT severity_plus, count(rms) AS n, round(quantile_cont(rms, 0.25), 5) AS q25, round(quantile_cont(rms, 0.5), 5) AS q50,
+  round(quantile_cont(rms, 0.75), 5) AS q75 FROM table6 WHERE severity_plus >= 0 GROUP BY severity_plus""", "table6")
 def severity_boxes(spark, sf):
     return V.boxes(P.table6(spark, sf).filter("severity_plus >= 0"), ["severity_plus"], "rms").select("severity_plus", "n", *(F.round(c, 5).alias(c) for c in ("q25", "q50", "q75")))
 
 
-@query("uncertain_runs", "SELECT well_id, min(depth) - 0.25 AS low, max(depth) + 0.25 AS high, count(*) AS n FROM (SELECT *, r - row_number() OVER (PARTITION BY well_id ORDER BY depth_idx) AS i FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY depth_idx) AS r FROM posed) WHERE inc_deg IS NULL OR inc_deg <= 1) GROUP BY well_id, i", "posed")
+@query("uncertain_runs", """SELECT well_id, min(depth) - 0.25 AS low, max(depth) + 0.25 AS high, count(*) AS n FROM (SELECT *, r - row_number() OVER (PARTITION
+  BY well_id ORDER BY depth_idx) AS i FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY depth_idx) AS r FROM posed) WHERE inc_deg IS NULL OR
+  inc_deg <= 1) GROUP BY well_id, i""", "posed")
 def uncertain_runs(spark, sf):
     return V.runs(posed_depths(spark, sf), ["well_id"], F.col("inc_deg").isNull() | (F.col("inc_deg") <= 1), pad=0.25)
 
 
-@query("thinned_depths", "SELECT well_id, depth_idx FROM (SELECT well_id, depth_idx, row_number() OVER (PARTITION BY well_id ORDER BY depth_idx) - 1 AS r, count(*) OVER (PARTITION BY well_id) AS n FROM posed) p WHERE n <= 50 OR EXISTS (SELECT 1 FROM range(50) t(i) WHERE floor(i * (p.n - 1) / 49.0) = p.r)", "posed")
+@query("thinned_depths", """SELECT well_id, depth_idx FROM (SELECT well_id, depth_idx, row_number() OVER (PARTITION BY well_id ORDER BY depth_idx) - 1 AS r,
+  count(*) OVER (PARTITION BY well_id) AS n FROM posed) p WHERE n <= 50 OR EXISTS (SELECT 1 FROM range(50) t(i) WHERE floor(i * (p.n - 1) / 49.0) = p.r)""", "posed")
 def thinned_depths(spark, sf):
     return V.thinned(posed_depths(spark, sf), ["well_id"], "depth_idx", 50).select("well_id", "depth_idx")
 
@@ -157,7 +189,10 @@ def thinned_depths(spark, sf):
 GATE = [("valid_share", "at_least", 0.70, "block"), ("disagreement", "below", 0.20, "warn"), ("coverage", "at_most", 0.80, "block")]
 
 
-@query("label_gate", "SELECT well_id, CASE WHEN valid_share < 0.7 OR coverage > 0.8 THEN 'no_go' WHEN disagreement >= 0.2 THEN 'conditional_go' ELSE 'go' END AS decision FROM (SELECT well_id, avg(baseline_valid::INT) AS valid_share, count_if(presence = 1) / count_if(presence >= 0) AS coverage FROM ruled GROUP BY well_id) JOIN (SELECT well_id, avg((p <> m)::INT) AS disagreement FROM (SELECT well_id, depth_idx, az_rot, max(CASE WHEN convention = 'plus' THEN presence END) AS p, max(CASE WHEN convention = 'minus' THEN presence END) AS m FROM labels GROUP BY ALL) WHERE p >= 0 AND m >= 0 GROUP BY well_id) USING (well_id)", "ruled", "labels")
+@query("label_gate", """SELECT well_id, CASE WHEN valid_share < 0.7 OR coverage > 0.8 THEN 'no_go' WHEN disagreement >= 0.2 THEN 'conditional_go' ELSE 'go' END
+  AS decision FROM (SELECT well_id, avg(baseline_valid::INT) AS valid_share, count_if(presence = 1) / count_if(presence >= 0) AS coverage FROM ruled GROUP BY
+  well_id) JOIN (SELECT well_id, avg((p <> m)::INT) AS disagreement FROM (SELECT well_id, depth_idx, az_rot, max(CASE WHEN convention = 'plus' THEN presence
+  END) AS p, max(CASE WHEN convention = 'minus' THEN presence END) AS m FROM labels GROUP BY ALL) WHERE p >= 0 AND m >= 0 GROUP BY well_id) USING (well_id)""", "ruled", "labels")
 def label_gate(spark, sf):
     rows = stored(P.labels(spark, sf).select("well_id", "depth_idx", "az_rot", "convention", "presence", "baseline_valid"), "labels")
     own = rows.filter("convention = 'plus'")
@@ -169,25 +204,30 @@ def label_gate(spark, sf):
 
 @query("sample_gate", """+ n AS (SELECT avg((isfinite(s))::INT) AS finite FROM scaled),
   g AS (
-    SELECT well_id, least(count_if(azimuthal AND presence_plus = 1), count_if(azimuthal AND presence_plus = 0)) AS least_class, avg((weight > 0)::INT) AS positive_share, avg(large_error::INT) AS error_share,
+    SELECT well_id, least(count_if(azimuthal AND presence_plus = 1), count_if(azimuthal AND presence_plus = 0)) AS least_class, avg((weight > 0)::INT) AS
+  positive_share, avg(large_error::INT) AS error_share,
       count_if(weight IS NULL OR weight < 0 OR weight > 1) AS bad_weights FROM table6 GROUP BY well_id
   ) SELECT well_id, least_class, round(positive_share, 6) AS positive_share, round(error_share, 6) AS error_share,
-    CASE WHEN least_class < 20 OR positive_share < 0.05 OR error_share > 0.2 OR bad_weights > 0 OR 1 - finite > 0.01 THEN 'no_go' ELSE 'go' END AS decision FROM g, n""", "table6", "scaled")
+    CASE WHEN least_class < 20 OR positive_share < 0.05 OR error_share > 0.2 OR bad_weights > 0 OR 1 - finite > 0.01 THEN 'no_go' ELSE 'go' END AS decision
+  FROM g, n""", "table6", "scaled")
 def sample_gate(spark, sf):
     """Sure samples of each class, weights, depth errors and finite transformed features, by well."""
     names = ["rms", "peak_abs", "late_ratio"]
     rows = stored(E.transformed(P.table6(spark, sf), names), "sample-gate")
     p, sure, w = F.col("presence_plus"), F.col("azimuthal"), F.col("weight")
     sums = rows.groupBy("well_id").agg(
-        F.least(F.count_if(sure & (p == 1)), F.count_if(sure & (p == 0))).cast("double").alias("least_class"), F.avg((w > 0).cast("int")).alias("positive_share"), F.avg(F.col("large_error").cast("int")).alias("error_share"),
+        F.least(F.count_if(sure & (p == 1)), F.count_if(sure & (p == 0))).cast("double").alias("least_class"),
+        F.avg((w > 0).cast("int")).alias("positive_share"), F.avg(F.col("large_error").cast("int")).alias("error_share"),
         F.count_if(w.isNull() | F.isnan(w) | (w < 0) | (w > 1)).cast("double").alias("bad_weights"),
     )
     finite = sum((F.col(f"scaled_{f}").isNotNull() & ~F.isnan(f"scaled_{f}")).cast("int") for f in names) / len(names)
     odd = rows.agg((1 - F.avg(finite)).alias("not_finite"))
     metrics = sums.crossJoin(F.broadcast(odd)).unpivot("well_id", ["least_class", "positive_share", "error_share", "bad_weights", "not_finite"], "metric", "value")
-    rules = [("least_class", "at_least", 20.0, "block"), ("positive_share", "at_least", 0.05, "block"), ("error_share", "at_most", 0.20, "block"), ("bad_weights", "at_most", 0.0, "block"), ("not_finite", "at_most", 0.01, "block")]
+    rules = [("least_class", "at_least", 20.0, "block"), ("positive_share", "at_least", 0.05, "block"), ("error_share", "at_most", 0.20, "block"),
+        ("bad_weights", "at_most", 0.0, "block"), ("not_finite", "at_most", 0.01, "block")]
     done = V.decided(metrics, rules).select("well_id", "decision").join(sums, "well_id")
-    return done.select("well_id", F.col("least_class").cast("long").alias("least_class"), six(F.col("positive_share")).alias("positive_share"), six(F.col("error_share")).alias("error_share"), "decision")
+    return done.select("well_id", F.col("least_class").cast("long").alias("least_class"), six(F.col("positive_share")).alias("positive_share"),
+        six(F.col("error_share")).alias("error_share"), "decision")
 
 
 @query("alignment_gate", f"SELECT well_id, CASE WHEN block IS NULL THEN 'conditional_go' ELSE 'no_go' END AS decision FROM ({SERIES_SQL['axis_overlap']})")

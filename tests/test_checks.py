@@ -13,7 +13,8 @@ from borelake.operators import publish as P
 
 
 def test_label_rules(spark):
-    rows = [(1, 1, 2, 0.5, "plus", True), (2, 5, 2, 0.5, "plus", True), (3, 0, None, 0.5, "minus", True), (4, 1, 1, 1.5, "other", True), (5, -1, -1, float("nan"), "plus", None), (6, 0, 9, None, None, False)]
+    rows = [(1, 1, 2, 0.5, "plus", True), (2, 5, 2, 0.5, "plus", True), (3, 0, None, 0.5, "minus", True), (4, 1, 1, 1.5, "other", True), (5, -1, -1,
+        float("nan"), "plus", None), (6, 0, 9, None, None, False)]
     df = spark.createDataFrame(rows, "k int, presence int, severity int, confidence double, convention string, no_final_labels boolean")
     rules = K.label_rules(final="no_final_labels")
     got = {r["rule"]: (r["n"], r["level"], r["key"] and json.loads(r["key"])["k"]) for r in K.checked(df, rules, ["k"]).collect()}
@@ -33,9 +34,11 @@ def test_contract(spark):
     axes = {"side": spark.range(2), "time": spark.range(4), "sector": spark.range(3), "depth": spark.range(5)}
     said = lambda *a: {tuple(r) for r in K.contract_issues(spark, *a).collect()}
     assert said({"waveforms": waves, "image": image}, axes) == {("waveforms", "warning", "depths")}
-    assert said({"waveforms": waves, "image": image.filter("az_idx < 2")}, axes | {"time": spark.range(9), "side": spark.range(8)}) == {("waveforms", "error", "sides"), ("waveforms", "error", "samples"), ("waveforms", "warning", "depths"), ("image", "error", "sectors")}
+    assert said({"waveforms": waves, "image": image.filter("az_idx < 2")}, axes | {"time": spark.range(9), "side": spark.range(8)}) == {("waveforms", "error",
+        "sides"), ("waveforms", "error", "samples"), ("waveforms", "warning", "depths"), ("image", "error", "sectors")}
     flat = waves.withColumn("samples", F.lit(1.0))
-    assert said({"waveforms": flat.drop("side")}, {k: v for k, v in axes.items() if k != "time"}) == {("waveforms", "error", "missing_column:side"), ("waveforms", "error", "rank:samples"), ("image", "error", "missing_table"), ("axis", "error", "missing_axis:time")}
+    assert said({"waveforms": flat.drop("side")}, {k: v for k, v in axes.items() if k != "time"}) == {("waveforms", "error", "missing_column:side"),
+        ("waveforms", "error", "rank:samples"), ("image", "error", "missing_table"), ("axis", "error", "missing_axis:time")}
 
 
 def test_decision(spark):
@@ -48,7 +51,8 @@ def test_decision(spark):
 
 def test_interval_joins(spark):
     rng = random.Random(5)
-    spans = [(k, rng.randrange(2), a, a + w) for k in range(60) for a, w in [(rng.randrange(-50, 50) / 2, rng.choice([0.0, 0.5, 3.0, 40.0]))]] + [(97, 0, None, 3.0), (98, 0, 5.0, float("inf")), (99, 1, 4.0, 1.0)]
+    spans = [(k, rng.randrange(2), a, a + w) for k in range(60) for a, w in [(rng.randrange(-50, 50) / 2, rng.choice([0.0, 0.5, 3.0, 40.0]))]] + [(97, 0, None,
+        3.0), (98, 0, 5.0, float("inf")), (99, 1, 4.0, 1.0)]
     points = [(k, rng.randrange(2), rng.randrange(-60, 120) / 2) for k in range(300)] + [(999, 0, None)]
     s = spark.createDataFrame(spans, "s int, w int, low double, high double")
     p = spark.createDataFrame(points, "p int, w int, depth double")
@@ -77,7 +81,8 @@ def test_excluded_windows(spark):
 def test_sliding_windows_count_rows(spark):
     """Missing depths don't shrink a window, and the last one ends with the last row."""
     depths = [0, 1, 2, 10, 11, 12, 50, 51, 52, 53]
-    rows = spark.createDataFrame([(0, d, float(k), 1.0, 1.0, 0.9, 0.0) for k, d in enumerate(depths)], "well_id int, depth_idx int, depth double, image_range double, side_range double, orientation double, rb_deg double")
+    rows = spark.createDataFrame([(0, d, float(k), 1.0, 1.0, 0.9, 0.0) for k, d in enumerate(depths)],
+        "well_id int, depth_idx int, depth double, image_range double, side_range double, orientation double, rb_deg double")
     got = {r["window"]: (r["n"], r["first"], r["last"]) for r in R.sliding_windows(rows, 4, 3).collect()}
     assert got == {0: (4, 0, 10), 3: (4, 10, 50), 6: (4, 50, 53)}
     short = {r["window"]: r["n"] for r in R.sliding_windows(rows, 20, 3).collect()}

@@ -20,7 +20,8 @@ def one(spark, *cols):
 
 
 def test_angles(spark):
-    r = one(spark, A.wrap(F.lit(-1.0)), A.wrap(F.lit(360.0)), A.distance(F.lit(350.0), F.lit(10.0)), A.delta(F.lit(350.0), F.lit(10.0)), A.orientation_confidence(F.lit(3.0)), A.rotated(F.lit(1), F.lit(105.0), "plus", 12), A.rotated(F.lit(1), F.lit(None).cast("double"), "minus", 12))
+    r = one(spark, A.wrap(F.lit(-1.0)), A.wrap(F.lit(360.0)), A.distance(F.lit(350.0), F.lit(10.0)), A.delta(F.lit(350.0), F.lit(10.0)),
+        A.orientation_confidence(F.lit(3.0)), A.rotated(F.lit(1), F.lit(105.0), "plus", 12), A.rotated(F.lit(1), F.lit(None).cast("double"), "minus", 12))
     assert list(r) == [359, 0, 20, -20, 0.5, 5, 1]
     df = spark.createDataFrame([(350.0, 1.0), (10.0, 1.0), (None, 5.0)], "a double, w double")
     mean = df.agg(A.circular_mean(F.col("a"))).first()[0]
@@ -33,7 +34,8 @@ def axis(spark, depths, name="a"):
     return spark.createDataFrame([(0, name, k, d) for k, d in enumerate(depths)], "well_id int, series_id string, sample_idx int, depth double")
 
 
-@pytest.mark.parametrize(("depths", "direction"), [([100.0, 100.5, 101.0], "increasing"), ([100.0, 99.5, 100.5], "non_monotonic"), ([3.0, 2.0, 2.0], "nonincreasing"), ([1.0, None], "undetermined"), ([None, None], "undetermined"), ([float(k) for k in range(150)] + [148.5, 160.0], "mostly_increasing")])
+@pytest.mark.parametrize(("depths", "direction"), [([100.0, 100.5, 101.0], "increasing"), ([100.0, 99.5, 100.5], "non_monotonic"),
+    ([3.0, 2.0, 2.0], "nonincreasing"), ([1.0, None], "undetermined"), ([None, None], "undetermined"), ([float(k) for k in range(150)] + [148.5, 160.0], "mostly_increasing")])
 def test_axis_audit(spark, depths, direction):
     r = S.audit(axis(spark, depths), ["well_id", "series_id"]).first()
     assert r["direction"] == direction and r["n_missing"] == sum(d is None for d in depths)
@@ -56,7 +58,8 @@ def test_interpolation_edges(spark):
     source = spark.createDataFrame([(0, 0, 0.0, 0.0, 350.0), (0, 1, 1.0, 10.0, 10.0), (0, 2, 1.0, 99.0, 99.0), (0, 3, None, 5.0, 5.0)], "well_id int, sample_idx int, depth double, v double, a double")
     targets = spark.createDataFrame([(0, d) for d in (-1.0, 0.0, 0.5, 1.0, 2.0)] + [(1, 0.0)], "well_id int, depth double")
     rows = S.bracketed(S.prepared(source, ["well_id"]), targets, ["well_id"], ["v", "a", "sample_idx"])
-    got = rows.select("well_id", "depth", S.lerp("v").alias("n"), S.lerp("v", -1.0).alias("f"), S.lerp("v", "clamp").alias("c"), S.lerp("v", "clamp", empty=0.0).alias("e"), S.lerp_angle("a").alias("a"), S.lerp_angle_by_parts("a").alias("p"), S.nearest("sample_idx").alias("i")).orderBy("well_id", "depth").collect()
+    got = rows.select("well_id", "depth", S.lerp("v").alias("n"), S.lerp("v", -1.0).alias("f"), S.lerp("v", "clamp").alias("c"), S.lerp("v", "clamp",
+        empty=0.0).alias("e"), S.lerp_angle("a").alias("a"), S.lerp_angle_by_parts("a").alias("p"), S.nearest("sample_idx").alias("i")).orderBy("well_id", "depth").collect()
     assert [r["n"] for r in got] == [None, 0, 5, 10, None, None]
     assert [r["f"] for r in got] == [-1, 0, 5, 10, -1, -1]
     assert [r["c"] for r in got] == [0, 0, 5, 10, 10, None] and [r["e"] for r in got] == [0, 0, 5, 10, 10, 0]
@@ -65,7 +68,8 @@ def test_interpolation_edges(spark):
 
 
 def image(spark, columns, rows):
-    return spark.createDataFrame([(0, d, d * 1.0, a, columns[a][d] if a in columns else 10.0) for d in range(rows) for a in range(4)], "well_id long, depth_idx long, depth double, az_idx int, zc double")
+    return spark.createDataFrame([(0, d, d * 1.0, a, columns[a][d] if a in columns else 10.0) for d in range(rows) for a in range(4)],
+        "well_id long, depth_idx long, depth double, az_idx int, zc double")
 
 
 @pytest.mark.parametrize("block", [2, 3, 4096])
@@ -90,7 +94,9 @@ def test_rolling_window(half):
 
 
 def test_label_rules_and_confidence(spark):
-    rows = [(0, 0, 0.0, 0, 4.0, 10.0, 1.0, True, 0.4, 0.6, 8.0, 90.0), (0, 1, 1.0, 0, 9.0, 10.0, 1.0, True, 0.9, 0.1, 8.0, 90.0), (0, 2, 2.0, 0, None, 10.0, 1.0, False, None, None, 8.0, 90.0), (0, 3, 3.0, 0, 0.3, 10.0, 1.0, True, 0.03, 0.97, 8.0, 90.0), (0, 4, 4.0, 0, 4.0, 10.0, 1.0, True, 0.4, 0.6, 0.5, 90.0), (0, 5, 5.0, 0, 2.0, 2.5, 1.0, True, 0.8, 0.2, None, None)]
+    rows = [(0, 0, 0.0, 0, 4.0, 10.0, 1.0, True, 0.4, 0.6, 8.0, 90.0), (0, 1, 1.0, 0, 9.0, 10.0, 1.0, True, 0.9, 0.1, 8.0, 90.0), (0, 2, 2.0, 0, None, 10.0,
+        1.0, False, None, None, 8.0, 90.0), (0, 3, 3.0, 0, 0.3, 10.0, 1.0, True, 0.03, 0.97, 8.0, 90.0), (0, 4, 4.0, 0, 4.0, 10.0, 1.0, True, 0.4, 0.6, 0.5,
+            90.0), (0, 5, 5.0, 0, 2.0, 2.5, 1.0, True, 0.8, 0.2, None, None)]
     based = spark.createDataFrame(rows, "well_id long, depth_idx long, depth double, az_idx int, zc double, zc_base double, finite_fraction double, baseline_valid boolean, zc_ratio double, relative_drop double, inc_deg double, rb_deg double")
     got = L.with_confidence(L.ruled(based)).orderBy("depth_idx").collect()
     assert [r["presence"] for r in got] == [1, 0, -1, -1, 1, 1] and [r["severity"] for r in got] == [3, 0, -1, -1, 3, 1]
@@ -147,7 +153,8 @@ def test_tied_groups_of_sides(spark):
 
 
 def test_features(spark):
-    rows = spark.createDataFrame([(0, 0, r, 0, s) for r, s in ((1, [1.0, -1.0, 2.0, -2.0]), (2, [2.0] * 4), (3, [None, 100.0, float("nan"), 100.0]))], "well_id long, xsi_idx long, receiver int, side int, samples array<double>")
+    rows = spark.createDataFrame([(0, 0, r, 0, s) for r, s in ((1, [1.0, -1.0, 2.0, -2.0]), (2, [2.0] * 4), (3, [None, 100.0, float("nan"), 100.0]))],
+        "well_id long, xsi_idx long, receiver int, side int, samples array<double>")
     got = {r["receiver"]: r for r in E.basic_features(rows, (0.0, 0.5), (0.5, 1.0)).collect()}
     one_ = got[1]
     assert (one_["rms"], one_["peak_abs"], one_["mean_abs"], one_["early_energy"], one_["late_energy"], one_["late_ratio"]) == (math.sqrt(2.5), 2, 1.5, 1, 4, 4)
@@ -158,7 +165,8 @@ def test_features(spark):
 
 def test_association_and_weights(spark):
     rows = [(0, k, 0, int(k % 2), int(k % 2) * (1 + k % 3), 0.9, int(k % 2), 0.9, False, True, True, 10.0 if k % 2 else 1.0, 0.1 if k % 3 else 0.9) for k in range(40)]
-    samples = spark.createDataFrame(rows, "well_id long, xsi_idx long, side int, presence_plus int, severity_plus int, confidence_plus double, presence_minus int, confidence_minus double, disagreement boolean, azimuthal boolean, non_azimuthal boolean, v double, mismatch double")
+    samples = spark.createDataFrame(rows,
+        "well_id long, xsi_idx long, side int, presence_plus int, severity_plus int, confidence_plus double, presence_minus int, confidence_minus double, disagreement boolean, azimuthal boolean, non_azimuthal boolean, v double, mismatch double")
     r = E.association(samples, ["v"]).filter("subset = 'all_known'").first()
     assert (r["candidate_mean"], r["non_candidate_mean"], r["mean_difference"], r["difference_share"], r["effect"]) == (10, 1, 9, 9, None)
     assert r["spearman_presence"] == pytest.approx(1) and r["rising"]
@@ -217,7 +225,9 @@ def test_catalog(spark):
     assert got == {1: ([], ["unusual_receivers"]), 2: ([], ["no_cast", "no_pose", "unusual_receivers"]), None: (["no_well_id"], ["no_cast", "no_pose", "receivers"])}
     assert C.manifest_errors({"schema_version": 1, "created_at": "x"}, odd.limit(0)) == ["data_version", "no_wells"]
     assert {(r["role"], r["problem"]) for r in C.missing_roles(counts, ["xsi", "cast", "pose"], 13).collect()} == {("xsi", "receivers")}
-    fields = spark.createDataFrame([(1, 1, "xsi", f"WVFSide{c}", [10, 1024], "double") for c in "ABCDEFGH"] + [(1, 1, "xsi", "log.Depth", [10], "double"), (1, 2, "xsi", "log.Depth", [11], "double"), (1, None, "pose", "Tool.RelBearing", [9], "double"), (1, None, "cast", "odd", [9], "char")], "well_id long, receiver int, role string, field_path string, shape array<int>, dtype string")
+    fields = spark.createDataFrame([(1, 1, "xsi", f"WVFSide{c}", [10, 1024], "double") for c in "ABCDEFGH"] + [(1, 1, "xsi", "log.Depth", [10], "double"), (1,
+        2, "xsi", "log.Depth", [11], "double"), (1, None, "pose", "Tool.RelBearing", [9], "double"), (1, None, "cast", "odd", [9], "char")],
+            "well_id long, receiver int, role string, field_path string, shape array<int>, dtype string")
     best = {r["target"]: (r["field_path"], round(r["confidence"], 6)) for r in C.recommended(fields).collect()}
     assert best["xsi.depth"] == ("log.Depth", 0.93) and best["xsi.waveform"] == ("WVFSide{A-H}", 0.95)
     assert best["pose.relbearing"] == ("Tool.RelBearing", 0.96) and best["cast.zc"] == (C.TODO, 0) and len(best) == 8
@@ -276,7 +286,8 @@ def test_limits_and_contiguity(spark):
 
 def test_jumps_stay_inside_windows(spark):
     """A bearing that jumps across a window's edge only is no jump of the window; one sample has jump 0, no sample none."""
-    pose = spark.createDataFrame([(0, 0.0, 8.0, 0.0), (0, 1.0, 8.0, 10.0), (0, 2.5, 8.0, 170.0), (0, 3.5, 8.0, 180.0), (0, 4.5, 8.0, 180.0)], "well_id int, depth double, inc_deg double, rb_deg double")
+    pose = spark.createDataFrame([(0, 0.0, 8.0, 0.0), (0, 1.0, 8.0, 10.0), (0, 2.5, 8.0, 170.0), (0, 3.5, 8.0, 180.0), (0, 4.5, 8.0, 180.0)],
+        "well_id int, depth double, inc_deg double, rb_deg double")
     spans = spark.createDataFrame([(0, 0.0, 8.0)], "well_id int, start double, stop double")
     got = {r["window"]: r for r in R.windows(pose, spans, 2.0).collect()}
     assert [got[k]["jump_max"] for k in range(4)] == [10.0, 10.0, 0.0, None]

@@ -9,7 +9,10 @@ import pytest
 from borelake.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["label_coverage", "baseline_cells", "axis_audit_mixed", "axis_overlap", "interpolated", "nearest_match", "pose_on_image", "rotated_cells", "qc_image", "isolated_outliers", "threshold_grid", "label_samples", "association", "rank_correlation", "scaled_features", "bearing_windows", "hypothesis_totals", "attribute_votes", "manifest_missing", "label_gate", "field_scores", "intake_gate", "sliding_best", "sample_gate", "published_labels", "turned_energy", "sample_ranges", "transform_report", "axes_agree"]
+SOME = ["label_coverage", "baseline_cells", "axis_audit_mixed", "axis_overlap", "interpolated", "nearest_match", "pose_on_image", "rotated_cells", "qc_image",
+    "isolated_outliers", "threshold_grid", "label_samples", "association", "rank_correlation", "scaled_features", "bearing_windows", "hypothesis_totals",
+    "attribute_votes", "manifest_missing", "label_gate", "field_scores", "intake_gate", "sliding_best", "sample_gate", "published_labels", "turned_energy",
+    "sample_ranges", "transform_report", "axes_agree"]
 
 
 def plain(rows):
