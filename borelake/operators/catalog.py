@@ -117,6 +117,19 @@ def side_groups(fields: DataFrame) -> DataFrame:
     return rows.groupBy("well_id", "prefix", "shape").agg(F.countDistinct("letter").alias("n")).filter("n = 8").drop("n")
 
 
+def target_audit(fields: DataFrame) -> DataFrame:
+    """Per well and target: fields that can be it, and the problem: no_file of that role, no_candidate, or unknown_orientation of an image."""
+    rows = scored(fields).groupBy("well_id", "target").agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.count_if(orientation(F.col("shape")) == "unknown").alias("_unknown"),
+    )
+    asked = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(role).alias("role")) for t, (role, _) in TARGETS.items()))
+    wells = fields.groupBy("well_id").agg(F.collect_set("role").alias("_roles"))  # of three roles
+    every = wells.withColumn("_t", F.explode(asked)).select("well_id", "_roles", "_t.*").join(rows, ["well_id", "target"], "left")
+    n = F.coalesce("n_candidates", F.lit(0))
+    problem = F.when(~F.array_contains("_roles", F.col("role")), "no_file").when(n == 0, "no_candidate").when((F.col("target") == "cast.zc") & (F.col("_unknown") > 0), "unknown_orientation")
+    return every.select("well_id", "target", n.alias("n_candidates"), problem.alias("problem"))
+
+
 def field_audit(fields: DataFrame, receivers: int) -> DataFrame:
     """Per well: receivers without fields, and names that differ or vary in shape between receivers."""
     by = fields.groupBy("well_id", "receiver").agg(F.array_sort(F.collect_set("field_path")).alias("names"))

@@ -55,8 +55,12 @@ def side_labels(labels: DataFrame, side_of: DataFrame) -> DataFrame:
         "confidence": F.coalesce(F.when(one, F.col("_sure")).otherwise(F.col("_any")), F.lit(0.0))}).drop("_worst", "_sure", "_any")
 
 
-def label_samples(sides: DataFrame, image_depths: DataFrame, axis: DataFrame, pose_confidence: DataFrame, least: float = 0.5) -> DataFrame:
-    """Per sonic depth and side: plus and minus labels of the nearest image depth, mismatch, orientation and validity flags."""
+def label_samples(sides: DataFrame, image_depths: DataFrame, axis: DataFrame, pose_confidence: DataFrame, least: float = 0.5,
+    sure_of_none: bool = False, any_known: bool = True) -> DataFrame:
+    """Per sonic depth and side: plus and minus labels of the nearest image depth, mismatch, orientation and validity flags.
+
+    ``sure_of_none``: labels of no candidate need the confidence ``least`` too. ``any_known``: without it, only what is azimuthal counts for the rest.
+    """
     matched = bracketed(image_depths, axis, ["well_id"], ["depth_idx"])
     at = nearest("depth_idx")
     there = F.when(at == F.col("before.depth_idx"), F.col("before.depth")).otherwise(F.col("after.depth"))
@@ -66,8 +70,10 @@ def label_samples(sides: DataFrame, image_depths: DataFrame, axis: DataFrame, po
     wide = sides.groupBy("well_id", "depth_idx", "side").agg(*(pick(c, v) for v in ("plus", "minus") for c in ("presence", "severity", "confidence")))
     rows = matched.join(orient, ["well_id", "xsi_idx"]).join(wide, ["well_id", "depth_idx"])
     known = F.col("presence_plus") >= 0
-    sure = (F.col("presence_plus") == 0) | (F.col("confidence_plus") >= least)
-    return rows.withColumns({"disagreement": F.col("presence_plus") != F.col("presence_minus"), "azimuthal": known & (F.col("orientation") >= least) & sure, "non_azimuthal": known})
+    sure = F.col("confidence_plus") >= least
+    sure = sure if sure_of_none else sure | (F.col("presence_plus") == 0)
+    azimuthal = known & (F.col("orientation") >= least) & sure
+    return rows.withColumns({"disagreement": F.col("presence_plus") != F.col("presence_minus"), "azimuthal": azimuthal, "non_azimuthal": known if any_known else azimuthal})
 
 
 #: Subsets of samples: name, convention, and condition (fixed values of the reports).

@@ -24,6 +24,13 @@ def numeric(rows: DataFrame, keys: list[str], value: Column, most: float = 0.1)
     return done.withColumn("finite_share", F.col("n_finite") / F.col("n")).withColumn("warn", (F.col("n_finite") < F.col("n")) | (F.col("clip_share") > most))
 
 
+def image(rows: DataFrame, sectors: int = 180) -> DataFrame:
+    """Per well of an image (depth_idx, az_idx, zc): sectors, negative values, and the warnings on them."""
+    done = rows.groupBy("well_id").agg(F.countDistinct("az_idx").alias("n_sectors"), F.count_if(F.col("zc") < 0).alias("n_negative"))
+    marks = F.array_compact(F.array(F.when(F.col("n_sectors") != sectors, "sectors"), F.when(F.col("n_negative") > 0, "negative")))
+    return done.withColumn("warnings", marks)
+
+
 def waveforms(rows: DataFrame, sides: int = 8, samples: int = 1024) -> DataFrame:
     """Per well: sides, longest waveform, and the warnings on them."""
     done = rows.groupBy("well_id").agg(F.countDistinct("side").alias("n_sides"), F.max(F.size("samples")).alias("longest"), F.count(F.lit(1)).alias("n"))

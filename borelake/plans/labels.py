@@ -78,6 +78,18 @@ def baseline_cells(spark, sf):
         *(six(F.col(c)).alias(c) for c in ("zc_base", "finite_fraction", "zc_ratio", "relative_drop")))
 
 
+@query("baseline_wide", """+ pd AS (
+    SELECT well_id, az_idx, depth_idx, zc, zf, 0 AS pad FROM filled UNION ALL SELECT well_id, az_idx, -k, zc, zf, 1 FROM filled, range(1, 282) t(k) WHERE depth_idx = 0
+    UNION ALL SELECT f.well_id, az_idx, depth_idx + k, zc, zf, 1 FROM filled f JOIN (SELECT well_id, max(depth_idx) AS last FROM filled GROUP BY 1) m ON f.well_id = m.well_id AND depth_idx = last, range(1, 282) t(k)
+  ), w AS (
+    SELECT *, quantile_disc(zf, 0.5) OVER w AS zc_base, avg((zc IS NOT NULL)::INT) OVER w AS finite_fraction FROM pd WINDOW w AS (PARTITION BY well_id, az_idx ORDER BY depth_idx ROWS BETWEEN 281 PRECEDING AND 281 FOLLOWING)
+  ) SELECT well_id, az_idx, count(*) AS n, round(avg(zc_base), 6) AS base, round(avg(finite_fraction), 6) AS finite_fraction FROM w WHERE pad = 0 GROUP BY ALL""", "filled")
+def baseline_wide(spark, sf):
+    """The rolling median of 563 depths, by well and sector."""
+    rows = L.baseline(D.full_image(spark, sf), half=281, quantile=0.5)
+    return rows.groupBy("well_id", "az_idx").agg(F.count(F.lit(1)).alias("n"), six(F.avg("zc_base")).alias("base"), six(F.avg("finite_fraction")).alias("finite_fraction"))
+
+
 @query("baseline_report", """SELECT well_id, round(avg(baseline_valid::INT), 6) AS valid_share, avg(baseline_valid::INT) < 0.7 AS warn,
   round(avg(coalesce(relative_drop > 0, false)::INT), 6) AS drop_share, count_if(relative_drop > 0.95) AS n_outlier FROM based GROUP BY well_id""", "based")
 def baseline_report(spark, sf):

@@ -119,6 +119,17 @@ def field_hints(spark, sf):
     return rows.groupBy("target", F.coalesce("hint", F.lit("")).alias("hint"), six(F.col("confidence")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("field_targets", f"""WITH {FIELD}, {HINTS}, r AS (SELECT well_id, list(DISTINCT role) AS roles FROM f GROUP BY well_id),
+  n AS (SELECT well_id, target, count(*) AS n, count_if(NOT list_contains(shape, 180)) AS u FROM s GROUP BY ALL)
+  SELECT r.well_id, t.target, coalesce(n, 0) AS n_candidates,
+    CASE WHEN NOT list_contains(roles, t.role) THEN 'no_file' WHEN coalesce(n, 0) = 0 THEN 'no_candidate' WHEN t.target = 'cast.zc' AND u > 0 THEN 'unknown_orientation' END AS problem
+  FROM r CROSS JOIN (VALUES ('cast.zc', 'cast'), ('cast.depth', 'cast'), ('pose.depth', 'pose'), ('pose.inclination', 'pose'), ('pose.relbearing', 'pose'), ('xsi.waveform', 'xsi'),
+    ('xsi.depth', 'xsi'), ('xsi.time', 'xsi')) t(target, role) LEFT JOIN n ON n.well_id = r.well_id AND n.target = t.target""")
+def field_targets(spark, sf):
+    """What each well lacks of the fields that a mapping needs."""
+    return C.target_audit(named_fields(spark, sf))
+
+
 def named_fields(spark, sf):
     part, n = D.table(spark, sf, "part"), len(FIELD_NAMES)
     pick = lambda values, at: F.element_at(F.array(*values), (1 + at).cast("int"))

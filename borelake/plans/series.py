@@ -14,6 +14,7 @@ from borelake.operators import series as S
 from borelake.plans.views import over
 from borelake.shared import stage
 from borelake.sources import adapter as D
+from borelake.sources.loader import load
 
 QUERIES, SQL = {}, {}
 #: Depths of event series are seconds; a block of work is a day.
@@ -344,3 +345,53 @@ def qc_pose(spark, sf):
 def qc_summary(spark, sf):
     done = Q.summary(D.full_image(spark, sf), ["well_id"], ["zc", "depth"])
     return done.select("well_id", "name", "n", "v_min", "v_max", *(six(F.col(c)).alias(c) for c in ("finite_share", "v_mean", "v_median")))
+
+
+@query("qc_sectors", """SELECT well_id, count(DISTINCT az_idx) AS n_sectors, count_if(zc < 0) AS n_negative,
+    array_to_string(list_filter([CASE WHEN count(DISTINCT az_idx) <> 180 THEN 'sectors' END, CASE WHEN count_if(zc < 0) > 0 THEN 'negative' END], lambda x: x IS NOT NULL), ',') AS warnings
+  FROM (SELECT well_id, az_idx, zc - 2 AS zc FROM cells) GROUP BY well_id""", "cells")
+def qc_sectors(spark, sf):
+    """Are there 180 sectors, and negative impedances (here of values less two, so that there are some)?"""
+    done = Q.image(D.full_image(spark, sf).withColumn("zc", F.col("zc") - 2))
+    return done.select("well_id", "n_sectors", "n_negative", F.concat_ws(",", "warnings").alias("warnings"))
+
+
+@query("sector_axes", """+ x AS (SELECT DISTINCT az_idx FROM cells)
+  SELECT az_idx, axis, round(wrap(o + k * az_idx * 30.0), 6) + 0.0 AS azimuth FROM x, (VALUES ('plain', 0.0, 1), ('offset', 15.0, 1), ('reversed', 0.0, -1), ('both', 45.0, -1)) t(axis, o, k)""", "cells")
+def sector_axes(spark, sf):
+    """The azimuth of each sector of the image on plain, shifted and reversed axes."""
+    sectors = D.full_image(spark, sf).select("az_idx").distinct()
+    axes = {"plain": (0.0, False), "offset": (15.0, False), "reversed": (0.0, True), "both": (45.0, True)}
+    each = F.array(*(F.struct(F.lit(n).alias("axis"), six(A.sector(F.col("az_idx"), D.SECTORS, o, r)).alias("azimuth")) for n, (o, r) in axes.items()))
+    return sectors.withColumn("_a", F.explode(each)).select("az_idx", "_a.*")
+
+
+@query("wells_around", """SELECT well_id, round(low, 6) AS low, round(high, 6) AS high FROM (
+    SELECT well_id, greatest(a, c - least(5.0, (b - a) / 2)) AS low, least(b, c + least(5.0, (b - a) / 2)) AS high
+    FROM (SELECT well_id, min(depth) AS a, max(depth) AS b, arg_max(depth, inc_deg * 1e9 - sample_idx) AS c FROM pose GROUP BY well_id))""", "pose")
+def wells_around(spark, sf):
+    """A window of at most 10 around the depth of each well's greatest inclination, inside its pose."""
+    centre = F.max_by("depth", F.col("inc_deg") * 1e9 - F.col("sample_idx"))
+    spans = D.pose(spark, sf).groupBy("well_id").agg(F.min("depth").alias("start"), F.max("depth").alias("stop"), centre.alias("centre"))
+    return S.centre_window(spans, 10.0, F.col("centre")).select("well_id", six(F.col("low")).alias("low"), six(F.col("high")).alias("high"))
+
+
+@query("loaded_series", """WITH r AS (
+    SELECT user_id AS well_id, CASE WHEN event_id % 41 = 0 THEN NULL ELSE event_type END AS series_id, event_id // 2 AS sample_idx, CASE WHEN event_id % 17 = 0 THEN NULL ELSE epoch_us(ts) / 1e6::DOUBLE END AS depth,
+      CASE WHEN isfinite(value / ((event_id % 23) * 1.0)) THEN value / (event_id % 23) END AS value FROM events
+  ), g AS (SELECT well_id, series_id, sample_idx, count(*) AS n, first({'d': depth, 'v': value} ORDER BY depth NULLS FIRST, value NULLS FIRST) AS f FROM r GROUP BY ALL),
+  e AS (SELECT *, 1 AS times FROM g UNION ALL SELECT *, n FROM g WHERE n > 1)
+  SELECT unnest([
+    {'rule': 'no_well_id', 'level': 'error', 'n': count_if(well_id IS NULL)}, {'rule': 'no_series_id', 'level': 'error', 'n': count_if(series_id IS NULL)}, {'rule': 'no_sample_idx', 'level': 'error', 'n': count_if(sample_idx IS NULL)},
+    {'rule': 'no_depth', 'level': 'warning', 'n': count_if(f.d IS NULL)}, {'rule': 'no_value', 'level': 'warning', 'n': count_if(f.v IS NULL)}, {'rule': 'repeated', 'level': 'error', 'n': count_if(times > 1)},
+    {'rule': 'sound', 'level': 'rows', 'n': count_if(well_id IS NOT NULL AND series_id IS NOT NULL AND sample_idx IS NOT NULL AND times = 1)}
+  ], recursive := true) FROM e""")
+def loaded_series(spark, sf):
+    """The events as a series table through the checked loader: rows that break each rule, and those that are sound."""
+    rows = D.table(spark, sf, "events").selectExpr(
+        "user_id as well_id", "case when event_id % 41 = 0 then null else event_type end as series_id", "event_id div 2 as sample_idx",
+        "case when event_id % 17 = 0 then double('NaN') else unix_micros(cast(ts as timestamp)) / 1e6D end as depth", "case when event_id % 23 = 0 then double('Infinity') else value / (event_id % 23) end as value",
+    )
+    found = load(rows, "series")
+    sound = found.rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("sound").alias("rule"), F.lit("rows").alias("level"), "n")
+    return found.counts.select("rule", "level", "n").unionByName(sound)

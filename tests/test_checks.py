@@ -107,3 +107,21 @@ def test_published(spark, tmp_path, monkeypatch):
     assert [f.name for f in tmp_path.iterdir()] == ["stage"]
     assert P.published(rows, f"{tmp_path}/c", "v1", "x", kind="csv")["rows"] == 100
     assert P.digest(rows)[1] == P.digest(rows.repartition(7))[1] != P.digest(rows.limit(99))[1]
+
+
+def test_checked_loader(spark):
+    from borelake.sources.loader import load
+
+    rows = [(0, 0, 3, "2.5"), (0, 0, 3, "1.5"), (0, 1, 200, "1"), (0, None, 1, "1"), (0, 2, 1, "x"), (0, 3, 1, "NaN"), (0, 4, 1, "-1"), (0, -1, 1, "1")]
+    df = spark.createDataFrame([(*r, "more") for r in rows], "well_id int, depth_idx int, az_idx int, zc string, other string")
+    found = load(df, "image")
+    assert sorted(((r["depth_idx"], r["zc"]) for r in found.rows.collect()), key=str) == [(0, 1.5), (2, None), (3, None), (4, -1.0)]
+    assert found.rows.columns == ["well_id", "depth_idx", "az_idx", "zc"]
+    assert sorted((tuple(r["broken"]), r["times"]) for r in found.broken.collect()) == [(("depth_index",), 1), (("no_depth_idx",), 1), (("repeated",), 2), (("sector",), 1)]
+    assert {r["rule"]: r["n"] for r in found.counts.collect() if r["n"]} == {"no_depth_idx": 1, "sector": 1, "depth_index": 1, "negative": 1, "missing": 2, "repeated": 1}
+    with pytest.raises(ValueError, match="no column zc"):
+        load(df.drop("zc"), "image")
+    waves = spark.createDataFrame([(0, 0, 1, 0, 1.0, [1.0, float("inf")]), (0, 0, 1, 9, 1.0, [1.0]), (0, 0, 1, 1, 1.0, None)], "well_id long, xsi_idx long, receiver int, side int, depth double, samples array<double>")
+    found = load(waves, "waveforms")
+    assert [r["samples"] for r in found.rows.collect()] == [[1.0, None]] and found.broken.count() == 2
+    assert load(waves.limit(0), "waveforms").rows.count() == 0
