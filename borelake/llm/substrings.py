@@ -26,6 +26,8 @@ only where a shared string must have one of its anchors:
    Windows of equal final number are equal; those of a later document are removed.
 
 Texts travel between tasks compressed, and are joined by doc_id and a checksum.
+Each step's shuffle files and tables go when the next table is written: anchors,
+then contexts (written only for buckets that are split), then texts for the cut.
 
 Defined results
     null or empty text        has no bytes
@@ -51,7 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borelake.llm.buckets import returned, sliced, whole_groups
-from borelake.shared import settle, stored
+from borelake.shared import settle, stored, written
 
 LENGTH = 50
 GRAM = 20
@@ -450,13 +452,23 @@ def single_spans(rows: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, many: int = MANY, large: int = LARGE, chunk: int = CHUNK, part_bytes: int = PART_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """doc_id, tag (of the text) and a list of spans of the bytes to remove; not for documents that lose none."""
-    found = stored(first_buckets(docs, many, chunk, part_bytes, held_bytes), "buckets")
-    rows = stored(contexts(docs, found.filter("key is not null")), "contexts")
-    rows, single = split_large(rows, large)
-    every = found.filter("key is null")
-    for part in (window_spans(rows), *map(single_spans, single)):
-        every = every.union(part)
-    return every.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spark = docs.sparkSession
+
+    def made() -> DataFrame:
+        found = written(lambda: first_buckets(docs, many, chunk, part_bytes, held_bytes), spark, "buckets")
+        asks = found.filter("key is not null")
+        big = settle(asks.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > large).select("key"))
+        every = found.filter("key is null")
+        if big.isEmpty():
+            parts = [window_spans(contexts(docs, asks))]
+        else:
+            rows, single = split_large(stored(contexts(docs, asks.join(big, "key")), "contexts"), large)
+            parts = [window_spans(contexts(docs, asks.join(big, "key", "left_anti"))), window_spans(rows), *map(single_spans, single)]
+        for part in parts:
+            every = every.union(part)
+        return every.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+
+    return written(made, spark, "spans")
 
 
 def cut(docs: DataFrame, **how) -> DataFrame:

@@ -111,3 +111,27 @@ def test_repeated_rows_ask_once(spark):
         docs = spark.createDataFrame([(1, text), (2, text)] * copies, "doc_id long, text string")
         asks = spark.createDataFrame([(d, tag, s, 7) for d in (1, 2) for s in (0, 50, 90)] * copies, "doc_id long, tag int, start int, key long")
         assert substrings.contexts(docs, asks).count() == 6
+
+
+def test_disks_hold_one_step(spark):
+    """What a step has written is gone when its result is: tables, and files of shuffles that nothing uses."""
+    import os
+    import time
+
+    from borelake import shared
+
+    rows = corpus(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    done = substrings.cut(docs)
+    new = [f for f in set(os.listdir(folder)) - before if "-" in f and not os.path.isdir(f"{folder}/{f}/rdd-0")]
+    assert sorted(f.split("-")[0] for f in new if f.split("-")[0] in ("buckets", "contexts", "spans")) == ["spans"]
+    storage = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(50):  # the cleaner works beside the driver
+        left = [f for f in map(str, storage.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert done.count() == len(rows)
