@@ -296,3 +296,21 @@ def test_jumps_stay_inside_windows(spark):
     got = {r["window"]: r for r in R.windows(pose, spans, 2.0, out, "m").collect()}
     assert list(got[0]["reasons"]) == ["interval:slips"] and list(got[1]["reasons"]) == []
     assert [r["window"] for r in R.best_windows(R.windows(pose, spans, 2.0), 1).collect()] == [0]
+
+
+def test_samples_only_judge_what_they_take(spark, monkeypatch):
+    """Wells without waveforms get no baseline, and depths that no sample takes are not turned."""
+    from borelake.operators import labels as L
+    from borelake.plans import labels as P
+
+    seen = {}
+    for name in ("baseline", "both_conventions"):
+        def watch(rows, *more, name=name, f=getattr(L, name)):
+            seen[name] = rows
+            return f(rows, *more)
+        monkeypatch.setattr(L, name, watch)
+    rows = P.samples(spark, "/root/testdata/sf0.001")
+    taken = {(r["well_id"], r["depth_idx"]) for r in rows.select("well_id", "depth_idx").distinct().collect()}
+    assert taken and {w for w, _ in taken} == {0}
+    assert {r["well_id"] for r in seen["baseline"].select("well_id").distinct().collect()} == {0}
+    assert {(r["well_id"], r["depth_idx"]) for r in seen["both_conventions"].select("well_id", "depth_idx").distinct().collect()} == taken
