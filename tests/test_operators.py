@@ -314,3 +314,16 @@ def test_samples_only_judge_what_they_take(spark, monkeypatch):
     assert taken and {w for w, _ in taken} == {0}
     assert {r["well_id"] for r in seen["baseline"].select("well_id").distinct().collect()} == {0}
     assert {(r["well_id"], r["depth_idx"]) for r in seen["both_conventions"].select("well_id", "depth_idx").distinct().collect()} == taken
+
+
+def test_angles_by_parts_are_those_of_the_c_library(spark):
+    """Between equal bearings of 0 to 359 degrees, each angle to its last bit as DuckDB has it."""
+    import duckdb
+
+    rows = spark.range(360).selectExpr("id", "named_struct('depth', 0D, 'rb', cast(id as double)) as before", "named_struct('depth', 1D, 'rb', cast(id as double)) as after", "0.6D as depth")
+    got = {r["id"]: r["a"] for r in rows.select("id", S.lerp_angle_by_parts("rb").alias("a")).collect()}
+    turn = "degrees(atan2(sin(radians(k::DOUBLE)), cos(radians(k::DOUBLE))))"
+    want = dict(duckdb.sql(f"SELECT k, {turn} - floor({turn} / 360.0) * 360.0 FROM range(360) t(k)").fetchall())
+    assert got == want
+    none = rows.selectExpr("id", "if(id = 1, null, before) as before", "after", "if(id = 2, null, depth) as depth").filter("id in (1, 2)")
+    assert [r["a"] for r in none.select(S.lerp_angle_by_parts("rb").alias("a"), "id").orderBy("id").collect()][0] is None
