@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 it kept, and returns the columns of ``documents``; the last returns ids.  ``run``
 writes each stage's rows as Parquet in the shared folder and reads them for the
-next, so a lost executor costs a part of one stage.
+next, so a lost executor costs a part of one stage; when a stage is written, what
+it read and wrote on the way is removed.
 
 Cases that all stages share: a null text counts as empty and stays null; rows
 with a null doc_id are kept by both deduplications; repeated rows are judged
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borelake.llm import bpe, decontaminate, jaccard, quality, substrings
-from borelake.shared import stored
+from borelake.shared import written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +56,13 @@ STAGES = [("quality", good), ("near_duplicates", distinct), ("repeated_strings",
 ORACLE_SQL = None
 
 
+def after(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+    """The documents that ``stages`` leave."""
+    if not stages:
+        return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name, stage = stages[-1]
+    return written(lambda: stage(spark, after(spark, sf_dir, stages[:-1]), sf_dir), spark, name)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, after(spark, sf_dir, STAGES[:-1]), sf_dir)
