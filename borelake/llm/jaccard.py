@@ -5,7 +5,11 @@ of ``SHINGLE`` words (a text of fewer words is one shingle, one of no words the
 empty set).  Documents of equal set are one class; classes link if their sets
 have a similarity of at least 0.8.
 
-Candidates share one of ``BANDS`` bands of ``ROWS`` minima of linear hashes.  A
+Candidates come from two places. Fingerprints of the sets, by operator 7's
+generalised pigeonhole, link classes that differ by at most ``DISTANCE`` of 64 bits
+(``by_fingerprint``). Most sets of similarity 0.8 are further apart than the
+pigeonhole can reach with partitions that tell documents apart, so candidates also
+share one of ``BANDS`` bands of ``ROWS`` minima of linear hashes.  A
 pair of similarity s is missed by all bands with a chance of about
 (1 - s^ROWS)^BANDS, 5 in 100,000 at 0.8 and less above.  Every link is verified on
 the sets.  First each bucket's classes are verified against its smallest; then
@@ -29,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from borelake.llm import simhash
 from borelake.llm.buckets import compare, returned, sliced
 from borelake.llm.simhash import LINK, SEED, shingle_hashes
 from borelake.operators.components import components
-from borelake.shared import settle, stored
+from borelake.shared import settle, stored, written
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
+#: Bits in which fingerprints differ at most that the pigeonhole finds.
+DISTANCE = 4
 #: Longs of a bitmap.
 WIDTH = 16
 _RNG = np.random.default_rng(SEED)
@@ -72,18 +79,18 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
-SKETCH = [T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
+SKETCH = [T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, n (size of the set), bands and bits of each row, without a shuffle."""
+    """doc_id, cls, n (size of the set), fp, bands and bits of each row, without a shuffle."""
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *SKETCH])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = [shingle_set(x.as_py()) for x in batch.column("text")]
             longs = [pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (banded, bitmap)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([named(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *longs], out.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([named(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([simhash.fingerprint_of(s) for s in sets], pa.int64()), *longs], out.names)
 
     return docs.select("doc_id", "text").mapInArrow(returned(run), out)
 
@@ -139,17 +146,27 @@ def apart(columns: dict[str, np.ndarray], side: np.ndarray) -> list[pa.Array] |
     return [pa.array(a), pa.array(b)] if len(a) else None
 
 
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of classes: each with the smallest of its fingerprint, and those of linked fingerprints."""
+    least = settle(classes.groupBy("fp").agg(F.min("cls").alias("least")))
+    equal = classes.join(least, "fp").filter("cls > least").select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    linked = simhash.links(least, DISTANCE).join(least.toDF("a", "_a"), "a").join(least.toDF("b", "_b"), "b")
+    return equal.union(linked.select(F.least("_a", "_b"), F.greatest("_a", "_b")))
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified links (a, b) that connect all classes which share a band and are similar."""
+    """Verified links (a, b) of classes that are similar: of those that the fingerprints link, and so many of those which share a band that all are connected."""
     filed = classes.select("cls", F.posexplode("bands").alias("band", "value"))
-    first = settle(compare(filed, ["band", "value"], "cls", stars, LINK).distinct())
+    first = settle(by_fingerprint(classes).union(compare(filed, ["band", "value"], "cls", stars, LINK)).distinct())
     met = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct()
-    wanted = settle(classes.join(met, "cls").select("cls", "first", "n", "bands", "bits"))
+    wanted = stored(classes.join(met, "cls").select("cls", "first", "n", "bands", "bits"), "wanted")
     sets = stored(sets_of(docs, wanted), "shingle_sets")
     found = settle(verified(first, sets))
     joined = components(found).withColumnRenamed("node", "cls")
-    rows = wanted.join(joined, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "n", "bits", F.posexplode("bands").alias("band", "value"))
-    rest = compare(settle(rows), ["band", "value"], "cls", apart, LINK, 1024).distinct()
+    # written before bands are rows of their own, which would repeat each bitmap
+    rows = stored(wanted.join(joined, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "n", "bits", "bands"), "groups")
+    rows = rows.select("cls", "component", "n", "bits", F.posexplode("bands").alias("band", "value"))
+    rest = compare(rows, ["band", "value"], "cls", apart, LINK, 1024).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
     return found.union(settle(verified(rest, sets)))
 
@@ -157,7 +174,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable) of each row."""
     own = stored(sketches(docs), "sketches")
-    classes = settle(own.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    classes = written(lambda: own.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), docs.sparkSession, "classes")
     joined = components(links(docs, classes)).withColumnRenamed("node", "cls")
     group = settle(classes.select("cls", "first").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     ids = group.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -166,6 +183,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with all their columns and one document of each group: the one of smallest doc_id."""
-    found = groups(docs.filter(F.col("doc_id").isNotNull()))
-    gone = settle(found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays")).filter("stays = 0").select("doc_id"))
+
+    def copies() -> DataFrame:
+        found = groups(docs.filter(F.col("doc_id").isNotNull()))
+        return found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays")).filter("stays = 0").select("doc_id")
+
+    gone = written(copies, docs.sparkSession, "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

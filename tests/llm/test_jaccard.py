@@ -97,3 +97,17 @@ def test_all_pairs_apart_with_blocks():
     pairs = lambda side: {(a, b) for a, b in zip(*(x.to_pylist() for x in jaccard.apart(columns, side)), strict=True)}
     assert pairs(side) == {(min(a, b), max(a, b)) for a in (5, 1, 4) for b in (0, 3, 2)}
     assert len(pairs(np.zeros(6, int))) == 15
+
+
+def test_pigeonhole_finds_without_bands(spark, monkeypatch):
+    """Similar sets whose fingerprints the pigeonhole links are grouped even where no band brings them together."""
+    monkeypatch.setattr(jaccard, "stars", lambda columns, side: None)
+    monkeypatch.setattr(jaccard, "apart", lambda columns, side: None)
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    near = [*text[:-1], "other"]
+    other = [f"v{rng.randrange(5000)}" for _ in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([text, near, other])], "doc_id long, text string")
+    prints = [jaccard.simhash.fingerprint_of(jaccard.shingle_set(" ".join(t))) % (1 << 64) for t in (text, near)]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= jaccard.DISTANCE
+    assert sorted(map(tuple, jaccard.groups(docs).collect())) == [(0, 0), (1, 0), (2, 2)]
