@@ -471,53 +471,65 @@ def spans(docs: DataFrame, many: int = MANY, large: int = LARGE, chunk: int = CH
     return written(made, spark, "spans")
 
 
+def _located(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with texts compressed in ``_packed`` and the spans to remove from them in ``_spans``."""
+    found = spans(docs, **how).withColumnsRenamed({"doc_id": "_doc_id", "tag": "_of"})
+    texts = packed_texts(docs)
+    return texts.join(found, (F.col("doc_id") == F.col("_doc_id")) & (F.col("_tag") == F.col("_of")), "left").drop("_doc_id", "_of", "_tag")
+
+
+def _kept(batch: pa.RecordBatch) -> tuple[list[bytes], list[int], list[int], list[int]]:
+    """Of ``_located`` rows: the remaining bytes, and the numbers of bytes, of those removed and of spans."""
+    press = zstandard.ZstdDecompressor()
+    kept, sizes, removed, runs = [], [], [], []
+    for packed, own in zip(batch.column("_packed"), batch.column("_spans"), strict=True):
+        raw = press.decompress(packed.as_py()) if packed.is_valid else b""
+        start = end = np.empty(0, np.int64)
+        if own.is_valid:
+            start, end = (x.to_numpy() for x in own.values.flatten())
+            none = np.zeros(len(start), np.int64)
+            start, end = united(none, none, start, np.minimum(end, len(raw)))[2:]
+        at, parts = 0, []
+        for b, e in zip(start.tolist(), end.tolist(), strict=True):
+            parts.append(raw[at:b])
+            at = e
+        kept.append(b"".join([*parts, raw[at:]]))
+        sizes.append(len(raw))
+        removed.append(len(raw) - len(kept[-1]))
+        runs.append(len(start))
+    return kept, sizes, removed, runs
+
+
 def cut(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without text, with kept (the remaining bytes), n_bytes, n_removed and n_spans, in place of columns so named."""
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
-    found = spans(docs, **how).withColumnsRenamed({"doc_id": "_doc_id", "tag": "_of"})
-    texts = packed_texts(docs)
-    joined = texts.join(found, (F.col("doc_id") == F.col("_doc_id")) & (F.col("_tag") == F.col("_of")), "left").drop("_doc_id", "_of", "_tag")
     rest = [f for f in docs.schema.fields if f.name != "text"]
     out = T.StructType([*rest, T.StructField("kept", T.BinaryType()), *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
         for batch in sliced(batches):
-            kept, sizes, removed, runs = [], [], [], []
-            for packed, own in zip(batch.column("_packed"), batch.column("_spans"), strict=True):
-                raw = press.decompress(packed.as_py()) if packed.is_valid else b""
-                start = end = np.empty(0, np.int64)
-                if own.is_valid:
-                    start, end = (x.to_numpy() for x in own.values.flatten())
-                    none = np.zeros(len(start), np.int64)
-                    start, end = united(none, none, start, np.minimum(end, len(raw)))[2:]
-                at, parts = 0, []
-                for b, e in zip(start.tolist(), end.tolist(), strict=True):
-                    parts.append(raw[at:b])
-                    at = e
-                kept.append(b"".join([*parts, raw[at:]]))
-                sizes.append(len(raw))
-                removed.append(len(raw) - len(kept[-1]))
-                runs.append(len(start))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs))], out.names)
-
-    return joined.mapInArrow(returned(run), out)
+            kept, *counts = _kept(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in counts)], out.names)
+
+    return _located(docs, **how).mapInArrow(returned(run), out)
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with all their columns, texts without the removed bytes; a null text stays null."""
+    """``docs`` with all their columns, texts without the removed bytes; a null text stays null.
+
+    Texts are cut and decoded in one pass, so that a task has one worker.
+    """
     # columns get other names on the way, so that none clashes with a result
     columns = docs.columns
     names = {c: f"_own_{k}" for k, c in enumerate(columns) if c not in ("doc_id", "text")}
-    done = cut(docs.withColumnsRenamed(names).withColumn("_null", F.col("text").isNull()), **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            kept = zip(batch.column("kept").to_pylist(), batch.column("_null").to_pylist(), strict=True)
-            texts = pa.array([None if null else k.decode("utf-8", "ignore") for k, null in kept], pa.string())
+            known = batch.column("_packed").is_valid().to_pylist()
+            texts = pa.array([k.decode("utf-8", "ignore") if own else None for k, own in zip(_kept(batch)[0], known, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(names.get(c, c)) for c in columns], columns)
 
-    return done.mapInArrow(returned(run), docs.schema)
+    return _located(docs.withColumnsRenamed(names), **how).mapInArrow(returned(run), docs.schema)
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without byte strings that a document of smaller doc_id has; n_chars follows the text."""
-    left = substrings.dedup(docs)
+    """All documents, without byte strings that a document of smaller doc_id has; n_chars follows the text. Workers of the stages before may still hold memory, so a reader combines less text at a time."""
+    left = substrings.dedup(docs, chunk=4 << 20)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

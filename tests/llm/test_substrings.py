@@ -135,3 +135,11 @@ def test_disks_hold_one_step(spark):
         time.sleep(0.2)
     assert not left
     assert done.count() == len(rows)
+
+
+def test_dedup_cuts_and_decodes_in_one_pass(spark):
+    """A task packs texts before the join and cuts them after it; a second pass would hold a second worker."""
+    docs = spark.createDataFrame([(1, "a" * 80), (2, "b" + "a" * 70), (3, None)], "doc_id long, text string")
+    done = substrings.dedup(docs)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert sorted(done.collect()) == [(1, "a" * 80), (2, "b"), (3, None)]
