@@ -36,6 +36,20 @@ def test_same_as_sql(spark, name):
     assert plain(tuple(r) for r in df.select(columns).collect()) == plain(found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["axis_audit_up", "axis_audit_mixed"])
+def test_events_of_few_samples(spark, tmp_path, name):
+    """A series of one sample has no steps to count; the step of a series of two spans it whole, and does not when rounded up."""
+    con = duckdb.connect()
+    rows = [(1, "click", 0.0), (1, "click", 10.0), (1, "click", 20.0), (1, "click", 30.0), (1, "view", 5.0), (1, "view", 15.0006), (2, "click", 7.0)]
+    values = ", ".join(f"({k}::BIGINT, make_timestamp({round(s * 1e6)}), {u}::BIGINT, '{t}', 1.0::DOUBLE)" for k, (u, t, s) in enumerate(rows))
+    con.execute(f"COPY (SELECT * FROM (VALUES {values}) t(event_id, ts, user_id, event_type, value)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    found = con.execute(registry.SQL[name])
+    columns = [c[0] for c in found.description]
+    assert plain(tuple(r) for r in df.select(columns).collect()) == plain(found.fetchall())
+
+
 def test_registry():
     assert set(registry.SQL) <= set(registry.QUERIES)
     import __spark_entry__
