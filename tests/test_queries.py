@@ -36,7 +36,7 @@ def test_same_as_sql(spark, name):
     assert plain(tuple(r) for r in df.select(columns).collect()) == plain(found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["axis_audit_up", "axis_audit_mixed"])
+@pytest.mark.parametrize("name", ["axis_audit_up", "axis_audit_mixed", "alignment_gate"])
 def test_events_of_few_samples(spark, tmp_path, name):
     """A series of one sample has no steps to count; the step of a series of two spans it whole, and does not when rounded up."""
     con = duckdb.connect()
