@@ -55,3 +55,11 @@ def test_registry():
     import __spark_entry__
 
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_label_objects_makes_no_other_labels(spark, monkeypatch):
+    """Objects need candidates alone: no table of all labels with their confidence."""
+    from borelake.operators import labels
+
+    monkeypatch.setattr(labels, "with_confidence", None)
+    assert registry.QUERIES["label_objects"](spark, SF).count() > 0
